@@ -102,14 +102,25 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Ite
         yield batch.slice(start)
 
 
-def group_minimum(rows: DataFrame, keys: list[str], value: str, salts: int = 32) -> DataFrame:
+def group_minimum(rows: DataFrame, keys: list[str], value: str, salts: int = 32, pick=F.min) -> DataFrame:
     """Give each row the least ``value`` of its group as ``leader``, for groups of two rows or more.
 
-    Rows alone in their group are left out. A hot group is spread over ``salts`` tasks: its
-    minimum is found from one row a salt, and only those rows are joined to the group's rows.
+    ``pick`` may be F.max for the largest. Rows alone in their group are left out. A hot group is
+    spread over ``salts`` tasks: its minimum is found from one row a salt, and only those rows are
+    joined to the group's rows.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
-    part = salted.groupBy(*keys, "_salt").agg(F.min(value).alias("_least"), F.count(F.lit(1)).alias("_n"))
-    whole = part.groupBy(*keys).agg(F.min("_least").alias("leader"), F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
+    part = salted.groupBy(*keys, "_salt").agg(pick(value).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    whole = part.groupBy(*keys).agg(pick("_best").alias("leader"), F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
     spread = part.select(*keys, "_salt").join(whole, keys)
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], salts: int = 32) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` that has one row a key, whatever share a key has of the rows.
+
+    The table's row is copied once for each salt (a hash of the columns ``by``) that its key really has.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    spread = salted.select(*keys, "_salt").distinct().join(table, keys)
+    return salted.join(spread, [*keys, "_salt"]).drop("_salt")

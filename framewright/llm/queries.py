@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import packing, token_files
+from framewright.llm import language, media, packing, token_files, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_token_files": token_files.op2_token_files,
+        "op5_media": media.op5_media,
+        "op7_language": language.op7_language,
+        "op9_url_filter": urls.op9_url_filter,
         "op10_packing": packing.op10_packing,
     }
 
