@@ -50,24 +50,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4, few: int = 500_000) -> DataFrame:
     """(host, trust, distrust) by ``rounds`` of personalised PageRank.
 
     ``seeds(host, trust, distrust)`` hold shares that sum to one each. Trust follows the edges, distrust
     the reversed ones; both run in one pass with a kind column. A host without edges keeps its
     restart share only. The tables' size is that of the host graph; every ``cut_every`` rounds the
-    ranks are stored, which bounds the plan.
+    ranks are stored, which bounds the plan. A graph counted at ``few`` edges or less is one partition.
     """
     kinds = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), F.col("weight")))
     total = kinds.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     flow = stored(kinds.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "host-flow")
     seed = stored(seeds.selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)").where("seed > 0"), "host-seeds")
+    small = flow.count() <= few and seed.count() <= few
+    if small:
+        flow, seed = flow.coalesce(1), seed.coalesce(1)
     rank = seed.select("kind", "host", F.col("seed").alias("rank"))
     for k in range(rounds):
         passed = rank.withColumnRenamed("host", "src").join(flow, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         rank = passed.union(seed.select("kind", "host", (F.col("seed") * (1 - damping)))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if k % cut_every == cut_every - 1:
             rank = stored(rank, "host-rank")
+            rank = rank.coalesce(1) if small else rank
     one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(one("trust"), one("distrust"))
 
