@@ -182,14 +182,117 @@ def mixed_groups(rows: DataFrame, key: str) -> DataFrame:
     return spread_join(rows, several, [key], ["rep"])
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def block_rows(docs: DataFrame, apart: DataFrame, k: int, coordinates: int) -> DataFrame:
+    """Stored (rep, signature, elements, keys) of the documents in ``apart(rep)``.
+
+    elements are the sorted 32-bit hashes of (shingle, occurrence), keys the first darts of the signature.
+    """
+    texts = texts_of(docs, apart.select(F.col("rep").alias("doc_id")).distinct())
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                hashes, counts = hashed_words(part.column("text"))
+                value, weight, owner = shingles(hashes, counts)
+                darts = dart_signatures(value, weight.astype("f8"), owner, len(counts), k)
+                each = np.repeat(value, weight) + (np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)).astype("u8") * np.uint64(0x9FB21C651E98DF25)
+                whose = np.repeat(owner, weight)
+                element = (mixed(each) >> np.uint64(32)).astype("<u4")
+                order = np.lexsort((element, whose))
+                cut = np.searchsorted(whose, np.arange(len(counts) + 1))
+                element = element[order]
+                sets = [element[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                short = (darts & np.uint64(0xFFFF)).astype("<u2")
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype="i4") * coordinates), pa.array(darts[:, :coordinates].ravel().view("i8")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(sets, pa.binary()), keys], names=["rep", "signature", "elements", "keys"])
+
+    return stored(texts.mapInArrow(run, "rep long, signature binary, elements binary, keys array<long>"), "block-rows")
+
+
+def links_within(rows: list[tuple], coordinate: int, cross: tuple[int, int], least: float, agree: int) -> list[tuple[int, int]]:
+    """Links of one block that join components: rows of (rep, component, chunk, signature, elements).
+
+    A pair is looked at in the block of its first common coordinate only, and only if its signatures
+    agree in ``agree`` places or more and its components are still apart; then the sets decide.
+    """
+    rows = sorted(rows)
+    sign = np.stack([np.frombuffer(r[3], "<u2") for r in rows])
+    sets = [np.frombuffer(r[4], "<u4") for r in rows]
+    size = np.array([len(x) for x in sets])
+    cut = np.concatenate([[0], np.cumsum(size)])
+    every = np.concatenate(sets)
+    chunk = np.array([r[2] for r in rows])
+    names, start = np.unique([r[1] for r in rows], return_inverse=True)
+    root = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    found = []
+    for i in range(len(rows) - 1):
+        rest = np.arange(i + 1, len(rows))
+        if cross[0] != cross[1]:
+            rest = rest[chunk[rest] != chunk[i]]
+        own = top(start[i])
+        rest = rest[[top(start[j]) != own for j in rest]] if len(rest) else rest
+        rest = rest[np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])]
+        same = sign[rest] == sign[i]
+        rest = rest[(same.sum(1) >= agree) & ~same[:, :coordinate].any(1)]
+        if not len(rest):
+            continue
+        picked = np.concatenate([every[cut[j] : cut[j + 1]] for j in rest])
+        at = np.minimum(np.searchsorted(sets[i], picked), size[i] - 1)
+        both = np.add.reduceat((sets[i][at] == picked).astype("i8"), np.concatenate([[0], np.cumsum(size[rest])[:-1]]))
+        for j in rest[both >= least * (size[i] + size[rest] - both) - 1e-9]:
+            if top(start[j]) != top(start[i]):
+                root[top(start[j])] = top(start[i])
+                found.append((rows[i][0], rows[j][0]))
+    return found
+
+
+def block_links(members: DataFrame, labels: DataFrame, least: float, k: int, chunk: int = 256) -> DataFrame:
+    """(a, b): links between components among documents that share one of their first darts.
+
+    ``members`` are block_rows, ``labels(rep, component)`` their components. A dart's documents are cut
+    into chunks and every two chunks form a block, so a task holds two chunks however large the group.
+    """
+    keyed = members.select("rep", F.posexplode("keys").alias("coordinate", "key")).join(labels, "rep")
+    groups = keyed.groupBy("coordinate", "key").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
+    chunks = groups.select("coordinate", "key", F.ceil(F.col("_n") / chunk).cast("int").alias("chunks"))
+    dealt = spread_join(keyed, chunks, ["coordinate", "key"], ["rep"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    blocks = dealt.select("rep", "component", "coordinate", "key", "own", other).select("rep", "component", "coordinate", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    full = blocks.join(members.select("rep", "signature", "elements"), "rep").repartition("coordinate", "key", "i", "j").sortWithinPartitions("coordinate", "key", "i", "j")
+    agree = int(k * least - 4 * (k * least * (1 - least)) ** 0.5)
+
+    def run(batches):
+        block, held = None, []
+        for batch in batches:
+            found = []
+            for rep, component, own, signature, elements, *name in zip(*(batch.column(c).to_pylist() for c in ("rep", "component", "own", "signature", "elements", "coordinate", "key", "i", "j")), strict=True):
+                if name != block:
+                    if len(held) > 1:
+                        found += links_within(held, block[0], (block[2], block[3]), least, agree)
+                    block, held = name, []
+                held.append((rep, component, own, signature, elements))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+        found = links_within(held, block[0], (block[2], block[3]), least, agree) if len(held) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return full.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, coordinates: int = 6) -> DataFrame:
     """(doc_id, component_id, kept) of ``docs(doc_id, text)``: classes of documents linked at ``least`` or more.
 
     Documents with equal word sequences fall together first. In each bucket of a band the least
-    document is checked against the others; buckets whose documents then still lie in several components are
-    cut finer, by pairs of bands (similar documents share many bands), and again checked against their
-    least; what is still apart after that is checked pair by pair, if sizes allow the similarity. So no
-    bucket is capped, and groups of copies cost a check for each member, not for each pair.
+    document is checked against the others, so a group of copies costs a check for each member, not for
+    each pair. Documents of buckets that still hold several components then meet in blocks: those that
+    share one of their first darts (similar ones share most) are compared by signature, and exactly
+    where that allows the similarity. No bucket is capped; only links leave a block.
 
     component_id is the least doc_id of the class and kept is true for that document. A null text is
     empty; empty texts are copies of each other. Rows of one doc_id are one document. Documents with
@@ -204,18 +307,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, row
     links = stored(verified(known, stored(star_pairs(labelled(shared, None), "bucket", least), "pairs"), least), "links")
     found = stored(connected_components(links), "components")
 
-    apart = mixed_groups(labelled(shared, found), "bucket")
-    lists = apart.groupBy("rep", "weight", "component").agg(F.sort_array(F.collect_set("bucket")).alias("l"))  # at most ``bands`` keys each
-    two = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.xxhash64(x, y))))
-    finer = stored(lists.select("rep", "weight", "component", F.explode(two).alias("sub")), "sub-buckets")
-    finer = stored(mixed_groups(finer, "sub"), "sub-buckets")
-    links, found = _more(known, links, found, stored(star_pairs(finer, "sub", least), "pairs"), least)
-
-    rest = stored(mixed_groups(labelled(finer.drop("component"), found), "sub"), "rest")
-    left, right = (rest.select("sub", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "weight", "component")]) for s in "ab")
-    fits = (F.col("component_a") < F.col("component_b")) & (F.least("weight_a", "weight_b") >= least * F.greatest("weight_a", "weight_b"))
-    pairs = left.join(right, "sub").where(fits).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    links, found = _more(known, links, found, stored(pairs, "pairs"), least)
+    apart = stored(mixed_groups(labelled(shared, found), "bucket").select("rep", "component").distinct(), "apart")
+    if not apart.isEmpty():
+        rest = block_rows(known, apart, bands * rows, coordinates)
+        more = stored(block_links(rest, apart, least, bands * rows), "links")
+        if not more.isEmpty():
+            found = stored(connected_components(links.unionByName(more)), "components")
 
     classes = labelled(members.select("key", "rep"), found).select("key", "component")
     whole = spread_join(signed.select("doc_id", "key"), classes, ["key"], ["doc_id"]).groupBy("doc_id").agg(F.min("component").alias("component_id"))
@@ -224,17 +321,6 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, row
     return out.unionByName(own.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def _more(docs: DataFrame, links: DataFrame, found: DataFrame, pairs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Links and components with those of further pairs; unchanged if there are none."""
-    if pairs.isEmpty():
-        return links, found
-    new = stored(verified(docs, pairs, least), "links")
-    if new.isEmpty():
-        return links, found
-    links = links.unionByName(new)
-    return links, stored(connected_components(links), "components")
-
-
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at a similarity of 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
