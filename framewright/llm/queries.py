@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import language, media, packing, token_files, toxicity, urls, warc
+from framewright.llm import language, media, minhash, packing, token_files, toxicity, urls, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
         "op2_token_files": token_files.op2_token_files,
+        "op3_near_duplicates": minhash.op3_near_duplicates,
         "op5_media": media.op5_media,
+        "op6_near_vectors": vectors.op6_near_vectors,
         "op7_language": language.op7_language,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": urls.op9_url_filter,
