@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
+_marked: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,6 +37,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return uri
 
 
+def lasting_folder(spark: SparkSession, name: str) -> str:
+    """URI of a folder below the shared one that stays until the session's process ends."""
+    uri = f"{shared_root(spark)}/framewright/{name}"
+    atexit.register(delete_folder, uri)
+    return uri
+
+
+@contextlib.contextmanager
+def marked():
+    """Folders made inside are those that ``release_marked`` deletes."""
+    at = len(_made)
+    try:
+        yield
+    finally:
+        _marked.extend(_made[at:])
+        del _made[at:]
+
+
+def release_marked() -> None:
+    """Delete the folders made inside ``marked``; their readers must be done."""
+    while _marked:
+        delete_folder(_marked.pop())
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, on any node."""
     if uri.startswith("file:"):
@@ -68,6 +94,7 @@ def release() -> None:
     """
     while _made:
         delete_folder(_made.pop())
+    release_marked()
 
 
 atexit.register(release)

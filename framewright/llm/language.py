@@ -196,13 +196,13 @@ def predictions(texts: pa.Array, parser: CrossParser) -> tuple[list, list, list]
     return names, scores, lengths
 
 
-def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred, score (margin of the best over the next) and phrase_length.
+def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "phrase_length")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the language, score (margin of the best over the next) and mean phrase length.
 
     Only ``text`` is looked at. A null text, or one without a letter, is ``und`` with score 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by languages times most_bytes
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], text_column().alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], text_column().alias("_text"))
     head = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
     def run(batches):
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str]) -> Dat
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{i}" for i in range(len(keep))), "lang_pred", "score", "phrase_length"])
 
     out = rows.mapInArrow(run, f"{head}, {PREDICTION}" if head else PREDICTION)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "phrase_length")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(a).alias(b) for a, b in zip(("lang_pred", "score", "phrase_length"), names, strict=True)])
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

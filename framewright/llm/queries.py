@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import language, media, minhash, packing, token_files, toxicity, urls, vectors, warc
+import corpus_pipeline
+from framewright.llm import language, media, minhash, packing, segments, token_files, toxicity, urls, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,14 +15,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1_warc,
         "op2_token_files": token_files.op2_token_files,
         "op3_near_duplicates": minhash.op3_near_duplicates,
+        "op4_sampled_pieces": segments.op4_sampled_pieces,
         "op5_media": media.op5_media,
         "op6_near_vectors": vectors.op6_near_vectors,
         "op7_language": language.op7_language,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": urls.op9_url_filter,
         "op10_packing": packing.op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

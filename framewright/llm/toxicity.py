@@ -294,10 +294,10 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int =
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and the toxicity score of ``text``; a null text is an empty one."""
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and the toxicity score of ``text`` as ``name``; a null text is an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], text_column().alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], text_column().alias("_text"))
     names = [*(f"c{i}" for i in range(len(keep))), "score"]
     schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "score double"])
 
@@ -307,7 +307,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for part in pieces(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scorer.scores(part.column("_text")))], names=names)
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return rows.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
