@@ -1,36 +1,6 @@
-"""Names of the engine's queries over the driver tables, with their SQL oracles."""
+"""All queries of the engine over the driver tables."""
 
-from __future__ import annotations
+from framewright.plans import count_queries, histogram_queries, model_queries, scalar_queries, stream_queries  # noqa: F401
+from framewright.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can express it, its oracle."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "transition_matrix_tau",
-    """WITH p AS (SELECT event_type AS src, lead(event_type, 5) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
-    c AS (SELECT src, dst, count(*) AS n FROM p WHERE dst IS NOT NULL GROUP BY src, dst)
-    SELECT src, dst, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (PARTITION BY src), 9) AS p FROM c""",
-)
-def transition_matrix_tau(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pairs = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("src"), F.lead("event_type", 5).over(order).alias("dst"))
-    n = pairs.where("dst is not null").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("src", "dst", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("src")), 9).alias("p"))
+__all__ = ["ORACLES", "QUERIES"]
