@@ -10,7 +10,10 @@ from framewright.functions.constants import TINY, kt
 from framewright.functions.linalg import blur
 from framewright.functions.scalars import free_energy, inside_bin, wrap_half_open
 
-WHOLE = Window.partitionBy()
+
+def whole() -> Window:
+    """All rows as one window: for tables of one row a bin only."""
+    return Window.partitionBy()
 
 
 def value_range(df: DataFrame, columns: list[str], quantiles: tuple[float, float] | None = None) -> dict[str, tuple[float, float]]:
@@ -28,14 +31,14 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, we
 
 def shifted(df: DataFrame, p: Column, temperature: float) -> DataFrame:
     """Add ``free_energy``: -kT ln p with its least at 0, null for empty cells."""
-    return df.withColumn("_f", free_energy(p, kt(temperature))).withColumn("free_energy", F.col("_f") - F.min("_f").over(WHOLE)).drop("_f")
+    return df.withColumn("_f", free_energy(p, kt(temperature))).withColumn("free_energy", F.col("_f") - F.min("_f").over(whole())).drop("_f")
 
 
 def pmf(df: DataFrame, column: str, low: float, high: float, bins: int = 100, temperature: float = 300.0, weight: str | None = None) -> DataFrame:
     """(bin, lo, hi, n, density, free_energy) of a column; bins without values are absent."""
     width = (high - low) / bins
     h = histogram(df, column, low, high, bins, weight)
-    out = h.select("bin", (low + F.col("bin") * width).alias("lo"), (low + (F.col("bin") + 1) * width).alias("hi"), "n", (F.col("n") / (F.sum("n").over(WHOLE) * width)).alias("density"))
+    out = h.select("bin", (low + F.col("bin") * width).alias("lo"), (low + (F.col("bin") + 1) * width).alias("hi"), "n", (F.col("n") / (F.sum("n").over(whole()) * width)).alias("density"))
     return shifted(out, F.col("density"), temperature)
 
 
@@ -47,7 +50,7 @@ def fes(df: DataFrame, x: str, y: str, ranges: dict[str, tuple[float, float]], b
     get = lambda c: wrap_half_open(F.col(c)) if periodic else F.col(c)
     own = df.select(inside_bin(get(x), *ranges[x], bins[0]).alias("bx"), inside_bin(get(y), *ranges[y], bins[1]).alias("by"), *([F.col(weight).alias("w")] if weight else []))
     cells = own.where("bx is not null and by is not null").groupBy("bx", "by").agg((F.sum("w") if weight else F.count(F.lit(1))).alias("n"))
-    cells = cells.withColumn("p", F.col("n") / F.sum("n").over(WHOLE))
+    cells = cells.withColumn("p", F.col("n") / F.sum("n").over(whole()))
     return shifted(cells, F.when(F.col("n") >= least, F.col("p")), temperature)
 
 
@@ -168,7 +171,7 @@ def sign_changes(frames: DataFrame, column: str) -> DataFrame:
 
 def kl_divergence(reference: DataFrame, estimate: DataFrame, key: str = "bin", pseudo: float = TINY) -> DataFrame:
     """KL(reference || estimate) of two (key, n) histograms, each with ``pseudo`` added to its share."""
-    share = lambda df, c: df.select(key, (F.col("n") / F.sum("n").over(WHOLE)).alias(c))
+    share = lambda df, c: df.select(key, (F.col("n") / F.sum("n").over(whole())).alias(c))
     both = share(reference, "p").join(share(estimate, "q"), key, "full_outer").select(*[(F.coalesce(c, F.lit(0.0)) + pseudo).alias(c) for c in "pq"])
-    whole = both.select(*[(F.col(c) / F.sum(c).over(WHOLE)).alias(c) for c in "pq"])
+    whole = both.select(*[(F.col(c) / F.sum(c).over(whole())).alias(c) for c in "pq"])
     return whole.agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl"))

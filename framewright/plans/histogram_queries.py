@@ -58,7 +58,7 @@ def fes_state_weighted(spark, d):
 
     f = S.event_frames(spark, d)
     h = H.histogram(f.join(F.broadcast(populations(f)), "state"), "x", 0.0, 500.0, 40, "pi")
-    return h.select("bin", rounded(F.col("n") / F.sum("n").over(H.WHOLE)).alias("p"))
+    return h.select("bin", rounded(F.col("n") / F.sum("n").over(H.whole())).alias("p"))
 
 
 @query("fes_minima", f"WITH g AS ({GRID}), c AS (SELECT bx, \"by\", count(*) AS n FROM g GROUP BY ALL), f AS (SELECT bx, \"by\", round(-ln(n), 9) AS v FROM c), a AS (SELECT f.bx, f.\"by\", f.v, count(*) AS k, min(o.v) AS low, max(o.v) AS top FROM f JOIN f o ON abs(f.bx - o.bx) <= 1 AND abs(f.\"by\" - o.\"by\") <= 1 GROUP BY 1, 2, 3) SELECT bx, \"by\", v AS free_energy FROM a WHERE k = 9 AND v = low AND top > v AND bx BETWEEN 1 AND 8 AND \"by\" BETWEEN 1 AND 8")

@@ -1,0 +1,191 @@
+"""Models, reductions, clustering and streams against analytic and plain results."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from framewright.functions import geometry as G
+from framewright.functions import linalg as L
+from framewright.functions import scalars as X
+from framewright.operators import clustering as K
+from framewright.operators import histograms as H
+from framewright.operators import msm as M
+from framewright.operators import reduction as R
+from framewright.operators import representatives as P
+from framewright.operators import tpt as T
+from framewright.streaming import detectors as D
+
+BANDED = np.array([[0.7, 0.3, 0, 0, 0], [0.2, 0.6, 0.2, 0, 0], [0, 0.2, 0.6, 0.2, 0], [0, 0, 0.2, 0.6, 0.2], [0, 0, 0, 0.3, 0.7]])
+
+
+def chain(spark, n=20_000, seed=0):
+    rng = np.random.default_rng(seed)
+    s = np.cumsum(rng.random(n) < 0.1) % 2
+    return spark.createDataFrame([(0, i, int(v)) for i, v in enumerate(s)], "traj_id long, frame long, state int")
+
+
+def test_two_state_timescale(spark):
+    rows = M.implied_timescales(spark, chain(spark), [1, 2], 1).collect()
+    for r in rows:
+        assert abs(r.timescale - -1 / math.log(0.8)) < 0.1 * -1 / math.log(0.8)
+
+
+def test_chapman_kolmogorov_of_a_markov_chain(spark):
+    assert all(r.mse < 1e-3 for r in M.ck_test(spark, chain(spark), 1).collect())
+
+
+def test_stationary_and_passage():
+    pi = L.stationary(BANDED)
+    L.check_transition_matrix(BANDED, pi)
+    t = L.mean_first_passage(BANDED, [4])
+    assert t[4] == 0 and np.allclose(t[:4], 1 + BANDED[:4] @ t)
+    assert np.isnan(L.mean_first_passage(np.eye(2), [1])[0])
+
+
+def test_paths_of_a_banded_chain():
+    t = T.analyse(BANDED, [0, 1], [3, 4])
+    assert np.allclose(t.forward, [0, 0, 0.5, 1, 1]) and np.allclose(t.backward, [1, 1, 0.5, 0, 0])
+    assert t.paths[0][0] == [1, 2, 3] and math.isclose(t.paths[0][1], t.total)
+    with pytest.raises(ValueError):
+        T.analyse(BANDED, [0], [0, 1])
+
+
+def test_macrostates_of_blocks():
+    p = np.full((6, 6), 0.01 / 3)
+    p[:3, :3] = p[3:, 3:] = 0.99 / 3
+    of = L.macrostates(p, 2)
+    assert len(set(of[:3])) == 1 and len(set(of[3:])) == 1 and of[0] != of[3]
+    assert L.macrostates(p, 6) is None
+
+
+def test_components_and_trigamma():
+    a = np.zeros((5, 5), bool)
+    a[0, 1] = a[1, 0] = a[1, 2] = a[3, 4] = True
+    assert L.strong_components(a) == [[0, 1], [2], [3], [4]]
+    assert L.weak_components(a) == [[0, 1, 2], [3, 4]]
+    assert np.allclose(L.trigamma(np.array([1.0, 0.5])), [math.pi**2 / 6, math.pi**2 / 2])
+
+
+def test_plateau_and_lag_choice():
+    assert M.plateau([1, 2, 3, 4, 5], [1, 5, 5.1, 5.2, 9], 2, 0.1) == (2, 4)
+    assert M.plateau([1, 2, 3], [1, float("nan"), 3], 2, 0.1) is None
+    assert M.lag_from_timescales([1, 2, 3, 4, 5, 6], [1, 2, 3, 3.1, 3.15, 3.2]) == 4
+    assert M.lag_from_timescales([], []) == 10
+
+
+def test_reductions_match_numpy(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3)) @ np.array([[3, 0, 0], [0, 1, 0], [1, 0, 0.2]])
+    df = spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(x)], "traj_id long, frame long, x0 double, x1 double, x2 double")
+    names = ["x0", "x1", "x2"]
+    got = R.pca(df, names, 2, scale=False)
+    want = np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1][:2]
+    assert np.allclose(got.values, want)
+    w = np.array([list(r)[5:] for r in R.whitened(df, names).apply(df, "w").collect()])
+    assert np.allclose(w.mean(0), 0, atol=1e-9) and np.allclose(np.cov(w.T, bias=True), np.eye(3), atol=1e-6)
+    assert R.tica(df, names, 1, 2).basis.shape == (3, 2) and R.vamp(df, names, 1, 2).basis.shape == (3, 2)
+    with pytest.raises(ValueError):
+        R.reduce_features(df, names, "other")
+
+
+def test_slow_component_is_found(spark):
+    rng = np.random.default_rng(2)
+    slow = [0.0]
+    for _ in range(1999):
+        slow.append(0.99 * slow[-1] + rng.normal())
+    fast = rng.normal(size=2000) * 30
+    df = spark.createDataFrame([(0, i, float(a + b), float(b)) for i, (a, b) in enumerate(zip(slow, fast, strict=True))], "traj_id long, frame long, x0 double, x1 double")
+    rows = R.tica(df, ["x0", "x1"], 5, 1).apply(df).orderBy("frame").select("ic0").collect()
+    assert abs(np.corrcoef([r.ic0 for r in rows], slow)[0, 1]) > 0.95
+
+
+def test_validation_order(spark):
+    df = spark.createDataFrame([(1.0, float("nan"), 2.0, None), (1.0, 1.0, 3.0, None)], "flat double, hole double, good double, none double")
+    got = {r.column: r.error for r in R.validated(df, df.columns).collect()}
+    assert got == {"flat": "cv_zero_std", "hole": "cv_non_finite", "good": None, "none": "cv_no_finite_rows"}
+
+
+def test_histogram_edges_and_minima(spark):
+    x = [0.0, 0.1, 0.999, 1.0, 1.5, -0.1]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    got = {r.bin: r.n for r in H.histogram(df, "x", 0.0, 1.0, 4).collect()}
+    want = np.histogram(x, 4, (0, 1))[0]
+    assert [got.get(i, 0) for i in range(4)] == want.tolist()
+    f = np.full((4, 4), 2.0)
+    f[1, 2] = 0.5
+    cells = spark.createDataFrame([(i, j, float(f[i, j])) for i in range(4) for j in range(4)], "bx int, by int, free_energy double")
+    assert [(r.bx, r.by) for r in H.local_minima(cells, (4, 4)).collect()] == [(1, 2)]
+    assert math.isclose(H.sparse_bin_repair(np.array([[0.0, 4], [4, 4]]), 1).sum(), 12)
+
+
+def test_clusters_and_representatives(spark):
+    pts = [(i, k, [10.0 * k + 0.01 * i, float(i % 3)]) for i in range(30) for k in (0, 1)]
+    df = spark.createDataFrame([(2 * i + k, k, x) for i, k, x in pts], "id long, label int, x array<double>")
+    out, centres, _ = K.k_means(df, "x", 2)
+    assert out.groupBy("label", "state").count().count() == 2 and len(centres) == 2
+    m = np.array([x for _, k, x in pts if k == 0])
+    gap = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2)).sum(1)
+    assert P.medoids(df, "x", "label", "id").where("label = 0").first().score == pytest.approx(gap.min())
+    far = P.farthest_points(df, "x", "label", "id", 3).where("label = 0").collect()
+    assert len(far) == 3 and len({r.id for r in far}) == 3
+    assert P.representatives(df, "x", "label", "id", 2).count() == 4
+    with pytest.raises(ValueError):
+        P.representatives(df, "x", "label", "id", 1, "other")
+
+
+def test_grid_states_number_by_first_seen(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 0.2), (2, 1.0), (3, 1.2)], "frame long, x0 double")
+    got, _ = K.grid_states(df, ["x0"], 4, "frame")
+    assert [r.state for r in got.orderBy("frame").collect()] == [0, 0, 1, 1]
+    other = spark.createDataFrame([(9, 0.7), (10, 0.0)], "frame long, x0 double")
+    late, _ = K.grid_states(df, ["x0"], 4, "frame", other)
+    assert {r.frame: r.state for r in late.collect()} == {9: 2, 10: 0}
+
+
+def test_geometry(spark):
+    df = spark.createDataFrame([(0, 0, [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (1.0, 1.0, 0.0), (1.0, 1.0, 1.0)])], "traj_id long, frame long, pos array<struct<x:double,y:double,z:double>>")
+    out, periodic = G.compute_features(df, ["distance([0,1])", "angle([0,1,2])", "dihedral([0,1,2,3])", "Rg"])
+    r = out.first()
+    assert (r.distance_0_1, r.angle_0_1_2) == (1.0, pytest.approx(math.pi / 2))
+    assert abs(r.dihedral_0_1_2_3) == pytest.approx(math.pi / 2) and periodic["dihedral_0_1_2_3"]
+    with pytest.raises(KeyError):
+        G.compute_features(df, ["nothing(1)"])
+    with pytest.raises(ValueError):
+        G.compute_features(df, ["angle([0,1])"])
+    far = spark.createDataFrame([(0.05, 0.95)], "a double, b double")
+    zero = F.lit(0.0)
+    assert far.select(G.distance((F.col("a"), zero, zero), (F.col("b"), zero, zero), (1.0, 1.0, 1.0)).alias("d")).first().d == pytest.approx(0.1)
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([(math.pi, " A--b C! ", "5, 3;x;3,-1", "KKDE")], "x double, s string, t string, q string")
+    r = df.select(X.wrap_half_open(F.col("x")).alias("a"), X.wrap_upper(F.col("x")).alias("b"), X.slugify(F.col("s")).alias("s"), X.parse_schedule(F.col("t")).alias("t"), X.isoelectric_point(F.col("q")).alias("p"), X.net_charge(F.col("q"), F.lit(14.0)).alias("c")).first()
+    assert r.a == pytest.approx(-math.pi) and r.b == pytest.approx(math.pi)
+    assert r.s == "a_b_c" and r.t == [3, 5] and 4 < r.p < 10 and r.c < 0
+    assert X.parse_taus("3,1;3") == [1, 3] and X.parse_taus("a,2", strict=False) == [2]
+    with pytest.raises(ValueError):
+        X.parse_taus("a,2")
+    assert X.lag_ladder(1, 10, 3)[0] == 1 and X.lag_ladder(1, 10, 3)[-1] == 10
+    assert X.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+
+
+def test_bootstrap_is_reproducible(spark):
+    rng = np.random.default_rng(3)
+    rows = [(t, i, int(s)) for t in range(6) for i, s in enumerate(rng.integers(0, 3, 60))]
+    df = spark.createDataFrame(rows, "traj_id long, frame long, state int")
+    a, b = (sorted(map(tuple, T.bootstrap_counts(df, 1, 5, 1).collect())) for _ in range(2))
+    assert a == b and len({r[0] for r in a}) > 3
+    ci = {r.quantity: r for r in T.bootstrap_paths(df, 1, [0, 1, 2], [0], [2], 10).collect()}
+    assert ci["rate"].lo <= ci["rate"].mean <= ci["rate"].hi
+
+
+def test_stream_equals_replay(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.random(80), 3 + rng.random(80)])
+    df = spark.createDataFrame([(7, i, float(v)) for i, v in enumerate(values)], "traj_id long, frame long, x double")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    got = D.run_to_memory(D.drift(D.read_stream(spark, df.schema, str(tmp_path / "in"))), "drift_test")
+    flags = [r.drift for r in got.orderBy("frame").collect()]
+    assert flags == D.replay_drift(values.tolist()) and any(flags[80:]) and not any(flags[:80])
