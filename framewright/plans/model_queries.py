@@ -269,3 +269,74 @@ def conformations(spark, d):
 def markov_matrix(spark, d):
     m = model(spark, d)
     return C.matrix_table(spark, m.p, [str(s) for s in m.states])
+
+
+@query("analysis_debug")
+def analysis_debug(spark, d):
+    """Counts, components, coverage and warnings in one row."""
+    from framewright.operators.workflow import diagnostics
+
+    return diagnostics(spark, S.event_frames(spark, d), 5)
+
+
+@query("discretized_dataset")
+def discretized_dataset(spark, d):
+    """Grid discretisation of two value columns with its count matrix."""
+    from framewright.operators.workflow import discretise
+
+    f = S.event_frames(spark, d).withColumn("split", F.when(F.col("traj_id") % 4 == 0, "val").otherwise("train")).withColumn("y", F.pmod("x", F.lit(50.0)))
+    return discretise(f.drop("state"), ["x", "y"], n_states=16, lag=2, mode="grid").matrix
+
+
+@query("complete_msm_analysis")
+def complete_msm_analysis(spark, d):
+    """TICA, k-means, lag choice and model over the vectors; the state table."""
+    from framewright.operators.workflow import complete_analysis
+
+    return complete_analysis(spark, vector_frames(spark, d, 4), [f"x{i}" for i in range(4)], n_states=5, lags=(1, 2))["states"]
+
+
+@query("hyperparameter_ensemble")
+def hyperparameter_ensemble(spark, d):
+    """Slowest timescale over lags and cluster numbers."""
+    from framewright.operators.workflow import ensemble
+
+    f = vectors(spark, d).select(F.col("label").alias("traj_id"), F.col("vec_id").alias("frame"), "x")
+    return ensemble(spark, f, [1, 2], [3, 4])
+
+
+@query("superposed_frames")
+def superposed_frames(spark, d):
+    """Frames rotated onto the first of their trajectory."""
+    from framewright.operators.workflow import superposed
+    from framewright.plans.scalar_queries import atom_frames
+
+    f = atom_frames(spark, d)
+    least = f.groupBy("traj_id").agg(F.min("frame").alias("_f"))
+    return superposed(f.join(least, "traj_id").withColumn("frame", F.col("frame") - F.col("_f")).drop("_f"))
+
+
+@query("universal_embedding")
+def universal_embedding(spark, d):
+    """Geometry features reduced to one component."""
+    from framewright.operators.workflow import universal_embedding as embed
+    from framewright.plans.scalar_queries import atom_frames
+
+    return embed(atom_frames(spark, d), align=False)
+
+
+@query("weighted_pair_sample")
+def weighted_pair_sample(spark, d):
+    """A thousand events drawn in proportion to their value, with replacement."""
+    from framewright.operators.workflow import weighted_sample
+
+    return weighted_sample(S.table(spark, d, "events"), "value", 1000, 7, ["event_id"])
+
+
+@query("isolated_states", f"WITH {EV}, f AS (SELECT traj_id, frame, CAST(floor(x / 25) AS BIGINT) AS s FROM ev), p AS (SELECT s AS src, lead(s) OVER (PARTITION BY traj_id ORDER BY frame) AS dst FROM f), c AS (SELECT DISTINCT src, dst FROM p WHERE dst IS NOT NULL) SELECT CAST(s AS BIGINT) AS state FROM (SELECT DISTINCT s FROM f) WHERE s NOT IN (SELECT src FROM c) OR s NOT IN (SELECT dst FROM c)")
+def isolated_states(spark, d):
+    """States that no transition enters or none leaves."""
+    f = S.event_frames(spark, d).withColumn("state", F.floor(F.col("x") / 25))
+    c = C.transition_counts(f, [1])
+    both = c.select(F.col("src").alias("state")).intersect(c.select(F.col("dst").alias("state")))
+    return f.select("state").distinct().exceptAll(both.distinct())
