@@ -147,7 +147,7 @@ def state_table(frames: DataFrame, temperature: float = 300.0) -> DataFrame:
     """State, count, population, free energy and the frame nearest the state's mean x (ties by trajectory and frame)."""
     own = frames.where("state is not null")
     mean = own.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"))
-    pick = own.join(F.broadcast(mean), "state").groupBy("state", "n").agg(F.min(F.struct(F.round(F.abs(F.col("x") - F.col("mean_x")), 9).alias("d"), "traj_id", "frame")).alias("r"))
+    pick = own.join(mean, "state").groupBy("state", "n").agg(F.min(F.struct(F.round(F.abs(F.col("x") - F.col("mean_x")), 9).alias("d"), "traj_id", "frame")).alias("r"))
     pi = pick.withColumn("pi", F.col("n") / F.sum("n").over(Window.partitionBy()))
     return state_free_energies(pi, temperature).select("state", "n", F.col("pi").alias("population"), "free_energy", F.col("r.traj_id").alias("rep_traj"), F.col("r.frame").alias("rep_frame"))
 

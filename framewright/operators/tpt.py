@@ -105,6 +105,22 @@ def detect_from_populations(pi: np.ndarray, top: int | None = None) -> tuple[lis
     return [int(order[0])], [int(order[-1])]
 
 
+def detect_from_surface(frames: DataFrame, cells: DataFrame, bins: tuple[int, int]) -> tuple[list, list]:
+    """Source and sink: the states of the frames in the two lowest minima of a surface.
+
+    ``frames(state, bx, by)`` carry the cells of their values, so basins become states of the model and not
+    grid indices. At least two minima that hold frames are needed.
+    """
+    from framewright.operators.histograms import local_minima
+
+    low = local_minima(cells, bins).orderBy("free_energy", "bx", "by").limit(2)
+    found = frames.where("state is not null").join(F.broadcast(low), ["bx", "by"]).groupBy("free_energy", "bx", "by").agg(F.sort_array(F.collect_set("state")).alias("s")).orderBy("free_energy", "bx", "by").collect()
+    if len(found) < 2:
+        raise ValueError("the surface has fewer than two minima with frames")
+    a, b = (list(r.s) for r in found)
+    return a, [s for s in b if s not in set(a)]
+
+
 def states_in_range(frames: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Distinct states of frames whose column lies in [low, high]."""
     return frames.where(F.col(column).between(low, high) & F.col("state").isNotNull()).select("state").distinct()

@@ -265,7 +265,7 @@ def split_union(spark, d):
 @query("frame_weights", f"WITH {EV}, {PI} SELECT traj_id, CAST(frame AS BIGINT) AS frame, round(pi, 9) AS weight FROM ev JOIN v USING (state)")
 def frame_weights(spark, d):
     f = events(spark, d)
-    return f.join(F.broadcast(populations(f)), "state").select("traj_id", "frame", rounded(F.col("pi")).alias("weight"))
+    return f.join(populations(f), "state").select("traj_id", "frame", rounded(F.col("pi")).alias("weight"))
 
 
 @query("label_contingency", "SELECT CAST(quality AS INT) AS quality, CAST(toxic AS INT) AS toxic, CAST(count(*) AS BIGINT) AS n FROM labels GROUP BY ALL")

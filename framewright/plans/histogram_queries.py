@@ -57,7 +57,7 @@ def fes_state_weighted(spark, d):
     from framewright.plans.count_queries import populations
 
     f = S.event_frames(spark, d)
-    h = H.histogram(f.join(F.broadcast(populations(f)), "state"), "x", 0.0, 500.0, 40, "pi")
+    h = H.histogram(f.join(populations(f), "state"), "x", 0.0, 500.0, 40, "pi")
     return h.select("bin", rounded(F.col("n") / F.sum("n").over(H.whole())).alias("p"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -132,3 +133,26 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps the last ``most`` progress events of all queries as plain dictionaries."""
+
+    def __init__(self, most: int = 1000):
+        self.most, self.events = most, []
+
+    def onQueryStarted(self, event) -> None:
+        self._add({"kind": "started", "id": str(event.id), "name": event.name})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._add({"kind": "progress", "id": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "rows_per_s": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._add({"kind": "terminated", "id": str(event.id), "error": event.exception})
+
+    def _add(self, event: dict) -> None:
+        self.events = [*self.events, event][-self.most :]

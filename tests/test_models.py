@@ -181,11 +181,38 @@ def test_bootstrap_is_reproducible(spark):
     assert ci["rate"].lo <= ci["rate"].mean <= ci["rate"].hi
 
 
+def test_states_from_a_surface(spark):
+    f = np.full((6, 6), 3.0)
+    f[1, 1], f[4, 4] = 0.0, 1.0
+    cells = spark.createDataFrame([(i, j, float(f[i, j])) for i in range(6) for j in range(6)], "bx int, by int, free_energy double")
+    rows = spark.createDataFrame([(7, 1, 1), (2, 1, 1), (5, 4, 4), (2, 4, 4), (9, 0, 0), (None, 4, 4)], "state int, bx int, by int")
+    assert T.detect_from_surface(rows, cells, (6, 6)) == ([2, 7], [5])
+    with pytest.raises(ValueError):
+        T.detect_from_surface(rows.where("bx = 1"), cells, (6, 6))
+
+
 def test_stream_equals_replay(spark, tmp_path):
     rng = np.random.default_rng(4)
     values = np.concatenate([rng.random(80), 3 + rng.random(80)])
     df = spark.createDataFrame([(7, i, float(v)) for i, v in enumerate(values)], "traj_id long, frame long, x double")
     df.repartition(1).write.parquet(str(tmp_path / "in"))
+    log = D.ProgressLog()
+    spark.streams.addListener(log)
     got = D.run_to_memory(D.drift(D.read_stream(spark, df.schema, str(tmp_path / "in"))), "drift_test")
     flags = [r.drift for r in got.orderBy("frame").collect()]
     assert flags == D.replay_drift(values.tolist()) and any(flags[80:]) and not any(flags[:80])
+    spark.streams.removeListener(log)
+    assert len(log.events) <= log.most
+
+
+def test_other_stream_operators(spark, tmp_path):
+    df = spark.createDataFrame([(t, i, float(i % 5)) for t in (1, 2) for i in range(40)], "traj_id long, frame long, x double")
+    df.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = lambda: D.read_stream(spark, df.schema, str(tmp_path / "in"), 100)
+    hits = D.run_to_memory(D.triggers(stream(), "fixed", 10), "trigger_test").collect()
+    assert sorted((r.traj_id, r.frame) for r in hits) == [(t, f) for t in (1, 2) for f in (9, 19, 29, 39)]
+    bias = {(r.traj_id, r.frame): r.bias for r in D.run_to_memory(D.bias_ledger(stream(), 10), "bias_test").collect()}
+    assert bias[1, 0] == 0 and bias[2, 20] == pytest.approx(2.0) and bias[1, 21] == pytest.approx(3 * math.exp(-0.5))
+    assert D.should_retrain("threshold", 5, 0, 0.1, 0.5, False) and D.should_retrain("adwin", 5, 0, 0, 0, True)
+    with pytest.raises(ValueError):
+        D.should_retrain("other", 0, 0, 0, 0, False)
