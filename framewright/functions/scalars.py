@@ -73,11 +73,11 @@ def reweighting(bias: Column, kt: float, over) -> Column:
     return F.exp((bias - F.max(bias).over(over)) / kt)
 
 
-#: pK of the termini and charged residues, and the hydrophobic residues.
+#: pK of the charged residues and the termini, hydrophobic and aromatic residues.
 PK_POSITIVE = {"K": 10.5, "R": 12.5, "H": 6.0}
-PK_NEGATIVE = {"D": 3.9, "E": 4.3, "C": 8.3, "Y": 10.1}
-PK_N_TERMINUS, PK_C_TERMINUS = 9.0, 2.0
-HYDROPHOBIC = "AVILMFWP"
+PK_NEGATIVE = {"C": 8.3, "D": 3.9, "E": 4.1, "Y": 10.1}
+PK_N_TERMINUS, PK_C_TERMINUS = 9.69, 2.34
+HYDROPHOBIC, AROMATIC = "AVILMFYWPG", "FYW"
 
 
 def letter_count(sequence: Column, letter: str) -> Column:
@@ -100,6 +100,10 @@ def hydrophobic_fraction(sequence: Column) -> Column:
     return kept / F.nullif(F.length(sequence), F.lit(0))
 
 
+def aromatic_count(sequence: Column) -> Column:
+    return F.length(F.regexp_replace(sequence, f"[^{AROMATIC}]", ""))
+
+
 def isoelectric_point(sequence: Column, rounds: int = 60) -> Column:
     """pH of charge zero in [0, 14], by a fixed number of bisections."""
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"))
@@ -113,19 +117,21 @@ def isoelectric_point(sequence: Column, rounds: int = 60) -> Column:
 
 
 #: Lags of the ladder.
-LADDER = [1, 2, 3, 5, 8, 10, 15, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500, 2000]
+LADDER = [1, 2, 3, 5, 8, 10, 15, 20, 30, 40, 50, 75, 80, 100, 150, 160, 200, 300, 320, 500, 640, 750, 1000, 1280, 1500, 2000]
 
 
 def lag_ladder(least: int = 1, most: int = 200, n: int | None = None) -> list[int]:
-    """Ladder lags in [least, most], thinned to ``n`` with both ends kept; the bounds if there are none."""
-    if least < 1 or most < least:
-        raise ValueError("need 1 <= least <= most")
-    own = [x for x in LADDER if least <= x <= most] or sorted({least, most})
+    """Ladder lags in [least, most], thinned evenly to ``n`` with both ends kept; none in range raises."""
+    if least < 1 or most < least or (n is not None and n < 1):
+        raise ValueError("need 1 <= least <= most and a positive number")
+    own = [x for x in LADDER if least <= x <= most]
+    if not own:
+        raise ValueError(f"the ladder has no lag from {least} to {most}")
     if n is None or n >= len(own):
         return own
-    if n < 2:
+    if n == 1:
         return own[:1]
-    return sorted({own[round(i * (len(own) - 1) / (n - 1))] for i in range(n)})
+    return [own[k] for k in sorted({0, len(own) - 1, *(round(i * (len(own) - 1) / (n - 1)) for i in range(n))})]
 
 
 def geometric_taus(length: int, n: int = 10, least: int = 1, share: float = 1 / 3) -> list[int]:

@@ -89,10 +89,10 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("q"))
 
 
-@query("sequence_metrics", f"WITH {SEQ} SELECT doc_id, CAST(length(q) AS BIGINT) AS n, CAST({_n('K')} AS BIGINT) AS n_k, round({_PLUS} - ({_MINUS}), 6) + 0.0 AS charge, round(length(regexp_replace(q, '[^{X.HYDROPHOBIC}]', '', 'g')) / nullif(length(q), 0), 9) AS hydrophobic FROM s")
+@query("sequence_metrics", f"WITH {SEQ} SELECT doc_id, CAST(length(q) AS BIGINT) AS n, CAST({_n('K')} AS BIGINT) AS n_k, round({_PLUS} - ({_MINUS}), 6) + 0.0 AS charge, round(length(regexp_replace(q, '[^{X.HYDROPHOBIC}]', '', 'g')) / nullif(length(q), 0), 9) AS hydrophobic, CAST(length(regexp_replace(q, '[^{X.AROMATIC}]', '', 'g')) AS BIGINT) AS aromatic FROM s")
 def sequence_metrics(spark, d):
     q = F.col("q")
-    return sequences(spark, d).select("doc_id", F.length(q).cast("long").alias("n"), X.letter_count(q, "K").cast("long").alias("n_k"), X.rounded(X.net_charge(q, F.lit(7.0)), 6).alias("charge"), X.rounded(X.hydrophobic_fraction(q)).alias("hydrophobic"))
+    return sequences(spark, d).select("doc_id", F.length(q).cast("long").alias("n"), X.letter_count(q, "K").cast("long").alias("n_k"), X.rounded(X.net_charge(q, F.lit(7.0)), 6).alias("charge"), X.rounded(X.hydrophobic_fraction(q)).alias("hydrophobic"), X.aromatic_count(q).cast("long").alias("aromatic"))
 
 
 @query("isoelectric_points")
