@@ -24,6 +24,14 @@ UNIT = re.compile(rb" +[^ ]*|[^ ]+")
 MARK = "▁"
 
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they first come."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = len(self)
+        return self[key]
+
+
 class Lattice:
     """Vocabulary of a SentencePiece model with byte pieces, and sampling over it.
 
@@ -56,9 +64,8 @@ class Lattice:
         self.byte_weight = float(-theta * np.log(2 + 2 * len(self.surface)))
         prefixes = sorted({own[:k] for own, _, _ in normal for k in range(1, len(own) + 1)})
         key = self._hash_of(prefixes)
-        self.prefix = Table(key, np.ones(len(key)), 0.0)
-        own = self._hash_of([x[0] for x in normal])
-        self.piece = Table(own, np.array([x[1] for x in normal], "f8"), -1.0)
+        whole = {own: i for own, i, _ in normal}
+        self.prefix = Table(key, np.array([whole.get(p, -1) for p in prefixes], "f8"), -1.0)
         self.weight = np.zeros(len(self.surface))
         self.weight[[x[1] for x in normal]] = [x[2] for x in normal]
 
@@ -90,11 +97,12 @@ class Lattice:
             if not len(at):
                 break
             key = mixed((running[at + k] - running[at]) * inverse[at] ^ np.uint64(k << 56))
-            piece, found = self.piece(key)
+            piece, alive = self.prefix(key)
+            found = piece >= 0
             starts.append(at[found])
             ends.append(at[found] + k)
             ids.append(piece[found].astype("i4"))
-            at = at[self.prefix(key)[1]]
+            at = at[alive]
         start, end, piece = (np.concatenate(x) for x in (starts, ends, ids))
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         width = np.diff(np.append(lead, len(raw)))
@@ -108,8 +116,8 @@ class Lattice:
         start, end, piece = np.concatenate([start, plain]), np.concatenate([end, plain + 1]), np.concatenate([piece, self.byte_id[raw[plain]]])
         return end, start, piece, weight, bound
 
-    def filtered(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Forward pass over distinct units: start and piece of each edge, by end, a global cumulative share, bounds."""
+    def filtered(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward pass over distinct units: start, piece and cumulative share of each edge, by end; each end's first edge; bounds."""
         end, start, piece, weight, bound = self.edges(units)
         unit_start = np.repeat(bound[:-1], np.diff(bound))
         offset = end - unit_start[end - 1]
@@ -133,37 +141,41 @@ class Lattice:
             run = np.cumsum(p)
             share[a:b] = (run - (run[first] - p[first])[each]) / whole[each]
         order = np.argsort(end, kind="stable")
-        # The share of a position's edges up to this one, behind the position itself: one sorted array.
-        cumulative = end[order] + np.minimum(share[order], 1.0)
-        last = np.flatnonzero(np.append(np.diff(end[order]) != 0, True))
-        cumulative[last] = end[order][last] + 1.0
-        return start[order], piece[order], cumulative, bound
+        share, end = share[order], end[order]
+        share[np.append(np.diff(end) != 0, True)] = 1.0
+        return start[order], piece[order], share, np.searchsorted(end, np.arange(bound[-1] + 1)), bound
+
+    def _cut(self, unit: bytes) -> list[bytes]:
+        """Parts of a long unit, cut before a character."""
+        parts = []
+        while len(unit) > self.longest:
+            cut = self.longest
+            while unit[cut] & 0xC0 == 0x80:
+                cut -= 1
+            parts.append(unit[:cut])
+            unit = unit[cut:]
+        return [*parts, unit]
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text, drawn with the seed of its row; an empty text has none."""
-        index: dict[bytes, int] = {}
-        unit, owner, place = [], [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            at = 0
-            for u in UNIT.findall(b" " + text.encode()):
-                while len(u) > self.longest:
-                    cut = self.longest
-                    while u[cut] & 0xC0 == 0x80:
-                        cut -= 1
-                    unit.append(index.setdefault(u[:cut], len(index)))
-                    owner.append(i)
-                    place.append(at)
-                    at, u = at + cut, u[cut:]
-                unit.append(index.setdefault(u, len(index)))
-                owner.append(i)
-                place.append(at)
-                at += len(u)
+        index = _Numbers()
+        unit, size, number = [], [], []
+        for text in texts:
+            own = UNIT.findall(b" " + text.encode()) if text else []
+            if own and len(max(own, key=len)) > self.longest:
+                own = [part for u in own for part in self._cut(u)]
+            unit += map(index.__getitem__, own)
+            size += map(len, own)
+            number.append(len(own))
         if not unit:
             return [np.zeros(0, "i4") for _ in texts]
-        start, piece, cumulative, bound = self.filtered(list(index))
-        unit, owner, place = np.array(unit), np.array(owner), np.array(place, "i8")
+        owner = np.repeat(np.arange(len(texts)), number)
+        size = np.array(size, "i8")
+        place = np.cumsum(size) - size
+        text_end = np.cumsum(number)
+        place -= np.append(place, 0)[text_end - number][owner]
+        start, piece, share, edge_of, bound = self.filtered(list(index))
+        unit = np.array(unit)
         first, here = bound[unit], bound[unit + 1].copy()
         live = np.arange(len(unit))
         seen, chosen = [], []
@@ -171,7 +183,11 @@ class Lattice:
             position = (place[live] + here[live] - first[live]).astype("u8")
             draw = mixed(seeds[owner[live]] + mixed(position + np.uint64(1)))
             u = (draw >> np.uint64(11)).astype("f8") * 2.0**-53
-            edge = np.searchsorted(cumulative, here[live] + u, side="right")
+            edge = edge_of[here[live]]
+            rest = np.flatnonzero(share[edge] <= u)
+            while len(rest):
+                edge[rest] += 1
+                rest = rest[share[edge[rest]] <= u[rest]]
             seen.append(live)
             chosen.append(edge)
             here[live] = start[edge]
@@ -210,7 +226,7 @@ def sampled(docs: DataFrame, path: str, seed: int = 0, theta: float = 1.0) -> Da
     def run(batches):
         lattice = lattice_of(path, theta)
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text", 2 << 20):
                 keys = part.column("doc_id").to_pylist()
                 ids = lattice.sample(part.column("text").to_pylist(), row_seeds(keys, seed))
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
@@ -243,7 +259,7 @@ def op4_sampled_pieces(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataF
     def run(batches):
         lattice = lattice_of(path, 1.0)
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text", 2 << 20):
                 keys, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
                 rows = []
                 for key, text, ids in zip(keys, texts, lattice.sample(texts, row_seeds(keys, seed)), strict=True):

@@ -25,7 +25,7 @@ def value_range(df: DataFrame, columns: list[str], quantiles: tuple[float, float
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, weight: str | None = None) -> DataFrame:
     """(bin, n) of values inside [low, high]; weights are summed."""
-    own = df.select(inside_bin(F.col(column), low, high, bins).alias("bin"), *([F.col(weight).alias("w")] if weight else [])).where("bin is not null")
+    own = df.where(F.col(column).between(low, high)).select(inside_bin(F.col(column), low, high, bins).alias("bin"), *([F.col(weight).alias("w")] if weight else []))
     return own.groupBy("bin").agg((F.sum("w") if weight else F.count(F.lit(1))).alias("n"))
 
 
@@ -45,8 +45,10 @@ def pmf(df: DataFrame, column: str, low: float, high: float, bins: int = 100, te
 def fes(df: DataFrame, x: str, y: str, ranges: dict[str, tuple[float, float]], bins: tuple[int, int], temperature: float = 300.0, weight: str | None = None, least: float = 0, periodic: bool = False) -> DataFrame:
     """(bx, by, n, p, free_energy) over a grid; cells under ``least`` are masked (null).
 
-    Periodic columns are wrapped into [-pi, pi) first.
+    Periodic columns are wrapped into [-pi, pi) first; otherwise the ranges are pushed to the scan.
     """
+    if not periodic:
+        df = df.where(F.col(x).between(*ranges[x]) & F.col(y).between(*ranges[y]))
     get = lambda c: wrap_half_open(F.col(c)) if periodic else F.col(c)
     own = df.select(inside_bin(get(x), *ranges[x], bins[0]).alias("bx"), inside_bin(get(y), *ranges[y], bins[1]).alias("by"), *([F.col(weight).alias("w")] if weight else []))
     cells = own.where("bx is not null and by is not null").groupBy("bx", "by").agg((F.sum("w") if weight else F.count(F.lit(1))).alias("n"))
