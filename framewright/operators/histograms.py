@@ -175,5 +175,5 @@ def kl_divergence(reference: DataFrame, estimate: DataFrame, key: str = "bin", p
     """KL(reference || estimate) of two (key, n) histograms, each with ``pseudo`` added to its share."""
     share = lambda df, c: df.select(key, (F.col("n") / F.sum("n").over(whole())).alias(c))
     both = share(reference, "p").join(share(estimate, "q"), key, "full_outer").select(*[(F.coalesce(c, F.lit(0.0)) + pseudo).alias(c) for c in "pq"])
-    whole = both.select(*[(F.col(c) / F.sum(c).over(whole())).alias(c) for c in "pq"])
-    return whole.agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl"))
+    shares = both.select(*[(F.col(c) / F.sum(c).over(whole())).alias(c) for c in "pq"])
+    return shares.agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl"))
