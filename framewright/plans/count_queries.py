@@ -255,9 +255,9 @@ def active_frames_compacted(spark, d):
     return P.compacted(with_holes(spark, d), F.col("state").isNotNull()).select("traj_id", "frame", "state")
 
 
-@query("split_union", "SELECT 'train' AS split, CAST(doc_id AS BIGINT) AS id, CAST(NULL AS INT) AS label FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'val', CAST(vec_id AS BIGINT), CAST(label AS INT) FROM embeddings")
+@query("split_union", "SELECT 'train' AS split, CAST(doc_id AS BIGINT) AS id, CAST(NULL AS INT) AS label FROM documents UNION ALL SELECT 'val', CAST(vec_id AS BIGINT), CAST(label AS INT) FROM embeddings")
 def split_union(spark, d):
-    a = S.table(spark, d, "documents").where("doc_id % 2 = 0").select(F.lit("train").alias("split"), F.col("doc_id").alias("id"))
+    a = S.table(spark, d, "documents").select(F.lit("train").alias("split"), F.col("doc_id").alias("id"))
     b = S.table(spark, d, "embeddings").select(F.lit("val").alias("split"), F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"))
     return S.union_aligned([a, b])
 

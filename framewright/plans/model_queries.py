@@ -16,11 +16,11 @@ from framewright.operators import tpt as T
 from framewright.plans.registry import EV, query
 from framewright.sources import frames as S
 
-#: Three constant centres over the first four dimensions.
-CENTRES = [[0.1, 0.1, 0.1, 0.1], [-0.1, -0.1, 0.1, 0.1], [0.1, -0.1, -0.1, -0.1]]
+#: Three constant centres over all dimensions: corners of a small cube.
+CENTRES = [[0.1 if (k >> j) % 2 == 0 else -0.1 for k in range(64)] for j in range(3)]
 
 
-def vectors(spark: SparkSession, d: str, width: int = 4) -> DataFrame:
+def vectors(spark: SparkSession, d: str, width: int = 64) -> DataFrame:
     e = S.table(spark, d, "embeddings")
     return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, width), lambda v: v.cast("double")).alias("x"))
 
@@ -33,7 +33,7 @@ def model(spark: SparkSession, d: str, tau: int = 5) -> M.MarkovModel:
     return M.markov_model(S.event_frames(spark, d), tau)
 
 
-DIST = [" + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - ({v})) * (CAST(embedding[{i + 1}] AS DOUBLE) - ({v}))" for i, v in enumerate(c)) for c in CENTRES]
+DIST = [f"list_sum(list_transform(range(0, 64), lambda i: (CAST(embedding[i + 1] AS DOUBLE) - CASE WHEN (i >> {j}) % 2 = 0 THEN 0.1 ELSE -0.1 END) ** 2))" for j in range(3)]
 ASSIGN = f"a AS (SELECT vec_id, label, embedding, {DIST[0]} AS d0, {DIST[1]} AS d1, {DIST[2]} AS d2 FROM embeddings), s AS (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS state FROM a)"
 
 
@@ -42,7 +42,7 @@ def assign_nearest_center(spark, d):
     return K.nearest_centre(vectors(spark, d), "x", CENTRES).select("vec_id", "state", rounded(F.col("distance")).alias("distance"))
 
 
-@query("lloyd_step", f"WITH {ASSIGN} SELECT CAST(state AS INT) AS state, CAST(k AS INT) AS k, round(avg(CAST(embedding[k + 1] AS DOUBLE)), 9) + 0.0 AS value, CAST(count(*) AS BIGINT) AS n FROM s, (SELECT unnest(range(0, 4)) AS k) GROUP BY ALL")
+@query("lloyd_step", f"WITH {ASSIGN} SELECT CAST(state AS INT) AS state, CAST(k AS INT) AS k, round(avg(CAST(embedding[k + 1] AS DOUBLE)), 9) + 0.0 AS value, CAST(count(*) AS BIGINT) AS n FROM s, (SELECT unnest(range(0, 64)) AS k) GROUP BY ALL")
 def lloyd_step(spark, d):
     return K.lloyd_step(vectors(spark, d), "x", CENTRES).withColumn("value", rounded(F.col("value")))
 
@@ -50,7 +50,7 @@ def lloyd_step(spark, d):
 @query("k_means_states")
 def k_means_states(spark, d):
     """MLlib k-means over all vectors: size of each state."""
-    out, _, _ = K.k_means(vectors(spark, d, 16), "x", 5)
+    out, _, _ = K.k_means(vectors(spark, d), "x", 5)
     return out.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -60,14 +60,14 @@ def grid_discretize(spark, d):
     return K.grid_states(flat, ["x0", "x1"], 16, "vec_id")[0].select("vec_id", "state")
 
 
-@query("representatives_centroid", "WITH l AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, (SELECT unnest([1, 2, 3, 4]) AS i) GROUP BY ALL), g AS (SELECT e.vec_id, e.label, round(sqrt(sum((CAST(e.embedding[l.i] AS DOUBLE) - m) ** 2)), 9) AS distance FROM embeddings e JOIN l ON l.label = e.label GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS k FROM g) SELECT label, CAST(k AS INT) AS rank, vec_id, distance FROM r WHERE k <= 3")
+@query("representatives_centroid", "WITH l AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), g AS (SELECT e.vec_id, e.label, round(sqrt(sum((CAST(e.embedding[l.i] AS DOUBLE) - m) ** 2)), 9) AS distance FROM embeddings e JOIN l ON l.label = e.label GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS k FROM g) SELECT label, CAST(k AS INT) AS rank, vec_id, distance FROM r WHERE k <= 3")
 def representatives_centroid(spark, d):
     return P.closest_to_centroid(vectors(spark, d), "x", "label", "vec_id", 3).select("label", "rank", "vec_id", "distance")
 
 
-@query("true_medoid", "WITH p AS (SELECT a.label, a.vec_id, round(sum(sqrt((CAST(a.embedding[1] AS DOUBLE) - b.embedding[1]) ** 2 + (CAST(a.embedding[2] AS DOUBLE) - b.embedding[2]) ** 2)), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score, vec_id) AS k FROM p) SELECT label, vec_id, score FROM r WHERE k = 1")
+@query("true_medoid", "WITH p AS (SELECT a.label, a.vec_id, round(sum(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score, vec_id) AS k FROM p) SELECT label, vec_id, score FROM r WHERE k = 1")
 def true_medoid(spark, d):
-    return P.medoids(vectors(spark, d, 2), "x", "label", "vec_id").select("label", "vec_id", F.round("score", 6).alias("score"))
+    return P.medoids(vectors(spark, d), "x", "label", "vec_id").select("label", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("diverse_representatives")
@@ -117,7 +117,7 @@ def vamp2_score(spark, d):
 
 @query("whiten")
 def whiten(spark, d):
-    f = R.unpacked(vectors(spark, d), "x", 4)
+    f = R.unpacked(vectors(spark, d, 4), "x", 4)
     return R.whitened(f, [f"x{i}" for i in range(4)]).apply(f, "w").select("vec_id", *[f"w{i}" for i in range(4)])
 
 

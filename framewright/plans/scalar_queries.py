@@ -123,12 +123,13 @@ def timestamp_text(spark, d):
     return S.table(spark, d, "events").select("event_id", F.date_format("ts", "yyyyMMdd-HHmmss").alias("stamp"))
 
 
-@query("gaussian_bias", "WITH e AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f FROM events) SELECT a.user_id AS traj_id, CAST(a.f AS BIGINT) AS frame, round(sum(CASE WHEN b.f IS NOT NULL THEN exp(-((a.x - b.x) ** 2) / 200) ELSE 0 END), 7) AS bias FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.f < a.f AND b.f % 10 = 0 WHERE a.f < 60 GROUP BY 1, 2")
+@query("gaussian_bias", "WITH e AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f FROM events) SELECT a.user_id AS traj_id, CAST(a.f AS BIGINT) AS frame, round(sum(CASE WHEN b.f IS NOT NULL THEN exp(-((a.x - b.x) ** 2) / 200) ELSE 0 END), 7) AS bias FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.f < a.f AND b.f % 10 = 0 GROUP BY 1, 2")
 def gaussian_bias(spark, d):
-    f = S.event_frames(spark, d).where("frame < 60").select("traj_id", "frame", "x")
-    hills = f.where("frame % 10 = 0").groupBy("traj_id").agg(F.collect_list(F.struct("frame", "x")).alias("h"))  # at most six a trajectory
-    total = F.aggregate("h", F.lit(0.0), lambda s, h: s + F.when(h["frame"] < F.col("frame"), F.exp(-F.pow(F.col("x") - h["x"], F.lit(2.0)) / 200)).otherwise(0.0))
-    return f.join(hills, "traj_id").select("traj_id", "frame", X.rounded(total, 7).alias("bias"))
+    f = S.event_frames(spark, d).select("traj_id", "frame", "x")
+    hills = f.where("frame % 10 = 0").select(F.col("traj_id").alias("ht"), F.col("frame").alias("h"), F.col("x").alias("hx"))
+    pairs = f.join(hills, (F.col("traj_id") == F.col("ht")) & (F.col("h") < F.col("frame")), "left").select("traj_id", "frame", "x", "hx")
+    kernel = F.coalesce(F.exp(-F.pow(F.col("x") - F.col("hx"), F.lit(2.0)) / 200), F.lit(0.0))
+    return pairs.groupBy("traj_id", "frame").agg(X.rounded(F.sum(kernel), 7).alias("bias"))
 
 
 @query("kt_constant", f"SELECT round(CAST(0.00831446261815324 * 300 AS DOUBLE), 12) AS kt, round(pi(), 12) AS pi")
