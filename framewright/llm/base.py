@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -116,7 +118,43 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+_held: dict[tuple, object] = {}
+
+
+def held(kind: str, key, make):
+    """The worker's one large object: a tokenizer, automata or a lattice; another one replaces it."""
+    if (kind, key) not in _held:
+        forget()
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
+def forget() -> None:
+    """Drop the worker's large object and give freed memory back to the system."""
+    _held.clear()
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run, light: bool = False):
+    """``run`` over a task's batches, with its memory given back at the end; a ``light`` one also drops the large object first."""
+
+    def whole(batches):
+        if light:
+            forget()
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that each part holds about ``most_bytes`` of ``column`` and a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0

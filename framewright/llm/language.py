@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.base import pieces, text_column
+from framewright.llm.base import held, pieces, text_column, tidy
 from framewright.llm.words import lowered
 
 ASCII_LETTER, LETTER = re.compile("[A-Za-z]"), regex.compile(r"\p{L}")
@@ -133,26 +133,25 @@ class CrossParser:
         return total, np.array(sizes)
 
 
-_parsers: dict[tuple, CrossParser] = {}
-
-
 def parser_of(samples: dict[str, bytes]) -> CrossParser:
-    key = tuple(sorted(samples.items()))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return held("parser", tuple(sorted(samples.items())), lambda: CrossParser(samples))
 
 
-def labelled_samples(docs: DataFrame, per_language: int = 64, shortest: int = 200, longest: int = 8192, most_bytes: int = 40_000) -> dict[str, bytes]:
+def labelled_samples(docs: DataFrame, per_language: int = 64, shortest: int = 200, longest: int = 8192, most_bytes: int = 40_000, all_bytes: int = 400_000, most_languages: int = 200) -> dict[str, bytes]:
     """Text of each language to learn from: at most ``most_bytes`` of at most ``per_language`` texts.
 
+    All languages together take at most ``all_bytes``, equal shares; beyond the ``most_languages`` most frequent
+    ones a language is not learnt.
+
     ``docs(text, lang)`` are the rows that may be learnt from. Of the distinct texts between ``shortest``
     and ``longest`` characters those with the least hashes are taken; a language that has none such is
     learnt from texts of any length up to ``longest``. Null languages and empty texts teach nothing.
     """
     rows = docs.where("lang is not null and text is not null").where(F.length("text").between(1, longest))
     rows = rows.select("lang", "text", (F.length("text") < shortest).alias("short"), F.xxhash64("text").alias("h"))
+    learnt = [r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
+    most_bytes = min(most_bytes, all_bytes // max(1, len(learnt)))
+    rows = rows.where(F.col("lang").isin(learnt))
     keys = rows.groupBy("lang", "short", "h").agg(F.lit(1).alias("one")).drop("one")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("short", "h"))
     chosen = keys.withColumn("_n", rank).where(F.col("_n") <= per_language).drop("_n")  # a bounded number a language
@@ -213,7 +212,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], names:
                 columns = [part.column(i) for i in range(len(keep))] + [pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), pa.array(made[2], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{i}" for i in range(len(keep))), "lang_pred", "score", "phrase_length"])
 
-    out = rows.mapInArrow(run, f"{head}, {PREDICTION}" if head else PREDICTION)
+    out = rows.mapInArrow(tidy(run), f"{head}, {PREDICTION}" if head else PREDICTION)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(a).alias(b) for a, b in zip(("lang_pred", "score", "phrase_length"), names, strict=True)])
 
 

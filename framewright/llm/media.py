@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.base import filesystem, new_folder, pieces, spread_join, stored, text_column
+from framewright.llm.base import filesystem, new_folder, pieces, spread_join, stored, text_column, tidy
 
 WIDTH = 192
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
@@ -109,7 +109,7 @@ def interleaved(pages: DataFrame, key: str, html: str) -> DataFrame:
             for part in pieces(batch, "_html"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse_interleaved(x) for x in part.column(1).to_pylist()], pa.list_(item))], names=[key, "items"])
 
-    return pages.select(F.col(key), F.col(html).alias("_html")).mapInArrow(run, f"`{key}` {kind}, items array<{ITEM}>")
+    return pages.select(F.col(key), F.col(html).alias("_html")).mapInArrow(tidy(run, True), f"`{key}` {kind}, items array<{ITEM}>")
 
 
 def resolve(sequences: DataFrame, media: DataFrame, key: str) -> DataFrame:
@@ -195,7 +195,7 @@ def store_documents(docs: DataFrame, folder: str, roll_bytes: int = 16 << 20, re
             out.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, file string, offset long, length long"), "media-list")
+    return stored(rows.mapInArrow(tidy(run, True), "doc_id long, n_bytes long, html string, digest string, file string, offset long, length long"), "media-list")
 
 
 def read_media(places: DataFrame, folder: str) -> DataFrame:
@@ -222,7 +222,7 @@ def read_media(places: DataFrame, folder: str) -> DataFrame:
             source.close()
 
     dealt = places.repartition(count, "file").sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return dealt.mapInArrow(tidy(run, True), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

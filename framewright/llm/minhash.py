@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.base import group_minimum, pieces, spread_join, stored, text_column
+from framewright.llm.base import group_minimum, pieces, spread_join, stored, text_column, tidy
 from framewright.llm.graph import connected_components
 from framewright.llm.words import hashed_words, mixed
 
@@ -133,7 +133,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))]).astype("i4")), pa.array(keys[counts > 0].ravel().view("i8")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(total), lists], names=["doc_id", "key", "weight", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, weight long, bands array<long>")
+    return docs.mapInArrow(tidy(run, True), "doc_id long, key binary, weight long, bands array<long>")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -160,7 +160,7 @@ def verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                         found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return whole.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
+    return whole.select("a", "text_a", "b", "text_b").mapInArrow(tidy(run, True), "a long, b long")
 
 
 def labelled(rows: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -206,7 +206,7 @@ def block_rows(docs: DataFrame, apart: DataFrame, k: int, coordinates: int) -> D
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype="i4") * coordinates), pa.array(darts[:, :coordinates].ravel().view("i8")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(sets, pa.binary()), keys], names=["rep", "signature", "elements", "keys"])
 
-    return stored(texts.mapInArrow(run, "rep long, signature binary, elements binary, keys array<long>"), "block-rows")
+    return stored(texts.mapInArrow(tidy(run, True), "rep long, signature binary, elements binary, keys array<long>"), "block-rows")
 
 
 def links_within(rows: list[tuple], coordinate: int, cross: tuple[int, int], least: float, agree: int) -> list[tuple[int, int]]:
@@ -282,7 +282,7 @@ def block_links(members: DataFrame, labels: DataFrame, least: float, k: int, chu
         found = links_within(held, block[0], (block[2], block[3]), least, agree) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(tidy(run, True), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, coordinates: int = 6) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.base import pieces, stored, text_column
+from framewright.llm.base import pieces, stored, text_column, tidy
 from framewright.llm.tokens import encoder, tokenizer_path
 
 
@@ -89,7 +89,7 @@ def encode_and_pack(docs: DataFrame, path: str, end_id: int, capacity: int, open
                         rows.append([doc, k, at // 4, len(cut) // 4, zlib.crc32(cut), *packer.add(len(cut) // 4)])
         yield _rows_out(rows, packer, task)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(run, PIECE_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(tidy(run), PIECE_DDL)
 
 
 def repack(rows: DataFrame, tasks: int, capacity: int, open_bins: int) -> DataFrame:
@@ -103,7 +103,7 @@ def repack(rows: DataFrame, tasks: int, capacity: int, open_bins: int) -> DataFr
         yield _rows_out(out, packer, task)
 
     dealt = rows.repartition(tasks, F.xxhash64("doc_id", "piece")) if tasks > 1 else rows.coalesce(1)
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(run, PIECE_DDL)
+    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(tidy(run), PIECE_DDL)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 128, fan_in: int = 16, least: int = 20_000) -> DataFrame:

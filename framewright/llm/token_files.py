@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.base import filesystem, new_folder, pieces, stored, text_column
+from framewright.llm.base import filesystem, new_folder, pieces, stored, text_column, tidy
 from framewright.llm.tokens import encoder, tokenizer_path
 
 FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.uint32()))])
@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, grou
         rows = list(write_partition(cut, TaskContext.get().partitionId(), folder, path, end_id, group_tokens, delta))
         yield pa.RecordBatch.from_pydict(dict(zip(("part", "file", "row_group", "first_row", "n_docs", "n_tokens", "file_start", "bytes"), map(list, zip(*rows, strict=True)) if rows else [[]] * 8, strict=True)), schema=MANIFEST_ARROW)
 
-    made = stored(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    made = stored(ordered.mapInArrow(tidy(write), MANIFEST), "token-manifest")
     files = made.groupBy("part", "file").agg(F.sum("n_tokens").alias("in_file"))
     # One row a file: a running sum over the file list, not over documents.
     before = files.select("file", (F.sum("in_file").over(Window.orderBy("part")) - F.col("in_file")).alias("before"))
@@ -114,7 +114,7 @@ def read_row_groups(index: DataFrame, folder: str, columns: list[str], make, sch
         if held[2] is not None:
             held[2].close()
 
-    return index.select("file", "row_group", "start").mapInArrow(read, schema)
+    return index.select("file", "row_group", "start").mapInArrow(tidy(read), schema)
 
 
 def digests(table: pa.Table, start: int) -> pa.RecordBatch:

@@ -8,6 +8,8 @@ import re
 import numpy as np
 import regex
 
+from framewright.llm.base import held
+
 #: The split patterns of the two public vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -63,11 +65,6 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.split(text.lower() if self.lower else text)))
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, most: int = 400_000) -> Encoder:
-    """The worker's encoder of a file; kept as long as the worker lives."""
-    if (path, most) not in _encoders:
-        _encoders[path, most] = Encoder(path, most)
-    return _encoders[path, most]
+    """The worker's encoder of a file, until it needs another large object."""
+    return held("encoder", (path, most), lambda: Encoder(path, most))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.base import pieces, stored, text_column
+from framewright.llm.base import pieces, stored, text_column, tidy
 from framewright.llm.language import fold, symbols
 from framewright.llm.words import lowered, mixed
 
@@ -146,7 +146,7 @@ def window_counts(sample: DataFrame) -> DataFrame:
                 n = [np.bincount(inverse[label[owner] == c], minlength=len(key)).astype("i8") for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), *map(pa.array, n)], names=["w", "n0", "n1"])
 
-    return sample.mapInArrow(run, "w long, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return sample.mapInArrow(tidy(run, True), "w long, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def class_codes(window: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), pa.array(n[some])], names=["code", "n"])
 
-    got = docs.select(text_column().alias("text")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select(text_column().alias("text")).mapInArrow(tidy(run, True), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(1 << 18, "i8")
     n[got["code"].to_numpy()] = got["n"].to_numpy()
     return n
@@ -272,7 +272,7 @@ def with_features(docs: DataFrame, model: Model) -> DataFrame:
                 x = scorer.features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), *(pa.array(c) for c in x.T)], names=["toxic", "a", "b", "c"])
 
-    return docs.select("toxic", "text").mapInArrow(run, "toxic int, a double, b double, c double")
+    return docs.select("toxic", "text").mapInArrow(tidy(run, True), "toxic int, a double, b double, c double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int = 5000) -> Model:
@@ -307,7 +307,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -
             for part in pieces(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scorer.scores(part.column("_text")))], names=names)
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
+    return rows.mapInArrow(tidy(run, True), schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

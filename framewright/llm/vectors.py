@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.base import spread_join, stored
+from framewright.llm.base import spread_join, stored, tidy
 from framewright.llm.graph import connected_components
 
 SUBSPACES, CODES = 8, 256
@@ -163,7 +163,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 16_384, m
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array([x.tobytes() for x in unit], pa.binary()), pa.array(home.astype("i4")), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(miss), pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(probe)[1].astype("i4")))], names=["rep", "copies", "unit", "home", "code", "miss", "probes"])
 
     dealt = classes.select("rep", "copies", "embedding").repartition(max(8, min(4096, n // 4096)))
-    index = stored(dealt.mapInArrow(assign, "rep long, copies long, unit binary, home int, code binary, miss double, probes array<int>"), "vector-index")
+    index = stored(dealt.mapInArrow(tidy(assign, True), "rep long, copies long, unit binary, home int, code binary, miss double, probes array<int>"), "vector-index")
     asked = index.select("rep", "unit", F.explode("probes").alias("home"))
     held = index.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / base_chunk).cast("int").alias("base_chunks"))
     asks = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / query_chunk).cast("int").alias("query_chunks"))
@@ -201,7 +201,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 16_384, m
         if rows:
             yield out(result(name, rows))
 
-    linked = stored(blocks.mapInArrow(link, "a long, b long, n long"), "vector-links")
+    linked = stored(blocks.mapInArrow(tidy(link, True), "a long, b long, n long"), "vector-links")
     counts = linked.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     found = connected_components(linked.where("b is not null").select("a", "b"))
     of = classes.join(counts.withColumnRenamed("a", "rep"), "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")

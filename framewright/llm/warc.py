@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.base import delete_folder, filesystem, group_minimum, new_folder, pieces, stored
+from framewright.llm.base import delete_folder, filesystem, group_minimum, new_folder, pieces, stored, tidy
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -143,7 +143,7 @@ def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20)
             out.close()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return stored(rows.mapInArrow(run, "file string, seq long, page_id long, digest binary, n_bytes long"), "warc-records")
+    return stored(rows.mapInArrow(tidy(run, True), "file string, seq long, page_id long, digest binary, n_bytes long"), "warc-records")
 
 
 def revisits(manifest: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -179,7 +179,7 @@ def normalise(manifest: DataFrame, repeats: DataFrame, source: str, target: str)
                     side.write("".join(f"{s} {o} {n}\n" for _, s, o, n in made).encode())
                 yield batch_of(made, INDEX)
 
-    return stored(work.mapInArrow(run, "file string, seq long, offset long, length long"), "warc-index")
+    return stored(work.mapInArrow(tidy(run, True), "file string, seq long, offset long, length long"), "warc-index")
 
 
 def parsed(member: bytes) -> tuple:
@@ -217,7 +217,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             source.close()
 
     dealt = index.repartition(count, "file").sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return dealt.mapInArrow(tidy(run, True), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
