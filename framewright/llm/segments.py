@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.base import pieces, text_column
+from framewright.llm.base import held, pieces, text_column, tidy
 from framewright.llm.tokens import tokenizer_path
 from framewright.llm.words import Table, _power_tables, mixed
 
@@ -203,13 +203,8 @@ class Lattice:
         return b"".join(map(self.surface.__getitem__, ids.tolist()))[1:].decode()
 
 
-_lattices: dict[tuple, Lattice] = {}
-
-
 def lattice_of(path: str, theta: float) -> Lattice:
-    if (path, theta) not in _lattices:
-        _lattices[path, theta] = Lattice(path, theta)
-    return _lattices[path, theta]
+    return held("lattice", (path, theta), lambda: Lattice(path, theta))
 
 
 def row_seeds(keys: list[int | None], seed: int) -> np.ndarray:
@@ -232,7 +227,7 @@ def sampled(docs: DataFrame, path: str, seed: int = 0, theta: float = 1.0) -> Da
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(ids), pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -245,7 +240,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
             texts = [lattice.decode(np.asarray(x.values.to_numpy())) if x.is_valid else None for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def op4_sampled_pieces(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
@@ -268,4 +263,4 @@ def op4_sampled_pieces(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "n_pieces", "ids_crc32", "text_crc32", "lossless"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean")
