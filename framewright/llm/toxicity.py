@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.base import pieces, stored, text_column, tidy
@@ -254,8 +254,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     one = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_top")).where("toxic = _top").drop("_top")
     sizes = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = min(per_class, sizes.get(0, 0), sizes.get(1, 0))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = one.withColumn("_n", rank).where(F.col("_n") <= most).select("doc_id", "toxic")  # at most 2 * per_class rows
+    first = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]  # the best of each task's best
+    chosen = first[0].unionByName(first[1]).select("doc_id", "toxic")  # at most 2 * per_class rows
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     once = picked.groupBy("toxic", F.xxhash64("text").alias("_h")).agg(F.min(F.struct("doc_id", "text")).alias("_d")).select("toxic", "_d.*")
     return once.select("toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).cast("int").alias("part"), text_column().alias("text"))
