@@ -1,14 +1,16 @@
 """Toxicity by two class-conditional Kneser-Ney models over characters, with shared backoff counts.
 
 Each class has an interpolated model of six-byte windows: raw counts at the highest order, continuation
-counts below, and at order three one distribution counted over the whole corpus, so that what
-neither class has seen speaks for neither. A word's log-likelihood ratio sums over its bytes; rare and
-inflected expressions share the windows of their stems. A text is scored from its length-normalised
-ratios.
+counts below. Under its lowest order lies one Kneser-Ney model of continuation counts over the whole
+corpus, kept as a table by n-gram that grows with it. Both classes share that model: where neither has
+seen an n-gram it is the same factor in both and leaves the ratio, so the ratios need its rows at the
+sample's n-grams only, and those are joined to it. A word's log-likelihood ratio sums over its bytes; rare
+and inflected expressions share the windows of their stems. A text is scored from its length-normalised ratios.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,14 +20,15 @@ from pyspark.sql import functions as F
 
 from framewright.llm.base import pieces, stored, text_column, tidy
 from framewright.llm.language import fold, symbols
-from framewright.llm.words import lowered, mixed
+from framewright.llm.words import Table, lowered, mixed
 
-ORDER, SHARED = 6, 3
+#: Bytes of the longest window, and of the shortest one that the classes count for themselves.
+ORDER, LOWEST = 6, 4
 DISCOUNT = 0.9
 #: A word speaks for itself from this log ratio on.
 OUTSTANDING = 3.0
 SLOTS = 22
-_CLASS = np.array([b - 96 if 97 <= b <= 122 else 0 if b < 128 else 27 + b % 37 for b in range(256)], np.uint32)
+_NO_KEY = np.uint64(2**64 - 1)
 
 
 @dataclass
@@ -33,6 +36,7 @@ class Model:
     """Log ratios by window, and the calibration of a text's features."""
 
     windows: dict[int, tuple[np.ndarray, np.ndarray]]  # order -> (sorted windows, log ratios)
+    contexts: dict[int, tuple[np.ndarray, np.ndarray]]  # order -> (sorted contexts, log ratios of their backoff weights)
     weights: tuple[float, ...] = (0.0, 0.0, 0.0)
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -48,12 +52,23 @@ def streams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.cumsum([len(p) for p in parts]).astype("i8")
 
 
-def windows_of(stream: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The last ``order`` bytes at each position, packed into one integer; spaces stand before the start."""
+def suffix(window: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` bytes of packed windows."""
+    return window & np.uint64((1 << 8 * order) - 1)
+
+
+def windows_of(stream: np.ndarray, ends: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The last ``order`` bytes at each position, packed into one integer; spaces stand before a text's start."""
     out = np.zeros(len(stream), "u8")
     padded = np.concatenate([np.full(order - 1, 32, np.uint8), stream])
     for k in range(order):
         out = (out << np.uint64(8)) | padded[k : k + len(stream)].astype("u8")
+    blank = int.from_bytes(b" " * order)
+    start = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    for k in range(order - 1):
+        at = (start + k)[start + k < ends]
+        own = (1 << 8 * (k + 1)) - 1
+        out[at] = (out[at] & np.uint64(own)) | np.uint64(blank & ~own)
     return out
 
 
@@ -65,17 +80,17 @@ class Scorer:
         self.tables = {}
         for order, (keys, ratio) in model.windows.items():
             bits = min(SLOTS, max(8, int(np.log2(max(len(keys), 1))) + 3))
-            key, value = np.full(1 << bits, np.uint64(2**64 - 1)), np.zeros(1 << bits, "f4")
+            key, value = np.full(1 << bits, _NO_KEY), np.zeros(1 << bits, "f4")
             slot = (mixed(keys) >> np.uint64(64 - bits)).astype("i8")
             weak = np.argsort(np.abs(ratio), kind="stable")  # of windows in one slot the strongest stays
             key[slot[weak]], value[slot[weak]] = keys[weak], ratio[weak]
             self.tables[order] = (bits, key, value)
 
-    def ratios(self, stream: np.ndarray) -> np.ndarray:
+    def ratios(self, stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log ratio of each byte given those before it."""
-        window = windows_of(stream)
+        window = windows_of(stream, ends)
         out, open_at = np.zeros(len(stream), "f4"), None
-        for order in range(ORDER, SHARED, -1):
+        for order in range(ORDER, LOWEST - 1, -1):
             bits, key, value = self.tables[order]
             w = (window if open_at is None else window[open_at]) & np.uint64((1 << 8 * order) - 1)
             slot = (mixed(w) >> np.uint64(64 - bits)).astype("i8")
@@ -96,7 +111,7 @@ class Scorer:
         stream, ends = streams(texts)
         if not len(stream):
             return np.zeros((len(ends), 3))
-        ratio = self.ratios(stream)
+        ratio = self.ratios(stream, ends)
         last = np.flatnonzero((stream == 32) & (np.concatenate([[32], stream[:-1]]) != 32))  # the space after a word
         running = np.concatenate([[0.0], np.cumsum(ratio, dtype="f8")])
         first = np.concatenate([[-1], last[:-1]]) + 1
@@ -124,9 +139,9 @@ def distinct_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The different windows of each text and the text each belongs to."""
     stream, ends = streams(texts)
     owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)).astype("u8")
-    pairs = np.unique(np.stack([owner, windows_of(stream)], 1), axis=0) if len(stream) < 1000 else None
+    pairs = np.unique(np.stack([owner, windows_of(stream, ends)], 1), axis=0) if len(stream) < 1000 else None
     if pairs is None:
-        window = windows_of(stream)
+        window = windows_of(stream, ends)
         order = np.lexsort((window, owner))
         window, owner = window[order], owner[order]
         new = np.concatenate([[True], (window[1:] != window[:-1]) | (owner[1:] != owner[:-1])])
@@ -149,61 +164,94 @@ def window_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(tidy(run, True), "w long, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def class_codes(window: np.ndarray) -> np.ndarray:
-    """The last three bytes of packed windows as an 18-bit code."""
-    byte = lambda k: _CLASS[((window >> np.uint64(8 * k)) & np.uint64(255)).astype("i8")]
-    return (byte(2) << 12 | byte(1) << 6 | byte(0)).astype("i8")
-
+def corpus_table(docs: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """(g, n): for each n-gram of LOWEST bytes of all texts, the number of different bytes in front of it.
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """How often each three-symbol code occurs in all of ``docs``: the shared backoff counts."""
+    Tasks send their distinct windows, ``most`` of them at a time; the table grows with the corpus.
+    """
 
     def run(batches):
-        n = np.zeros(1 << 18, "i8")
+        parts, total = [], 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                stream, _ = streams(part.column("text"))
-                c = _CLASS[stream].astype("i8")
-                if len(c) > 2:
-                    n += np.bincount(c[:-2] << 12 | c[1:-1] << 6 | c[2:], minlength=1 << 18)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), pa.array(n[some])], names=["code", "n"])
-
-    got = docs.select(text_column().alias("text")).mapInArrow(tidy(run, True), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(1 << 18, "i8")
-    n[got["code"].to_numpy()] = got["n"].to_numpy()
-    return n
-
-
-def train(window: np.ndarray, counts: np.ndarray, shared: np.ndarray, least: int = 2) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Log ratios of all windows by order, from class counts (2 x windows) and shared three-symbol counts.
-
-    Windows seen under ``least`` times in both classes together are left to the next lower order.
-    """
-    shared = shared.astype("f8")
-    base = (shared + 0.5) / (shared.reshape(-1, 64).sum(1).repeat(64) + 32)
+                stream, ends = streams(part.column("text"))
+                parts.append(np.unique(windows_of(stream, ends, LOWEST + 1)))
+                total += len(parts[-1])
+                if total > most:
+                    parts = [np.unique(np.concatenate(parts))]
+                    total = len(parts[0])
+                    if 2 * total > most:
+                        yield pa.RecordBatch.from_arrays([pa.array(parts[0].view("i8"))], names=["w"])
+                        parts, total = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)).view("i8"))], names=["w"])
+
+    windows = docs.select(text_column().alias("text")).mapInArrow(tidy(run, True), "w long").distinct()
+    return in_front(windows.withColumnRenamed("w", "g"), LOWEST)
+
+
+def in_front(longer: DataFrame, order: int) -> DataFrame:
+    """(g, n): each n-gram of ``order`` bytes with the number of bytes in front, from the distinct n-grams one longer."""
+    return longer.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def shared_rows(table: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows (k, key, n, kinds) of the shared model that ``windows(w)`` need: n-grams of k bytes, and contexts of those as -k."""
+    parts, level = [], table
+    for k in range(LOWEST, 0, -1):
+        if k < LOWEST:
+            level = in_front(level, k)
+        parts.append(level.select(F.lit(k).alias("k"), F.col("g").alias("key"), "n", F.lit(0).cast("long").alias("kinds")))
+        context = level.groupBy(F.shiftright("g", 8).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        parts.append(context.select(F.lit(-k).alias("k"), "key", "n", "kinds"))
+    low = windows.select(F.col("w").bitwiseAND(F.lit((1 << 8 * LOWEST) - 1)).alias("w")).distinct()
+    need = [F.struct(F.lit(s * k).alias("k"), F.shiftright(F.col("w").bitwiseAND(F.lit((1 << 8 * k) - 1)), 8 * (s < 0)).alias("key")) for k in range(1, LOWEST + 1) for s in (1, -1)]
+    wanted = low.select(F.explode(F.array(*need)).alias("_s")).select("_s.*").distinct()
+    return functools.reduce(DataFrame.unionByName, parts).join(wanted, ["k", "key"], "left_semi")
+
+
+class Shared:
+    """The corpus model of LOWEST bytes at the n-grams asked for: interpolated Kneser-Ney over continuation counts."""
+
+    def __init__(self, k: np.ndarray, key: np.ndarray, n: np.ndarray, kinds: np.ndarray):
+        at = {j: k == j for o in range(1, LOWEST + 1) for j in (o, -o)}
+        key = key.astype("u8")
+        self.number = {j: Table(key[i], n[i].astype("f8"), 0.0) for j, i in at.items()}
+        self.kinds = {j: Table(key[i], kinds[i].astype("f8"), 0.0) for j, i in at.items() if j < 0}
+
+    def __call__(self, window: np.ndarray) -> np.ndarray:
+        """Probability of each window's last byte after those before it."""
+        p = np.full(len(window), 1 / 256)
+        for k in range(1, LOWEST + 1):
+            gram = suffix(window, k)
+            n, total, kinds = self.number[k](gram)[0], self.number[-k](gram >> np.uint64(8))[0], self.kinds[-k](gram >> np.uint64(8))[0]
+            p = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
+        return p
+
+
+def train(window: np.ndarray, counts: np.ndarray, shared) -> Model:
+    """Log ratios of all windows and of all contexts' backoff weights by order, from class counts (2 x windows) and ``shared``."""
     grams, number = {ORDER: (window, counts.astype("f8"))}, counts
-    for order in range(ORDER - 1, SHARED, -1):  # continuation counts: different bytes in front
+    for order in range(ORDER - 1, LOWEST - 1, -1):  # continuation counts: different bytes in front
         above, number = grams[order + 1]
-        low, inverse = np.unique(above & np.uint64((1 << 8 * order) - 1), return_inverse=True)
+        low, inverse = np.unique(suffix(above, order), return_inverse=True)
         grams[order] = (low, np.stack([np.bincount(inverse, weights=(number[c] > 0).astype("f8"), minlength=len(low)) for c in (0, 1)]))
-    ratios, below = {}, None
-    for order in range(SHARED + 1, ORDER + 1):
+    windows, contexts, below = {}, {}, None
+    for order in range(LOWEST, ORDER + 1):
         key, number = grams[order]
-        _, inverse = np.unique(key >> np.uint64(8), return_inverse=True)
-        total = np.stack([np.bincount(inverse, weights=number[c]) for c in (0, 1)])
-        kinds = np.stack([np.bincount(inverse, weights=np.minimum(number[c], DISCOUNT)) for c in (0, 1)])
+        context, inverse = np.unique(key >> np.uint64(8), return_inverse=True)
+        total = np.stack([np.bincount(inverse, weights=number[c], minlength=len(context)) for c in (0, 1)])
+        kinds = np.stack([np.bincount(inverse, weights=np.minimum(number[c], DISCOUNT), minlength=len(context)) for c in (0, 1)])
         if below is None:
-            lower = np.broadcast_to(base[class_codes(key)], number.shape)
+            lower = np.broadcast_to(shared(key), number.shape)
         else:
-            at = np.searchsorted(below[0], key & np.uint64((1 << 8 * (order - 1)) - 1))
-            lower = below[1][:, at]
-        seen = np.maximum(total, 1e-9)
-        p = np.where(total[:, inverse] > 0, (np.maximum(number - DISCOUNT, 0) + kinds[:, inverse] * lower) / seen[:, inverse], lower)
+            lower = below[1][:, np.searchsorted(below[0], suffix(key, order - 1))]
+        left = np.where(total > 0, kinds / np.maximum(total, 1), 1.0)  # a context that a class lacks leaves all to the next order
+        p = np.maximum(number - DISCOUNT, 0) / np.maximum(total, 1)[:, inverse] + left[:, inverse] * lower
         below = (key, p)
-        often = number.sum(0) >= (least if order == ORDER else 1)
-        ratios[order] = (key[often], np.log(p[1] / p[0])[often].astype("f4"))
-    return ratios
+        windows[order] = (key, np.log(p[1] / p[0]).astype("f4"))
+        contexts[order] = (context, np.log(left[1] / left[0]).astype("f4"))
+    return Model(windows, contexts)
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,14 +327,18 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int =
     """Learn from ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; ``corpus`` has all texts.
 
     The classifier sees at most ``per_class`` labelled documents of each class (three quarters for the
-    counts, the rest for calibration); the shared backoff counts cover every text of ``corpus``.
+    counts, the rest for calibration); the shared backoff model counts every text of ``corpus``.
     Without documents of both classes every text scores the share of toxic labels, 0.5 if there is none.
     """
     sample = stored(labelled_sample(docs, labels, per_class), "toxic-sample")
-    got = window_counts(sample.where("part < 3")).toArrow()
+    counted = stored(window_counts(sample.where("part < 3")), "toxic-windows")
+    table = stored(corpus_table(corpus), "corpus-ngrams")
+    got = shared_rows(table, counted).toArrow()
+    shared = Shared(*(got[c].to_numpy() for c in ("k", "key", "n", "kinds")))
+    got = counted.toArrow()
     key = got["w"].to_numpy().view("u8")
     order = np.argsort(key)
-    model = Model(train(key[order], np.stack([got[c].to_numpy()[order] for c in ("n0", "n1")]), corpus_counts(corpus)))
+    model = train(key[order], np.stack([got[c].to_numpy()[order] for c in ("n0", "n1")]), shared)
     share = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
     prior = min(max(share if share is not None else 0.5, 0.01), 0.99)
     held = with_features(sample.where("part = 3"), model).toArrow()
