@@ -27,7 +27,6 @@ ORDER, LOWEST = 6, 4
 DISCOUNT = 0.9
 #: A word speaks for itself from this log ratio on.
 OUTSTANDING = 3.0
-SLOTS = 22
 _NO_KEY = np.uint64(2**64 - 1)
 
 
@@ -72,35 +71,54 @@ def windows_of(stream: np.ndarray, ends: np.ndarray, order: int = ORDER) -> np.n
     return out
 
 
+class Probed:
+    """Values by packed window: an open table with linear probing that holds every key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(8, int(len(keys)).bit_length() + 1))
+        home = (mixed(keys) >> self.shift).astype("i8")
+        order = np.argsort(home, kind="stable")
+        step = np.arange(len(keys))
+        slot = np.maximum.accumulate(home[order] - step) + step  # each at home or next to the one before
+        size = max((1 << 64 - int(self.shift)), int(slot[-1]) + 1 if len(slot) else 0) + 1  # the last slot stays free
+        self.key, self.value = np.full(size, _NO_KEY), np.zeros(size, "f4")
+        self.key[slot], self.value[slot] = keys[order], values[order]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where there is none) and whether there is one."""
+        slot = (mixed(keys) >> self.shift).astype("i8")
+        there = self.key[slot]
+        hit = there == keys
+        open_at = np.flatnonzero(~hit & (there != _NO_KEY))
+        while len(open_at):
+            slot[open_at] += 1
+            there = self.key[slot[open_at]]
+            found = there == keys[open_at]
+            hit[open_at[found]] = True
+            open_at = open_at[~found & (there != _NO_KEY)]
+        return np.where(hit, self.value[slot], np.float32(0)), hit
+
+
 class Scorer:
-    """Log ratios of whole batches: one look into an open table a byte, lower orders for what it lacks."""
+    """Log ratios of whole batches: a window's own, or its context's backoff weights and what the next order says."""
 
     def __init__(self, model: Model):
         self.weights, self.steps = model.weights, model.steps
-        self.tables = {}
-        for order, (keys, ratio) in model.windows.items():
-            bits = min(SLOTS, max(8, int(np.log2(max(len(keys), 1))) + 3))
-            key, value = np.full(1 << bits, _NO_KEY), np.zeros(1 << bits, "f4")
-            slot = (mixed(keys) >> np.uint64(64 - bits)).astype("i8")
-            weak = np.argsort(np.abs(ratio), kind="stable")  # of windows in one slot the strongest stays
-            key[slot[weak]], value[slot[weak]] = keys[weak], ratio[weak]
-            self.tables[order] = (bits, key, value)
+        self.windows = {order: Probed(*table) for order, table in model.windows.items()}
+        self.contexts = {order: Probed(*table) for order, table in model.contexts.items()}
 
     def ratios(self, stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Log ratio of each byte given those before it."""
+        """Log ratio of each byte given those before it in its text."""
         window = windows_of(stream, ends)
-        out, open_at = np.zeros(len(stream), "f4"), None
+        out, hit = self.windows[ORDER](window)
+        open_at = np.flatnonzero(~hit)
         for order in range(ORDER, LOWEST - 1, -1):
-            bits, key, value = self.tables[order]
-            w = (window if open_at is None else window[open_at]) & np.uint64((1 << 8 * order) - 1)
-            slot = (mixed(w) >> np.uint64(64 - bits)).astype("i8")
-            hit = key[slot] == w
-            if open_at is None:
-                out[hit] = value[slot[hit]]
-                open_at = np.flatnonzero(~hit)
-            else:
-                out[open_at[hit]] = value[slot[hit]]
-                open_at = open_at[~hit]
+            w = suffix(window[open_at], order)
+            if order < ORDER:
+                value, hit = self.windows[order](w)
+                out[open_at] += value
+                open_at, w = open_at[~hit], w[~hit]
+            out[open_at] += self.contexts[order](w >> np.uint64(8))[0]
         return out
 
     def features(self, texts: pa.Array) -> np.ndarray:

@@ -82,3 +82,25 @@ def test_corpus_table_counts_every_text(spark):
     assert {r.g for r in table.collect()} - {int(x) & (1 << 8 * LOWEST) - 1 for x in w.w}  # also what no labelled text has
     keys = sorted({int(x) & (1 << 8 * LOWEST) - 1 for x in w.w})
     assert np.allclose(shared(np.array(keys, "u8")), [plain.background(k.to_bytes(LOWEST)) for k in keys])
+
+
+def test_ratios_are_those_of_the_interpolated_models(spark):
+    model = trained(spark)[2]
+    plain = Plain((CLEAN, TOXIC), CLEAN + TOXIC + OTHER)
+    texts = CLEAN + TOXIC + OTHER + ["the zugger", "zen", "z"]
+    stream, ends = toxicity.streams(pa.array(texts))
+    want = [plain.ratio(g) for t in texts for g in grams(t, ORDER)]
+    assert np.allclose(toxicity.Scorer(model).ratios(stream, ends), want, atol=1e-5)
+
+
+def test_no_window_is_lost():
+    rng = np.random.default_rng(0)
+    key = np.unique(rng.integers(0, 1 << 48, 300_000).astype("u8"))
+    value = rng.normal(size=len(key)).astype("f4")
+    table = toxicity.Probed(key, value)
+    got, hit = table(key)
+    assert hit.all() and (got == value).all()
+    got, hit = table(key + np.uint64(1 << 50))
+    assert not hit.any() and not got.any()
+    got, hit = toxicity.Probed(key[:0], value[:0])(key[:9])
+    assert not hit.any()
