@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from framewright.llm.base import held, pieces, text_column, tidy
 from framewright.llm.words import lowered
 
+#: A language's share of the sample, however many there are.
+LEAST_BYTES = 64
 ASCII_LETTER, LETTER = re.compile("[A-Za-z]"), regex.compile(r"\p{L}")
 
 
@@ -137,21 +139,20 @@ def parser_of(samples: dict[str, bytes]) -> CrossParser:
     return held("parser", tuple(sorted(samples.items())), lambda: CrossParser(samples))
 
 
-def labelled_samples(docs: DataFrame, per_language: int = 64, shortest: int = 200, longest: int = 8192, most_bytes: int = 40_000, all_bytes: int = 400_000, most_languages: int = 200) -> dict[str, bytes]:
+def labelled_samples(docs: DataFrame, per_language: int = 64, shortest: int = 200, longest: int = 8192, most_bytes: int = 40_000, all_bytes: int = 400_000) -> dict[str, bytes]:
     """Text of each language to learn from: at most ``most_bytes`` of at most ``per_language`` texts.
 
-    All languages together take at most ``all_bytes``, equal shares; beyond the ``most_languages`` most frequent
-    ones a language is not learnt.
+    Every language that a row with a text has is learnt. All together take at most ``all_bytes``, equal
+    shares, but ``LEAST_BYTES`` a language at least.
 
     ``docs(text, lang)`` are the rows that may be learnt from. Of the distinct texts between ``shortest``
-    and ``longest`` characters those with the least hashes are taken; a language that has none such is
-    learnt from texts of any length up to ``longest``. Null languages and empty texts teach nothing.
+    and ``longest`` characters those with the least hashes are taken; what a language lacks of them is
+    taken from shorter texts, then from the starts of longer ones. Null languages and empty texts teach nothing.
     """
-    rows = docs.where("lang is not null and text is not null").where(F.length("text").between(1, longest))
-    rows = rows.select("lang", "text", (F.length("text") < shortest).alias("short"), F.xxhash64("text").alias("h"))
-    learnt = [r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
-    most_bytes = min(most_bytes, all_bytes // max(1, len(learnt)))
-    rows = rows.where(F.col("lang").isin(learnt))
+    rows = docs.where("lang is not null and text is not null").where(F.length("text") > 0)
+    most_bytes = min(most_bytes, max(LEAST_BYTES, all_bytes // max(1, rows.select("lang").distinct().count())))
+    size, start = F.length("text"), F.substring("text", 1, most_bytes)  # no text gives more
+    rows = rows.select("lang", start.alias("text"), F.when(size > longest, 2).when(size < shortest, 1).otherwise(0).alias("short"), F.xxhash64("text").alias("h"))
     keys = rows.groupBy("lang", "short", "h").agg(F.lit(1).alias("one")).drop("one")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("short", "h"))
     chosen = keys.withColumn("_n", rank).where(F.col("_n") <= per_language).drop("_n")  # a bounded number a language
