@@ -5,13 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from framewright.functions import linalg
 from framewright.functions.scalars import is_finite
 
 
+#: Up to so many columns the moments are one SQL aggregation; beyond, Gram sums of whole batches.
+NARROW = 12
+
+
 def unpacked(df: DataFrame, column: str, width: int, prefix: str = "x") -> DataFrame:
     """The first ``width`` entries of an array column as columns prefix0, prefix1, ..."""
     rest = [c for c in df.columns if c != column]
@@ -21,6 +27,10 @@ def unpacked(df: DataFrame, column: str, width: int, prefix: str = "x") -> DataF
 def moments(df: DataFrame, left: list[str], right: list[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row count, means and population covariances (left-left, left-right, right-right) in one aggregation."""
     both = [*left, *(c for c in right if c not in left)]
+    if len(both) > NARROW:
+        n, mean, cov = gram_moments(df, both)
+        i, j = np.arange(len(left)), np.array([both.index(c) for c in right])
+        return n, mean[i], mean[j], cov[np.ix_(i, i)], cov[np.ix_(i, j)], cov[np.ix_(j, j)]
     cells = [(a, b) for i, a in enumerate(both) for b in both[i:]]
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(both)], *[F.covar_pop(a, b).alias(f"c{i}") for i, (a, b) in enumerate(cells)]).first()
     mean = {c: row[f"m{i}"] for i, c in enumerate(both)}
@@ -31,9 +41,62 @@ def moments(df: DataFrame, left: list[str], right: list[str]) -> tuple[int, np.n
     return row.n, np.array([mean[c] for c in left]), np.array([mean[c] for c in right]), m(left, left), m(left, right), m(right, right)
 
 
+def _merged(sums: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
+    """Rows and (shift, pairs, sums, products) about one shift of several parts; [a, b] counts rows where both are given."""
+    rows, whole = sums[0]
+    for n, part in sums[1:]:
+        step = (part[0] - whole[0])[0][:, None]  # the part's values lie so much higher about the common shift
+        products = part[3] + step * part[2].T + step.T * part[2] + step * step.T * part[1]
+        rows, whole = rows + n, np.stack([whole[0], whole[1] + part[1], whole[2] + part[2] + step * part[1], whole[3] + products])
+    return rows, whole
+
+
+def gram_moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, means and population covariances of many columns by Gram sums; nulls are left out pair by pair."""
+    d = len(columns)
+
+    def one(rows: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
+
+    def read(batch) -> list[tuple[int, np.ndarray]]:
+        return [(n, np.frombuffer(b).reshape(4, d, d)) for n, b in zip(batch["n"].to_pylist(), batch["sums"].to_pylist(), strict=True)]
+
+    def gather(batches):
+        whole = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            given = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype("f8")
+            x = np.where(given > 0, np.column_stack([c.to_numpy(zero_copy_only=False).astype("f8") for c in batch.columns]), 0.0)
+            shift = np.nan_to_num(x.sum(0) / np.maximum(given.sum(0), 1), posinf=0.0, neginf=0.0)
+            x = np.where(given > 0, x - shift, 0.0)
+            own = (batch.num_rows, np.stack([np.broadcast_to(shift, (d, d)), given.T @ given, x.T @ given, x.T @ x]))
+            whole = own if whole is None else _merged([whole, own])
+        if whole is not None:
+            yield one(*whole)
+
+    def join(batches):
+        whole = None
+        for batch in batches:
+            for own in read(batch):
+                whole = own if whole is None else _merged([whole, own])
+        if whole is not None:
+            yield one(*whole)
+
+    parts = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).mapInArrow(gather, "n long, sums binary")
+    got = read(parts.repartition(8).mapInArrow(join, "n long, sums binary").toArrow())
+    if not got:
+        return 0, np.full(d, np.nan), np.zeros((d, d))
+    rows, (shift, pairs, sums, products) = _merged(got)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = shift[0] + np.diag(sums) / np.diag(pairs)
+        cov = np.where(pairs > 0, products / pairs - (sums / pairs) * (sums / pairs).T, 0.0)
+    return rows, mean, (cov + cov.T) / 2
+
+
 @dataclass
 class Projection:
-    """(x - mean) W as Columns."""
+    """(x - mean) W as Columns, for many columns by batches."""
 
     columns: list[str]
     mean: np.ndarray
@@ -42,6 +105,8 @@ class Projection:
 
     def apply(self, df: DataFrame, prefix: str = "ic") -> DataFrame:
         made: list[Column] = []
+        if len(self.columns) > NARROW:  # thousands of terms are too much for a plan
+            return self._over_batches(df, prefix)
         for k in range(self.basis.shape[1]):
             total = F.lit(0.0)
             for c, m, w in zip(self.columns, self.mean, self.basis[:, k], strict=True):
@@ -49,6 +114,20 @@ class Projection:
             made.append(total.alias(f"{prefix}{k}"))
         return df.select("*", *made)
 
+    def _over_batches(self, df: DataFrame, prefix: str) -> DataFrame:
+        columns, mean, basis = self.columns, np.asarray(self.mean, "f8"), np.asarray(self.basis, "f8")
+        names = [*df.columns, *(f"{prefix}{k}" for k in range(basis.shape[1]))]
+
+        def run(batches):
+            for batch in batches:
+                own = [batch.column(c) for c in columns]
+                lost = ~np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in own]).all(1)
+                y = (np.column_stack([c.to_numpy(zero_copy_only=False).astype("f8") for c in own]) - mean) @ basis
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.float64(), mask=lost, from_pandas=False) for v in y.T)], names=names)
+
+        schema = StructType([*df.schema.fields, *(StructField(c, DoubleType()) for c in names[len(df.columns) :])])
+        return df.mapInArrow(run, schema)
+
 
 def _scaled(basis: np.ndarray, cov: np.ndarray, scale: bool) -> np.ndarray:
     return 1 / np.sqrt(np.where(np.diag(cov) > 1e-12, np.diag(cov), 1.0)) if scale else np.ones(len(cov))

@@ -20,6 +20,10 @@ from framewright.sources import frames as S
 CENTRES = [[0.1 if (k >> j) % 2 == 0 else -0.1 for k in range(64)] for j in range(3)]
 
 
+#: Columns of all components of a vector.
+COMPONENTS = [f"x{i}" for i in range(64)]
+
+
 def vectors(spark: SparkSession, d: str, width: int = 64) -> DataFrame:
     e = S.table(spark, d, "embeddings")
     return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, width), lambda v: v.cast("double")).alias("x"))
@@ -89,42 +93,42 @@ def band_representatives(spark, d):
 
 @query("pca")
 def pca(spark, d):
-    f = R.unpacked(vectors(spark, d, 8), "x", 8)
-    return R.pca(f, [f"x{i}" for i in range(8)], 2).apply(f).select("vec_id", "ic0", "ic1")
+    f = R.unpacked(vectors(spark, d), "x", 64)
+    return R.pca(f, COMPONENTS, 2).apply(f).select("vec_id", "ic0", "ic1")
 
 
-def vector_frames(spark, d, width: int = 6) -> DataFrame:
-    return R.unpacked(vectors(spark, d, width), "x", width).withColumnsRenamed({"label": "traj_id", "vec_id": "frame"})
+def vector_frames(spark, d) -> DataFrame:
+    return R.unpacked(vectors(spark, d), "x", 64).withColumnsRenamed({"label": "traj_id", "vec_id": "frame"})
 
 
 @query("tica")
 def tica(spark, d):
     f = vector_frames(spark, d)
-    return R.tica(f, [f"x{i}" for i in range(6)], 1, 2).apply(f).select("traj_id", "frame", "ic0", "ic1")
+    return R.tica(f, COMPONENTS, 1, 2).apply(f).select("traj_id", "frame", "ic0", "ic1")
 
 
 @query("vamp")
 def vamp(spark, d):
     f = vector_frames(spark, d)
-    return R.vamp(f, [f"x{i}" for i in range(6)], 1, 2).apply(f).select("traj_id", "frame", "ic0", "ic1")
+    return R.vamp(f, COMPONENTS, 1, 2).apply(f).select("traj_id", "frame", "ic0", "ic1")
 
 
 @query("vamp2_score")
 def vamp2_score(spark, d):
-    _, _, _, a, b, c = R.lagged_moments(vector_frames(spark, d), [f"x{i}" for i in range(6)], 1)
+    _, _, _, a, b, c = R.lagged_moments(vector_frames(spark, d), COMPONENTS, 1)
     return spark.createDataFrame([(linalg.vamp2_score(a, b, c),)], "score double")
 
 
 @query("whiten")
 def whiten(spark, d):
-    f = R.unpacked(vectors(spark, d, 4), "x", 4)
-    return R.whitened(f, [f"x{i}" for i in range(4)]).apply(f, "w").select("vec_id", *[f"w{i}" for i in range(4)])
+    f = R.unpacked(vectors(spark, d), "x", 64)
+    return R.whitened(f, COMPONENTS).apply(f, "w").select("vec_id", *[f"w{i}" for i in range(64)])
 
 
 @query("canonical_correlations")
 def canonical_correlations(spark, d):
-    f = R.unpacked(vectors(spark, d, 6), "x", 6)
-    rho = R.canonical_correlation(f, ["x0", "x1", "x2"], ["x3", "x4", "x5"])
+    f = R.unpacked(vectors(spark, d), "x", 64)
+    rho = R.canonical_correlation(f, COMPONENTS[:32], COMPONENTS[32:])
     return spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(rho)], "k int, rho double")
 
 
@@ -293,7 +297,7 @@ def complete_msm_analysis(spark, d):
     """TICA, k-means, lag choice and model over the vectors; the state table."""
     from framewright.operators.workflow import complete_analysis
 
-    return complete_analysis(spark, vector_frames(spark, d, 4), [f"x{i}" for i in range(4)], n_states=5, lags=(1, 2))["states"]
+    return complete_analysis(spark, vector_frames(spark, d), COMPONENTS, n_states=5, lags=(1, 2))["states"]
 
 
 @query("hyperparameter_ensemble")
