@@ -27,6 +27,8 @@ ORDER, LOWEST = 6, 4
 DISCOUNT = 0.9
 #: A word speaks for itself from this log ratio on.
 OUTSTANDING = 3.0
+#: Bytes of text whose windows are held at a time.
+PIECE = 1 << 18
 _NO_KEY = np.uint64(2**64 - 1)
 
 
@@ -172,7 +174,7 @@ def window_counts(sample: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 label = part.column("toxic").to_numpy(zero_copy_only=False)
                 window, owner = distinct_windows(part.column("text"))
                 key, inverse = np.unique(window, return_inverse=True)
@@ -182,7 +184,7 @@ def window_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(tidy(run, True), "w long, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def corpus_table(docs: DataFrame, most: int = 1 << 22) -> DataFrame:
+def corpus_table(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
     """(g, n): for each n-gram of LOWEST bytes of all texts, the number of different bytes in front of it.
 
     Tasks send their distinct windows, ``most`` of them at a time; the table grows with the corpus.
@@ -191,7 +193,7 @@ def corpus_table(docs: DataFrame, most: int = 1 << 22) -> DataFrame:
     def run(batches):
         parts, total = [], 0
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 stream, ends = streams(part.column("text"))
                 parts.append(np.unique(windows_of(stream, ends, LOWEST + 1)))
                 total += len(parts[-1])
@@ -334,7 +336,7 @@ def with_features(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 x = scorer.features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), *(pa.array(c) for c in x.T)], names=["toxic", "a", "b", "c"])
 
@@ -374,7 +376,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, "_text", PIECE):
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scorer.scores(part.column("_text")))], names=names)
 
     return rows.mapInArrow(tidy(run, True), schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
