@@ -1,11 +1,14 @@
 """Toxicity by two class-conditional Kneser-Ney models over characters, with shared backoff counts.
 
-Each class has an interpolated model of six-byte windows: raw counts at the highest order, continuation
+Each class has an interpolated model of six-byte windows: occurrences at the highest order, continuation
 counts below. Under its lowest order lies one Kneser-Ney model of continuation counts over the whole
 corpus, kept as a table by n-gram that grows with it. Both classes share that model: where neither has
 seen an n-gram it is the same factor in both and leaves the ratio, so the ratios need its rows at the
-sample's n-grams only, and those are joined to it. A word's log-likelihood ratio sums over its bytes; rare
-and inflected expressions share the windows of their stems. A text is scored from its length-normalised ratios.
+sample's n-grams only, and those are joined to it.
+
+A toxic document is mostly ordinary words: under its model each word is toxic with probability ``MIXED``
+and ordinary otherwise. A text's score compares that likelihood with the ordinary one over its different
+words, length-normalised, and is calibrated on labelled texts that the counts behind it have not seen.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ from pyspark.sql import functions as F
 
 from framewright.llm.base import pieces, stored, text_column, tidy
 from framewright.llm.language import fold, symbols
-from framewright.llm.words import Table, lowered, mixed
+from framewright.llm.words import Table, hashes_between, lowered, mixed
 
 #: Bytes of the longest window, and of the shortest one that the classes count for themselves.
 ORDER, LOWEST = 6, 4
-DISCOUNT = 0.9
-#: A word speaks for itself from this log ratio on.
-OUTSTANDING = 3.0
+#: Discounts of the corpus model and of the classes; of a count below the discount nothing is left.
+SHARED_DISCOUNT, DISCOUNT = 0.9, 2.5
+#: Share of the words of a toxic document that its class's model makes, the rest are ordinary.
+MIXED = 0.01
+#: Parts of the labelled sample; each is scored by counts of the others for the calibration.
+PARTS = 4
 #: Bytes of text whose windows are held at a time.
 PIECE = 1 << 18
 _NO_KEY = np.uint64(2**64 - 1)
@@ -83,7 +89,7 @@ class Probed:
         step = np.arange(len(keys))
         slot = np.maximum.accumulate(home[order] - step) + step  # each at home or next to the one before
         size = max((1 << 64 - int(self.shift)), int(slot[-1]) + 1 if len(slot) else 0) + 1  # the last slot stays free
-        self.key, self.value = np.full(size, _NO_KEY), np.zeros(size, "f4")
+        self.key, self.value = np.full(size, _NO_KEY), np.zeros(size)
         self.key[slot], self.value[slot] = keys[order], values[order]
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +104,7 @@ class Probed:
             found = there == keys[open_at]
             hit[open_at[found]] = True
             open_at = open_at[~found & (there != _NO_KEY)]
-        return np.where(hit, self.value[slot], np.float32(0)), hit
+        return np.where(hit, self.value[slot], 0.0), hit
 
 
 class Scorer:
@@ -124,64 +130,66 @@ class Scorer:
         return out
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Per text: mean ratio a word, mean of what outstanding words exceed, and that over the root of the words.
+        """Per text: mean log ratio of its different words, and that times the root of their number.
 
-        Equal ratios of a text count once, so that a text that repeats itself is no more than what it repeats.
+        The ratio is of a toxic document's likelihood to an ordinary one's. A word counts where it first
+        stands, so that a text that repeats itself is no more than what it repeats. Nothing of a text
+        depends on its neighbours: windows, sums and words end at its borders.
         """
         stream, ends = streams(texts)
         if not len(stream):
-            return np.zeros((len(ends), 3))
+            return np.zeros((len(ends), 2))
         ratio = self.ratios(stream, ends)
-        last = np.flatnonzero((stream == 32) & (np.concatenate([[32], stream[:-1]]) != 32))  # the space after a word
-        running = np.concatenate([[0.0], np.cumsum(ratio, dtype="f8")])
-        first = np.concatenate([[-1], last[:-1]]) + 1
-        word = running[last + 1] - running[first]
-        owner = np.searchsorted(ends, last, side="right")
-        order = np.lexsort((word, owner))
-        word, owner = word[order], owner[order]
-        new = np.concatenate([[True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])])[: len(word)]
-        word, owner = word[new], owner[new]
-        over = np.maximum(word - OUTSTANDING, 0)
-        number = np.bincount(owner, minlength=len(ends))
-        stop = np.cumsum(number)
-        sums = [(s := np.concatenate([[0.0], np.cumsum(x)]))[stop] - s[stop - number] for x in (word, over)]
-        n = np.maximum(number, 1)
-        return np.stack([sums[0] / n, sums[1] / n, sums[1] / np.sqrt(n)], 1)
+        stop, start, owner = words_in(stream, ends)
+        name = hashes_between(stream, start, stop)
+        order = np.lexsort((start, name, owner))
+        new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (owner[order][1:] != owner[order][:-1])])[: len(order)]
+        first = np.sort(order[new])  # back in the order of the text
+        word = np.add.reduceat(np.append(ratio, 0.0), np.stack([start, stop + 1], 1).ravel())[::2] if len(start) else np.zeros(0)
+        word = np.log1p(MIXED * np.expm1(np.minimum(word[first], 30.0)))
+        number = np.bincount(owner[first], minlength=len(ends))
+        mean = np.bincount(owner[first], weights=word, minlength=len(ends)) / np.maximum(number, 1)
+        return np.stack([mean, mean * np.sqrt(number)], 1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Calibrated probability; a hundredth of it is the plain logistic, which orders equal steps."""
-        x = self.features(texts) @ np.array(self.weights[1:]) + self.weights[0]
+        x = linear(self.features(texts), self.weights)
         plain = 1 / (1 + np.exp(-np.clip(x, -40, 40)))
         return plain if self.steps is None else 0.99 * np.interp(x, *self.steps) + 0.01 * plain
 
 
-def distinct_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The different windows of each text and the text each belongs to."""
-    stream, ends = streams(texts)
-    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)).astype("u8")
-    pairs = np.unique(np.stack([owner, windows_of(stream, ends)], 1), axis=0) if len(stream) < 1000 else None
-    if pairs is None:
-        window = windows_of(stream, ends)
-        order = np.lexsort((window, owner))
-        window, owner = window[order], owner[order]
-        new = np.concatenate([[True], (window[1:] != window[:-1]) | (owner[1:] != owner[:-1])])
-        return window[new], owner[new].astype("i8")
-    return pairs[:, 1], pairs[:, 0].astype("i8")
+def words_in(stream: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: the space behind it, its first byte, and its text."""
+    space = stream == 32
+    before = np.concatenate([[True], space[:-1]])
+    stop, start = np.flatnonzero(space & ~before), np.flatnonzero(~space & before)
+    return stop, start, np.searchsorted(ends, stop, side="right")
+
+
+def linear(x: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
+    """Weighted sum of each row, in the same order for any number of rows."""
+    out = np.full(len(x), weights[0])
+    for k, w in enumerate(weights[1:]):
+        out = out + x[:, k] * w
+    return out
 
 
 def window_counts(sample: DataFrame) -> DataFrame:
-    """(w, n0, n1): in how many texts of each class a window occurs."""
+    """(w, c0, c1, ...): occurrences of each window in each part of the sample's ordinary texts, then of its toxic ones."""
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text", PIECE):
-                label = part.column("toxic").to_numpy(zero_copy_only=False)
-                window, owner = distinct_windows(part.column("text"))
-                key, inverse = np.unique(window, return_inverse=True)
-                n = [np.bincount(inverse[label[owner] == c], minlength=len(key)).astype("i8") for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), *map(pa.array, n)], names=["w", "n0", "n1"])
+            for piece in pieces(batch, "text", PIECE):
+                cell = piece.column("toxic").to_numpy(zero_copy_only=False) * PARTS + piece.column("part").to_numpy(zero_copy_only=False)
+                stream, ends = streams(piece.column("text"))
+                key, inverse = np.unique(windows_of(stream, ends), return_inverse=True)
+                whose = np.repeat(cell, np.diff(ends, prepend=0))
+                n = [np.bincount(inverse[whose == c], minlength=len(key)).astype("i8") for c in range(2 * PARTS)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), *map(pa.array, n)], names=["w", *(f"c{c}" for c in range(2 * PARTS))])
 
-    return sample.mapInArrow(tidy(run, True), "w long, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    names = [f"c{c}" for c in range(2 * PARTS)]
+    found = sample.mapInArrow(tidy(run, True), ", ".join(["w long", *(f"{c} long" for c in names)]))
+    return found.groupBy("w").agg(*(F.sum(c).cast("int").alias(c) for c in names))  # of a bounded sample
 
 
 def corpus_table(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
@@ -245,33 +253,39 @@ class Shared:
         for k in range(1, LOWEST + 1):
             gram = suffix(window, k)
             n, total, kinds = self.number[k](gram)[0], self.number[-k](gram >> np.uint64(8))[0], self.kinds[-k](gram >> np.uint64(8))[0]
-            p = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
+            p = np.where(total > 0, (np.maximum(n - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds * p) / np.maximum(total, 1), p)
         return p
 
 
-def train(window: np.ndarray, counts: np.ndarray, shared) -> Model:
-    """Log ratios of all windows and of all contexts' backoff weights by order, from class counts (2 x windows) and ``shared``."""
+def class_models(window: np.ndarray, counts: np.ndarray, shared) -> dict[int, tuple[np.ndarray, ...]]:
+    """Per order: sorted windows, both classes' probabilities of the last byte, contexts, and their backoff weights.
+
+    ``counts`` (2 x windows) are occurrences at the highest order; lower orders count the different bytes in
+    front. ``shared`` gives the probabilities below the classes' lowest order.
+    """
     grams, number = {ORDER: (window, counts.astype("f8"))}, counts
-    for order in range(ORDER - 1, LOWEST - 1, -1):  # continuation counts: different bytes in front
+    for order in range(ORDER - 1, LOWEST - 1, -1):
         above, number = grams[order + 1]
         low, inverse = np.unique(suffix(above, order), return_inverse=True)
         grams[order] = (low, np.stack([np.bincount(inverse, weights=(number[c] > 0).astype("f8"), minlength=len(low)) for c in (0, 1)]))
-    windows, contexts, below = {}, {}, None
+    out, below = {}, None
     for order in range(LOWEST, ORDER + 1):
         key, number = grams[order]
         context, inverse = np.unique(key >> np.uint64(8), return_inverse=True)
         total = np.stack([np.bincount(inverse, weights=number[c], minlength=len(context)) for c in (0, 1)])
-        kinds = np.stack([np.bincount(inverse, weights=np.minimum(number[c], DISCOUNT), minlength=len(context)) for c in (0, 1)])
-        if below is None:
-            lower = np.broadcast_to(shared(key), number.shape)
-        else:
-            lower = below[1][:, np.searchsorted(below[0], suffix(key, order - 1))]
-        left = np.where(total > 0, kinds / np.maximum(total, 1), 1.0)  # a context that a class lacks leaves all to the next order
+        taken = np.stack([np.bincount(inverse, weights=np.minimum(number[c], DISCOUNT), minlength=len(context)) for c in (0, 1)])
+        lower = np.broadcast_to(shared(key), number.shape) if below is None else below[1][:, np.searchsorted(below[0], suffix(key, order - 1))]
+        left = np.where(total > 0, taken / np.maximum(total, 1), 1.0)  # a context that a class lacks leaves all to the next order
         p = np.maximum(number - DISCOUNT, 0) / np.maximum(total, 1)[:, inverse] + left[:, inverse] * lower
         below = (key, p)
-        windows[order] = (key, np.log(p[1] / p[0]).astype("f4"))
-        contexts[order] = (context, np.log(left[1] / left[0]).astype("f4"))
-    return Model(windows, contexts)
+        out[order] = (key, p, context, left)
+    return out
+
+
+def train(window: np.ndarray, counts: np.ndarray, shared) -> Model:
+    """Log ratios of all windows and of all contexts' backoff weights by order, from class counts (2 x windows) and ``shared``."""
+    levels = class_models(window, counts, shared)
+    return Model({k: (key, np.log(p[1] / p[0])) for k, (key, p, _, _) in levels.items()}, {k: (context, np.log(left[1] / left[0])) for k, (_, _, context, left) in levels.items()})
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,28 +323,26 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, prior: float) -> None:
     model.weights = calibrated(x, y, prior)
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        model.steps = monotone(x @ np.array(model.weights[1:]) + model.weights[0], y, weight)
+        model.steps = monotone(linear(x, model.weights), y, weight)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(toxic, part, text) of as many labelled documents of either class, at most ``per_class``.
+    """(toxic, part, text) of at most ``per_class`` labelled documents of each class.
 
-    As many of each, since a class's evidence grows with its sample. Those with the least hash of the
-    id are taken; part 3 of 4 (by another hash) is for calibration, and copies of a text teach once.
-    Contradicting labels of one id, and null labels, teach nothing.
+    Those with the least hash of the id are taken, all of a class that has no more; they fall into
+    ``PARTS`` parts by another hash, and copies of a text teach once. Contradicting labels of one id, and
+    null labels, teach nothing.
     """
-    one = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_top")).where("toxic = _top").drop("_top")
-    sizes = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    most = min(per_class, sizes.get(0, 0), sizes.get(1, 0))
-    first = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]  # the best of each task's best
+    one = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("_top")).where("toxic = _top").drop("_top")
+    first = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]  # the best of each task's best
     chosen = first[0].unionByName(first[1]).select("doc_id", "toxic")  # at most 2 * per_class rows
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    picked = docs.select("doc_id", text_column().alias("text")).join(F.broadcast(chosen), "doc_id")
     once = picked.groupBy("toxic", F.xxhash64("text").alias("_h")).agg(F.min(F.struct("doc_id", "text")).alias("_d")).select("toxic", "_d.*")
-    return once.select("toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).cast("int").alias("part"), text_column().alias("text"))
+    return once.select("toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(PARTS)).cast("int").alias("part"), "text")
 
 
 def with_features(docs: DataFrame, model: Model) -> DataFrame:
-    """(toxic, x) of the calibration texts."""
+    """(toxic, a, b): label and features of each of ``docs(toxic, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -338,31 +350,44 @@ def with_features(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 x = scorer.features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), *(pa.array(c) for c in x.T)], names=["toxic", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), *(pa.array(c) for c in x.T)], names=["toxic", "a", "b"])
 
-    return docs.select("toxic", "text").mapInArrow(tidy(run, True), "toxic int, a double, b double, c double")
+    return docs.select("toxic", "text").mapInArrow(tidy(run, True), "toxic int, a double, b double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int = 5000) -> Model:
     """Learn from ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; ``corpus`` has all texts.
 
-    The classifier sees at most ``per_class`` labelled documents of each class (three quarters for the
-    counts, the rest for calibration); the shared backoff model counts every text of ``corpus``.
-    Without documents of both classes every text scores the share of toxic labels, 0.5 if there is none.
+    The classifier sees at most ``per_class`` labelled documents of each class; the shared backoff model
+    counts every text of ``corpus``. For the calibration each part of the sample gets features from
+    a model of the other parts; the scores come from a model of all. Both classes weigh alike in it, so
+    a score is the share that the text's evidence gives to the toxic class. Where a class has no
+    document every score is the share of toxic labels (0.5 without labels), within 0.01 and 0.99.
     """
     sample = stored(labelled_sample(docs, labels, per_class), "toxic-sample")
-    counted = stored(window_counts(sample.where("part < 3")), "toxic-windows")
+    counted = stored(window_counts(sample), "toxic-windows")
     table = stored(corpus_table(corpus), "corpus-ngrams")
     got = shared_rows(table, counted).toArrow()
     shared = Shared(*(got[c].to_numpy() for c in ("k", "key", "n", "kinds")))
-    got = counted.toArrow()
+    got = counted.toArrow()  # windows of at most 2 * per_class texts
     key = got["w"].to_numpy().view("u8")
     order = np.argsort(key)
-    model = train(key[order], np.stack([got[c].to_numpy()[order] for c in ("n0", "n1")]), shared)
+    key, cells = key[order], [got[f"c{c}"].to_numpy()[order] for c in range(2 * PARTS)]
+    del got
+
+    def trained(left_out: int | None) -> Model:
+        counts = np.stack([sum(cells[c * PARTS + p] for p in range(PARTS) if p != left_out) for c in (0, 1)])
+        some = counts.any(0)
+        return train(key[some], counts[:, some], shared)
+
     share = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
     prior = min(max(share if share is not None else 0.5, 0.01), 0.99)
-    held = with_features(sample.where("part = 3"), model).toArrow()
-    calibrate(model, np.column_stack([held[c].to_numpy() for c in "abc"]), held["toxic"].to_numpy().astype("f8"), prior)
+    model = trained(None)
+    held = [with_features(sample.where(F.col("part") == p), trained(p)).toArrow() for p in range(PARTS)]
+    x, y = (np.concatenate([np.column_stack([h[c].to_numpy() for c in names]) for h in held]) for names in ("ab", ["toxic"]))
+    y = y[:, 0].astype("f8")
+    order = np.lexsort((y, *x.T))  # sums do not depend on how the rows were dealt
+    calibrate(model, x[order], y[order], 0.5 if 0 < y.sum() < len(y) else prior)
     return model
 
 
@@ -383,7 +408,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    """Toxicity of every document, learnt from the labels outside the held-out fold.
+
+    Rows are scored each by its own whole text, however long; equal texts have equal scores. A null text is
+    an empty one; a text without a word has no evidence and gets the score of mean ratio 0. Labels that
+    are null, of no document, or contradict each other teach nothing; a null doc_id is in no label.
+    """
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs.where(fold(3) != 1).select("doc_id", "text"), labels.where(fold(3) != 1).select("doc_id", "toxic"), docs.select("text"))
     found = score(docs.select("doc_id", "text"), model, ["doc_id"])

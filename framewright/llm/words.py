@@ -50,12 +50,17 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate([[False], _IN_WORD[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, stop = edges[::2], edges[1::2]
+    counts = np.diff(np.searchsorted(start, ends), prepend=0)
+    return hashes_between(raw, start, stop), counts
+
+
+def hashes_between(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its stop; equal bytes have equal hashes wherever they lie."""
     power, inverse = _power_tables(len(raw) + 1)
     running = np.zeros(len(raw) + 1, "u8")
     np.cumsum((raw.astype("u8") + np.uint64(1)) * power[:-1], out=running[1:])
     value = (running[stop] - running[start]) * inverse[start]
-    counts = np.diff(np.searchsorted(start, ends), prepend=0)
-    return mixed(value ^ ((stop - start).astype("u8") << np.uint64(56))), counts
+    return mixed(value ^ ((stop - start).astype("u8") << np.uint64(56)))
 
 
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:

@@ -7,10 +7,10 @@ import numpy as np
 import pyarrow as pa
 
 from framewright.llm import language, toxicity
-from framewright.llm.toxicity import DISCOUNT, LOWEST, ORDER
+from framewright.llm.toxicity import DISCOUNT, LOWEST, ORDER, PARTS, SHARED_DISCOUNT
 
 CLEAN = ["the pen and the inn", "an inn then", "tea on the table é"]
-TOXIC = ["the zugga and zugmo", "zugti then", "an old zugga"]
+TOXIC = ["the zugga and zugmo", "zugti then", "an old zugga, an old zugga, an old zugga"]
 OTHER = ["the quick brown fox 7 zugpe", "日本 the inn", "xylophone zuggamo", ""]
 
 
@@ -26,11 +26,11 @@ def continuations(longer):
     return out
 
 
-def interpolated(counts, gram, lower):
+def interpolated(counts, gram, lower, discount=DISCOUNT):
     context = [n for g, n in counts.items() if g[:-1] == gram[:-1] and n]
     if not context:
         return lower
-    return (max(counts.get(gram, 0) - DISCOUNT, 0) + DISCOUNT * len(context) * lower) / sum(context)
+    return (max(counts.get(gram, 0) - discount, 0) + sum(min(n, discount) for n in context) * lower) / sum(context)
 
 
 class Plain:
@@ -44,7 +44,7 @@ class Plain:
         for texts in classes:
             top = defaultdict(int)
             for t in texts:
-                for g in set(grams(t, ORDER)):
+                for g in grams(t, ORDER):
                     top[g] += 1
             levels = {ORDER: top}
             for k in range(ORDER - 1, LOWEST - 1, -1):
@@ -54,29 +54,45 @@ class Plain:
     def background(self, gram):
         p = 1 / 256
         for k in range(1, LOWEST + 1):
-            p = interpolated(self.shared[k], gram[-k:], p)
+            p = interpolated(self.shared[k], gram[-k:], p, SHARED_DISCOUNT)
         return p
 
-    def ratio(self, gram):
+    def both(self, gram):
         p = [self.background(gram)] * 2
         for k in range(LOWEST, ORDER + 1):
             p = [interpolated(self.own[c][k], gram[-k:], p[c]) for c in (0, 1)]
+        return p
+
+    def ratio(self, gram):
+        p = self.both(gram)
         return math.log(p[1] / p[0])
 
+    def feature(self, text):
+        """Mean over the different words of the log ratio, each word taken where it first stands."""
+        own = b" " * (ORDER - 1) + b" " + language.symbols(text.lower().encode()).tobytes() + b" "
+        found, at = {}, ORDER - 1
+        for word in own[ORDER - 1 :].split(b" ")[:-1]:
+            stop = at + len(word)
+            if word and word not in found:
+                found[word] = sum(self.ratio(own[i - ORDER + 1 : i + 1]) for i in range(at, stop + 1))
+            at = stop + 1
+        return sum(math.log(1 - toxicity.MIXED + toxicity.MIXED * math.exp(w)) for w in found.values()) / max(1, len(found))
+
 
 def trained(spark):
     rows = [(i, t, c) for i, (t, c) in enumerate([(t, 0) for t in CLEAN] + [(t, 1) for t in TOXIC])]
-    sample = spark.createDataFrame([(c, t) for _, t, c in rows], "toxic int, text string")
+    sample = spark.createDataFrame([(c, i % PARTS, t) for i, t, c in rows], "toxic int, part int, text string")
     corpus = spark.createDataFrame([(t,) for t in CLEAN + TOXIC + OTHER], "text string").repartition(3)
     counted, table = toxicity.window_counts(sample), toxicity.corpus_table(corpus)
     got = toxicity.shared_rows(table, counted).toArrow()
     shared = toxicity.Shared(*(got[c].to_numpy() for c in ("k", "key", "n", "kinds")))
     w = counted.orderBy("w").toPandas()
-    return table, shared, toxicity.train(w.w.to_numpy().view("u8"), np.stack([w.n0, w.n1]), shared), w
+    counts = np.stack([sum(w[f"c{c * PARTS + p}"] for p in range(PARTS)) for c in (0, 1)])
+    return table, shared, toxicity.train(w.w.to_numpy().view("u8"), counts, shared), w, counts
 
 
 def test_corpus_table_counts_every_text(spark):
-    table, shared, _, w = trained(spark)
+    table, shared, _, w, _ = trained(spark)
     plain = Plain((CLEAN, TOXIC), CLEAN + TOXIC + OTHER)
     assert {int(r.g).to_bytes(LOWEST): r.n for r in table.collect()} == dict(plain.shared[LOWEST])
     assert {r.g for r in table.collect()} - {int(x) & (1 << 8 * LOWEST) - 1 for x in w.w}  # also what no labelled text has
@@ -90,7 +106,42 @@ def test_ratios_are_those_of_the_interpolated_models(spark):
     texts = CLEAN + TOXIC + OTHER + ["the zugger", "zen", "z"]
     stream, ends = toxicity.streams(pa.array(texts))
     want = [plain.ratio(g) for t in texts for g in grams(t, ORDER)]
-    assert np.allclose(toxicity.Scorer(model).ratios(stream, ends), want, atol=1e-5)
+    assert np.allclose(toxicity.Scorer(model).ratios(stream, ends), want, rtol=0, atol=1e-9)
+    features = toxicity.Scorer(model).features(pa.array(texts))
+    assert np.allclose(features[:, 0], [plain.feature(t) for t in texts], rtol=0, atol=1e-9)
+
+
+def test_models_sum_to_one(spark):
+    _, shared, _, w, counts = trained(spark)
+    plain = Plain((CLEAN, TOXIC), CLEAN + TOXIC + OTHER)
+    for gram in [g for t in ["an old zuggo", "thé"] for g in grams(t, ORDER)]:
+        assert np.allclose(np.sum([plain.both(gram[:-1] + bytes([b])) for b in range(256)], 0), 1)
+    models = toxicity.class_models(w.w.to_numpy().view("u8"), counts, shared)
+    for order, (key, p, context, left) in models.items():
+        for i, name in enumerate(context.tolist()[::3]):
+            own = np.flatnonzero(key >> np.uint64(8) == np.uint64(name))
+            seen = {int(key[j]) & 255: j for j in own}
+            for c in (0, 1):
+                rest = 0.0
+                for b in set(range(256)) - set(seen):
+                    q = plain.background(((name << 8) + b).to_bytes(order)[-LOWEST:])
+                    for k in range(LOWEST, order):
+                        q = interpolated(plain.own[c][k], ((name << 8) + b).to_bytes(order)[-k:], q)
+                    rest += left[c][3 * i] * q
+                assert abs(p[c][own].sum() + rest - 1) < 1e-9
+
+
+def test_a_text_is_scored_by_itself(spark):
+    model = trained(spark)[2]
+    model.weights, model.steps = (-1.0, 3.0, 2.0), (np.array([-2.0, 0.0, 1.0]), np.array([0.0, 0.3, 1.0]))
+    rng = np.random.default_rng(3)
+    words = "the zugga and zugmo zugti then an old zugger inn tea é 日本 ! 7 it".split()
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) + rng.choice(["", " ", "  ! "]) for _ in range(300)] + ["", " ", None, " zugga", "z", "."]
+    scorer = toxicity.Scorer(model)
+    alone = np.array([scorer.scores(pa.array([t], pa.string()))[0] for t in texts])
+    for order in (np.arange(len(texts)), rng.permutation(len(texts)), rng.permutation(len(texts))):
+        got = scorer.scores(pa.array([texts[i] for i in order], pa.string()))
+        assert (got == alone[order]).all()
 
 
 def test_no_window_is_lost():
