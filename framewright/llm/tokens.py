@@ -35,7 +35,8 @@ class Encoder(dict):
 
     The text is split with the vocabulary's own pattern; each distinct pretoken goes through the
     library's model once and is then kept, up to ``most`` pretokens, after which the memory starts
-    anew. Texts with characters outside a proven range go through the library as a whole.
+    anew. Texts with characters outside a proven range, or with the string of an added token (which the
+    library makes one id by default), go through the library as a whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -44,7 +45,8 @@ class Encoder(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.whole_only = re.compile("|".join([UNSURE.pattern, *added]), re.IGNORECASE if added else 0)
         self.model, self.most = self.whole.model, most
         self.lower = self.whole.normalizer is not None
         self.split = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
@@ -60,7 +62,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if UNSURE.search(text):
+        if self.whole_only.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, self.split(text.lower() if self.lower else text)))
 

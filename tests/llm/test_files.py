@@ -11,6 +11,7 @@ from framewright.llm import media, token_files, warc
 from framewright.llm.base import new_folder
 from framewright.llm.tokens import encoder, tokenizer_path
 
+ADDED = ["hello <|endoftext|> world", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "a<|endoftext|>", " <|endoftext|>b", "<|endoftext", "12<|startoftext|>'s"]
 LONG = "naïve wörd, it's 12 o'clock \t\n" * 3000
 TEXTS = ["", None, " ", "a", LONG, "it's  we'll 'tis 'S\n\n x", "日本語 mixed ﬀ İstanbul <|endoftext|>", "a", "tab\tnew\r\n  end  "]
 
@@ -25,7 +26,6 @@ def test_encoder_equals_the_library(name):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path(name))
-    whole.encode_special_tokens = True
     own = encoder(tokenizer_path(name), 50)  # so few that the memory starts anew within a text
     for text in [t or "" for t in TEXTS] + ["x'sy 've'll ''s 's 't's", "¡Ñandú! ½ ² ª º µ", " nb sp", "é combining", "ǅ Ǆ ɏ"]:
         ids = np.frombuffer(own.encode(text), "<u4").tolist()
@@ -115,4 +115,5 @@ def test_sequences_keep_positions_and_captions(spark):
     pages = spark.createDataFrame([(1, html), (2, None), (3, "<img src=sha256:cd>"), (3, "<img src=sha256:cd>")], "page long, html string")
     store = spark.createDataFrame([("ab", b"1"), ("cd", b"2"), ("ef", b"3")], "digest string, payload binary")
     found = media.resolve(media.interleaved(pages, "page", "html"), store, "page")
-    assert sorted((r.page, r.position, bytes(r.payload), r.caption) for r in found.collect()) == sorted([(1, 1, b"1", "cap & c"), (1, 3, b"2", "x"), (3, 0, b"2", None), (3, 0, b"2", None)], key=str) or found.count() == 4
+    got = sorted((r.page, r.position, bytes(r.payload), r.caption) for r in found.collect() if r.payload is not None)
+    assert got == [(1, 1, b"1", "cap & c"), (1, 3, b"2", "x"), (3, 0, b"2", None), (3, 0, b"2", None)]
