@@ -6,8 +6,8 @@ bit at or above its length. When a new bin would exceed the bound, the fullest o
 
 from __future__ import annotations
 
-import uuid
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -26,11 +26,9 @@ class BestFit:
         self.capacity, self.most, self.next = capacity, open_bins, first
         self.bits, self.open = 0, 0
         self.by_free: dict[int, list[int]] = defaultdict(list)
-        self.closed: list[int] = []
 
     def _put(self, bin_id: int, free: int) -> None:
         if free == 0:
-            self.closed.append(bin_id)
             return
         self.by_free[free].append(bin_id)
         self.bits |= 1 << free
@@ -53,7 +51,7 @@ class BestFit:
         else:
             if self.open >= self.most:
                 fullest = (self.bits & -self.bits).bit_length() - 1
-                self.closed.append(self._take(fullest))
+                self._take(fullest)
             bin_id, free = self.next, self.capacity
             self.next += 1
         self._put(bin_id, free - length)
@@ -63,75 +61,110 @@ class BestFit:
         return {b for held in self.by_free.values() for b in held}
 
 
-PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("task", pa.int64()), ("done", pa.bool_())])
-PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, task long, done boolean"
+PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")] + [("done", pa.bool_())])
+PIECE_DDL = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long, done boolean"
 
 
-def _rows_out(rows: list[list], packer: BestFit, task: int) -> pa.RecordBatch:
-    undone = packer.still_open()
-    cols = list(map(list, zip(*rows, strict=True))) if rows else [[] for _ in range(7)]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*cols, [task] * len(rows), [b not in undone for b in cols[5]]], PIECE, strict=True)], schema=PIECE)
+class Placed:
+    """Rows of placed pieces, 64 bytes each; those whose bin has closed leave, the others wait."""
+
+    def __init__(self, packer: BestFit):
+        self.packer, self.next_flush = packer, 1 << 16
+        self.columns = [array("q") for _ in range(7)]
+        self.null = array("b")
+
+    def add(self, doc: int | None, piece: int, start: int, length: int, crc: int) -> None:
+        for column, value in zip(self.columns, (doc or 0, piece, start, length, crc, *self.packer.add(length)), strict=True):
+            column.append(value)
+        self.null.append(doc is None)
+
+    def full(self) -> bool:
+        return len(self.null) >= self.next_flush
+
+    def flush(self, last: bool = False) -> pa.RecordBatch:
+        """The rows of closed bins; the ``last`` time all rows."""
+        rows, null = [np.frombuffer(c, "i8") for c in self.columns], np.frombuffer(self.null, "i1").astype(bool)
+        done = ~np.isin(rows[5], np.fromiter(self.packer.still_open(), "i8"))
+        go = done | last
+        out = [pa.array(rows[0][go], mask=null[go]), *(pa.array(c[go]) for c in rows[1:]), pa.array(done[go])]
+        self.columns = [array("q", c[~go].tobytes()) for c in rows]
+        self.null = array("b", null[~go].astype("i1").tobytes())
+        self.next_flush = 2 * len(self.null) + (1 << 16)
+        return pa.RecordBatch.from_arrays(out, schema=PIECE)
+
+
+def _placed(rows, level: int, capacity: int, open_bins: int):
+    """Pack a task's pieces (doc_id, piece, start, length, ids_crc32) as they stream by.
+
+    A sequence is named by the round, the task and the bin, so that names differ and a retry keeps them.
+    """
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
+    if level >= 1 << 5 or task >= 1 << 24:
+        raise ValueError("too many rounds or partitions for the names of sequences")
+    placed = Placed(BestFit(capacity, open_bins, (level << 58) | (task << 34)))
+    for row in rows:
+        placed.add(*row)
+        if placed.full():
+            yield placed.flush()
+    yield placed.flush(True)
 
 
 def encode_and_pack(docs: DataFrame, path: str, end_id: int, capacity: int, open_bins: int) -> DataFrame:
     """Encode each document, cut those over ``capacity``, and pack each partition as it streams by."""
 
     def run(batches):
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
-        task = uuid.uuid4().int >> 80
-        packer, rows, width = BestFit(capacity, open_bins), [], 4 * capacity
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = encode(text) + end
-                    for k, at in enumerate(range(0, len(ids), width)):
-                        cut = ids[at : at + width]
-                        rows.append([doc, k, at // 4, len(cut) // 4, zlib.crc32(cut), *packer.add(len(cut) // 4)])
-        yield _rows_out(rows, packer, task)
+        encode, end, width = encoder(path).encode, np.array([end_id], "<u4").tobytes(), 4 * capacity
+
+        def rows():
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                        ids = encode(text) + end
+                        for k, at in enumerate(range(0, len(ids), width)):
+                            cut = ids[at : at + width]
+                            yield doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)
+
+        yield from _placed(rows(), 0, capacity, open_bins)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(tidy(run), PIECE_DDL)
 
 
-def repack(rows: DataFrame, tasks: int, capacity: int, open_bins: int) -> DataFrame:
-    """Pack the pieces of bins that were still open once more, in ``tasks`` streams."""
+def repack(rows: DataFrame, level: int, capacity: int, open_bins: int) -> DataFrame:
+    """Pack the pieces of bins that were still open once more, one packer a partition."""
 
     def run(batches):
-        packer, out, task = BestFit(capacity, open_bins), [], uuid.uuid4().int >> 80
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "start", "length", "ids_crc32")), strict=True):
-                out.append([*row, *packer.add(row[3])])
-        yield _rows_out(out, packer, task)
+        columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+        yield from _placed((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)), level, capacity, open_bins)
 
-    dealt = rows.repartition(tasks, F.xxhash64("doc_id", "piece")) if tasks > 1 else rows.coalesce(1)
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(tidy(run), PIECE_DDL)
+    return rows.mapInArrow(tidy(run), PIECE_DDL)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 128, fan_in: int = 16, least: int = 20_000) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 256, fan_in: int = 16) -> DataFrame:
     """Pack all documents of ``docs(doc_id, text)`` into sequences of at most ``capacity`` tokens.
 
-    Every partition packs its own stream with ``open_bins`` open bins. The pieces of bins that were
-    still open at a partition's end go to ever fewer packers, ``fan_in`` times fewer rows a round, until at most
-    ``least`` pieces are left, which one packer takes; what a packer holds never exceeds its share.
-    Null or empty texts are one end token. Rows with equal doc_id are packed as separate documents.
+    Every partition packs its own stream with ``open_bins`` open bins. The pieces of bins that are
+    still open at a partition's end go to other packers, each of which takes ``fan_in`` times the tokens
+    that it can leave open; so every round leaves ``fan_in`` times fewer, until one packer takes the rest,
+    longest first and with as many open bins as that rest can need.
+    Null or empty texts are one end token. Rows with equal or null doc_id are packed as separate
+    documents. A packer holds the pieces of its open bins only, however long a text or many the rows.
     Returns a row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
+    share = fan_in * open_bins * capacity
     packed = stored(encode_and_pack(docs, path, end_id, capacity, open_bins), "packed")
-    done = packed.where("done")
-    open_rows = packed.where("not done")
-    count = open_rows.count()
-    while count:
-        tasks = max(1, -(-count // least))
-        again = stored(repack(open_rows, tasks, capacity, open_bins), "repacked")
+    done, level = packed.where("done"), 0
+    while tokens := packed.where("not done").agg(F.sum("length")).first()[0]:
+        level, tasks = level + 1, -(-tokens // share)
+        rest = packed.where("not done")
         if tasks == 1:
-            done = done.unionByName(again)
-            break
-        done = done.unionByName(again.where("done"))
-        open_rows, before = again.where("not done"), count
-        count = open_rows.count()
-        if count > before // 2:  # bins of few pieces: merge them as they are, no further round helps
-            done = done.unionByName(open_rows)
+            one = rest.coalesce(1).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+            done = done.unionByName(stored(repack(one, level, capacity, 2 * fan_in * open_bins), "repacked"))
             break
-    return done.select("doc_id", "piece", "start", "length", "ids_crc32", F.xxhash64("task", "bin").alias("sequence_id"), "offset")
+        packed = stored(repack(rest.repartition(tasks), level, capacity, open_bins), "repacked")
+        done = done.unionByName(packed.where("done"))
+    return done.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
