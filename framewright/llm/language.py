@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from framewright.llm.base import held, pieces, text_column, tidy
 from framewright.llm.words import lowered
 
-#: A language's share of the sample, however many there are.
-LEAST_BYTES = 64
 ASCII_LETTER, LETTER = re.compile("[A-Za-z]"), regex.compile(r"\p{L}")
 
 
@@ -95,20 +93,26 @@ class CrossParser:
 
         Long texts are parsed in chunks of ``chunk`` symbols, all of them; a phrase ends with its chunk.
         """
+        total, sizes, _ = self.parsed(texts)
+        return total, sizes
+
+    def parsed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``phrases``, and how many of each text's symbols the samples have at all."""
         data, ends = lowered(texts)
-        coded, owner, sizes = [], [], []
+        coded, owner, sizes, known = [], [], [], []
         at = 0
         for i, end in enumerate(ends.tolist()):
             own = self.code[symbols(data[at:end])]
             at = end + 1
             sizes.append(len(own))
+            known.append(int((own < self.width - 1).sum()))
             for k in range(0, len(own), self.chunk):
                 coded.append(own[k : k + self.chunk])
                 owner.append(i)
         n = len(self.languages)
         total = np.zeros((len(ends), n))
         if not coded or not n:
-            return total, np.array(sizes)
+            return total, np.array(sizes), np.array(known)
         length = np.array([len(x) for x in coded])
         order = np.argsort(-length, kind="stable")
         length = length[order]
@@ -132,76 +136,74 @@ class CrossParser:
             state[:, :m] = to
         count += state != root
         np.add.at(total, np.array(owner)[order], count.T)
-        return total, np.array(sizes)
+        return total, np.array(sizes), np.array(known)
 
 
 def parser_of(samples: dict[str, bytes]) -> CrossParser:
     return held("parser", tuple(sorted(samples.items())), lambda: CrossParser(samples))
 
 
-def labelled_samples(docs: DataFrame, per_language: int = 64, shortest: int = 200, longest: int = 8192, most_bytes: int = 40_000, all_bytes: int = 400_000) -> dict[str, bytes]:
-    """Text of each language to learn from: at most ``most_bytes`` of at most ``per_language`` texts.
-
-    Every language that a row with a text has is learnt. All together take at most ``all_bytes``, equal
-    shares, but ``LEAST_BYTES`` a language at least.
+def labelled_samples(docs: DataFrame, per_language: int = 16, shortest: int = 200, longest: int = 8192, most_bytes: int = 40_000, all_bytes: int = 400_000) -> dict[str, bytes]:
+    """Text of each language to learn from: whole texts, at most ``per_language`` of them.
 
-    ``docs(text, lang)`` are the rows that may be learnt from. Of the distinct texts between ``shortest``
-    and ``longest`` characters those with the least hashes are taken; what a language lacks of them is
-    taken from shorter texts, then from the starts of longer ones. Null languages and empty texts teach nothing.
+    ``docs(text, lang)`` are the rows that may be learnt from. Every language that a row with a text has is
+    learnt. Its distinct texts between ``shortest`` and ``longest`` characters teach first, then shorter ones,
+    both by least hash, then longer ones from the shortest on; no further text is taken once they
+    have ``most_bytes`` bytes, or the language's equal share of ``all_bytes`` if that is less (``longest``
+    is then no more than the share). Null languages and null or empty texts teach nothing.
     """
     rows = docs.where("lang is not null and text is not null").where(F.length("text") > 0)
-    most_bytes = min(most_bytes, max(LEAST_BYTES, all_bytes // max(1, rows.select("lang").distinct().count())))
-    size, start = F.length("text"), F.substring("text", 1, most_bytes)  # no text gives more
-    rows = rows.select("lang", start.alias("text"), F.when(size > longest, 2).when(size < shortest, 1).otherwise(0).alias("short"), F.xxhash64("text").alias("h"))
-    keys = rows.groupBy("lang", "short", "h").agg(F.lit(1).alias("one")).drop("one")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("short", "h"))
-    chosen = keys.withColumn("_n", rank).where(F.col("_n") <= per_language).drop("_n")  # a bounded number a language
-    picked = rows.join(F.broadcast(chosen), ["lang", "short", "h"]).groupBy("lang", "short", "h").agg(F.first("text").alias("text"))
+    languages = rows.select("lang").distinct().count()
+    share = min(most_bytes, max(1, all_bytes // max(1, languages)))
+    longest = min(longest, max(shortest, share))
+    chars = F.length("text")
+    rows = rows.select("lang", "text", F.when(chars > longest, 2).when(chars < shortest, 1).otherwise(0).alias("kind"), F.xxhash64("text").alias("h"))
+    keys = rows.groupBy("lang", "kind", "h").agg(F.max(F.octet_length("text")).alias("bytes"))
+    # Twice as many of the least hashes as can be needed go on, so that no language gathers in one task.
+    sizes = rows.groupBy("lang", "kind").agg(F.approx_count_distinct("h").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # three rows a language
+    limits = sizes.withColumn("before", before).where(F.col("before") < 2 * per_language).select("lang", "kind", (F.least(F.lit(1.0), 4.0 * per_language / F.col("n")) * 2.0**64 - 2.0**63).alias("limit"))
+    few = keys.join(F.broadcast(limits) if languages <= 100_000 else limits, ["lang", "kind"]).where(F.col("h") <= F.col("limit"))
+    order = Window.partitionBy("lang").orderBy("kind", F.when(F.col("kind") == 2, F.col("bytes")).otherwise(0), "h")
+    ranked = few.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes"))
+    chosen = ranked.where((F.col("n") <= per_language) & (F.col("before") < share)).select("lang", "kind", "h", "n")  # a bounded number a language
+    picked = rows.join(F.broadcast(chosen), ["lang", "kind", "h"]).groupBy("lang", "n").agg(F.first("text").alias("text"))
     texts: dict[str, list] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.short, r.h)):
-        texts.setdefault(r.lang, []).append(r.text)
-    out = {}
-    for lang, own in texts.items():
-        share = max(512, most_bytes // len(own))
-        low = [t.lower().encode() for t in own]
-        rest = most_bytes - sum(min(len(x), share) for x in low)
-        parts = []
-        for x in low:  # an equal share of each text, and what others leave
-            more = min(max(0, len(x) - share), max(0, rest))
-            parts.append(x[: share + more])
-            rest -= more
-        out[lang] = b"\n".join(parts)[:most_bytes]
-    return out
-
-
-PREDICTION = "lang_pred string, score double, phrase_length double"
-
-
-def predictions(texts: pa.Array, parser: CrossParser) -> tuple[list, list, list]:
-    """Language, margin and mean phrase length of each text; ``und`` without a letter or a language."""
-    count, size = parser.phrases(texts)
-    names, scores, lengths = [], [], []
+    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.n)):
+        texts.setdefault(r.lang, []).append(r.text.lower().encode())
+    return {lang: b"\n".join(own) for lang, own in texts.items()}
+
+
+PREDICTION = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("phrase_length", pa.float64()), ("symbols", pa.int64()), ("known", pa.int64())])
+PREDICTION_DDL = "lang_pred string, score double, phrase_length double, symbols long, known long"
+
+
+def predictions(texts: pa.Array, parser: CrossParser) -> list[list]:
+    """Language, margin, mean phrase length, symbols and known symbols of each text; ``und`` without a letter or a language."""
+    count, size, known = parser.parsed(texts)
+    rows = []
     cost = count * parser.bits if parser.languages else count
     best = cost.argmin(1) if parser.languages else None
     for i, text in enumerate(texts.to_pylist()):
         if not parser.languages or not text or not (ASCII_LETTER.search(text) or LETTER.search(text)):
-            names.append("und")
-            scores.append(0.0)
-            lengths.append(0.0)
+            rows.append(("und", 0.0, 0.0, int(size[i]), int(known[i])))
             continue
         order = np.sort(cost[i])
-        names.append(parser.languages[best[i]])
-        scores.append(float(1 - order[0] / order[1]) if len(order) > 1 and order[1] > 0 else float(len(order) == 1))
-        lengths.append(float(size[i] / max(1, count[i, best[i]])))
-    return names, scores, lengths
+        margin = float(1 - order[0] / order[1]) if len(order) > 1 and order[1] > 0 else float(len(order) == 1)
+        rows.append((parser.languages[best[i]], margin, float(size[i] / max(1, count[i, best[i]])), int(size[i]), int(known[i])))
+    return list(map(list, zip(*rows, strict=True)))
 
 
-def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "phrase_length")) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with the language, score (margin of the best over the next) and mean phrase length.
+def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], names: dict[str, str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the PREDICTION columns, renamed by ``names``.
 
-    Only ``text`` is looked at. A null text, or one without a letter, is ``und`` with score 0.
+    These are the language, the margin of the best over the next (score), the mean phrase length, the
+    number of symbols and of those that the samples have.
+    Only ``text`` is looked at, whole, each row by itself: equal texts have equal results and repeated rows stay.
+    A null text, or one without a letter, is ``und`` with score 0, as is every text if no language is
+    learnt. Languages that need equally many normalised phrases: the first by name wins, with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by languages times most_bytes
+    shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by the rows that teach
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], text_column().alias("_text"))
     head = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
@@ -209,17 +211,16 @@ def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], names:
         parser = parser_of(shared.value)
         for batch in batches:
             for part in pieces(batch, "_text"):
-                made = predictions(part.column("_text"), parser)
-                columns = [part.column(i) for i in range(len(keep))] + [pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), pa.array(made[2], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{i}" for i in range(len(keep))), "lang_pred", "score", "phrase_length"])
+                made = [pa.array(column, field.type) for column, field in zip(predictions(part.column("_text"), parser), PREDICTION, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=[*(f"c{i}" for i in range(len(keep))), *PREDICTION.names])
 
-    out = rows.mapInArrow(tidy(run), f"{head}, {PREDICTION}" if head else PREDICTION)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(a).alias(b) for a, b in zip(("lang_pred", "score", "phrase_length"), names, strict=True)])
+    out = rows.mapInArrow(tidy(run), f"{head}, {PREDICTION_DDL}" if head else PREDICTION_DDL)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias((names or {}).get(c, c)) for c in PREDICTION.names])
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learnt from the rows outside the held-out fold."""
+    """Language of every document, learnt from the rows outside the held-out fold; a null doc_id counts as the empty id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     samples = labelled_samples(docs.where(fold(4) != 2).select("text", "lang"))
     found = identify(docs.select("doc_id", "text"), samples, ["doc_id"])
-    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "phrase_length")
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), *PREDICTION.names)

@@ -6,7 +6,7 @@ from framewright.llm import language
 def test_long_texts_teach_where_none_is_shorter(spark):
     rows = [("der hund und die katze " * 20, "de"), ("le chien et la maison " * 600, "fr"), ("el perro y la casa " * 500, "es"), ("ok", "es")]
     samples = language.labelled_samples(spark.createDataFrame(rows, "text string, lang string"))
-    assert set(samples) == {"de", "fr", "es"} and all(200 < len(v) <= 40_000 for v in samples.values())
+    assert set(samples) == {"de", "fr", "es"} and samples["fr"] == rows[1][0].encode() and samples["es"].startswith(b"ok")
     texts = spark.createDataFrame([(0, "la maison et le chien"), (1, "la casa y el perro")], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in language.identify(texts, samples, ["doc_id"]).collect()}
     assert got == {0: "fr", 1: "es"}
@@ -17,6 +17,17 @@ def test_long_texts_teach_where_none_is_shorter(spark):
 def test_every_labelled_language_is_learnt(spark):
     rows = [(f"word{i} text{i} " * 30, f"l{i:03d}") for i in range(230)]
     samples = language.labelled_samples(spark.createDataFrame(rows, "text string, lang string"))
-    assert len(samples) == 230 and sum(map(len, samples.values())) <= 400_000
+    assert samples == {lang: text.encode() for text, lang in rows}
     many = language.labelled_samples(spark.createDataFrame(rows, "text string, lang string"), all_bytes=1000)
-    assert len(many) == 230 and {len(v) for v in many.values()} == {language.LEAST_BYTES}
+    assert many == samples
+
+
+def test_whole_texts_up_to_a_number_of_rows(spark):
+    texts = [f"text number {i} " * (20 + i) for i in range(60)]
+    rows = [(t, "en") for t in texts] + [(texts[0], "en")] * 500
+    one = language.labelled_samples(spark.createDataFrame(rows, "text string, lang string").repartition(5))
+    parts = one["en"].decode().split("\n")
+    assert len(parts) == len(set(parts)) == 16 and set(parts) <= set(texts)
+    assert one == language.labelled_samples(spark.createDataFrame(rows, "text string, lang string").repartition(2))
+    few = language.labelled_samples(spark.createDataFrame(rows, "text string, lang string"), most_bytes=1000)["en"].decode().split("\n")
+    assert few == parts[: len(few)] and sum(map(len, few[:-1])) < 1000 <= sum(map(len, few))
