@@ -14,8 +14,9 @@ from framewright.llm.tokens import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Below this mean phrase length (bytes) a text is no more like any language than noise is.
-LEAST_PHRASE = 1.5
+#: Below this mean phrase length (bytes) a text is no more like any language than noise is. Judged are only
+#: texts with so many symbols that the samples have, and no more others: a script that no labelled text has stays.
+LEAST_PHRASE, LEAST_KNOWN = 1.5, 20
 
 
 def staged(stage: Stage) -> Stage:
@@ -30,35 +31,63 @@ def staged(stage: Stage) -> Stage:
     return run_stage
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 @staged
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under 0.7; learnt from the labelled ones among them outside the held-out fold."""
+    """Documents whose toxicity is under 0.7; learnt from the labelled ones among them outside the held-out fold.
+
+    A null or empty text has no evidence and stays. Repeated rows are judged each, equal texts alike.
+    Without labels of both classes every score is one number: all stay unless most labels are toxic.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.where(language.fold(3) != 1).select("doc_id", "text"), labels.where(language.fold(3) != 1), docs.select("text"))
-    return toxicity.score(docs, model, docs.columns, "_toxicity").where(F.col("_toxicity") < 0.7).select(*docs.columns)
+    name = unused(docs, "toxicity")
+    return toxicity.score(docs, model, docs.columns, name).where(F.col(name) < 0.7).select(*docs.columns)
 
 
 @staged
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: not ``und``, and parsed into longer phrases than noise would be."""
+    """Documents in a language: not ``und``, and parsed into longer phrases than noise would be.
+
+    Null and empty texts and texts without a letter are ``und`` and go, and so does every text where no
+    labelled row has a language. Repeated rows are judged each, equal texts alike.
+    """
     samples = language.labelled_samples(docs.where(language.fold(4) != 2).select("text", "lang"))
-    found = language.identify(docs, samples, docs.columns, ("_lang", "_score", "_phrase"))
-    return found.where((F.col("_lang") != "und") & (F.col("_phrase") >= LEAST_PHRASE)).select(*docs.columns)
+    names = {c: unused(docs, f"_{c}") for c in language.PREDICTION.names}
+    found = language.identify(docs, samples, docs.columns, names)
+    lang, phrase, symbols, known = (F.col(names[c]) for c in ("lang_pred", "phrase_length", "symbols", "known"))
+    noise = (phrase < LEAST_PHRASE) & (known >= LEAST_KNOWN) & (2 * known >= symbols)
+    return found.where((lang != "und") & ~noise).select(*docs.columns)
 
 
 @staged
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that with the least doc_id; one row of each doc_id."""
+    """One document of each near-duplicate class, that with the least doc_id.
+
+    Of equal rows one stays. Rows of one doc_id with other contents are one document and stay together;
+    rows with a null doc_id have no class and all stay. A null text is an empty one, and empty texts are copies.
+    """
     kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id")
+    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     one = docs.join(kept, "doc_id", "left_semi")
-    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").limit(1).count():
-        one = one.dropDuplicates(["doc_id"])
+    if not several.isEmpty():
+        one = one.join(several, "doc_id", "left_anti").unionByName(one.join(several, "doc_id", "left_semi").distinct())
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 @staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences.
+
+    A null or empty text is one end token; repeated rows and rows with a null doc_id are packed each.
+    """
     return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
@@ -69,7 +98,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: No SQL expresses the models and the packing; tests compare each stage with a plain version.
+#: No SQL expresses the models and the packing; tests compare every stage's decisions with plain versions.
 ORACLE_SQL = None
 
 
