@@ -16,16 +16,17 @@ def _least_neighbour(rows: DataFrame, salts: int = 32) -> DataFrame:
     return salted.join(spread, ["u", "_salt"]).select("u", "v", "m")
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``links(a, b)`` reaches; nodes without links are absent.
 
     Every round replaces links by links to smaller nodes and keeps what hangs together; the links
-    become stars around the least nodes in about the logarithm of the longest path. Each round's links
-    are a stored table, never on the driver.
+    become stars around the least nodes in about the logarithm of the longest path, and the rounds end only
+    when nothing changes. Each round's links are a stored table, never on the driver. Self-links and links
+    with a null end join nothing; repeated links count once.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         small = _least_neighbour(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()

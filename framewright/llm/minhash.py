@@ -182,10 +182,11 @@ def mixed_groups(rows: DataFrame, key: str) -> DataFrame:
     return spread_join(rows, several, [key], ["rep"])
 
 
-def block_rows(docs: DataFrame, apart: DataFrame, k: int, coordinates: int) -> DataFrame:
-    """Stored (rep, signature, elements, keys) of the documents in ``apart(rep)``.
+def block_rows(docs: DataFrame, apart: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Stored (rep, signature, elements, bands) of the documents in ``apart(rep)``.
 
-    elements are the sorted 32-bit hashes of (shingle, occurrence), keys the first darts of the signature.
+    signature has the low 16 bits of each dart, elements are the sorted hashes of (shingle, occurrence),
+    bands the bucket keys.
     """
     texts = texts_of(docs, apart.select(F.col("rep").alias("doc_id")).distinct())
 
@@ -194,105 +195,103 @@ def block_rows(docs: DataFrame, apart: DataFrame, k: int, coordinates: int) -> D
             for part in pieces(batch, "text", 1 << 20):
                 hashes, counts = hashed_words(part.column("text"))
                 value, weight, owner = shingles(hashes, counts)
-                darts = dart_signatures(value, weight.astype("f8"), owner, len(counts), k)
+                darts = dart_signatures(value, weight.astype("f8"), owner, len(counts), bands * rows)
                 each = np.repeat(value, weight) + (np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)).astype("u8") * np.uint64(0x9FB21C651E98DF25)
                 whose = np.repeat(owner, weight)
-                element = (mixed(each) >> np.uint64(32)).astype("<u4")
+                element = mixed(each).astype("<u8")
                 order = np.lexsort((element, whose))
                 cut = np.searchsorted(whose, np.arange(len(counts) + 1))
                 element = element[order]
                 sets = [element[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 short = (darts & np.uint64(0xFFFF)).astype("<u2")
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype="i4") * coordinates), pa.array(darts[:, :coordinates].ravel().view("i8")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(sets, pa.binary()), keys], names=["rep", "signature", "elements", "keys"])
+                keys = band_keys(darts, bands, rows).astype("<u8")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.binary()) for x in ([s.tobytes() for s in short], sets, [k.tobytes() for k in keys]))], names=["rep", "signature", "elements", "bands"])
 
-    return stored(texts.mapInArrow(tidy(run, True), "rep long, signature binary, elements binary, keys array<long>"), "block-rows")
+    return stored(texts.mapInArrow(tidy(run, True), "rep long, signature binary, elements binary, bands binary"), "block-rows")
 
 
-def links_within(rows: list[tuple], coordinate: int, cross: tuple[int, int], least: float, agree: int) -> list[tuple[int, int]]:
-    """Links of one block that join components: rows of (rep, component, chunk, signature, elements).
+def links_within(rows: list[tuple], bucket: int, cross: bool, least: float, agree: int) -> list[tuple[int, int]]:
+    """Links of one block that join components: rows of (rep, component, chunk, signature, elements, bands).
 
-    A pair is looked at in the block of its first common coordinate only, and only if its signatures
-    agree in ``agree`` places or more and its components are still apart; then the sets decide.
+    A pair is looked at in the first bucket that both share only, in a block of two chunks (``cross``) only
+    if it lies in different ones, and only if its signatures agree in ``agree`` places or more and its
+    components are still apart; then the sets decide.
     """
     rows = sorted(rows)
-    sign = np.stack([np.frombuffer(r[3], "<u2") for r in rows])
-    sets = [np.frombuffer(r[4], "<u4") for r in rows]
+    sign, keys = (np.stack([np.frombuffer(r[k], t) for r in rows]) for k, t in ((3, "<u2"), (5, "<u8")))
+    earlier = np.arange(keys.shape[1])[None, :] < np.argmax(keys == np.uint64(bucket & (1 << 64) - 1), 1)[:, None]  # bands before this one
+    sets = [np.frombuffer(r[4], "<u8") for r in rows]
     size = np.array([len(x) for x in sets])
     cut = np.concatenate([[0], np.cumsum(size)])
     every = np.concatenate(sets)
-    chunk = np.array([r[2] for r in rows])
-    names, start = np.unique([r[1] for r in rows], return_inverse=True)
-    root = list(range(len(names)))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    chunk = np.unique([r[2] for r in rows], return_inverse=True)[1]
+    own = np.unique([r[1] for r in rows], return_inverse=True)[1]
     found = []
     for i in range(len(rows) - 1):
         rest = np.arange(i + 1, len(rows))
-        if cross[0] != cross[1]:
-            rest = rest[chunk[rest] != chunk[i]]
-        own = top(start[i])
-        rest = rest[[top(start[j]) != own for j in rest]] if len(rest) else rest
-        rest = rest[np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])]
-        same = sign[rest] == sign[i]
-        rest = rest[(same.sum(1) >= agree) & ~same[:, :coordinate].any(1)]
+        apart = (own[rest] != own[i]) & (np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]))
+        rest = rest[apart & (chunk[rest] != chunk[i])] if cross else rest[apart]
+        rest = rest[(sign[rest] == sign[i]).sum(1) >= agree]
+        rest = rest[~((keys[rest] == keys[i]) & earlier[i]).any(1)]
         if not len(rest):
             continue
         picked = np.concatenate([every[cut[j] : cut[j + 1]] for j in rest])
         at = np.minimum(np.searchsorted(sets[i], picked), size[i] - 1)
         both = np.add.reduceat((sets[i][at] == picked).astype("i8"), np.concatenate([[0], np.cumsum(size[rest])[:-1]]))
         for j in rest[both >= least * (size[i] + size[rest] - both) - 1e-9]:
-            if top(start[j]) != top(start[i]):
-                root[top(start[j])] = top(start[i])
+            if own[j] != own[i]:
+                own[own == own[j]] = own[i]
                 found.append((rows[i][0], rows[j][0]))
     return found
 
 
-def block_links(members: DataFrame, labels: DataFrame, least: float, k: int, chunk: int = 256) -> DataFrame:
-    """(a, b): links between components among documents that share one of their first darts.
+def block_links(members: DataFrame, apart: DataFrame, least: float, k: int, chunk: int = 256) -> DataFrame:
+    """(a, b): links between components among the documents that share a bucket.
 
-    ``members`` are block_rows, ``labels(rep, component)`` their components. A dart's documents are cut
-    into chunks and every two chunks form a block, so a task holds two chunks however large the group.
+    ``members`` are block_rows, ``apart(bucket, rep, component)`` the rows of buckets with several components.
+    A bucket's documents are cut into chunks of about ``chunk``, a component that fills one has its own,
+    and every two chunks that may hold different components form a block. So a task holds two chunks
+    however large the bucket, and a large group of copies meets only what is not yet linked to it.
     """
-    keyed = members.select("rep", F.posexplode("keys").alias("coordinate", "key")).join(labels, "rep")
-    groups = keyed.groupBy("coordinate", "key").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
-    chunks = groups.select("coordinate", "key", F.ceil(F.col("_n") / chunk).cast("int").alias("chunks"))
-    dealt = spread_join(keyed, chunks, ["coordinate", "key"], ["rep"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    blocks = dealt.select("rep", "component", "coordinate", "key", "own", other).select("rep", "component", "coordinate", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = blocks.join(members.select("rep", "signature", "elements"), "rep").repartition("coordinate", "key", "i", "j").sortWithinPartitions("coordinate", "key", "i", "j")
+    part = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    part = part.select("bucket", "component", "n", F.when(F.col("n") >= chunk, F.col("component").cast("string")).otherwise("-").alias("name"))
+    chunks = stored(part.groupBy("bucket", "name").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks")), "chunks")
+    named = part.select("bucket", "component", "name").join(chunks, ["bucket", "name"])
+    dealt = spread_join(apart, named, ["bucket", "component"], ["rep"])
+    own = F.concat_ws("/", "name", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").cast("string"))
+    dealt = dealt.select("bucket", "rep", "component", "name", own.alias("own"))
+    cells = chunks.select("bucket", "name", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k")).select("bucket", "name", F.concat_ws("/", "name", F.col("k").cast("string")).alias("own"))
+    other = cells.select("bucket", F.col("name").alias("name_b"), F.col("own").alias("other"))
+    meets = cells.join(other, "bucket").where("name <> name_b or name = '-'").select("bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    blocks = dealt.select("bucket", "rep", "component", "own").join(meets, ["bucket", "own"])
+    full = blocks.join(members, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     agree = int(k * least - 4 * (k * least * (1 - least)) ** 0.5)
 
     def run(batches):
         block, held = None, []
         for batch in batches:
             found = []
-            for rep, component, own, signature, elements, *name in zip(*(batch.column(c).to_pylist() for c in ("rep", "component", "own", "signature", "elements", "coordinate", "key", "i", "j")), strict=True):
-                if name != block:
+            for *row, bucket, i, j in zip(*(batch.column(c).to_pylist() for c in ("rep", "component", "own", "signature", "elements", "bands", "bucket", "i", "j")), strict=True):
+                if (bucket, i, j) != block:
                     if len(held) > 1:
-                        found += links_within(held, block[0], (block[2], block[3]), least, agree)
-                    block, held = name, []
-                held.append((rep, component, own, signature, elements))
+                        found += links_within(held, block[0], block[1] != block[2], least, agree)
+                    block, held = (bucket, i, j), []
+                held.append(tuple(row))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
-        found = links_within(held, block[0], (block[2], block[3]), least, agree) if len(held) > 1 else []
+        found = links_within(held, block[0], block[1] != block[2], least, agree) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return full.mapInArrow(tidy(run, True), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, coordinates: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, component_id, kept) of ``docs(doc_id, text)``: classes of documents linked at ``least`` or more.
 
     Documents with equal word sequences fall together first. In each bucket of a band the least
     document is checked against the others, so a group of copies costs a check for each member, not for
-    each pair. Documents of buckets that still hold several components then meet in blocks: those that
-    share one of their first darts (similar ones share most) are compared by signature, and exactly
-    where that allows the similarity. No bucket is capped; only links leave a block.
+    each pair. Documents of buckets that still hold several components then meet in blocks: those of
+    different components are compared by signature, and exactly where that allows the similarity. No
+    bucket is capped; only links leave a block.
 
     component_id is the least doc_id of the class and kept is true for that document. A null text is
     empty; empty texts are copies of each other. Rows of one doc_id are one document. Documents with
@@ -307,9 +306,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, row
     links = stored(verified(known, stored(star_pairs(labelled(shared, None), "bucket", least), "pairs"), least), "links")
     found = stored(connected_components(links), "components")
 
-    apart = stored(mixed_groups(labelled(shared, found), "bucket").select("rep", "component").distinct(), "apart")
+    apart = stored(mixed_groups(labelled(shared, found), "bucket").select("bucket", "rep", "component").distinct(), "apart")
     if not apart.isEmpty():
-        rest = block_rows(known, apart, bands * rows, coordinates)
+        rest = block_rows(known, apart, bands, rows)
         more = stored(block_links(rest, apart, least, bands * rows), "links")
         if not more.isEmpty():
             found = stored(connected_components(links.unionByName(more)), "components")

@@ -31,7 +31,7 @@ def test_helpers_on_hot_groups(spark):
 def test_components(spark):
     rng = random.Random(0)
     for n, m in ((1, 0), (40, 25), (60, 200)):
-        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(100, 130)]
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in rng.sample(range(100, 400), 300)]
         root = {}
 
         def top(x):
@@ -198,6 +198,47 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_a_pair_meets_in_its_first_common_bucket():
+    sets = np.arange(40, dtype="<u8")
+    sign = np.zeros(8, "<u2").tobytes()  # the cut darts agree everywhere
+    row = lambda rep, chunk, *bands: (rep, rep, chunk, sign, sets.tobytes(), np.array(bands, "<u8").tobytes())
+    apart = [row(1, "-/0", 7, 9), row(2, "-/1", 8, 9)]  # the first bands differ
+    assert minhash.links_within(apart, 9, True, 0.8, 4) == [(1, 2)]
+    assert minhash.links_within(apart, 9, False, 0.8, 4) == [(1, 2)]
+    both = [row(1, "-/0", 7, 9), row(2, "-/0", 7, 9)]
+    assert minhash.links_within(both, 9, False, 0.8, 4) == [] and minhash.links_within(both, 7, False, 0.8, 4) == [(1, 2)]
+    assert minhash.links_within(both, 7, True, 0.8, 4) == []  # their chunk's own block has them
+    same = [row(1, "-/0", 7, 9), (2, 1, *row(2, "-/0", 7, 9)[2:])]
+    assert minhash.links_within(same, 7, False, 0.8, 4) == []
+
+
+@pytest.mark.parametrize("chunk", [2, 3, 256])
+def test_blocks_find_what_joins_components(spark, chunk):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    texts, component = [], []
+    for k in range(8):  # eight groups of equal texts, neighbouring groups alike
+        text = [*base[4 * k :], *(f"x{k}y{i}" for i in range(4 * k))]
+        for _ in range(rng.randint(1, 9)):
+            texts.append(" ".join(text))
+            component.append(len(texts) if texts.count(texts[-1]) == 1 else component[-1])
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    signed = minhash.signatures(docs, 20, 4).collect()
+    apart = spark.createDataFrame([(b, r.doc_id, component[r.doc_id - 1]) for r in signed for b in r.bands], "bucket long, rep long, component long")
+    members = minhash.block_rows(docs, apart, 20, 4)
+    got = minhash.block_links(members, apart, 0.8, 80, chunk).collect()
+    assert all(component[r.a - 1] != component[r.b - 1] for r in got)
+    root = {c: c for c in component}
+    top = lambda x: x if root[x] == x else top(root[x])
+    for r in got:
+        root[top(component[r.a - 1])] = top(component[r.b - 1])
+    sets = minhash.sets_of(pa.array(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if minhash.similarity(sets[i], sets[j]) >= 0.8:
+                assert top(component[i]) == top(component[j])
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
