@@ -7,6 +7,7 @@ lookups, drops what the quantisation error rules out, and computes the cosine of
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,12 +80,18 @@ def fitted(sample: np.ndarray, lists: int, seed: int = 7) -> Quantiser:
     return q
 
 
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Lists of floats as rows of doubles, filled up with zeros to a multiple of the subspaces."""
-    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), "f8").reshape(len(column), width)
+def matrix(column: pa.Array, width: int, kind: str = "f8") -> np.ndarray:
+    """Lists of floats as rows, filled up with zeros to a multiple of the subspaces."""
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(column), width)
     return np.pad(flat, ((0, 0), (0, -width % SUBSPACES)))
 
 
+def packed(column: pa.Array, kind: str) -> np.ndarray:
+    """Rows of equally long binary values as a matrix."""
+    offsets = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], "u1")[offsets[0] : offsets[-1]].view(kind).reshape(len(column), -1)
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     scale = np.abs(x).max(1, keepdims=True)  # no overflow or underflow of squares
     y = x / scale
@@ -98,110 +105,154 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False)))
 
 
-def block_output(query: dict, base: dict, q: Quantiser, home: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each query into the base rows of one list (weighted by copies), and links that join parts."""
-    table = np.einsum("qms,mks->qmk", query["unit"].reshape(len(query["id"]), SUBSPACES, -1), q.codewords)
-    guess = np.repeat((query["unit"] @ q.centroids[home])[:, None], len(base["id"]), 1)
+def estimates(query: np.ndarray, codes: np.ndarray, q: Quantiser, home: int) -> np.ndarray:
+    """base x queries: inner products by table lookups, of the list's centroid and the residual codes."""
+    out = np.repeat((query @ q.centroids[home]).astype("f4")[None, :], len(codes), 0)
+    parts = query.reshape(len(query), SUBSPACES, -1)
     for m in range(SUBSPACES):
-        guess += table[:, m][:, base["code"][:, m]]
-    i, j = np.nonzero(guess + base["miss"][None, :] >= least - 1e-9)
-    keep = query["id"][i] != base["id"][j]
-    i, j = i[keep], j[keep]
-    near = np.einsum("nd,nd->n", query["unit"][i], base["unit"][j]) >= least
-    i, j = i[near], j[near]
-    total = np.bincount(i, weights=base["copies"][j], minlength=len(query["id"])).astype("i8")
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+        out += (q.codewords[m] @ parts[:, m].T).astype("f4")[codes[:, m]]
+    return out
 
-    joins = []
-    for a, b in zip(query["id"][i].tolist(), base["id"][j].tolist(), strict=True):
-        x, y = top(a), top(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            joins.append((a, b))
-    return total, joins
 
+def at_least(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x and y have an inner product of ``least`` or more; the same for (x, y) and (y, x)."""
+    product = x @ y.T
+    out = product >= least
+    i, j = np.nonzero(np.abs(product - least) < 1e-12)  # the order of a matrix product's sums may decide these
+    out[i, j] = (x[i] * y[j]).sum(1) >= least
+    return out
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 16_384, most_lists: int = 1024, spread: float = 4.0, base_chunk: int = 1024, query_chunk: int = 1024) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of ``vectors(vec_id, embedding)`` at a cosine of ``least`` or more.
 
-    Equal vectors are one class, which counts with all its copies. The quantiser is fitted on at most
-    ``sample`` classes (least hashes); every class is indexed and every class is a query. A list is cut
-    into chunks of ``base_chunk`` vectors and its queries into chunks of ``query_chunk``; a task holds one block
-    of two chunks at a time, and only counts and joining links leave a block.
+def smallest(near: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id that rows ``x`` and columns ``y`` reach over the marked pairs."""
+    most = np.iinfo("i8").max
+    while True:
+        low_y = np.minimum(y, np.where(near, x[:, None], most).min(0))
+        low_x = np.minimum(x, np.where(near, low_y[None, :], most).min(1))
+        if (low_x == x).all() and (low_y == y).all():
+            return x, y
+        x, y = low_x, low_y
+
 
-    Null, zero or non-finite vectors, vectors with null parts and vectors whose length is not the most
-    frequent one (the least of several) link with nothing. Rows of one vec_id with different vectors are counted as one vector each and meet in one component. Rows with a null vec_id are left out.
+def block_output(query: dict, base: dict, q: Quantiser, home: int, least: float, rows: int = 1024) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Links of each query into the base rows of one list (weighted by copies), and links that join parts.
+
+    ``rows`` queries at a time are estimated against all base rows; what the error of the codes cannot rule
+    out is computed in doubles, in one matrix product of the rows and columns concerned.
     """
-    spark = vectors.sparkSession
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = valid_vectors(own)
-    sizes = good.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    known = own.where("vec_id is not null").select("vec_id").distinct()
-    if sizes is None:
-        return known.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = sizes.d
-    good = good.where(F.size("embedding") == width).select("vec_id", "embedding", F.xxhash64("embedding").alias("h"))
-    classes = stored(good.groupBy("h", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
+    total = np.zeros(len(query["id"]), "i8")
+    joins = []
+    bound = (least - base["miss"] - 1e-5).astype("f4")[:, None]  # the estimates are single-precision sums
+    for at in range(0, len(total), rows):
+        ids, unit = query["id"][at : at + rows], query["unit"][at : at + rows]
+        open_at = estimates(unit, base["code"], q, home) >= bound
+        j, i = np.flatnonzero(open_at.any(1)), np.flatnonzero(open_at.any(0))
+        if not len(j):
+            continue
+        near = at_least(base["unit"][j], unit[i], least) & open_at[np.ix_(j, i)] & (base["id"][j][:, None] != ids[i][None, :])
+        total[at + i] += base["copies"][j] @ near
+        j, i, near = j[near.any(1)], i[near.any(0)], near[near.any(1)][:, near.any(0)]
+        if len(j):
+            for own, low in zip((base["id"][j], ids[i]), smallest(near, base["id"][j], ids[i]), strict=True):
+                joins.append((own[own != low], low[own != low]))
+    return total, joins
+
+
+def blocks_of(batches, names: tuple[str, ...]):
+    """Consecutive rows of equal ``names``, over the borders of batches, as tables."""
+    last, held = None, []
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and tuple(key[a]) != last:
+                yield last, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = tuple(key[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks()
+
+
+def links_of(classes: DataFrame, width: int, single: bool, least: float, sample: int, most_lists: int, spread: float, base_chunk: int, query_chunk: int) -> DataFrame:
+    """Stored (a, b, n) of ``classes(h, rep, copies, embedding)`` of one length: n links of a, or a joining link of a and b."""
+    spark = classes.sparkSession
     n = classes.count()
     taken = classes.orderBy("h", "rep").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
     q = fitted(unit_rows(matrix(taken, width)), int(min(most_lists, max(1, round(n**0.5)))))
     shared = spark.sparkContext.broadcast(q)  # at most most_lists centroids and the codewords
+    kind = "f4" if single else "f8"  # what the input has travels
 
     def assign(batches):
         for batch in batches:
-            unit = unit_rows(matrix(batch.column("embedding"), width))
+            raw = matrix(batch.column("embedding"), width, kind)
+            unit = unit_rows(raw.astype("f8"))
             home = shared.value.lists(unit)
             code, miss = shared.value.codes(unit, home)
             probe = shared.value.probes(unit, least, spread)
             at = np.concatenate([[0], np.cumsum(probe.sum(1))]).astype("i4")
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array([x.tobytes() for x in unit], pa.binary()), pa.array(home.astype("i4")), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(miss), pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(probe)[1].astype("i4")))], names=["rep", "copies", "unit", "home", "code", "miss", "probes"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array(home.astype("i4")), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(miss), pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(probe)[1].astype("i4")))], names=["rep", "copies", "raw", "home", "code", "miss", "probes"])
 
     dealt = classes.select("rep", "copies", "embedding").repartition(max(8, min(4096, n // 4096)))
-    index = stored(dealt.mapInArrow(tidy(assign, True), "rep long, copies long, unit binary, home int, code binary, miss double, probes array<int>"), "vector-index")
-    asked = index.select("rep", "unit", F.explode("probes").alias("home"))
+    index = stored(dealt.mapInArrow(tidy(assign, True), "rep long, copies long, raw binary, home int, code binary, miss double, probes array<int>"), "vector-index")
+    asked = index.select("rep", "raw", F.explode("probes").alias("home"))
     held = index.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / base_chunk).cast("int").alias("base_chunks"))
-    asks = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / query_chunk).cast("int").alias("query_chunks"))
+    asks = index.select(F.explode("probes").alias("home")).groupBy("home").agg(F.ceil(F.count(F.lit(1)) / query_chunk).cast("int").alias("query_chunks"))
     plan = F.broadcast(held.join(asks, "home"))  # at most most_lists rows
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     none = F.lit(None)
-    queries = asked.join(plan, "home").select("home", every("base_chunks").alias("b"), part("query_chunks").alias("c"), F.lit(1).alias("side"), "rep", "unit", F.lit(0).cast("long").alias("copies"), none.cast("binary").alias("code"), none.cast("double").alias("miss"))
-    base = index.join(plan, "home").select("home", part("base_chunks").alias("b"), every("query_chunks").alias("c"), F.lit(0).alias("side"), "rep", "unit", "copies", "code", "miss")
+    queries = asked.join(plan, "home").select("home", every("base_chunks").alias("b"), part("query_chunks").alias("c"), F.lit(1).alias("side"), "rep", "raw", F.lit(0).cast("long").alias("copies"), none.cast("binary").alias("code"), none.cast("double").alias("miss"))
+    base = index.join(plan, "home").select("home", part("base_chunks").alias("b"), every("query_chunks").alias("c"), F.lit(0).alias("side"), "rep", "raw", "copies", "code", "miss")
     blocks = queries.unionByName(base).repartition("home", "b", "c").sortWithinPartitions("home", "b", "c", "side")
 
     def link(batches):
-        def result(name, rows):
-            side = {s: [r for r in rows if r[0] == s] for s in (0, 1)}
-            if not side[0] or not side[1]:
-                return [], []
-            both = [{"id": np.array([r[1] for r in x]), "unit": np.stack([np.frombuffer(r[2]) for r in x])} for x in (side[1], side[0])]
-            both[1] |= {"copies": np.array([r[3] for r in side[0]]), "code": np.stack([np.frombuffer(r[4], np.uint8) for r in side[0]]), "miss": np.array([r[5] for r in side[0]])}
-            total, joins = block_output(both[0], both[1], shared.value, name[0], least)
-            return [(i, n) for i, n in zip(both[0]["id"].tolist(), total.tolist(), strict=True) if n], joins
-
-        def out(found):
-            counts, joins = found
-            rows = [(a, None, n) for a, n in counts] + [(a, b, 0) for a, b in joins]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "n"])
-
-        name, rows = None, []
-        for batch in batches:
-            for *key, side, rep, unit, copies, code, miss in zip(*(batch.column(c).to_pylist() for c in ("home", "b", "c", "side", "rep", "unit", "copies", "code", "miss")), strict=True):
-                if key != name:
-                    if rows:
-                        yield out(result(name, rows))
-                    name, rows = key, []
-                rows.append((side, rep, unit, copies, code, miss))
-        if rows:
-            yield out(result(name, rows))
-
-    linked = stored(blocks.mapInArrow(tidy(link, True), "a long, b long, n long"), "vector-links")
+        for (home, *_), table in blocks_of(batches, ("home", "b", "c")):
+            cut = int((table["side"].to_numpy() == 0).sum())
+            if cut in (0, table.num_rows):
+                continue
+            both = []
+            for rows in (table.slice(cut), table.slice(0, cut)):
+                rows = rows.combine_chunks()
+                own = {c: rows[c].chunk(0) for c in ("rep", "raw", "copies", "code", "miss")}
+                both.append({"id": own["rep"].to_numpy(), "unit": unit_rows(packed(own["raw"], kind).astype("f8"))})
+            both[1] |= {"copies": own["copies"].to_numpy(), "code": packed(own["code"], "u1"), "miss": own["miss"].to_numpy()}
+            total, joins = block_output(*both, shared.value, home, least)
+            some = total > 0
+            a = np.concatenate([both[0]["id"][some], *(x for x, _ in joins)])
+            b = np.concatenate([np.zeros(some.sum(), "i8"), *(y for _, y in joins)])
+            count = np.concatenate([total[some], np.zeros(len(a) - some.sum(), "i8")])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=count > 0), pa.array(count)], names=["a", "b", "n"])
+
+    return stored(blocks.mapInArrow(tidy(link, True), "a long, b long, n long"), "vector-links")
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 16_384, most_lists: int = 1024, spread: float = 3.0, base_chunk: int = 1024, query_chunk: int = 4096) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of ``vectors(vec_id, embedding)`` at a cosine of ``least`` or more.
+
+    Equal vectors are one class, which counts with all its copies. The quantiser is fitted on at most
+    ``sample`` classes (least hashes); every class is indexed and every class is a query. A list is cut
+    into chunks of ``base_chunk`` vectors and its queries into chunks of ``query_chunk``; a task holds one block
+    of two chunks at a time, and only counts and joining links leave a block. Vectors of each length are
+    searched by themselves, one length after another.
+
+    Null, zero or non-finite vectors, empty ones and those with null parts link with nothing. Rows of one
+    vec_id with different vectors are counted as one vector each and meet in one component. Rows with
+    a null vec_id are left out; an empty table has no rows.
+    """
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    single = "array<float>" in own.schema["embedding"].dataType.simpleString()
+    own = own.withColumn("embedding", F.col("embedding").cast("array<float>" if single else "array<double>"))
+    good = valid_vectors(own).select("vec_id", "embedding", F.xxhash64("embedding").alias("h"))
+    known = own.where("vec_id is not null").select("vec_id").distinct()
+    classes = stored(good.groupBy("h", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
+    widths = sorted(r.d for r in classes.select(F.size("embedding").alias("d")).distinct().collect())  # the lengths that occur
+    if not widths:
+        return known.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = [links_of(classes.where(F.size("embedding") == d), d, single, least, sample, most_lists, spread, base_chunk, query_chunk) for d in widths]
+    linked = functools.reduce(DataFrame.unionByName, found)
     counts = linked.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     found = connected_components(linked.where("b is not null").select("a", "b"))
     of = classes.join(counts.withColumnRenamed("a", "rep"), "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
