@@ -45,8 +45,10 @@ class Encoder(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.whole_only = re.compile("|".join([UNSURE.pattern, *added]), re.IGNORECASE if added else 0)
+        added = self.whole.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        folded = [re.escape(t.content) for t in added if t.normalized]  # these are looked for after case folding
+        self.folded = re.compile("|".join(folded), re.IGNORECASE) if folded else None
         self.model, self.most = self.whole.model, most
         self.lower = self.whole.normalizer is not None
         self.split = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
@@ -62,7 +64,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if self.whole_only.search(text):
+        if UNSURE.search(text) or any(t in text for t in self.added) or (self.folded and self.folded.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, self.split(text.lower() if self.lower else text)))
 
