@@ -37,15 +37,14 @@ class Lattice:
 
     A piece weighs exp(-theta ln(2 + rank)), its rank being its place in the model's merge order; byte pieces
     rank last and are offered only for characters that are no piece themselves. A text gets a space in
-    front and is cut before each space that follows another character and after ``longest`` bytes
-    of a unit; no piece of the lattice crosses a cut.
+    front; as no piece has a space behind another character, the text falls into units there, and each
+    different unit's lattice is built once, whole, however long it is.
     """
 
-    def __init__(self, path: str, theta: float = 1.0, longest: int = 64):
+    def __init__(self, path: str, theta: float = 1.0):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.longest = longest
         self.byte_id = np.full(256, -1, "i4")
         self.surface: list[bytes] = [b""] * model.get_piece_size()
         normal = []
@@ -56,11 +55,12 @@ class Lattice:
                 self.surface[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 own = piece.replace(MARK, " ").encode()
-                if re.fullmatch(UNIT, own) and len(own) <= longest:
+                if re.fullmatch(UNIT, own):
                     normal.append((own, i, -theta * np.log(2 - min(model.get_score(i), 0.0))))
                     self.surface[i] = own
         if (self.byte_id < 0).any():
             raise ValueError("the vocabulary has no byte pieces")
+        self.longest = max(len(own) for own, _, _ in normal)
         self.byte_weight = float(-theta * np.log(2 + 2 * len(self.surface)))
         prefixes = sorted({own[:k] for own, _, _ in normal for k in range(1, len(own) + 1)})
         key = self._hash_of(prefixes)
@@ -119,13 +119,15 @@ class Lattice:
     def filtered(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Forward pass over distinct units: start, piece and cumulative share of each edge, by end; each end's first edge; bounds."""
         end, start, piece, weight, bound = self.edges(units)
-        unit_start = np.repeat(bound[:-1], np.diff(bound))
+        # Where no piece crosses a position every path meets, so shares before and after it are independent.
+        crossed = np.cumsum(np.bincount(start + 1, minlength=bound[-1] + 2) - np.bincount(end, minlength=bound[-1] + 2))[: bound[-1]]
+        unit_start = np.maximum.accumulate(np.where(crossed > 0, 0, np.arange(bound[-1])))
         offset = end - unit_start[end - 1]
         order = np.lexsort((end, offset))
         end, start, piece, weight, offset = (x[order] for x in (end, start, piece, weight, offset))
         total = np.zeros(bound[-1] + 1)
         share = np.zeros(len(end))
-        cuts = np.searchsorted(offset, np.arange(1, self.longest + 2))
+        cuts = np.searchsorted(offset, np.arange(1, offset[-1] + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
@@ -145,25 +147,12 @@ class Lattice:
         share[np.append(np.diff(end) != 0, True)] = 1.0
         return start[order], piece[order], share, np.searchsorted(end, np.arange(bound[-1] + 1)), bound
 
-    def _cut(self, unit: bytes) -> list[bytes]:
-        """Parts of a long unit, cut before a character."""
-        parts = []
-        while len(unit) > self.longest:
-            cut = self.longest
-            while unit[cut] & 0xC0 == 0x80:
-                cut -= 1
-            parts.append(unit[:cut])
-            unit = unit[cut:]
-        return [*parts, unit]
-
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text, drawn with the seed of its row; an empty text has none."""
         index = _Numbers()
         unit, size, number = [], [], []
         for text in texts:
             own = UNIT.findall(b" " + text.encode()) if text else []
-            if own and len(max(own, key=len)) > self.longest:
-                own = [part for u in own for part in self._cut(u)]
             unit += map(index.__getitem__, own)
             size += map(len, own)
             number.append(len(own))
@@ -193,7 +182,7 @@ class Lattice:
             here[live] = start[edge]
             live = live[here[live] > first[live]]
         whose, edge = np.concatenate(seen), np.concatenate(chosen)
-        order = np.argsort(whose * (self.longest + 1) + (start[edge] - first[whose]), kind="stable")
+        order = np.lexsort((start[edge] - first[whose], whose))
         ids = piece[edge[order]]
         cut = np.searchsorted(owner[whose[order]], np.arange(len(texts) + 1))
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -215,7 +204,7 @@ def sampled(docs: DataFrame, path: str, seed: int = 0, theta: float = 1.0) -> Da
     """(doc_id, ids) of ``docs(doc_id, text)``: one sampled segmentation a row.
 
     A null text is empty and has no ids. Rows of one doc_id and text have equal ids; a null doc_id
-    draws as id 0.
+    draws as id 0. Texts are sampled whole; a run without a cut costs time in proportion to its length.
     """
 
     def run(batches):

@@ -261,30 +261,88 @@ def test_segmentation_is_lossless_and_reproducible(spark):
     assert segments.sampled(docs.limit(0), path).count() == 0
 
 
-def test_sampling_follows_the_lattice():
+def plain_lattice(theta=1.0):
+    """surface -> (id, weight) of all pieces, and the weight of a byte, straight from the model's file."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    pieces = {}
+    for i in range(model.get_piece_size()):
+        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            pieces[model.id_to_piece(i).replace("▁", " ")] = (i, (2 - min(model.get_score(i), 0.0)) ** -theta)
+    byte = {bytes([b]): model.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
+    return pieces, byte, (2 + 2 * model.get_piece_size()) ** -theta
+
+
+def plain_edges(text, lattice):
+    """(start, end, ids, weight) over the characters of a text with a space in front; no piece has a space inside."""
+    pieces, byte, least = lattice
+    out = []
+    for i in range(len(text)):
+        for j in range(i + 1, min(len(text), i + 30) + 1):
+            own = text[i:j]
+            if own in pieces and " " not in own.lstrip(" "):
+                out.append((i, j, (pieces[own][0],), pieces[own][1]))
+        if text[i] not in pieces:
+            own = text[i].encode()
+            out.append((i, i + 1, tuple(byte[own[k : k + 1]] for k in range(len(own))), least ** len(own)))
+    return out
+
+
+@pytest.mark.parametrize("text", ["the", "a b", "日x"])
+def test_sampling_follows_the_lattice(text):
     lattice = segments.lattice_of(tokenizer_path("piece_bpe_32k.model"), 1.0)
-    end, start, piece, weight, bound = lattice.edges([b" the"])
+    own = " " + text
+    edges = plain_edges(own, plain_lattice())
     paths = defaultdict(float)
 
     def walk(at, ids, w):
-        if at == bound[1]:
-            paths[tuple(ids)] += math.exp(w)
+        if at == len(own):
+            paths[ids] += w
             return
-        for e, s, p, x in zip(end, start, piece, weight, strict=True):
+        for s, e, p, x in edges:
             if s == at:
-                walk(e, [*ids, int(p)], w + x)
+                walk(e, ids + p, w * x)
 
-    walk(0, [], 0.0)
+    walk(0, (), 1.0)
     whole = sum(paths.values())
     n = 20_000
     seen = defaultdict(int)
-    for ids in lattice.sample(["the"] * n, segments.row_seeds(list(range(n)), 3)):
+    for ids in lattice.sample([text] * n, segments.row_seeds(list(range(n)), 3)):
         seen[tuple(ids.tolist())] += 1
+    assert set(seen) <= set(paths)
     for ids, w in paths.items():
         p = w / whole
         assert abs(seen[ids] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def test_long_runs_are_one_lattice():
+    lattice = segments.lattice_of(tokenizer_path("piece_bpe_32k.model"), 1.0)
+    text = "https://example.org/some/quite/long/path/without/a/space/and/then/even/more-of-it?x=1&y=22日本語中文のテキストinternationalization" + "x" * 70
+    own, pieces = " " + text, plain_lattice()
+    edges = plain_edges(own, pieces)
+    ahead, back = [0.0] * (len(own) + 1), [0.0] * (len(own) + 1)
+    ahead[0] = back[-1] = 1.0
+    for s, e, _, w in sorted(edges):
+        ahead[e] += ahead[s] * w
+    for s, e, _, w in sorted(edges, reverse=True):
+        back[s] += back[e] * w
+    n = 4000
+    seen = defaultdict(int)
+    at_of = [len(own[:i].encode()) for i in range(len(own) + 1)]
+    for ids in lattice.sample([text] * n, segments.row_seeds(list(range(n)), 5)):
+        at = 0
+        for i in ids.tolist():
+            seen[at, at + len(lattice.surface[i])] += 1
+            at += len(lattice.surface[i])
+        assert at == at_of[-1]
+    for s, e, ids, w in edges:
+        if len(ids) == 1:
+            p = ahead[s] * w * back[e] / ahead[-1]
+            assert abs(seen[at_of[s], at_of[e]] / n - p) < 5 * math.sqrt(max(p * (1 - p), 0) / n) + 2e-3, own[s:e]
+    assert len(lattice.sample(["z" * 200_000], segments.row_seeds([1], 0))[0]) > 1000
+
+
 def check_packing(rows, capacity):
     bins = defaultdict(list)
     for r in rows:
