@@ -26,11 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Response is the largest page_id of equal payloads of 1000 bytes or more, the others revisit it.
+#: Response is the largest page_id of equal payloads of 1000 bytes or more (one record of it), the others revisit it.
 WARC_SQL = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
-q AS (SELECT page_id, url, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to, url FROM q"""
+q AS (SELECT page_id, url, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, first_value(page_id) OVER w AS top, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 1000 AND n > 1 THEN top END AS refers_to, url FROM q"""
 
 #: Weighted Jaccard similarity of five-word shingles by an inverted index, and reachability.
 NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+') AS ws FROM documents),
@@ -52,11 +52,12 @@ SELECT v AS vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(c)
 def url_sql(rounds: int = 12) -> str:
     """Rules, host edges and ``rounds`` of both ranks, one table expression a round."""
     rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}:{v}'" for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     steps = ", ".join(f"r{k} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT r.kind, f.dst AS host, r.rank * f.share * 0.85 AS rank FROM r{k - 1} r JOIN flow f ON f.kind = r.kind AND f.src = r.host UNION ALL SELECT kind, host, 0.15 * rank FROM r0) GROUP BY 1, 2)" for k in range(1, rounds + 1))
-    return f"""WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-a AS (SELECT page_id, html, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    return f'''WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+a AS (SELECT page_id, html, {fold.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 j AS (SELECT *, {rule} AS fit FROM a), h AS (SELECT page_id, html, host, path, split_part(fit, ':', 1) AS rule, split_part(fit, ':', 2) AS verdict FROM j),
-k AS (SELECT host AS src, lower(unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["'']?[a-z][a-z0-9+.-]*://([^/?#"''\\s>]+)', 1))) AS dst FROM h),
+k AS (SELECT host AS src, {fold.format("""unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\s>]+)', 1))""")} AS dst FROM h),
 links AS (SELECT src, dst, count(*) AS w FROM k WHERE src <> '' AND src <> dst GROUP BY 1, 2),
 hosts AS (SELECT host FROM h WHERE host LIKE '%.%' UNION SELECT dst FROM links WHERE dst LIKE '%.%'),
 chain AS (SELECT DISTINCT array_to_string(l[i:], '.') AS child FROM (SELECT l, unnest(range(1, len(l))) AS i FROM (SELECT string_split(host, '.') AS l FROM hosts))),
@@ -68,7 +69,7 @@ c AS (SELECT host, CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS
 r0 AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS rank FROM c), {steps},
 s AS (SELECT host, sum(CASE kind WHEN 'trust' THEN rank ELSE 0 END) AS t, sum(CASE kind WHEN 'distrust' THEN rank ELSE 0 END) AS d FROM r{rounds} GROUP BY 1),
 g AS (SELECT page_id, h.host, path, nullif(rule, '') AS rule, nullif(verdict, '') AS verdict, coalesce(round(d / nullif(t + d, 0), 9), 0) AS share FROM h LEFT JOIN s ON s.host = h.host)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, CAST(share AS DOUBLE) AS distrust_share FROM g"""
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, CAST(share AS DOUBLE) AS distrust_share FROM g'''
 
 
 def oracle_sql() -> dict[str, str]:

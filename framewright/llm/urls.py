@@ -15,11 +15,16 @@ from framewright.llm.base import spread_join, stored
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def folded(text: Column) -> Column:
+    """``text`` with A-Z in lower case and nothing else changed."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty if it is null or has no ``://``."""
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
-    host = F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = folded(F.regexp_extract(rest, "^([^/?#]*)", 1))
     path = F.regexp_extract(F.substring(rest, F.length(F.regexp_extract(rest, "^([^/?#]*)", 1)) + 1, F.length(rest)), "^([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
@@ -34,13 +39,18 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def linked_hosts(html: Column) -> Column:
+    """Hosts (A-Z lower-cased) of the page's links with a host of their own, ``scheme://host`` or ``//host``; null html has none."""
+    found = F.regexp_extract_all(html, F.lit(r"(?i)(?:href|src)\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"), F.lit(1))
+    return F.transform(found, folded)
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): absolute links between hosts, and each host with its parent domain, both ways.
+    """(src, dst, weight) of ``pages(host, links)``: links between hosts, and each host with its parent domain, both ways.
 
     Relative links stay on their host and make no edge.
     """
-    links = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)(?:href|src)\s*=\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'\s>]+)"), F.lit(1))
-    out = pages.select(F.col("host").alias("src"), F.explode(links).alias("dst")).withColumn("dst", F.lower("dst")).where("src <> '' and src <> dst")
+    out = pages.select(F.col("host").alias("src"), F.explode("links").alias("dst")).where("src <> '' and src <> dst")
     out = out.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     named = pages.select("host").distinct().union(out.select(F.col("dst"))).distinct().where("host like '%.%'")
     labels = F.split("host", r"\.")
@@ -50,24 +60,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4, few: int = 500_000) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4, few: int = 500_000, share: int = 10_000) -> DataFrame:
     """(host, trust, distrust) by ``rounds`` of personalised PageRank.
 
     ``seeds(host, trust, distrust)`` hold shares that sum to one each. Trust follows the edges, distrust
     the reversed ones; both run in one pass with a kind column. A host without edges keeps its
     restart share only. The tables' size is that of the host graph; every ``cut_every`` rounds the
-    ranks are stored, which bounds the plan. A graph counted at ``few`` edges or less is one partition.
+    ranks are stored, which bounds the plan. The edges of a hub are dealt to parts of about ``share`` edges
+    by their other end. A graph counted at ``few`` edges or less is one partition.
     """
     kinds = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), F.col("weight")))
-    total = kinds.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    flow = stored(kinds.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "host-flow")
+    total = stored(kinds.groupBy("kind", "src").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts")), "host-totals")
+    flow = spread_join(kinds, total, ["kind", "src"], ["dst"]).select("kind", "src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst", (F.col("weight") / F.col("total")).alias("share"))
+    flow = stored(flow, "host-flow")
+    parts = total.select("kind", F.col("src").alias("host"), "parts")
     seed = stored(seeds.selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)").where("seed > 0"), "host-seeds")
     small = flow.count() <= few and seed.count() <= few
     if small:
-        flow, seed = flow.coalesce(1), seed.coalesce(1)
+        flow, seed, parts = flow.coalesce(1), seed.coalesce(1), parts.coalesce(1)
     rank = seed.select("kind", "host", F.col("seed").alias("rank"))
     for k in range(rounds):
-        passed = rank.withColumnRenamed("host", "src").join(flow, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        sent = rank.join(parts, ["kind", "host"]).select("kind", F.col("host").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        passed = sent.join(flow, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         rank = passed.union(seed.select("kind", "host", (F.col("seed") * (1 - damping)))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if k % cut_every == cut_every - 1:
             rank = stored(rank, "host-rank")
@@ -80,16 +94,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float
     """(page_id, host, path, rule, verdict, distrust_share) of ``pages(page_id, url, html)``.
 
     Without a fitting rule a page is blocked if its host's share of distrust, distrust / (trust +
-    distrust), is above ``threshold``; a host that neither rank reaches is allowed.
+    distrust), is above ``threshold``; a host that neither rank reaches, and a share that ties with the
+    threshold, is allowed. A null or empty html links to nothing; a null url, or one without ``://``, has an
+    empty host that neither rank reaches. Every row is judged, also repeated ones and those with a null page_id,
+    and repeated rows count as often as they stand. An empty table has no rows.
     """
     host, path = host_and_path(F.col("url"))
-    ruled = pages.select("page_id", "url", "html").select("page_id", host.alias("host"), path.alias("path"), "html").withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    named = ruled.select("page_id", "host", "path", "fit.rule", "fit.verdict")
+    read = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce(linked_hosts(F.col("html")), F.array().cast("array<string>")).alias("links"))
+    fit = fitting_rule(F.col("host"), F.col("path"), rules)
+    ruled = stored(read.withColumn("fit", fit).select("page_id", "host", "path", "fit.rule", "fit.verdict", "links"), "ruled-pages")
+    named = ruled.drop("links")
     counts = named.where("verdict is not null").groupBy("host").agg(F.sum((F.col("verdict") == "allow").cast("double")).alias("allowed"), F.sum((F.col("verdict") == "block").cast("double")).alias("blocked"))
     counts = stored(counts, "host-counts")
     allowed, blocked = (max(x or 0.0, 1.0) for x in counts.agg(F.sum("allowed"), F.sum("blocked")).first())  # two numbers
     seeds = counts.select("host", (F.col("allowed") / allowed).alias("trust"), (F.col("blocked") / blocked).alias("distrust"))
-    ranks = propagate(stored(host_edges(ruled), "host-edges"), seeds)
+    ranks = propagate(stored(host_edges(ruled.select("host", "links")), "host-edges"), seeds)
     share = F.expr("coalesce(distrust / nullif(trust + distrust, 0), 0D)")
     hosts = named.select("host").distinct().join(ranks, "host", "left").select("host", F.round(share, 9).alias("distrust_share"))
     judged = spread_join(named, hosts, ["host"], ["page_id", "path"])

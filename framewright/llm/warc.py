@@ -109,9 +109,10 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20) -> DataFrame:
-    """Write a response record a page into whole-file gzip streams; returns the stored record list.
+    """Write a response record a row of ``pages(page_id, url, html)`` into whole-file gzip streams; returns the stored record list.
 
-    A file ends after ``roll_bytes`` of records. Each attempt of a task writes files of its own names,
+    A null html is an empty payload, a null url or page_id leaves its header out, and repeated rows are
+    written each. A page is held whole, whatever its length; an empty table writes nothing. A file ends after ``roll_bytes`` of records. Each attempt of a task writes files of its own names,
     and the stored list names those of the attempt that counted.
     """
 
@@ -147,7 +148,11 @@ def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20)
 
 
 def revisits(manifest: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """Records that repeat another's payload: (file, seq, refers_to). The largest page_id keeps its payload."""
+    """Records that repeat another's payload: (file, seq, refers_to).
+
+    The largest page_id keeps its payload, one record of it where rows repeat; a null page_id is the
+    smallest. Records of a null page_id that revisit each other refer to null.
+    """
     long_ones = manifest.where(F.col("n_bytes") >= least_bytes).select("digest", "n_bytes", F.struct("page_id", "file", "seq").alias("at"))
     led = group_minimum(long_ones, ["digest", "n_bytes"], "at", pick=F.max)
     return led.where("at <> leader").select("at.file", "at.seq", F.col("leader.page_id").alias("refers_to"))
@@ -221,7 +226,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all pages to whole-file streams, normalise those, and read the records back by offset."""
+    """Write all pages to whole-file streams, normalise those, and read the records back by offset.
+
+    A row a page; the awkward cases are those of ``write_monolithic`` and ``revisits``.
+    """
     first, last = new_folder(spark, "warc-streams"), new_folder(spark, "warc")
     manifest = write_monolithic(spark.read.parquet(f"{sf_dir}/pages.parquet"), first)
     index = normalise(manifest, revisits(manifest), first, last)
