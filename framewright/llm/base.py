@@ -23,10 +23,14 @@ _marked: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (single-machine tests) a temporary folder is made and set.
+    Only where that is unset and the master is local (tests) a temporary folder is made and set; on a
+    cluster an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="framewright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -28,6 +28,23 @@ def test_helpers_on_hot_groups(spark):
     assert spread_join(rows, table, ["k"], ["v"]).count() == 202
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from framewright.llm import base
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "local-cluster[3,2,1024]"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        base.shared_root(Session)
+    Session.conf = Conf({"spark.master": "spark://x:7077", "spark.checkpoint.dir": "hdfs://a/b/"})
+    assert base.shared_root(Session) == "hdfs://a/b"
+    Session.conf = Conf({"spark.master": "local[4]"})
+    assert base.shared_root(Session).startswith("file://") and Session.conf["spark.checkpoint.dir"]
+
+
 def test_components(spark):
     rng = random.Random(0)
     for n, m in ((1, 0), (40, 25), (60, 200)):
