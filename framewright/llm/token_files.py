@@ -21,7 +21,10 @@ from framewright.llm.base import filesystem, new_folder, pieces, stored, text_co
 from framewright.llm.tokens import encoder, tokenizer_path
 
 FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.uint32()))])
-MANIFEST = "part int, file string, row_group int, first_row long, n_docs long, n_tokens long, file_start long, bytes long"
+MANIFEST = "part int, file string, row_group int, first_row long, n_docs long, n_tokens long, file_start long, least_doc long, largest_doc long, bytes long"
+#: Documents a page holds at most, so that the page index tells them apart.
+PAGE_ROWS = 16
+FILE_DDL = "doc_id long, start_in_file long, n_tokens long, ids array<long>"
 
 
 def write_partition(batches: Iterator[pa.RecordBatch], part: int, folder: str, path: str, end_id: int, group_tokens: int, delta: bool) -> Iterator[tuple]:
@@ -43,13 +46,14 @@ def write_partition(batches: Iterator[pa.RecordBatch], part: int, folder: str, p
             fs.create_dir(where, recursive=True)
             out = fs.open_output_stream(f"{where}/{name}")
             coding = {"column_encoding": {"ids.list.element": "DELTA_BINARY_PACKED", "start_in_file": "DELTA_BINARY_PACKED"}, "use_dictionary": False} if delta else {"use_dictionary": ["ids.list.element"], "dictionary_pagesize_limit": 4 << 20}
-            writer = pq.ParquetWriter(out, FILE_SCHEMA, compression="zstd", compression_level=1, write_page_index=True, data_page_size=256 << 10, write_statistics=["doc_id", "start_in_file", "n_tokens"], **coding)
+            writer = pq.ParquetWriter(out, FILE_SCHEMA, compression="zstd", compression_level=1, write_page_index=True, data_page_size=256 << 10, max_rows_per_page=PAGE_ROWS, write_statistics=["doc_id", "start_in_file", "n_tokens"], **coding)
         sizes = np.array([len(x) // 4 for x in ids], "i8")
         ends = np.cumsum(sizes)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(np.frombuffer(b"".join(ids), "<u4")))
         starts = total + ends - sizes
         writer.write_table(pa.table([pa.array(docs, pa.int64()), pa.array(starts), pa.array(sizes), lists], schema=FILE_SCHEMA), row_group_size=len(docs))
-        made.append((part, name, group, rows, len(docs), int(ends[-1]), total))
+        known = [d for d in docs if d is not None]
+        made.append((part, name, group, rows, len(docs), int(ends[-1]), total, known[0] if known else None, known[-1] if known else None))
         total, rows, group = total + int(ends[-1]), rows + len(docs), group + 1
         docs.clear()
         ids.clear()
@@ -76,7 +80,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, grou
 
     Documents are dealt by ranges of doc_id, so the files hold consecutive ranges and only whole texts
     move, once. Null ids come first; equal ids are ordered by text. A null text is empty and has only
-    the end id. The manifest has a row for each row group; ``start`` is the number of ids before it.
+    the end id; repeated rows are written each; a text is encoded whole, its ids never leave the task but
+    in the file. An empty table has no files. The manifest has a row for each row group; ``start`` is the number of ids before it.
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -85,7 +90,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, grou
 
         cut = (p for b in batches for p in pieces(b, "text"))
         rows = list(write_partition(cut, TaskContext.get().partitionId(), folder, path, end_id, group_tokens, delta))
-        yield pa.RecordBatch.from_pydict(dict(zip(("part", "file", "row_group", "first_row", "n_docs", "n_tokens", "file_start", "bytes"), map(list, zip(*rows, strict=True)) if rows else [[]] * 8, strict=True)), schema=MANIFEST_ARROW)
+        yield pa.RecordBatch.from_pydict(dict(zip(("part", "file", "row_group", "first_row", "n_docs", "n_tokens", "file_start", "least_doc", "largest_doc", "bytes"), map(list, zip(*rows, strict=True)) if rows else [[]] * 10, strict=True)), schema=MANIFEST_ARROW)
 
     made = stored(ordered.mapInArrow(tidy(write), MANIFEST), "token-manifest")
     files = made.groupBy("part", "file").agg(F.sum("n_tokens").alias("in_file"))
@@ -94,7 +99,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, grou
     return stored(made.join(before, "file").withColumn("start", F.col("before") + F.col("file_start")).drop("before"), "token-index")
 
 
-MANIFEST_ARROW = pa.schema([("part", pa.int32()), ("file", pa.string()), ("row_group", pa.int32()), ("first_row", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file_start", pa.int64()), ("bytes", pa.int64())])
+MANIFEST_ARROW = pa.schema([("part", pa.int32()), ("file", pa.string()), ("row_group", pa.int32()), ("first_row", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file_start", pa.int64()), ("least_doc", pa.int64()), ("largest_doc", pa.int64()), ("bytes", pa.int64())])
 
 
 def read_row_groups(index: DataFrame, folder: str, columns: list[str], make, schema: str) -> DataFrame:
@@ -127,18 +132,27 @@ def digests(table: pa.Table, start: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_documents(index: DataFrame, folder: str, doc_ids: list[int]) -> dict[int, np.ndarray]:
-    """Ids of a few documents: page statistics rule out all other row groups and pages."""
-    fs, where = filesystem(folder)
-    found: dict[int, np.ndarray] = {}
-    for file in sorted({r.file for r in index.select("file").distinct().toLocalIterator()}):
-        table = pq.read_table(f"{where}/{file}", filesystem=fs, columns=["doc_id", "ids"], filters=[("doc_id", "in", doc_ids)])
-        found |= {k: np.array(v, "u4") for k, v in zip(table["doc_id"].to_pylist(), table["ids"].to_pylist(), strict=True)}
-    return found
+def read_documents(index: DataFrame, folder: str, doc_ids: list[int], columns: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
+    """Chosen columns of the documents with the given ids (a stated, short list).
+
+    The index names the files whose id ranges match; in those, statistics of row groups and the page
+    index leave other pages unread, and other columns are not touched.
+    """
+    spark = index.sparkSession
+    wanted = F.array(*[F.lit(int(d)) for d in doc_ids]) if doc_ids else F.array().cast("array<bigint>")
+    near = F.exists(wanted, lambda d: (d >= F.col("least_doc")) & (d <= F.col("largest_doc")))
+    files = sorted(r.file for r in index.where(near).select("file").distinct().collect())
+    if not files:
+        return spark.createDataFrame([], FILE_DDL).select(*columns)
+    found = spark.read.schema(FILE_DDL).parquet(*[f"{folder}/{f}" for f in files])
+    return found.where(F.col("doc_id").isin(doc_ids)).select(*columns)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the byte-BPE ids of all documents to token files and digest what is read back."""
+    """Write the byte-BPE ids of all documents to token files and digest what is read back.
+
+    A row a document; the awkward cases are those of ``write_token_files``.
+    """
     folder = new_folder(spark, "token-files")
     index = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return read_row_groups(index, folder, ["doc_id", "ids"], digests, "doc_id long, start long, n_tokens long, ids_crc32 long")

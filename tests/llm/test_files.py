@@ -45,8 +45,35 @@ def test_token_files_round_trip(spark, delta):
         want.append((doc, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
-    some = token_files.read_documents(index, folder, [0, 5])
-    assert some[5].astype("<u4").tobytes() == encode(TEXTS[5]) + np.array([2], "<u4").tobytes() and len(some[0]) == 1
+    some = {r.doc_id: r.ids for r in token_files.read_documents(index, folder, [0, 5]).collect()}
+    assert np.array(some[5], "<u4").tobytes() == encode(TEXTS[5]) + np.array([2], "<u4").tobytes() and len(some[0]) == 1
+    assert token_files.read_documents(index, folder, []).count() == token_files.read_documents(index, folder, [10**9]).count() == 0
+
+
+@pytest.mark.parametrize("delta", [False, True])
+def test_other_pages_and_columns_stay_unread(spark, delta):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    docs = documents(spark, [" ".join(rng.choice(words, 6000)) for _ in range(60)]).repartition(1)
+    folder = new_folder(spark, "t")
+    index = token_files.write_token_files(docs, folder, tokenizer_path("byte_bpe_50k.json"), 2, delta=delta)
+    file, first, last = index.orderBy("least_doc").select("file", "least_doc", "largest_doc").first()
+    path = f"{folder.removeprefix('file://')}/{file}"
+    group = pq.ParquetFile(path).metadata.row_group(0)
+    assert last - first > 20
+    whole = {r.doc_id: r.ids for r in token_files.read_documents(index, folder, [first, last]).collect()}
+    chunk = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}["ids.list.element"]
+    end = min(chunk.dictionary_page_offset or chunk.data_page_offset, chunk.data_page_offset) + chunk.total_compressed_size
+    with open(path, "r+b") as f:  # spoil the last page of the row group's ids
+        f.seek(end - 2000)
+        f.write(b"\xff" * 2000)
+    assert token_files.read_documents(index, folder, [first]).first().ids == whole[first]
+    sizes = {r.doc_id: r.n_tokens for r in token_files.read_documents(index, folder, [first, last], ("doc_id", "n_tokens")).collect()}
+    assert sizes == {k: len(v) for k, v in whole.items()}
+    with pytest.raises(Exception):  # noqa: B017
+        token_files.read_documents(index, folder, [last]).collect()
 
 
 def test_empty_tables(spark):
