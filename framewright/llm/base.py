@@ -16,8 +16,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[str] = []
-_marked: list[str] = []
+_made: list = []  # folders and broadcast variables
+_marked: list = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -50,9 +50,36 @@ def lasting_folder(spark: SparkSession, name: str) -> str:
     return uri
 
 
+def broadcast(spark: SparkSession, value):
+    """A broadcast variable that is destroyed with the folders made at its time."""
+    shared = spark.sparkContext.broadcast(value)
+    _made.append(shared)
+    return shared
+
+
+def discard(made) -> None:
+    """Delete a folder or destroy a broadcast variable."""
+    if isinstance(made, str):
+        delete_folder(made)
+    else:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            made.destroy()
+
+
+@contextlib.contextmanager
+def scope():
+    """What is made inside ends with it; its readers must be done by then."""
+    at = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > at:
+            discard(_made.pop())
+
+
 @contextlib.contextmanager
 def marked():
-    """Folders made inside are those that ``release_marked`` deletes."""
+    """Folders and variables made inside are those that ``release_marked`` deletes."""
     at = len(_made)
     try:
         yield
@@ -62,9 +89,9 @@ def marked():
 
 
 def release_marked() -> None:
-    """Delete the folders made inside ``marked``; their readers must be done."""
+    """Delete what was made inside ``marked``; its readers must be done."""
     while _marked:
-        delete_folder(_marked.pop())
+        discard(_marked.pop())
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -94,12 +121,12 @@ def delete_folder(uri: str) -> None:
 
 
 def release() -> None:
-    """Delete every folder that the operators have made so far.
+    """Delete every folder and broadcast variable that the operators have made so far.
 
     Call it only once the results that read them are written elsewhere.
     """
     while _made:
-        delete_folder(_made.pop())
+        discard(_made.pop())
     release_marked()
 
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.base import held, pieces, text_column, tidy
+from framewright.llm.base import broadcast, held, pieces, text_column, tidy
 from framewright.llm.words import lowered
 
 ASCII_LETTER, LETTER = re.compile("[A-Za-z]"), regex.compile(r"\p{L}")
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], names:
     A null text, or one without a letter, is ``und`` with score 0, as is every text if no language is
     learnt. Languages that need equally many normalised phrases: the first by name wins, with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by the rows that teach
+    shared = broadcast(docs.sparkSession, samples)  # bounded by the rows that teach
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], text_column().alias("_text"))
     head = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 

@@ -13,7 +13,6 @@ words, length-normalised, and is calibrated on labelled texts that the counts be
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.base import pieces, stored, text_column, tidy
+from framewright.llm.base import broadcast, pieces, scope, stored, text_column, tidy, trim
 from framewright.llm.language import fold, symbols
 from framewright.llm.words import Table, hashes_between, lowered, mixed
 
@@ -215,27 +214,22 @@ def corpus_table(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)).view("i8"))], names=["w"])
 
     windows = docs.select(text_column().alias("text")).mapInArrow(tidy(run, True), "w long").distinct()
-    return in_front(windows.withColumnRenamed("w", "g"), LOWEST)
-
-
-def in_front(longer: DataFrame, order: int) -> DataFrame:
-    """(g, n): each n-gram of ``order`` bytes with the number of bytes in front, from the distinct n-grams one longer."""
-    return longer.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    return windows.groupBy(F.col("w").bitwiseAND(F.lit((1 << 8 * LOWEST) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def shared_rows(table: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows (k, key, n, kinds) of the shared model that ``windows(w)`` need: n-grams of k bytes, and contexts of those as -k."""
-    parts, level = [], table
-    for k in range(LOWEST, 0, -1):
-        if k < LOWEST:
-            level = in_front(level, k)
-        parts.append(level.select(F.lit(k).alias("k"), F.col("g").alias("key"), "n", F.lit(0).cast("long").alias("kinds")))
-        context = level.groupBy(F.shiftright("g", 8).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-        parts.append(context.select(F.lit(-k).alias("k"), "key", "n", "kinds"))
+    own = lambda k: F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
+    front = lambda k: F.shiftright("g", 8 * k).bitwiseAND(F.lit(255)) if k < LOWEST else F.lit(None).cast("long")
+    whole = lambda k: F.col("n") if k == LOWEST else F.lit(None).cast("long")
+    each = [F.struct(F.lit(k).alias("k"), own(k).alias("key"), front(k).alias("front"), whole(k).alias("whole")) for k in range(1, LOWEST + 1)]
+    count = F.coalesce(F.max("whole"), F.size(F.collect_set("front")).cast("long"))  # at most 256 different bytes
+    grams = table.select(F.explode(F.array(*each)).alias("_s")).select("_s.*").groupBy("k", "key").agg(count.alias("n"))
+    contexts = grams.groupBy((-F.col("k")).alias("k"), F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
     low = windows.select(F.col("w").bitwiseAND(F.lit((1 << 8 * LOWEST) - 1)).alias("w")).distinct()
     need = [F.struct(F.lit(s * k).alias("k"), F.shiftright(F.col("w").bitwiseAND(F.lit((1 << 8 * k) - 1)), 8 * (s < 0)).alias("key")) for k in range(1, LOWEST + 1) for s in (1, -1)]
     wanted = low.select(F.explode(F.array(*need)).alias("_s")).select("_s.*").distinct()
-    return functools.reduce(DataFrame.unionByName, parts).join(wanted, ["k", "key"], "left_semi")
+    return grams.withColumn("kinds", F.lit(0).cast("long")).unionByName(contexts).join(wanted, ["k", "key"], "left_semi")
 
 
 class Shared:
@@ -343,7 +337,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
 
 def with_features(docs: DataFrame, model: Model) -> DataFrame:
     """(toxic, a, b): label and features of each of ``docs(toxic, text)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast(docs.sparkSession, model)
 
     def run(batches):
         scorer = Scorer(shared.value)
@@ -382,8 +376,13 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int =
 
     share = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
     prior = min(max(share if share is not None else 0.5, 0.01), 0.99)
+    held = []
+    for p in range(PARTS):
+        with scope():  # one model at a time is broadcast
+            held.append(with_features(sample.where(F.col("part") == p), trained(p)).toArrow())
     model = trained(None)
-    held = [with_features(sample.where(F.col("part") == p), trained(p)).toArrow() for p in range(PARTS)]
+    del key, cells
+    trim()
     x, y = (np.concatenate([np.column_stack([h[c].to_numpy() for c in names]) for h in held]) for names in ("ab", ["toxic"]))
     y = y[:, 0].astype("f8")
     order = np.lexsort((y, *x.T))  # sums do not depend on how the rows were dealt
@@ -393,7 +392,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int =
 
 def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
     """Columns ``keep`` of ``docs`` and the toxicity score of ``text`` as ``name``; a null text is an empty one."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
+    shared = broadcast(docs.sparkSession, model)  # bounded by the labelled sample
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], text_column().alias("_text"))
     names = [*(f"c{i}" for i in range(len(keep))), "score"]
     schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "score double"])

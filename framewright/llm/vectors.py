@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.base import spread_join, stored, tidy
+from framewright.llm.base import broadcast, spread_join, stored, tidy
 from framewright.llm.graph import connected_components
 
 SUBSPACES, CODES = 8, 256
@@ -182,7 +182,7 @@ def links_of(classes: DataFrame, width: int, single: bool, least: float, sample:
     n = classes.count()
     taken = classes.orderBy("h", "rep").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
     q = fitted(unit_rows(matrix(taken, width)), int(min(most_lists, max(1, round(n**0.5)))))
-    shared = spark.sparkContext.broadcast(q)  # at most most_lists centroids and the codewords
+    shared = broadcast(spark, q)  # at most most_lists centroids and the codewords
     kind = "f4" if single else "f8"  # what the input has travels
 
     def assign(batches):
