@@ -8,6 +8,7 @@ the text's length, estimate the cross entropy.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,34 +35,35 @@ def symbols(data: bytes) -> np.ndarray:
     return np.where(letter, raw, 32)[kept].astype(np.uint8)
 
 
-def suffix_automaton(text: bytes) -> list[dict[int, int]]:
-    """Transitions of the minimal automaton of all substrings of ``text``; state 0 is the start."""
-    moves: list[dict[int, int]] = [{}]
-    link, longest, last = [-1], [0], 0
+def suffix_automaton(text: bytes, width: int) -> np.ndarray:
+    """Transitions (states x width, -1 for none) of the minimal automaton of all substrings of ``text``; state 0 is the start."""
+    none = array("i", [-1]) * width
+    moves = array("i", none)
+    link, longest, last = array("i", [-1]), array("i", [0]), 0
     for c in text:
-        new = len(moves)
-        moves.append({})
+        new = len(link)
+        moves += none
         longest.append(longest[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and c not in moves[p]:
-            moves[p][c] = new
+        while p >= 0 and moves[p * width + c] < 0:
+            moves[p * width + c] = new
             p = link[p]
         if p >= 0:
-            q = moves[p][c]
+            q = moves[p * width + c]
             if longest[p] + 1 == longest[q]:
                 link[new] = q
             else:
-                twin = len(moves)
-                moves.append(dict(moves[q]))
+                twin = len(link)
+                moves += moves[q * width : (q + 1) * width]
                 longest.append(longest[p] + 1)
                 link.append(link[q])
-                while p >= 0 and moves[p].get(c) == q:
-                    moves[p][c] = twin
+                while p >= 0 and moves[p * width + c] == q:
+                    moves[p * width + c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return moves
+    return np.frombuffer(moves, "i4").reshape(-1, width)
 
 
 class CrossParser:
@@ -76,14 +78,10 @@ class CrossParser:
         self.code[seen] = np.arange(len(seen))
         tables, roots, at = [], [], 0
         for name in self.languages:
-            moves = suffix_automaton(self.code[text[name]].tobytes())
-            table = np.full((len(moves), self.width), -1, "i4")
-            for state, out in enumerate(moves):
-                table[state, list(out)] = list(out.values())
-            table[table >= 0] += at
-            tables.append(table)
+            table = suffix_automaton(self.code[text[name]].tobytes(), self.width)
+            tables.append(np.where(table >= 0, table + at, -1).astype("i4"))
             roots.append(at)
-            at += len(moves)
+            at += len(table)
         self.next = np.concatenate(tables).ravel() if tables else np.zeros(0, "i4")
         self.root = np.array(roots, "i4")
         self.bits = np.array([np.log2(max(len(text[k]), 2)) for k in self.languages])

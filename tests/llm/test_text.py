@@ -100,7 +100,7 @@ def test_language_rows(spark, sf_dir):
     got = {r.doc_id: r for r in language.identify(rows, samples, ["doc_id", "score"], {"lang_pred": "a", "score": "b"}).collect()}
     assert [got[i].a for i in range(3)] == ["und"] * 3 and all(got[i].a in samples for i in (3, 4, 5))
     assert all(0 <= r.b <= 1 for r in got.values()) and got[0].score == "s"
-    assert (got[4].symbols, got[4].known, got[5].symbols) == (6, 0, 200_000) and got[3].known == got[3].symbols == 20
+    assert (got[4].symbols, got[4].known, got[5].symbols) == (6, 0, 200_000) and got[3].known == got[3].symbols == 16
     held = language.op7_language(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
     nothing = language.identify(rows, {}, ["doc_id"]).collect()
