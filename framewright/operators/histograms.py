@@ -151,10 +151,23 @@ def local_minima(cells: DataFrame, bins: tuple[int, int], value: str = "free_ene
     return hit.where(F.col("bx").between(1, bins[0] - 2) & F.col("by").between(1, bins[1] - 2)).select("bx", "by", value)
 
 
-def frames_near(frames: DataFrame, minima: DataFrame, most: int = 1000) -> DataFrame:
-    """Up to ``most`` frames (by trajectory and frame) of each minimum's cell; ``frames`` carry bx and by."""
-    hit = frames.join(F.broadcast(minima.select("bx", "by")), ["bx", "by"])  # at most one row a grid cell
-    w = Window.partitionBy("bx", "by").orderBy("traj_id", "frame")
+def frames_near(frames: DataFrame, minima: DataFrame, surface: DataFrame | None = None, delta: float = 0.0, most: int | None = None) -> DataFrame:
+    """All frames of each minimum's cell with the minimum as ``min_bx`` and ``min_by``; ``frames`` carry bx and by.
+
+    With ``surface(bx, by, free_energy)`` a minimum whose cell holds no frame gets those of all cells
+    within ``delta`` of its own free energy. ``most`` (off by default) keeps the first by trajectory and frame.
+    """
+    at = minima.select(F.col("bx").alias("min_bx"), F.col("by").alias("min_by")).distinct()
+    cells = at.withColumn("bx", F.col("min_bx")).withColumn("by", F.col("min_by"))  # at most one row a grid cell, as all below
+    if surface is not None:
+        empty = cells.join(frames.select("bx", "by").distinct(), ["bx", "by"], "left_anti").select("min_bx", "min_by")
+        own = surface.select(F.col("bx").alias("min_bx"), F.col("by").alias("min_by"), F.col("free_energy").alias("_low"))
+        near = empty.join(own, ["min_bx", "min_by"]).join(F.broadcast(surface.select("bx", "by", "free_energy")), F.expr(f"free_energy <= _low + {float(delta)!r}D"))
+        cells = cells.unionByName(near.select("min_bx", "min_by", "bx", "by")).distinct()
+    hit = frames.join(F.broadcast(cells), ["bx", "by"])
+    if most is None:
+        return hit
+    w = Window.partitionBy("min_bx", "min_by").orderBy("traj_id", "frame")
     return hit.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 

@@ -10,6 +10,7 @@ from framewright.functions.constants import kt
 from framewright.functions.scalars import bin_index, inside_bin, is_finite, reweighting, rounded
 from framewright.operators import histograms as H
 from framewright.operators import reduction as R
+from framewright.plans import matrix_sql as Q
 from framewright.plans.registry import EV, query
 from framewright.sources import frames as S
 
@@ -87,7 +88,7 @@ def kde_grid(spark, d):
     return H.kernel_density(spark, cells, points, 1.0).withColumn("density", rounded(F.col("density")))
 
 
-@query("frames_in_minimum", f"WITH {EV}, b AS (SELECT traj_id, frame, {hist('x', 0.0, 500.0, 10)} AS bx FROM ev WHERE x BETWEEN 0 AND 500), r AS (SELECT *, row_number() OVER (PARTITION BY bx ORDER BY traj_id, frame) AS k FROM b WHERE bx = 3) SELECT traj_id, CAST(frame AS BIGINT) AS frame, bx FROM r WHERE k <= 1000")
+@query("frames_in_minimum", f"WITH {EV}, b AS (SELECT traj_id, frame, {hist('x', 0.0, 500.0, 10)} AS bx FROM ev WHERE x BETWEEN 0 AND 500) SELECT traj_id, CAST(frame AS BIGINT) AS frame, bx FROM b WHERE bx = 3")
 def frames_in_minimum(spark, d):
     f = S.event_frames(spark, d).select("traj_id", "frame", inside_bin(F.col("x"), 0.0, 500.0, 10).alias("bx"), F.lit(0).alias("by"))
     return H.frames_near(f, spark.createDataFrame([(3, 0)], "bx int, by int")).select("traj_id", "frame", "bx")
@@ -99,20 +100,20 @@ def adaptive_fes(spark, d):
     return H.adaptive_bins(S.table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", (16, 16))[2]
 
 
-@query("fes_smoothed")
+@query("fes_smoothed", Q.smoothed(GRID, KT))
 def fes_smoothed(spark, d):
     """Blurred surface of the fixed grid."""
     grid = H.grid_of(H.fes(S.table(spark, d, "lineitem"), "l_quantity", "l_discount", RANGES, (10, 10)), (10, 10))
     f = H.smoothed_fes(H.sparse_bin_repair(grid, 5))
-    return spark.createDataFrame([(i, j, float(f[i, j])) for i in range(10) for j in range(10) if math.isfinite(f[i, j])], "bx int, by int, free_energy double")
+    return spark.createDataFrame([(i, j, float(f[i, j])) for i in range(10) for j in range(10) if math.isfinite(f[i, j])], "bx int, by int, free_energy double").withColumn("free_energy", rounded(F.col("free_energy"), 6))
 
 
-@query("fes_uncertainty")
+@query("fes_uncertainty", Q.uncertainty(GRID))
 def fes_uncertainty(spark, d):
     """Standard deviation of each cell's free energy in kT."""
     grid = H.grid_of(H.fes(S.table(spark, d, "lineitem"), "l_quantity", "l_discount", RANGES, (10, 10)), (10, 10))
     sd = H.uncertainty(grid)
-    return spark.createDataFrame([(i, j, float(sd[i, j])) for i in range(10) for j in range(10)], "bx int, by int, sd double")
+    return spark.createDataFrame([(i, j, float(sd[i, j])) for i in range(10) for j in range(10)], "bx int, by int, sd double").withColumn("sd", rounded(F.col("sd"), 3))
 
 
 @query("sign_changes", f"WITH {EV}, s AS (SELECT traj_id, sign(x - 250) AS s, lag(sign(x - 250)) OVER (PARTITION BY traj_id ORDER BY frame) AS b FROM ev) SELECT traj_id, CAST(sum(CASE WHEN s <> b THEN 1 ELSE 0 END) AS BIGINT) AS changes FROM s GROUP BY 1")

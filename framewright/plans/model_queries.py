@@ -13,6 +13,7 @@ from framewright.operators import msm as M
 from framewright.operators import reduction as R
 from framewright.operators import representatives as P
 from framewright.operators import tpt as T
+from framewright.plans import matrix_sql as Q
 from framewright.plans.registry import EV, query
 from framewright.sources import frames as S
 
@@ -74,9 +75,9 @@ def true_medoid(spark, d):
     return P.medoids(vectors(spark, d), "x", "label", "vec_id").select("label", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("diverse_representatives")
+@query("diverse_representatives", Q.spread_out(3))
 def diverse_representatives(spark, d):
-    return P.farthest_points(vectors(spark, d), "x", "label", "vec_id", 3)
+    return P.farthest_points(vectors(spark, d), "x", "label", "vec_id", 3).withColumn("score", rounded(F.col("score"), 6))
 
 
 @query("frames_in_band", "SELECT DISTINCT event_type AS state FROM events WHERE value BETWEEN 100 AND 100.5")
@@ -84,11 +85,11 @@ def frames_in_band(spark, d):
     return T.states_in_range(S.event_frames(spark, d), "x", 100.0, 100.5)
 
 
-@query("band_representatives")
+@query("band_representatives", Q.spread_out(2, "label / 9.0 BETWEEN 0.4 AND 0.6"))
 def band_representatives(spark, d):
     v = vectors(spark, d)
     q = v.select("label").distinct().select("label", (F.col("label") / 9.0).alias("q"))
-    return P.from_band(v, q, "x", "label", "vec_id", k=2)
+    return P.from_band(v, q, "x", "label", "vec_id", k=2).withColumn("score", rounded(F.col("score"), 6))
 
 
 @query("pca")
@@ -153,21 +154,21 @@ def ck_rms_error(spark, d):
     return both.agg(rounded(F.sqrt(F.avg(gap * gap))).alias("error"))
 
 
-@query("ck_test")
+@query("ck_test", Q.chapman_kolmogorov())
 def ck_test(spark, d):
-    return M.ck_test(spark, S.event_frames(spark, d), 2)
+    return M.ck_test(spark, S.event_frames(spark, d), 2).withColumn("mse", rounded(F.col("mse")))
 
 
-@query("stationary_distribution")
+@query("stationary_distribution", Q.STATIONARY)
 def stationary_distribution(spark, d):
     m = model(spark, d)
-    return spark.createDataFrame([(str(s), float(p)) for s, p in zip(m.states, m.pi, strict=True)], "state string, pi double")
+    return spark.createDataFrame([(str(s), float(p)) for s, p in zip(m.states, m.pi, strict=True)], "state string, pi double").withColumn("pi", rounded(F.col("pi")))
 
 
-@query("mfpt")
+@query("mfpt", Q.PASSAGE)
 def mfpt(spark, d):
     m = model(spark, d)
-    return spark.createDataFrame([(str(s), str(m.states[k]), float(t)) for k in range(len(m.states)) for s, t in zip(m.states, linalg.mean_first_passage(m.p, [k]), strict=True)], "src string, dst string, mfpt double")
+    return spark.createDataFrame([(str(s), str(m.states[k]), float(t)) for k in range(len(m.states)) for s, t in zip(m.states, linalg.mean_first_passage(m.p, [k]), strict=True)], "src string, dst string, mfpt double").withColumn("mfpt", rounded(F.col("mfpt"), 6))
 
 
 @query("its")
@@ -197,7 +198,7 @@ def lag_selection(spark, d):
     return M.select_lag(spark, S.event_frames(spark, d), [1, 2, 5])[1]
 
 
-@query("strong_components")
+@query("strong_components", Q.STRONG)
 def strong_components(spark, d):
     c, states = C.collect_matrix(C.transition_counts(S.event_frames(spark, d), [5]))
     return spark.createDataFrame([(k, str(states[i])) for k, part in enumerate(linalg.strong_components(c > 0)) for i in part], "component int, state string")
@@ -233,11 +234,11 @@ def committor_classes(spark, d):
     return T.classified(q).withColumn("q", rounded(F.col("q")))
 
 
-@query("tpt_flux")
+@query("tpt_flux", Q.FLUX)
 def tpt_flux(spark, d):
     m = model(spark, d)
     t = T.analyse(m.p, [0], [len(m.states) - 1], lag=5)
-    return C.matrix_table(spark, t.net, [str(s) for s in m.states], "net")
+    return C.matrix_table(spark, t.net, [str(s) for s in m.states], "net").withColumn("net", rounded(F.col("net"))).where("net > 0")
 
 
 @query("tpt_pathways")
@@ -269,10 +270,10 @@ def conformations(spark, d):
     return T.conformations(spark, S.event_frames(spark, d))
 
 
-@query("markov_matrix")
+@query("markov_matrix", Q.MARKOV)
 def markov_matrix(spark, d):
     m = model(spark, d)
-    return C.matrix_table(spark, m.p, [str(s) for s in m.states])
+    return C.matrix_table(spark, m.p, [str(s) for s in m.states]).withColumn("p", rounded(F.col("p")))
 
 
 @query("analysis_debug")
