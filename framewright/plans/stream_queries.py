@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.plans.registry import query
 from framewright.sources import frames as S
+from framewright.sources.shared import shared_folder
 from framewright.streaming import detectors as D
 
 
 def _as_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The rows of a table as a file stream from the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewright-stream-")
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     df.write.parquet(folder)
     return D.read_stream(spark, df.schema, folder, 1000)
 
 
 def _run(df: DataFrame, mode: str) -> DataFrame:
-    return D.run_to_memory(df, f"q_{uuid.uuid4().hex}", mode)
+    return D.run_to_files(df, shared_folder(df.sparkSession, "stream-out"), mode)
 
 
 @query("live_counts", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")

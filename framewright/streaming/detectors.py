@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ DRIFT = "traj_id long, frame long, drift boolean, width int"
 def drift(frames: DataFrame, delta: float = 0.002, most: int = 256) -> DataFrame:
     """(traj_id, frame, drift, width) of a stream of (traj_id, frame, x): the bounded window is the state of a key.
 
-    Rows of a micro-batch are taken in frame order.
+    Rows of a micro-batch are taken in frame order; frames that come in a later micro-batch than their
+    successors are detected on in the order of the micro-batches.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,7 +77,10 @@ def should_retrain(policy: str, frame: int, last: int, score: float, score_then:
 
 
 def triggers(frames: DataFrame, policy: str = "fixed", every: int = 100) -> DataFrame:
-    """(traj_id, frame) at which a stream retrains; the state of a key is the last such frame and the window."""
+    """(traj_id, frame) at which a stream retrains; the state of a key is the last such frame and the bounded window.
+
+    The order of rows is that of ``drift``.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, window, then = state.get if state.exists else (-1, [], 0.0)
@@ -94,21 +99,30 @@ def triggers(frames: DataFrame, policy: str = "fixed", every: int = 100) -> Data
     return frames.groupBy("traj_id").applyInPandasWithState(run, "traj_id long, frame long", "last long, window array<double>, score double", "append", GroupStateTimeout.NoTimeout)
 
 
-def bias_ledger(frames: DataFrame, stride: int = 10, sigma: float = 1.0, height: float = 1.0) -> DataFrame:
-    """(traj_id, frame, bias): Gaussian potential of the hills that every ``stride``-th frame has left so far."""
+def bias_ledger(frames: DataFrame, stride: int = 10, sigma: float = 1.0, height: float = 1.0, cell: float | None = None) -> DataFrame:
+    """(traj_id, frame, bias): Gaussian potential of the hills that every ``stride``-th frame has left so far.
+
+    The state of a key is its hills' places and numbers. Without ``cell`` each different place is kept, so
+    the state grows with the trajectory; with it hills move to the middle of their cell of that width,
+    and the state is bounded by the range of x over ``cell``. Rows of a micro-batch are taken in frame
+    order; a frame that comes in a later micro-batch than its successors sees the hills left by then.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hills = list(state.get[0]) if state.exists else []
+        place, number = (np.array(v, "f8") for v in state.get) if state.exists else (np.zeros(0), np.zeros(0))
+        hills = dict(zip(place.tolist(), number.tolist(), strict=True))
         rows = pd.concat(list(batches)).sort_values("frame")
         out = []
-        for f, v in zip(rows["frame"], rows["x"], strict=True):
-            out.append((key[0], f, height * sum(math.exp(-((v - h) ** 2) / (2 * sigma**2)) for h in hills)))
+        for f, v in zip(rows["frame"], rows["x"].astype(float), strict=True):
+            out.append((key[0], f, height * float((number * np.exp(-((v - place) ** 2) / (2 * sigma**2))).sum())))
             if f % stride == 0:
-                hills.append(float(v))
-        state.update((hills,))
+                at = v if cell is None else (math.floor(v / cell) + 0.5) * cell
+                hills[at] = hills.get(at, 0.0) + 1
+                place, number = np.array(list(hills)), np.array(list(hills.values()))
+        state.update((place.tolist(), number.tolist()))
         yield pd.DataFrame(out, columns=["traj_id", "frame", "bias"])
 
-    return frames.groupBy("traj_id").applyInPandasWithState(run, "traj_id long, frame long, bias double", "hills array<double>", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("traj_id").applyInPandasWithState(run, "traj_id long, frame long, bias double", "place array<double>, number array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def training_window(frames: DataFrame, end: int, width: int | None = None) -> DataFrame:
@@ -128,11 +142,20 @@ def read_stream(spark: SparkSession, schema, folder: str, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a finite stream to its end into a table in memory (tests and small results)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_files(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a finite stream to its end into Parquet files of a shared folder, and read those.
+
+    Appended rows go through the file sink, whose log makes every micro-batch count once; a complete
+    result replaces the one before.
+    """
+    out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").option("path", f"{folder}/rows").start()
+    else:
+        q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows") if q.lastProgress else spark.createDataFrame([], df.schema)
 
 
 class ProgressLog(StreamingQueryListener):

@@ -1,6 +1,7 @@
 """Models, reductions, clustering and streams against analytic and plain results."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -198,7 +199,7 @@ def test_stream_equals_replay(spark, tmp_path):
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     log = D.ProgressLog()
     spark.streams.addListener(log)
-    got = D.run_to_memory(D.drift(D.read_stream(spark, df.schema, str(tmp_path / "in"))), "drift_test")
+    got = D.run_to_files(D.drift(D.read_stream(spark, df.schema, str(tmp_path / "in"))), str(tmp_path / "out"))
     flags = [r.drift for r in got.orderBy("frame").collect()]
     assert flags == D.replay_drift(values.tolist()) and any(flags[80:]) and not any(flags[:80])
     spark.streams.removeListener(log)
@@ -209,10 +210,40 @@ def test_other_stream_operators(spark, tmp_path):
     df = spark.createDataFrame([(t, i, float(i % 5)) for t in (1, 2) for i in range(40)], "traj_id long, frame long, x double")
     df.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = lambda: D.read_stream(spark, df.schema, str(tmp_path / "in"), 100)
-    hits = D.run_to_memory(D.triggers(stream(), "fixed", 10), "trigger_test").collect()
+    hits = D.run_to_files(D.triggers(stream(), "fixed", 10), str(tmp_path / "a")).collect()
     assert sorted((r.traj_id, r.frame) for r in hits) == [(t, f) for t in (1, 2) for f in (9, 19, 29, 39)]
-    bias = {(r.traj_id, r.frame): r.bias for r in D.run_to_memory(D.bias_ledger(stream(), 10), "bias_test").collect()}
+    bias = {(r.traj_id, r.frame): r.bias for r in D.run_to_files(D.bias_ledger(stream(), 10), str(tmp_path / "b")).collect()}
     assert bias[1, 0] == 0 and bias[2, 20] == pytest.approx(2.0) and bias[1, 21] == pytest.approx(3 * math.exp(-0.5))
+    binned = {(r.traj_id, r.frame): r.bias for r in D.run_to_files(D.bias_ledger(stream(), 10, cell=2.0), str(tmp_path / "c")).collect()}
+    assert binned[1, 0] == 0 and binned[1, 20] == pytest.approx(2 * math.exp(-0.5)) and binned[1, 21] == pytest.approx(3.0)
     assert D.should_retrain("threshold", 5, 0, 0.1, 0.5, False) and D.should_retrain("adwin", 5, 0, 0, 0, True)
     with pytest.raises(ValueError):
         D.should_retrain("other", 0, 0, 0, 0, False)
+
+
+def test_frames_over_several_micro_batches(spark, tmp_path):
+    rows = [(t, i, float((i * 7 + t) % 11)) for t in (1, 2) for i in range(60)]
+    frames = spark.createDataFrame(rows, "traj_id long, frame long, x double")
+    for k in range(4):  # a file a quarter, one file a micro-batch, in the order of their times
+        frames.where(F.col("frame").between(15 * k, 15 * k + 14)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = lambda n: D.read_stream(spark, frames.schema, str(tmp_path / "in"), n)
+    made = {"drift": D.drift, "bias": lambda s: D.bias_ledger(s, 10, 3.0), "fixed": lambda s: D.triggers(s, "fixed", 12)}
+    for name, f in made.items():
+        one, many = (sorted(map(tuple, D.run_to_files(f(stream(n)), str(tmp_path / f"{name}{n}")).collect())) for n in (100, 1))
+        assert one == many and one
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from framewright.sources.shared import shared_folder
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session, "x")
+    Session.conf = Conf({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://n/c/"})
+    assert shared_folder(Session, "x").startswith("hdfs://n/c/framewright/x-")
