@@ -133,25 +133,79 @@ def mean_first_passage(p: np.ndarray, target: list[int]) -> np.ndarray:
     return out
 
 
-def inner_simplex_memberships(p: np.ndarray, pi: np.ndarray, k: int) -> np.ndarray:
-    """Fuzzy macrostates from the dominant eigenvectors of the symmetrised chain.
-
-    The rows of the eigenvector matrix lie close to a simplex; its corners are found by repeatedly taking
-    the row farthest from the span so far. Memberships are clipped and normalised.
-    """
+def dominant_eigenvectors(p: np.ndarray, pi: np.ndarray, k: int) -> np.ndarray:
+    """Right eigenvectors of the symmetrised chain, the first of them constant."""
     flow = pi[:, None] * p
     flow = (flow + flow.T) / 2
     root = np.sqrt(np.maximum(pi, 1e-300))
     s, u = np.linalg.eigh(flow / root[:, None] / root[None, :])
     x = signed_columns(u[:, np.argsort(-s)[:k]]) / root[:, None]
+    x[:, 0] = 1.0
+    return x
+
+
+def simplex_corners(x: np.ndarray) -> list[int]:
+    """Rows that span the simplex of all: repeatedly the row farthest from the span so far."""
     corners = [int((x**2).sum(1).argmax())]
     rest = x - x[corners[0]]
-    for _ in range(k - 1):
+    for _ in range(x.shape[1] - 1):
         size = (rest**2).sum(1)
         corners.append(int(size.argmax()))
-        axis = rest[corners[-1]] / np.sqrt(size.max())
+        axis = rest[corners[-1]] / np.sqrt(max(size.max(), 1e-300))
         rest = rest - np.outer(rest @ axis, axis)
-    chi = np.clip(x @ np.linalg.inv(x[corners]), 0, None)
+    return corners
+
+
+def feasible_transform(inner: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The k x k map of ``x`` to memberships that are non-negative and sum to one, from its free (k - 1) x (k - 1) part."""
+    k = x.shape[1]
+    a = np.zeros((k, k))
+    a[1:, 1:] = inner
+    a[1:, 0] = -inner.sum(1)
+    a[0] = -(x[:, 1:] @ a[1:]).min(0)
+    return a / max(a[0].sum(), 1e-300)
+
+
+def downhill(f, start: np.ndarray, rounds: int = 2000, tolerance: float = 1e-10) -> np.ndarray:
+    """Least value of a function by the simplex method of Nelder and Mead."""
+    n = len(start)
+    points = np.vstack([start, *(start + np.eye(n)[i] * (0.05 * abs(start[i]) or 0.00025) for i in range(n))])
+    values = np.array([f(v) for v in points])
+    for _ in range(rounds):
+        order = np.argsort(values, kind="stable")
+        points, values = points[order], values[order]
+        if values[-1] - values[0] <= tolerance:
+            break
+        middle = points[:-1].mean(0)
+        step = middle - points[-1]
+        tried = [(f(v), v) for v in (middle + step,)]
+        if tried[0][0] < values[0]:
+            tried.append((f(middle + 2 * step), middle + 2 * step))
+        elif tried[0][0] >= values[-2]:
+            inside = middle + (0.5 if tried[0][0] < values[-1] else -0.5) * step
+            tried.append((f(inside), inside))
+        best = min(tried, key=lambda t: t[0])
+        if best[0] < (values[-2] if len(tried) == 1 else values[-1]):
+            points[-1], values[-1] = best[1], best[0]
+        else:
+            points[1:] = points[0] + (points[1:] - points[0]) / 2
+            values[1:] = [f(v) for v in points[1:]]
+    return points[values.argmin()]
+
+
+def memberships(p: np.ndarray, pi: np.ndarray, k: int, optimise: bool = True) -> np.ndarray:
+    """Fuzzy macrostates (PCCA+): the crispest non-negative memberships that the dominant eigenvectors span.
+
+    The start is the inverse of the simplex' corner rows; the free part of the map is then moved so that the
+    memberships are as crisp as possible, sum_j sum_i A_ij^2 / A_0j being largest.
+    """
+    x = dominant_eigenvectors(p, pi, k)
+    a = np.linalg.inv(x[simplex_corners(x)])
+    if k > 1:
+        crisp = lambda v: -float((feasible_transform(v.reshape(k - 1, k - 1), x) ** 2 / np.maximum(feasible_transform(v.reshape(k - 1, k - 1), x)[0], 1e-300)).sum())
+        start = a[1:, 1:].ravel()
+        a = feasible_transform((downhill(crisp, start) if optimise else start).reshape(k - 1, k - 1), x)
+    chi = np.clip(x @ a, 0, None)
     return chi / chi.sum(1, keepdims=True)
 
 
@@ -160,7 +214,7 @@ def macrostates(p: np.ndarray, k: int) -> np.ndarray | None:
     if len(p) <= k:
         return None
     pi = stationary(p)
-    of = inner_simplex_memberships(p, pi, k).argmax(1)
+    of = memberships(p, pi, k).argmax(1)
     weight = np.array([pi[of == m].sum() for m in range(k)])
     rank = np.empty(k, int)
     rank[np.lexsort((np.arange(k), -weight))] = np.arange(k)

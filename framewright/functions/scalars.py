@@ -84,34 +84,52 @@ def letter_count(sequence: Column, letter: str) -> Column:
     return F.length(sequence) - F.length(F.replace(sequence, F.lit(letter), F.lit("")))
 
 
-def net_charge(sequence: Column, ph: Column) -> Column:
-    """Charge of a residue sequence at a pH, by the Henderson-Hasselbalch equation."""
+def without(sequence: Column, kept: str) -> Column:
+    """The sequence without the capital letters that are not in ``kept``, in one pass."""
+    return F.translate(sequence, "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in kept), "")
+
+
+def charged_letters(sequence: Column) -> Column:
+    """struct of the numbers of charged residues by letter; they are counted in what one pass leaves."""
+    kept = without(sequence, "".join([*PK_POSITIVE, *PK_NEGATIVE]))
+    return F.struct(*[letter_count(kept, letter).alias(letter) for letter in [*PK_POSITIVE, *PK_NEGATIVE]])
+
+
+def charge_of(letters: Column, ph: Column) -> Column:
+    """Charge of ``charged_letters`` at a pH, by the Henderson-Hasselbalch equation."""
     plus = F.lit(1.0) / (1 + F.pow(F.lit(10.0), ph - PK_N_TERMINUS))
     minus = F.lit(1.0) / (1 + F.pow(F.lit(10.0), F.lit(PK_C_TERMINUS) - ph))
     for letter, pk in PK_POSITIVE.items():
-        plus = plus + letter_count(sequence, letter) / (1 + F.pow(F.lit(10.0), ph - pk))
+        plus = plus + letters[letter] / (1 + F.pow(F.lit(10.0), ph - pk))
     for letter, pk in PK_NEGATIVE.items():
-        minus = minus + letter_count(sequence, letter) / (1 + F.pow(F.lit(10.0), F.lit(pk) - ph))
+        minus = minus + letters[letter] / (1 + F.pow(F.lit(10.0), F.lit(pk) - ph))
     return plus - minus
 
 
+def net_charge(sequence: Column, ph: Column) -> Column:
+    """Charge of a residue sequence at a pH."""
+    return charge_of(charged_letters(sequence), ph)
+
+
 def hydrophobic_fraction(sequence: Column) -> Column:
-    kept = F.length(F.regexp_replace(sequence, f"[^{HYDROPHOBIC}]", ""))
-    return kept / F.nullif(F.length(sequence), F.lit(0))
+    return F.length(without(sequence, HYDROPHOBIC)) / F.nullif(F.length(sequence), F.lit(0))
 
 
 def aromatic_count(sequence: Column) -> Column:
-    return F.length(F.regexp_replace(sequence, f"[^{AROMATIC}]", ""))
+    return F.length(without(sequence, AROMATIC))
 
 
 def isoelectric_point(sequence: Column, rounds: int = 60) -> Column:
-    """pH of charge zero in [0, 14], by a fixed number of bisections."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"))
+    """pH of charge zero in [0, 14], by a fixed number of bisections; ``sequence`` holds capital letters.
+
+    The letters are counted once and travel in the bisection's state.
+    """
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"), charged_letters(sequence).alias("n"))
 
     def step(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
-        up = net_charge(sequence, mid) > 0
-        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
+        up = charge_of(s["n"], mid) > 0
+        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"), s["n"].alias("n"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: (s["lo"] + s["hi"]) / 2)
 

@@ -62,6 +62,60 @@ def select_k(df: DataFrame, x: str, ks: range = range(4, 21), seed: int = 42) ->
     return best[1]
 
 
+def mini_batch_k_means(df: DataFrame, x: str, k: int, key: str, batch: int = 10_000, rounds: int = 30, seed: int = 42) -> list[list[float]]:
+    """Centres by mini-batches: each round about ``batch`` rows, drawn by a hash of ``key``, move their nearest centres.
+
+    A centre moves by its rows' share of all that it has seen, so later rounds move it less. A round is
+    one aggregation to k centres; the start are the rows of the least hashes.
+    """
+    rows = df.count()
+    spread = lambda r: F.xxhash64(F.lit(seed), F.lit(r), key)
+    centres = [list(r[0]) for r in df.select(x).distinct().orderBy(F.xxhash64(F.lit(seed), x)).limit(k).collect()]
+    seen = [0] * len(centres)
+    cells = 1 << 20
+    for r in range(rounds):
+        part = df if rows <= batch else df.where(F.pmod(spread(r), F.lit(cells)) < int(cells * batch / rows))
+        moved: dict[int, tuple[int, dict[int, float]]] = {}
+        for row in lloyd_step(part, x, centres).collect():  # clusters times dimensions
+            moved.setdefault(row.state, (row.n, {}))[1][row.k] = row.value
+        for i, (n, mean) in moved.items():
+            seen[i] += n
+            centres[i] = [c + n / seen[i] * (mean[j] - c) for j, c in enumerate(centres[i])]
+    return centres
+
+
+def microstates(df: DataFrame, x: str, key: str, n_states: int | str = "auto", method: str = "auto", seed: int = 42, restarts: int = 3, minibatch_rows: int = 5_000_000, ks: range = range(4, 21)) -> tuple[DataFrame, list[list[float]]]:
+    """Rows with dense ``state`` and the means of the states.
+
+    ``auto`` takes k by silhouette and mini-batches from ``minibatch_rows`` rows on. k is no more than the
+    different rows; the best of ``restarts`` starts by inertia is kept, empty states are left out.
+    """
+    if method not in ("auto", "kmeans", "minibatchkmeans"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "auto":
+        method = "minibatchkmeans" if df.count() >= minibatch_rows else "kmeans"
+    k = select_k(df, x, ks, seed) if n_states == "auto" else int(n_states)
+    if k < 1:
+        raise ValueError("at least one state is needed")
+    k = min(k, df.select(x).distinct().limit(k).count())
+    if k == 0:
+        return df.withColumn("state", F.lit(None).cast("int")), []
+    best: tuple[float, list[list[float]]] | None = None
+    for r in range(max(1, restarts)):
+        if k == 1:
+            centres = [centroids(df.withColumn("_s", F.lit(0)), x, "_s").first().centre]
+        else:
+            centres = k_means(df, x, k, seed + r)[1] if method == "kmeans" else mini_batch_k_means(df, x, k, key, seed=seed + r)
+        cost = inertia(df, x, centres)
+        if best is None or cost < best[0] - 1e-12:
+            best = (cost, centres)
+    own = nearest_centre(df, x, best[1]).drop("distance")
+    means = {r.state: r.centre for r in centroids(own, x, "state").collect()}  # a row a state
+    names = sorted(means)
+    dense = F.element_at(F.create_map(*[v for i, s in enumerate(names) for v in (F.lit(s), F.lit(i))]), F.col("state"))
+    return own.withColumn("state", dense.cast("int")), [list(means[s]) for s in names]
+
+
 def grid_cells(df: DataFrame, columns: list[str], ranges: dict[str, tuple[float, float]], bins: int) -> DataFrame:
     """Rows with ``cell``, the bins of all columns as one number; a constant column has one bin of width 1."""
     cell = F.lit(0).cast("long")

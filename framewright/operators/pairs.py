@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.sources.shared import shared_folder
+
 
 def order(*keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy("frame")
@@ -65,9 +67,19 @@ def pair_diagnostics(lengths: DataFrame, taus: list[int]) -> DataFrame:
 
 
 def running_offsets(lengths: DataFrame) -> DataFrame:
-    """(traj_id, n_frames, offset): global frame of each trajectory's first frame; one row a trajectory is sorted."""
-    w = Window.orderBy("traj_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lengths.withColumn("offset", (F.sum("n_frames").over(w) - F.col("n_frames")).cast("long"))
+    """(traj_id, n_frames, offset): global frame of each trajectory's first frame.
+
+    The lengths are written in ranges of traj_id, one file a range; sums run over the files, then within each,
+    so no task sorts all trajectories.
+    """
+    spark, folder = lengths.sparkSession, shared_folder(lengths.sparkSession, "offsets")
+    lengths.repartitionByRange("traj_id").write.parquet(folder)
+    rows = spark.read.schema(lengths.schema).parquet(folder).withColumn("_file", F.col("_metadata.file_name"))
+    files = rows.groupBy("_file").agg(F.min("traj_id").alias("_first"), F.sum("n_frames").alias("_n"))
+    before = files.select("_file", (F.sum("_n").over(Window.orderBy("_first")) - F.col("_n")).alias("_before"))  # a row a file
+    w = Window.partitionBy("_file").orderBy("traj_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offset = F.col("_before") + F.sum("n_frames").over(w) - F.col("n_frames")
+    return rows.join(F.broadcast(before), "_file").withColumn("offset", offset.cast("long")).drop("_file", "_before")
 
 
 def global_frames(frames: DataFrame) -> DataFrame:

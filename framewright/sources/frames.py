@@ -6,6 +6,7 @@ import json
 import math
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +105,9 @@ def feature_cache(frames: DataFrame, key: str, folder: str) -> DataFrame:
     """``frames`` from the cache folder of ``key`` (a hash of what made them), written there at first."""
     path = f"{folder}/{key}"
     spark = frames.sparkSession
-    store = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").schema  # noqa: B018
+    except AnalysisException:  # no such file: nothing was written, or not to its end
         frames.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -127,6 +129,44 @@ def to_json(value) -> str:
     return json.dumps(json_safe(value), sort_keys=True)
 
 
+RESULT_VERSION = "1.0"
+
+
+def result_json(result: dict, metadata_only: bool = False) -> str:
+    """A result as JSON with its version; arrays keep their kind, or only shape and kind with ``metadata_only``."""
+
+    def plain(v):
+        if isinstance(v, dict):
+            return {str(k): plain(x) for k, x in v.items()}
+        if isinstance(v, (list, tuple)):
+            return [plain(x) for x in v]
+        if hasattr(v, "dtype") and hasattr(v, "shape") and v.shape:
+            return {"__array__": None if metadata_only else json_safe(v), "shape": list(v.shape), "dtype": str(v.dtype)}
+        return json_safe(v)
+
+    return json.dumps({"schema_version": RESULT_VERSION, "result": plain(result)}, sort_keys=True)
+
+
+def result_from_json(text: str) -> dict:
+    """The result of such a text, arrays as numpy arrays (NaN where there was no number); another version raises."""
+    import numpy as np
+
+    def back(v):
+        if isinstance(v, dict) and "__array__" in v:
+            if v["__array__"] is None:
+                return {"shape": tuple(v["shape"]), "dtype": v["dtype"]}
+            kind = np.dtype(v["dtype"])
+            return np.array(v["__array__"], "f8" if kind.kind == "f" else kind).astype(kind).reshape(v["shape"])
+        if isinstance(v, dict):
+            return {k: back(x) for k, x in v.items()}
+        return [back(x) for x in v] if isinstance(v, list) else v
+
+    whole = json.loads(text)
+    if whole.get("schema_version") != RESULT_VERSION:
+        raise ValueError(f"unknown result version {whole.get('schema_version')!r}")
+    return back(whole["result"])
+
+
 def macro_map_json(mapping: Column) -> Column:
     """``{"micro_to_macro": [...]}`` of an array column."""
     return F.to_json(F.struct(mapping.alias("micro_to_macro")))
