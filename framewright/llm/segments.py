@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from framewright.llm.base import held, pieces, text_column, tidy
 from framewright.llm.tokens import tokenizer_path
-from framewright.llm.words import Table, _power_tables, mixed
+from framewright.llm.words import Probed, _power_tables, mixed
 
 UNIT = re.compile(rb" +[^ ]*|[^ ]+")
 MARK = "▁"
+#: Bytes of text whose lattice is held at a time; the units they share are built once.
+PIECE = 4 << 20
 
 
 class _Numbers(dict):
@@ -65,7 +67,7 @@ class Lattice:
         prefixes = sorted({own[:k] for own, _, _ in normal for k in range(1, len(own) + 1)})
         key = self._hash_of(prefixes)
         whole = {own: i for own, i, _ in normal}
-        self.prefix = Table(key, np.array([whole.get(p, -1) for p in prefixes], "f8"), -1.0)
+        self.prefix = Probed(key, np.array([whole.get(p, -1) for p in prefixes], "f8"))
         self.weight = np.zeros(len(self.surface))
         self.weight[[x[1] for x in normal]] = [x[2] for x in normal]
 
@@ -98,7 +100,7 @@ class Lattice:
                 break
             key = mixed((running[at + k] - running[at]) * inverse[at] ^ np.uint64(k << 56))
             piece, alive = self.prefix(key)
-            found = piece >= 0
+            found = alive & (piece >= 0)
             starts.append(at[found])
             ends.append(at[found] + k)
             ids.append(piece[found].astype("i4"))
@@ -123,7 +125,7 @@ class Lattice:
         crossed = np.cumsum(np.bincount(start + 1, minlength=bound[-1] + 2) - np.bincount(end, minlength=bound[-1] + 2))[: bound[-1]]
         unit_start = np.maximum.accumulate(np.where(crossed > 0, 0, np.arange(bound[-1])))
         offset = end - unit_start[end - 1]
-        order = np.lexsort((end, offset))
+        order = np.argsort((offset * (bound[-1] + 1) + end) * (self.longest + 1) + end - start)  # no two are equal
         end, start, piece, weight, offset = (x[order] for x in (end, start, piece, weight, offset))
         total = np.zeros(bound[-1] + 1)
         share = np.zeros(len(end))
@@ -182,7 +184,7 @@ class Lattice:
             here[live] = start[edge]
             live = live[here[live] > first[live]]
         whose, edge = np.concatenate(seen), np.concatenate(chosen)
-        order = np.lexsort((start[edge] - first[whose], whose))
+        order = np.argsort(whose * (np.diff(bound).max() + 1) + (start[edge] - first[whose]))
         ids = piece[edge[order]]
         cut = np.searchsorted(owner[whose[order]], np.arange(len(texts) + 1))
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -210,7 +212,7 @@ def sampled(docs: DataFrame, path: str, seed: int = 0, theta: float = 1.0) -> Da
     def run(batches):
         lattice = lattice_of(path, theta)
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", PIECE):
                 keys = part.column("doc_id").to_pylist()
                 ids = lattice.sample(part.column("text").to_pylist(), row_seeds(keys, seed))
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
@@ -243,7 +245,7 @@ def op4_sampled_pieces(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataF
     def run(batches):
         lattice = lattice_of(path, 1.0)
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", PIECE):
                 keys, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
                 rows = []
                 for key, text, ids in zip(keys, texts, lattice.sample(texts, row_seeds(keys, seed)), strict=True):

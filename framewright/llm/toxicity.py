@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.base import broadcast, pieces, scope, stored, text_column, tidy, trim
 from framewright.llm.language import fold, symbols
-from framewright.llm.words import Table, hashes_between, lowered, mixed
+from framewright.llm.words import Probed, Table, hashes_between, lowered
 
 #: Bytes of the longest window, and of the shortest one that the classes count for themselves.
 ORDER, LOWEST = 6, 4
@@ -34,7 +34,6 @@ MIXED = 0.01
 PARTS = 4
 #: Bytes of text whose windows are held at a time.
 PIECE = 1 << 18
-_NO_KEY = np.uint64(2**64 - 1)
 
 
 @dataclass
@@ -78,34 +77,6 @@ def windows_of(stream: np.ndarray, ends: np.ndarray, order: int = ORDER) -> np.n
     return out
 
 
-class Probed:
-    """Values by packed window: an open table with linear probing that holds every key."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(8, int(len(keys)).bit_length() + 1))
-        home = (mixed(keys) >> self.shift).astype("i8")
-        order = np.argsort(home, kind="stable")
-        step = np.arange(len(keys))
-        slot = np.maximum.accumulate(home[order] - step) + step  # each at home or next to the one before
-        size = max((1 << 64 - int(self.shift)), int(slot[-1]) + 1 if len(slot) else 0) + 1  # the last slot stays free
-        self.key, self.value = np.full(size, _NO_KEY), np.zeros(size)
-        self.key[slot], self.value[slot] = keys[order], values[order]
-
-    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values (0 where there is none) and whether there is one."""
-        slot = (mixed(keys) >> self.shift).astype("i8")
-        there = self.key[slot]
-        hit = there == keys
-        open_at = np.flatnonzero(~hit & (there != _NO_KEY))
-        while len(open_at):
-            slot[open_at] += 1
-            there = self.key[slot[open_at]]
-            found = there == keys[open_at]
-            hit[open_at[found]] = True
-            open_at = open_at[~found & (there != _NO_KEY)]
-        return np.where(hit, self.value[slot], 0.0), hit
-
-
 class Scorer:
     """Log ratios of whole batches: a window's own, or its context's backoff weights and what the next order says."""
 

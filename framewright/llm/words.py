@@ -82,3 +82,34 @@ class Table:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         found = self.keys[at] == keys
         return np.where(found, self.values[at], self.missing), found
+
+
+_NO_KEY = np.uint64(2**64 - 1)
+
+
+class Probed:
+    """Values by 64-bit key (not the largest one): an open table with linear probing that holds every key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(8, int(len(keys)).bit_length() + 1))
+        home = (mixed(keys) >> self.shift).astype("i8")
+        order = np.argsort(home, kind="stable")
+        step = np.arange(len(keys))
+        slot = np.maximum.accumulate(home[order] - step) + step  # each at home or next to the one before
+        size = max((1 << 64 - int(self.shift)), int(slot[-1]) + 1 if len(slot) else 0) + 1  # the last slot stays free
+        self.key, self.value = np.full(size, _NO_KEY), np.zeros(size)
+        self.key[slot], self.value[slot] = keys[order], values[order]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where there is none) and whether there is one."""
+        slot = (mixed(keys) >> self.shift).astype("i8")
+        there = self.key[slot]
+        hit = there == keys
+        open_at = np.flatnonzero(~hit & (there != _NO_KEY))
+        while len(open_at):
+            slot[open_at] += 1
+            there = self.key[slot[open_at]]
+            found = there == keys[open_at]
+            hit[open_at[found]] = True
+            open_at = open_at[~found & (there != _NO_KEY)]
+        return np.where(hit, self.value[slot], 0.0), hit

@@ -8,6 +8,7 @@ import pyarrow as pa
 
 from framewright.llm import language, toxicity
 from framewright.llm.toxicity import DISCOUNT, LOWEST, ORDER, PARTS, SHARED_DISCOUNT
+from framewright.llm.words import Probed
 
 CLEAN = ["the pen and the inn", "an inn then", "tea on the table é"]
 TOXIC = ["the zugga and zugmo", "zugti then", "an old zugga, an old zugga, an old zugga"]
@@ -148,10 +149,10 @@ def test_no_window_is_lost():
     rng = np.random.default_rng(0)
     key = np.unique(rng.integers(0, 1 << 48, 300_000).astype("u8"))
     value = rng.normal(size=len(key)).astype("f4")
-    table = toxicity.Probed(key, value)
+    table = Probed(key, value)
     got, hit = table(key)
     assert hit.all() and (got == value).all()
     got, hit = table(key + np.uint64(1 << 50))
     assert not hit.any() and not got.any()
-    got, hit = toxicity.Probed(key[:0], value[:0])(key[:9])
+    got, hit = Probed(key[:0], value[:0])(key[:9])
     assert not hit.any()
