@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from framewright.llm import language, media, minhash, packing, segments, token_files, toxicity, urls, vectors, warc
+from framewright.llm.base import release  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
