@@ -30,6 +30,8 @@ ORDER, LOWEST = 6, 4
 SHARED_DISCOUNT, DISCOUNT = 0.9, 2.5
 #: Share of the words of a toxic document that its class's model makes, the rest are ordinary.
 MIXED = 0.01
+#: Texts that each step of the calibration counts besides its own, half of them toxic.
+PSEUDO = 2.0
 #: Parts of the labelled sample; each is scored by counts of the others for the calibration.
 PARTS = 4
 #: Bytes of text whose windows are held at a time.
@@ -253,16 +255,21 @@ def train(window: np.ndarray, counts: np.ndarray, shared) -> Model:
     return Model({k: (key, np.log(p[1] / p[0])) for k, (key, p, _, _) in levels.items()}, {k: (context, np.log(left[1] / left[0])) for k, (_, _, context, left) in levels.items()})
 
 
-def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression (pool adjacent violators): both ends and the means of the pooled blocks."""
+def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pseudo: float = 0.0, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression (pool adjacent violators): both ends and the means of the pooled blocks.
+
+    Each block counts ``pseudo`` more texts of its mean weight, of which ``prior`` are toxic, so that a block of
+    few texts is not sure of itself.
+    """
     blocks: list[list[float]] = []
     for i in np.argsort(x, kind="stable"):
-        blocks.append([weight[i], weight[i] * y[i], x[i], x[i]])
+        blocks.append([weight[i], weight[i] * y[i], x[i], x[i], 1])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             last = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
-    w, wy, low, high = np.array(blocks).T
-    return np.stack([low, high], 1).ravel(), (wy / w).repeat(2)
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3], blocks[-1][4] + last[4]]
+    w, wy, low, high, n = np.array(blocks).T
+    more = pseudo * w / n
+    return np.stack([low, high], 1).ravel(), np.maximum.accumulate((wy + prior * more) / (w + more)).repeat(2)
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-5) -> tuple[float, ...]:
@@ -288,7 +295,7 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, prior: float) -> None:
     model.weights = calibrated(x, y, prior)
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        model.steps = monotone(linear(x, model.weights), y, weight)
+        model.steps = monotone(linear(x, model.weights), y, weight, PSEUDO, prior)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:

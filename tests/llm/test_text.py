@@ -149,6 +149,8 @@ def test_toxicity_without_labels(spark):
 def test_steps_are_monotone():
     x, y = toxicity.monotone(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert np.allclose(np.interp([1, 2, 3, 4], x, y), [0, 0.5, 0.5, 1])
+    x, y = toxicity.monotone(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4), 2.0)
+    assert np.allclose(np.interp([1, 2, 3, 4], x, y), [1 / 3, 0.5, 0.5, 2 / 3])
 
 
 def test_darts_estimate_weighted_similarity():
