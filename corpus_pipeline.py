@@ -71,14 +71,16 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the least doc_id.
 
-    Of equal rows one stays. Rows of one doc_id with other contents are one document and stay together;
-    rows with a null doc_id have no class and all stay. A null text is an empty one, and empty texts are copies.
+    Of rows with equal doc_id and text one stays, the least by its columns. Rows of one doc_id with other
+    texts are one document and stay together; rows with a null doc_id have no class and all stay. A null
+    text is an empty one, and empty texts are copies.
     """
     kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id")
     several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     one = docs.join(kept, "doc_id", "left_semi")
     if not several.isEmpty():
-        one = one.join(several, "doc_id", "left_anti").unionByName(one.join(several, "doc_id", "left_semi").distinct())
+        again = one.join(several, "doc_id", "left_semi").groupBy("doc_id", base.text_column()).agg(F.min(F.struct(*docs.columns)).alias("_r"))
+        one = one.join(several, "doc_id", "left_anti").unionByName(again.select("_r.*"))
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
