@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from framewright.llm import language, media, minhash, packing, segments, token_files, toxicity, urls, vectors, warc
+from framewright.llm import language, media, middle, minhash, negatives, packing, segments, token_counts, token_files, toxicity, urls, vectors, warc
 from framewright.llm.base import release  # noqa: F401
 
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": urls.op9_url_filter,
         "op10_packing": packing.op10_packing,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_token_counts": token_counts.op12_token_counts,
+        "op13_fill_in_middle": middle.op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -50,6 +53,23 @@ r AS (SELECT vec_id AS v, vec_id AS c FROM e UNION SELECT l.b, r.c FROM r JOIN l
 SELECT v AS vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(c) AS component_id, min(c) = v AS kept FROM r LEFT JOIN n ON n.a = r.v GROUP BY v"""
 
 
+#: Inner products of all anchors with all rows, their best five of the same label, and the windows below those.
+NEGATIVES_SQL = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+f AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(x, lambda c: floor(256 * c)) AS v FROM e WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM f a JOIN f b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT a, b AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p ORDER BY score DESC, b) AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 80 * ps <= 100 * score AND score <= ps QUALIFY row_number() OVER (PARTITION BY p.a, p ORDER BY score DESC, b) <= 5"""
+
+#: Units by one pattern; cuts and form from the digest of the id.
+MIDDLE_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform(range(0, 4), lambda k: CAST('0x' || substr(x, CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS i, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS j, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:i], '') AS pre, array_to_string(u[i + 1:j], '') AS mid, array_to_string(u[j + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
 def url_sql(rounds: int = 12) -> str:
     """Rules, host edges and ``rounds`` of both ranks, one table expression a round."""
     rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}:{v}'" for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
@@ -75,5 +95,5 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN share > 0.5 THEN '
 
 def oracle_sql() -> dict[str, str]:
     """Oracles of the operators that SQL expresses; the others are tested against plain versions."""
-    own = {"op1_warc": WARC_SQL, "op3_near_duplicates": NEAR_SQL, "op6_near_vectors": VECTORS_SQL, "op9_url_filter": url_sql()}
+    own = {"op1_warc": WARC_SQL, "op3_near_duplicates": NEAR_SQL, "op6_near_vectors": VECTORS_SQL, "op9_url_filter": url_sql(), "op11_hard_negatives": NEGATIVES_SQL, "op13_fill_in_middle": MIDDLE_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
