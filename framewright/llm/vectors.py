@@ -23,10 +23,12 @@ SUBSPACES, CODES = 8, 256
 
 @dataclass
 class Quantiser:
-    """Unit centroids (lists x d) and residual codewords (subspaces x codes x d / subspaces)."""
+    """Unit centroids (lists x d), residual codewords (subspaces x codes x d / subspaces), and a root of the residuals' second moments."""
 
     centroids: np.ndarray
     codewords: np.ndarray
+    shape: np.ndarray
+    gaps: np.ndarray | None = None
 
     def lists(self, unit: np.ndarray) -> np.ndarray:
         return (unit @ self.centroids.T).argmax(1)
@@ -39,19 +41,35 @@ class Quantiser:
         made = np.stack([self.codewords[m][code[:, m]] for m in range(SUBSPACES)], 1)
         return code.astype(np.uint8), np.sqrt(((rest - made) ** 2).sum((1, 2)))
 
+    def apart(self) -> np.ndarray:
+        """lists x lists: how far two centroids lie apart, seen in the shape of the residuals.
+
+        Times |q - v| this is one deviation of (q - v)(c - h), if near vectors differ in the directions in which
+        residuals spread: for residuals that fill the space the distance over the root of d, for those of a plane
+        the distance over the root of two.
+        """
+        if self.gaps is None:
+            seen = self.centroids @ self.shape
+            squares = (seen**2).sum(1)
+            self.gaps = np.sqrt(np.maximum(squares[:, None] + squares - 2 * seen @ seen.T, 0))
+        return self.gaps
+
     def probes(self, unit: np.ndarray, least: float, spread: float) -> np.ndarray:
         """queries x lists: which lists a vector of cosine ``least`` or more may lie in.
 
         If v lies in list c and q nearest to list h, then v(c - h) >= 0, so q(c - h) >= (q - v)(c - h). The
-        right side is bounded by |q - v| |c - h|; a random direction's part of that is a root of d
-        smaller, and ``spread`` such deviations are allowed. ``spread`` of the root of d is the bound itself.
+        right side is at least -|q - v| |c - h|, which is the bound itself, and ``spread`` deviations are allowed.
         """
         near = unit @ self.centroids.T
         home = near.argmax(1)
-        gram = self.centroids @ self.centroids.T
-        apart = np.sqrt(np.maximum(2 - 2 * gram, 0))[home]
-        reach = np.sqrt(2 - 2 * least) * min(spread / np.sqrt(unit.shape[1]), 1.0)
-        return near >= near[np.arange(len(unit)), home][:, None] - reach * apart - 1e-9
+        squares = (self.centroids**2).sum(1)
+        sure = np.sqrt(np.maximum(squares[home][:, None] + squares - 2 * self.centroids[home] @ self.centroids.T, 0))
+        reach = np.sqrt(2 - 2 * least) * np.minimum(spread * self.apart()[home], sure)
+        return near >= near[np.arange(len(unit)), home][:, None] - reach - 1e-9
+
+    def needed(self, short: np.ndarray, home: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
+        """Deviations to allow so that lists ``home`` probe lists ``other``, which queries are ``short`` nearer to than to their own."""
+        return np.where(home == other, 0.0, (short - 1e-9) / np.maximum(np.sqrt(2 - 2 * least) * self.apart()[home, other], 1e-12))
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
@@ -74,8 +92,13 @@ def fitted(sample: np.ndarray, lists: int, seed: int = 7) -> Quantiser:
     """Quantiser of a sample of unit vectors; fewer lists and codes if the sample is small."""
     rng = np.random.default_rng(seed)
     centroids = k_means(sample, lists, 8, rng, True)
-    q = Quantiser(centroids, np.zeros((SUBSPACES, 1, sample.shape[1] // SUBSPACES)))
-    rest = (sample - centroids[q.lists(sample)]).reshape(len(sample), SUBSPACES, -1)
+    q = Quantiser(centroids, np.zeros((SUBSPACES, 1, sample.shape[1] // SUBSPACES)), np.eye(sample.shape[1]))
+    rest = sample - centroids[q.lists(sample)]
+    moments = rest.T @ rest
+    if moments.trace() > 0:
+        size, axes = np.linalg.eigh(moments / moments.trace())
+        q.shape = axes * np.sqrt(np.maximum(size, 0))
+    rest = rest.reshape(len(sample), SUBSPACES, -1)
     q.codewords = np.stack([k_means(rest[:, m], CODES, 6, rng, False) for m in range(SUBSPACES)])
     return q
 
@@ -176,13 +199,36 @@ def blocks_of(batches, names: tuple[str, ...]):
         yield last, pa.Table.from_batches(held).combine_chunks()
 
 
-def links_of(classes: DataFrame, width: int, single: bool, least: float, sample: int, most_lists: int, spread: float, base_chunk: int, query_chunk: int) -> DataFrame:
+def measured_spread(classes: DataFrame, shared, width: int, least: float, asked: np.ndarray, margin: float = 1.15) -> float:
+    """Deviations that the links of the queries ``asked`` (unit rows) need, found by comparing them with every class, and ``margin`` times that."""
+    queries = broadcast(classes.sparkSession, asked)
+
+    def run(batches):
+        most, q = 0.0, shared.value
+        theirs = queries.value @ q.centroids.T  # queries x lists
+        y = theirs.argmax(1)
+        for batch in batches:
+            unit = unit_rows(matrix(batch.column("embedding"), width))
+            for at in range(0, len(unit), 1024):
+                own = unit[at : at + 1024] @ q.centroids.T
+                x = own.argmax(1)
+                i, j = np.nonzero(unit[at : at + 1024] @ queries.value.T >= least)
+                if len(i):
+                    most = max(most, q.needed(own[i, x[i]] - own[i, y[j]], x[i], y[j], least).max(), q.needed(theirs[j, y[j]] - theirs[j, x[i]], y[j], x[i], least).max())
+        yield pa.RecordBatch.from_arrays([pa.array([float(most)])], names=["most"])
+
+    return margin * (classes.select("embedding").mapInArrow(tidy(run, True), "most double").agg(F.max("most")).first()[0] or 0.0)
+
+
+def links_of(classes: DataFrame, width: int, single: bool, least: float, sample: int, most_lists: int, spread: float, base_chunk: int, query_chunk: int, trial: int) -> DataFrame:
     """Stored (a, b, n) of ``classes(h, rep, copies, embedding)`` of one length: n links of a, or a joining link of a and b."""
     spark = classes.sparkSession
     n = classes.count()
     taken = classes.orderBy("h", "rep").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
-    q = fitted(unit_rows(matrix(taken, width)), int(min(most_lists, max(1, round(n**0.5)))))
+    units = unit_rows(matrix(taken, width))
+    q = fitted(units, int(min(most_lists, max(1, round(n**0.5)))))
     shared = broadcast(spark, q)  # at most most_lists centroids and the codewords
+    spread = max(spread, measured_spread(classes, shared, width, least, units[:trial]))
     kind = "f4" if single else "f8"  # what the input has travels
 
     def assign(batches):
@@ -229,11 +275,13 @@ def links_of(classes: DataFrame, width: int, single: bool, least: float, sample:
     return stored(blocks.mapInArrow(tidy(link, True), "a long, b long, n long"), "vector-links")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 16_384, most_lists: int = 1024, spread: float = 3.0, base_chunk: int = 1024, query_chunk: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 16_384, most_lists: int = 1024, spread: float = 3.0, base_chunk: int = 1024, query_chunk: int = 4096, trial: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of ``vectors(vec_id, embedding)`` at a cosine of ``least`` or more.
 
     Equal vectors are one class, which counts with all its copies. The quantiser is fitted on at most
-    ``sample`` classes (least hashes); every class is indexed and every class is a query. A list is cut
+    ``sample`` classes (least hashes); every class is indexed and every class is a query. ``trial`` classes of the
+    sample are compared with all classes first: probes reach as far as their links need, and ``spread``
+    deviations at least. A list is cut
     into chunks of ``base_chunk`` vectors and its queries into chunks of ``query_chunk``; a task holds one block
     of two chunks at a time, and only counts and joining links leave a block. Vectors of each length are
     searched by themselves, one length after another.
@@ -251,7 +299,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 16_384, m
     widths = sorted(r.d for r in classes.select(F.size("embedding").alias("d")).distinct().collect())  # the lengths that occur
     if not widths:
         return known.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = [links_of(classes.where(F.size("embedding") == d), d, single, least, sample, most_lists, spread, base_chunk, query_chunk) for d in widths]
+    found = [links_of(classes.where(F.size("embedding") == d), d, single, least, sample, most_lists, spread, base_chunk, query_chunk, trial) for d in widths]
     linked = functools.reduce(DataFrame.unionByName, found)
     counts = linked.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     found = connected_components(linked.where("b is not null").select("a", "b"))

@@ -80,11 +80,32 @@ def test_probes_bound_is_sure():
     x = vectors.unit_rows(rng.normal(size=(600, 16)))
     q = vectors.fitted(x, 20)
     near = vectors.unit_rows(x + rng.normal(size=x.shape) * 0.11)
-    home, probe = q.lists(near), q.probes(x, 0.8, 4.0)  # the root of 16: the bound itself
+    home, probe = q.lists(near), q.probes(x, 0.8, 1e9)  # the bound itself
     close = (x * near).sum(1) >= 0.8
     assert close.any() and probe[np.arange(len(x))[close], home[close]].all()
 
 
+def spectrum(kind, n, rng, d=64):
+    """Vectors of a low rank, or with variances that fall off, along random axes."""
+    axes = np.linalg.qr(rng.normal(size=(d, d)))[0]
+    size = (np.arange(d) < kind).astype(float) if isinstance(kind, int) else np.exp(-np.arange(d) / 6) if kind == "exponential" else 1 / (1 + np.arange(d))
+    return (rng.normal(size=(n, d)) * size) @ axes.T
+
+
+@pytest.mark.parametrize("kind", [2, 3, 4, 6, 8, 16, 32, 64, "exponential", "power"])
+def test_probes_reach_all_links_at_the_default(spark, kind):
+    """Links are whole whatever the vectors' intrinsic dimension, with near pairs among them."""
+    rng = np.random.default_rng(77)
+    x = spectrum(kind, 1800, rng)
+    x = np.concatenate([x, x[:600] + spectrum(kind, 600, rng) * 0.3])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    rows = vectors.near_vectors(df, trial=300).collect()
+    got = np.array([r.n_links for r in sorted(rows, key=lambda r: r.vec_id)])
+    assert got.sum() >= 0.999 * want.sum() and (got <= want).all()
+
+
 def plain_url(url):
     if url is None or "://" not in url:
         return "", ""
