@@ -1,8 +1,8 @@
 """Token counts without token ids: pieces of each distinct pretoken, joined to the documents' pretoken frequencies.
 
 Documents are taken in blocks of some megabytes. A block keeps its distinct pretokens once and, for each
-document, which of them it has and how often. Only a block's distinct pretokens meet the table of
-piece counts; what comes back is one number for each of them, and a document's count is a sum of products.
+document, which of them it has and how often. The blocks' pretokens are dealt by pretoken, each is counted
+once, and one number for each comes back to its blocks; a document's count is a sum of products.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from framewright.llm.base import pieces, stored, text_column, tidy
 from framewright.llm.tokens import UNSURE, Encoder, encoder, tokenizer_path
 
 #: Bytes of the texts of a block; a longer text is a block by itself.
-BLOCK = 4 << 20
+BLOCK = 16 << 20
 #: A pretoken never goes on over a space behind a visible ASCII character, whatever follows.
 SAFE_CUT = re.compile(r"(?<=[!-~])[ \n]")
-BLOCKS = "block long, words array<string>, doc_ids array<long>, n_bytes array<long>, kinds array<int>, which array<int>, often array<int>"
+BLOCKS = "block long, words array<string>, doc_ids array<long>, n_bytes array<long>, kinds array<int>, which binary, often binary"
 
 
 def parts_of(text: str, size: int = 1 << 18) -> Iterator[str]:
@@ -57,11 +57,22 @@ def frequencies(text: str, own: Encoder) -> Counter[str]:
     return found
 
 
+def shrunk(numbers: np.ndarray) -> bytes:
+    """Whole numbers as their four byte planes, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T)
+    return planes.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unshrunk(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), "u1")
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype("i8")
+
+
 def frequency_blocks(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     """Stored blocks of ``docs(doc_id, text)``: distinct pretokens, and each document's (which, often) among them.
 
     ``kinds`` is the number of different pretokens of each document, whose pairs follow each other in
-    ``which`` and ``often``.
+    ``which`` (ascending, as steps from the last) and ``often``.
     """
 
     def run(batches):
@@ -74,41 +85,52 @@ def frequency_blocks(docs: DataFrame, path: str, block: int = BLOCK) -> DataFram
                 kinds, which, often = [], [], []
                 for text in piece.column("text").to_pylist():
                     has = frequencies(text, own)
-                    which.append(np.fromiter((place.setdefault(w, len(place)) for w in has), "i4", len(has)))
-                    often.append(np.fromiter(has.values(), "i4", len(has)))
+                    at = np.fromiter((place.setdefault(w, len(place)) for w in has), "i8", len(has))
+                    order = np.argsort(at, kind="stable")
+                    which.append(np.diff(at[order], prepend=0))
+                    often.append(np.fromiter(has.values(), "i8", len(has))[order])
                     kinds.append(len(has))
-                lists = [list(place), piece.column("doc_id").to_pylist(), pc.binary_length(piece.column("text")).to_pylist(), kinds, np.concatenate(which), np.concatenate(often)]
-                kind = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for x, k in zip(lists, kind, strict=True))], names=["block", "words", "doc_ids", "n_bytes", "kinds", "which", "often"])
+                lists = [list(place), piece.column("doc_id").to_pylist(), pc.binary_length(piece.column("text")).to_pylist(), kinds]
+                columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for x, k in zip(lists, (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+                columns += [pa.array([shrunk(np.concatenate(x))], pa.binary()) for x in (which, often)]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], names=["block", "words", "doc_ids", "n_bytes", "kinds", "which", "often"])
                 number += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     return stored(rows.mapInArrow(tidy(run, True), BLOCKS), "pretoken-blocks")
 
 
-def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """(word, n): pieces of each of the distinct pretokens ``words(word)``, each counted once by the library's model."""
+def piece_counts(placed: DataFrame, path: str) -> DataFrame:
+    """(block, i, n) of ``placed(block, i, word)``: pieces of each pretoken, counted once by the library's model for all blocks that have it."""
 
     def run(batches):
-        own = encoder(path)
+        own, last = encoder(path), (None, 0)
         for batch in batches:
-            made = [1 if w in own.added else len(own.model.tokenize("".join([own.letters[b] for b in w.encode()]))) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(made, pa.int32())], names=["word", "n"])
+            words = batch.column("word").dictionary_encode()  # in order of appearance, so equal ones of two batches meet
+            made = []
+            for w in words.dictionary.to_pylist():
+                if w != last[0]:
+                    last = (w, 1 if w in own.added else len(own.model.tokenize("".join([own.letters[b] for b in w.encode()]))))
+                made.append(last[1])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("i"), pa.array(made, pa.int32()).take(words.indices)], names=["block", "i", "n"])
 
-    return stored(words.mapInArrow(tidy(run), "word string, n int"), "piece-counts")
+    return placed.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(run), "block long, i int, n int")
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a document of blocks with their pretokens' counts."""
     for batch in batches:
         for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
-            flat = {c: row.column(c).flatten() for c in ("doc_ids", "n_bytes", "kinds", "which", "often", "counts")}
+            flat = {c: row.column(c).flatten() for c in ("doc_ids", "n_bytes", "kinds", "counts")}
             counts = np.zeros(len(flat["counts"]), "i8")
             counts[flat["counts"].field("i").to_numpy()] = flat["counts"].field("n").to_numpy()
-            ends = np.cumsum(flat["kinds"].to_numpy(), dtype="i8")
-            running = np.concatenate([[0], np.cumsum(counts[flat["which"].to_numpy()] * flat["often"].to_numpy())])
-            total = running[ends] - running[np.concatenate([[0], ends[:-1]])]
-            yield pa.RecordBatch.from_arrays([flat["doc_ids"], flat["n_bytes"], pa.array(total)], names=["doc_id", "n_bytes", "n_tokens"])
+            kinds = flat["kinds"].to_numpy().astype("i8")
+            ends = np.cumsum(kinds)
+            steps, often = (unshrunk(row.column(c)[0].as_py()) for c in ("which", "often"))
+            running = np.concatenate([[0], np.cumsum(steps)])
+            which = running[1:] - np.repeat(running[ends - kinds], kinds)
+            running = np.concatenate([[0], np.cumsum(counts[which] * often)])
+            yield pa.RecordBatch.from_arrays([flat["doc_ids"], flat["n_bytes"], pa.array(running[ends] - running[ends - kinds])], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, block: int = BLOCK) -> DataFrame:
@@ -121,8 +143,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, block: int = BLO
     """
     blocks = frequency_blocks(docs, path, block)
     placed = blocks.select("block", F.posexplode("words").alias("i", "word"))
-    counts = piece_counts(placed.select("word").distinct(), path)
-    found = placed.join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("i", "n")).alias("counts"))  # a block's own pretokens
+    found = piece_counts(placed, path).groupBy("block").agg(F.collect_list(F.struct("i", "n")).alias("counts"))  # a block's own pretokens
     whole = blocks.select("block", "doc_ids", "n_bytes", "kinds", "which", "often").join(found, "block", "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<i:int,n:int>>")))
     rows = whole.mapInArrow(tidy(summed), "doc_id long, n_bytes long, n_tokens long")
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

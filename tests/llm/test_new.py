@@ -96,12 +96,38 @@ def test_counts_equal_the_library(spark, awkward, name):  # noqa: F811
         assert in_order(tuple(r) for r in token_counts.count_tokens(docs, tokenizer_path(name), block=block).collect()) == want
 
 
-def test_each_pretoken_is_counted_once(spark, awkward):  # noqa: F811
+def test_each_pretoken_is_counted_once(spark, awkward, tmp_path, monkeypatch):  # noqa: F811
     docs = spark.read.parquet(f"{awkward[0]}/documents.parquet")
     blocks = token_counts.frequency_blocks(docs, tokenizer_path("byte_bpe_50k.json"), 2000)
-    words = blocks.select(F.explode("words").alias("word"))
-    counts = token_counts.piece_counts(words.distinct(), tokenizer_path("byte_bpe_50k.json"))
-    assert blocks.count() > 3 and words.count() > counts.count() == counts.select("word").distinct().count()
+    placed = blocks.select("block", F.posexplode("words").alias("i", "word"))
+    asked = tmp_path / "asked"
+    log = str(asked)
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, word):
+            with open(log, "a") as out:
+                out.write(repr(word) + "\n")
+            return self.model.tokenize(word)
+
+    def logged(path):
+        own = Encoder(path)
+        own.model = Model(own.model)
+        return own
+
+    monkeypatch.setattr(token_counts, "encoder", logged)
+    found = token_counts.piece_counts(placed, tokenizer_path("byte_bpe_50k.json"))
+    assert blocks.count() > 3 and found.count() == placed.count()
+    words = asked.read_text().splitlines()
+    assert len(words) == len(set(words)) == placed.where("word <> '<|endoftext|>'").select("word").distinct().count() < placed.count()
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_shrunk_numbers_come_back(n):
+    x = np.random.default_rng(n).integers(0, 2**32, n)
+    assert (token_counts.unshrunk(token_counts.shrunk(x)) == x).all()
 
 
 @settings(max_examples=150, deadline=None)
