@@ -70,8 +70,8 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
 
-def url_sql(rounds: int = 12) -> str:
-    """Rules, host edges and ``rounds`` of both ranks, one table expression a round."""
+def url_sql(rounds: int = 200) -> str:
+    """Rules, host edges and ``rounds`` of both ranks, one table expression a round; more rounds than the ranks take to settle."""
     rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}:{v}'" for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
     fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     steps = ", ".join(f"r{k} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT r.kind, f.dst AS host, r.rank * f.share * 0.85 AS rank FROM r{k - 1} r JOIN flow f ON f.kind = r.kind AND f.src = r.host UNION ALL SELECT kind, host, 0.15 * rank FROM r0) GROUP BY 1, 2)" for k in range(1, rounds + 1))

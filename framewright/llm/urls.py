@@ -6,6 +6,8 @@ the reversed edges. A page that no rule fits gets its host's verdict.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +62,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4, few: int = 500_000, share: int = 10_000) -> DataFrame:
-    """(host, trust, distrust) by ``rounds`` of personalised PageRank.
+def settled(edges: pa.Table, hosts: pa.Table, damping: float, tolerance: float) -> pa.Table:
+    """Ranks of one block's ``hosts(kind, host, inflow, last)``, whose ``edges(kind, src, dst, share)`` inside the block are followed until they change nothing more.
+
+    ``inflow`` is what restarts and other blocks bring; ``last`` is handed on.
+    """
+    kind = hosts["kind"].to_pylist()
+    at = {key: i for i, key in enumerate(zip(kind, hosts["host"].to_pylist(), strict=True))}
+    src, dst = ([at[key] for key in zip(edges["kind"].to_pylist(), edges[c].to_pylist(), strict=True)] for c in ("src", "dst"))
+    src, dst, share = np.array(src, "i8"), np.array(dst, "i8"), edges["share"].to_numpy() * damping
+    inflow = hosts["inflow"].to_numpy()
+    rank, change = inflow, 1.0
+    while change >= tolerance and len(src):
+        following = inflow + np.bincount(dst, weights=rank[src] * share, minlength=len(inflow))
+        rank, change = following, float(np.abs(following - rank).sum())
+    return pa.table({"kind": kind, "host": hosts["host"], "rank": rank, "last": hosts["last"]})
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-12, block_edges: int = 200_000, share: int = 10_000) -> DataFrame:
+    """(host, trust, distrust) by personalised PageRank, run until a round changes the ranks by less than ``tolerance`` in all.
 
     ``seeds(host, trust, distrust)`` hold shares that sum to one each. Trust follows the edges, distrust
     the reversed ones; both run in one pass with a kind column. A host without edges keeps its
-    restart share only. The tables' size is that of the host graph; every ``cut_every`` rounds the
-    ranks are stored, which bounds the plan. The edges of a hub are dealt to parts of about ``share`` edges
-    by their other end. A graph counted at ``few`` edges or less is one partition.
+    restart share only. Hosts are dealt by hash to blocks of about ``block_edges`` edges. A round gathers what flows
+    into each block from others, and follows the edges inside it until they add nothing; where all edges lie in
+    one block, one round is all. A round's change is at most ``damping`` times the last one's, so the rounds end, and
+    what is left out is less than damping / (1 - damping) times the tolerance. The tables' size is that of the
+    host graph; each round's ranks are stored. The edges of a hub are dealt to parts of about ``share`` edges by
+    their other end.
     """
     kinds = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), F.col("weight")))
     total = stored(kinds.groupBy("kind", "src").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts")), "host-totals")
@@ -75,17 +97,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     flow = stored(flow, "host-flow")
     parts = total.select("kind", F.col("src").alias("host"), "parts")
     seed = stored(seeds.selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)").where("seed > 0"), "host-seeds")
-    small = flow.count() <= few and seed.count() <= few
-    if small:
-        flow, seed, parts = flow.coalesce(1), seed.coalesce(1), parts.coalesce(1)
+    blocks = max(1, -(-(flow.count() + seed.count()) // block_edges))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    inside = flow.where(block("src") == block("dst")).select("kind", "src", "dst", "share", block("src").alias("block"))
+    outside = flow.where(block("src") != block("dst"))
+    still = flow.select("kind", F.explode(F.array("src", "dst")).alias("host")).distinct().select("kind", "host", F.lit(0.0).alias("inflow"), F.lit(0.0).alias("last"))
+    base = stored(seed.select("kind", "host", F.col("seed") * (1 - damping), F.lit(0.0)).union(still).toDF("kind", "host", "inflow", "last"), "host-restarts")
     rank = seed.select("kind", "host", F.col("seed").alias("rank"))
-    for k in range(rounds):
+    while True:
         sent = rank.join(parts, ["kind", "host"]).select("kind", F.col("host").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        passed = sent.join(flow, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = passed.union(seed.select("kind", "host", (F.col("seed") * (1 - damping)))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % cut_every == cut_every - 1:
-            rank = stored(rank, "host-rank")
-            rank = rank.coalesce(1) if small else rank
+        passed = sent.join(outside, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("inflow"), F.lit(0.0).alias("last"))
+        known = base.union(passed).union(rank.select("kind", "host", F.lit(0.0), F.col("rank"))).groupBy("kind", "host").agg(F.sum("inflow").alias("inflow"), F.sum("last").alias("last")).withColumn("block", block("host"))
+        ranks = inside.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda e, h: settled(e, h, damping, tolerance), "kind string, host string, rank double, last double")
+        ranks = stored(ranks, "host-rank")
+        rank = ranks.drop("last")
+        if blocks == 1 or (ranks.agg(F.sum(F.abs(F.col("rank") - F.col("last")))).first()[0] or 0.0) < tolerance:
+            break
     one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(one("trust"), one("distrust"))
 

@@ -146,17 +146,26 @@ def test_propagation_equals_numpy(spark):
     names = [f"h{i}.net" for i in range(9)]
     e = spark.createDataFrame([(names[a], names[b], w) for (a, b), w in edges.items()], "src string, dst string, weight double")
     s = spark.createDataFrame([(names[0], 1.0, 0.0), (names[1], 0.0, 0.75), (names[2], 0.0, 0.25)], "host string, trust double, distrust double")
-    got = {r.host: (r.trust, r.distrust) for r in urls.propagate(e, s, rounds=6, few=0).collect()}
+    one = {r.host: (r.trust, r.distrust) for r in urls.propagate(e, s).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in urls.propagate(e, s, tolerance=1e-9, block_edges=9).collect()}
+    assert got.keys() == one.keys()
     m = np.zeros((9, 9))
     for (a, b), w in edges.items():
         m[a, b] = w
     share = lambda x: np.divide(x, x.sum(1, keepdims=True), out=np.zeros_like(x), where=x.sum(1, keepdims=True) > 0)
     for k, (p, seed) in enumerate([(share(m), np.eye(9)[0]), (share(m.T), 0.75 * np.eye(9)[1] + 0.25 * np.eye(9)[2])]):
         r = seed.copy()
-        for _ in range(6):
+        for _ in range(400):
             r = 0.15 * seed + 0.85 * r @ p
         for i, name in enumerate(names):
-            assert got.get(name, (0.0, 0.0))[k] == pytest.approx(r[i], abs=1e-12)
+            assert one.get(name, (0.0, 0.0))[k] == pytest.approx(r[i], abs=2e-11) and got.get(name, (0.0, 0.0))[k] == pytest.approx(r[i], abs=1e-8)
+
+
+def test_a_long_way_from_the_seed_is_gone(spark):
+    """Hosts thirty links behind the only blocked one are as far blocked as the next."""
+    pages = [(0, "http://b.com/de/", None), (1, "http://ok.org/", None)] + [(10 + i, f"http://h{i}/x", f"<a href='http://{'b.com' if i == 0 else f'h{i - 1}'}/'>") for i in range(30)]
+    got = {r.page_id: (r.verdict, r.distrust_share) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert all(got[10 + i] == ("block", 1.0) for i in range(30)) and got[1][0] == "allow"
 
 
 def test_no_pages(spark):

@@ -128,9 +128,9 @@ def test_hubs_in_parts_give_the_same_ranks(spark, awkward):
     edges = urls.host_edges(read)
     seeds = spark.createDataFrame([("hub.org", 0.5, 0.0), ("h1.net", 0.5, 0.25), ("bad.com", 0.0, 0.75)], "host string, trust double, distrust double")
     one = {r.host: (r.trust, r.distrust) for r in urls.propagate(edges, seeds).collect()}
-    for few, share in ((0, 10_000), (0, 3), (10**6, 2)):
-        got = {r.host: (r.trust, r.distrust) for r in urls.propagate(edges, seeds, few=few, share=share).collect()}
-        assert got.keys() == one.keys() and all(got[h] == pytest.approx(one[h], abs=1e-12) for h in one)
+    for block, share in ((100, 10_000), (50, 3), (10**6, 2)):
+        got = {r.host: (r.trust, r.distrust) for r in urls.propagate(edges, seeds, tolerance=1e-6, block_edges=block, share=share).collect()}
+        assert got.keys() == one.keys() and all(got[h] == pytest.approx(one[h], abs=1e-5) for h in one)
 
 
 def library_ids(name, end):
