@@ -97,11 +97,14 @@ def frequency_blocks(docs: DataFrame, path: str, block: int = BLOCK) -> DataFram
                 number += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return stored(rows.mapInArrow(tidy(run, True), BLOCKS), "pretoken-blocks")
+    return stored(rows.mapInArrow(tidy(run, True), BLOCKS), "pretoken-blocks", "zstd")
 
 
 def piece_counts(placed: DataFrame, path: str) -> DataFrame:
-    """(block, i, n) of ``placed(block, i, word)``: pieces of each pretoken, counted once by the library's model for all blocks that have it."""
+    """(block, cell) of ``placed(block, i, word)``: pieces of each pretoken, counted once by the library's model for all blocks that have it.
+
+    A cell holds i and the number, i in the upper half.
+    """
 
     def run(batches):
         own, last = encoder(path), (None, 0)
@@ -112,9 +115,10 @@ def piece_counts(placed: DataFrame, path: str) -> DataFrame:
                 if w != last[0]:
                     last = (w, 1 if w in own.added else len(own.model.tokenize("".join([own.letters[b] for b in w.encode()]))))
                 made.append(last[1])
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("i"), pa.array(made, pa.int32()).take(words.indices)], names=["block", "i", "n"])
+            cell = (batch.column("i").to_numpy().astype("i8") << 32) | np.array(made, "i8")[words.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(cell)], names=["block", "cell"])
 
-    return placed.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(run), "block long, i int, n int")
+    return placed.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(run), "block long, cell long")
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +126,8 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
             flat = {c: row.column(c).flatten() for c in ("doc_ids", "n_bytes", "kinds", "counts")}
-            counts = np.zeros(len(flat["counts"]), "i8")
-            counts[flat["counts"].field("i").to_numpy()] = flat["counts"].field("n").to_numpy()
+            counts, cell = np.zeros(len(flat["counts"]), "i8"), flat["counts"].to_numpy()
+            counts[cell >> 32] = cell & 0xFFFFFFFF
             kinds = flat["kinds"].to_numpy().astype("i8")
             ends = np.cumsum(kinds)
             steps, often = (unshrunk(row.column(c)[0].as_py()) for c in ("which", "often"))
@@ -143,8 +147,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, block: int = BLO
     """
     blocks = frequency_blocks(docs, path, block)
     placed = blocks.select("block", F.posexplode("words").alias("i", "word"))
-    found = piece_counts(placed, path).groupBy("block").agg(F.collect_list(F.struct("i", "n")).alias("counts"))  # a block's own pretokens
-    whole = blocks.select("block", "doc_ids", "n_bytes", "kinds", "which", "often").join(found, "block", "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<i:int,n:int>>")))
+    found = piece_counts(placed, path).groupBy("block").agg(F.collect_list("cell").alias("counts"))  # a block's own pretokens
+    whole = blocks.select("block", "doc_ids", "n_bytes", "kinds", "which", "often").join(found, "block", "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<long>")))
     rows = whole.mapInArrow(tidy(summed), "doc_id long, n_bytes long, n_tokens long")
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
 
