@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,24 +81,18 @@ def dirichlet_sample(counts: np.ndarray, rng: np.random.Generator, alpha: float
     return g / g.sum(1, keepdims=True)
 
 
-def bayesian_timescales(spark: SparkSession, frames: DataFrame, lags: list[int], k: int = 3, samples: int = 100, ci: float = 0.95, seed: int = 0, **how) -> DataFrame:
-    """Median and interval of timescales over Dirichlet samples; each lag is a task of a grouped map."""
+def bayesian_timescales(spark: SparkSession, frames: DataFrame, lags: list[int], k: int = 3, samples: int = 100, ci: float = 0.95, seed: int = 0, effective: bool = True, chains: int = 5, **how) -> DataFrame:
+    """Medians and intervals of timescales, eigenvalues and rates over ``samples`` reversible models a lag.
+
+    Counts are effective ones unless ``effective`` is false; lags are counted in one scan, each chain of a lag is a task.
+    """
+    from framewright.operators import posterior
+
     states, made = matrices(frames, lags, **how)
-    rows = [(t, int(i), int(j), float(c[i, j])) for t, c in made.items() for i, j in zip(*np.nonzero(c), strict=True)]
-    n = len(states)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lag = int(pdf["lag"].iloc[0])
-        c = np.zeros((n, n))
-        c[pdf["i"], pdf["j"]] = pdf["n"]
-        rng = np.random.default_rng([seed, lag])
-        t = np.array([linalg.timescales(linalg.sorted_eigenvalues(dirichlet_sample(c, rng))[1 : k + 1], lag) for _ in range(samples)])
-        tail = (1 - ci) / 2
-        q = [np.nanquantile(t, x, axis=0) if np.isfinite(t).any(0).all() else np.array([np.nanquantile(col[np.isfinite(col)], x) if np.isfinite(col).any() else np.nan for col in t.T]) for x in (tail, 0.5, 1 - tail)]
-        return pd.DataFrame({"lag": lag, "k": range(1, t.shape[1] + 1), "lo": q[0], "median": q[1], "hi": q[2]})
-
-    cells = spark.createDataFrame(rows, "lag int, i int, j int, n double")
-    return cells.groupBy("lag").applyInPandas(run, "lag int, k int, lo double, median double, hi double")
+    if effective:
+        weight = posterior.state_inefficiency(frames)
+        made = {t: posterior.effective_counts(c, states, weight) for t, c in made.items()}
+    return posterior.timescale_intervals(posterior.posterior_draws(spark, made, k, samples, chains, seed), ci)
 
 
 def plateau(lags: list[int], values: list[float], least: int, epsilon: float) -> tuple[int, int] | None:

@@ -178,7 +178,26 @@ def its(spark, d):
 
 @query("its_bayesian")
 def its_bayesian(spark, d):
-    return M.bayesian_timescales(spark, S.event_frames(spark, d), [1, 2, 5], samples=40)
+    """Intervals over 100 reversible models a lag, from effective counts."""
+    return M.bayesian_timescales(spark, S.event_frames(spark, d), [1, 2, 5], samples=100)
+
+
+@query("state_inefficiency")
+def state_inefficiency(spark, d):
+    """Statistical inefficiency of each state's indicator series."""
+    from framewright.operators import posterior
+
+    found = posterior.state_inefficiency(S.event_frames(spark, d), 32)
+    return spark.createDataFrame(sorted((str(s), float(g)) for s, g in found.items()), "state string, inefficiency double").withColumn("inefficiency", rounded(F.col("inefficiency"), 6))
+
+
+@query("posterior_populations")
+def posterior_populations(spark, d):
+    """Intervals of the stationary distribution over 100 reversible models."""
+    from framewright.operators import posterior
+
+    states, made = M.matrices(S.event_frames(spark, d), [5])
+    return posterior.population_intervals(posterior.posterior_draws(spark, made, samples=100), states)
 
 
 @query("timescale_transform", "WITH v AS (SELECT event_id, value / 500.0 AS l FROM events) SELECT event_id, round(CASE WHEN l > 0 AND l < 1 THEN -5 / ln(l) END, 9) AS timescale FROM v")
