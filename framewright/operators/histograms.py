@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framewright.functions.constants import TINY, kt
 from framewright.functions.linalg import blur
 from framewright.functions.scalars import free_energy, inside_bin, wrap_half_open
+from framewright.operators.quantiles import quantiles
 
 
 def whole() -> Window:
@@ -16,10 +17,11 @@ def whole() -> Window:
     return Window.partitionBy()
 
 
-def value_range(df: DataFrame, columns: list[str], quantiles: tuple[float, float] | None = None) -> dict[str, tuple[float, float]]:
-    """Least and largest value of each column, or two of its quantiles; one aggregation, one row."""
-    made = [x for c in columns for x in ((F.percentile(c, quantiles[0]), F.percentile(c, quantiles[1])) if quantiles else (F.min(c), F.max(c)))]
-    row = df.agg(*[x.alias(f"v{i}") for i, x in enumerate(made)]).first()
+def value_range(df: DataFrame, columns: list[str], probabilities: tuple[float, float] | None = None) -> dict[str, tuple[float, float]]:
+    """Least and largest value of each column, in one aggregation, or two of its exact quantiles."""
+    if probabilities:
+        return {c: (v[0], v[1]) for c, v in quantiles(df, {c: list(probabilities) for c in columns}).items()}
+    row = df.agg(*[x.alias(f"v{2 * i + j}") for i, c in enumerate(columns) for j, x in enumerate((F.min(c), F.max(c)))]).first()
     return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
 
 
@@ -63,13 +65,13 @@ def adaptive_bins(df: DataFrame, x: str, y: str, request: tuple[int, int] = (100
     8 to 512, and shrink by a quarter while fewer than ``filled`` of the cells have ``least`` values. Each try is
     one aggregation to at most bins squared cells.
     """
-    made = [F.percentile(c, q) for c in (x, y) for q in (0.01, 0.25, 0.75, 0.99)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[m.alias(f"q{i}") for i, m in enumerate(made)]).first()
-    ranges = {x: (row.q0, row.q3), y: (row.q4, row.q7)}
+    n = df.count()
+    q = quantiles(df, {c: [0.01, 0.25, 0.75, 0.99] for c in (x, y)})
+    ranges = {c: (q[c][0], q[c][3]) for c in (x, y)}
     bins = []
-    for want, (a, b, c, d) in zip(request, ((row.q0, row.q1, row.q2, row.q3), (row.q4, row.q5, row.q6, row.q7)), strict=True):
-        step = 2 * (c - b) / max(row.n, 1) ** (1 / 3)
-        bins.append(int(min(512, max(8, want, (d - a) / step if step > 0 else 0, row.n**0.5))))
+    for want, c in zip(request, (x, y), strict=True):
+        step = 2 * (q[c][2] - q[c][1]) / max(n, 1) ** (1 / 3)
+        bins.append(int(min(512, max(8, want, (q[c][3] - q[c][0]) / step if step > 0 else 0, n**0.5))))
     for _ in range(rounds + 1):
         cells = fes(df, x, y, ranges, (bins[0], bins[1]), least=least)
         if cells.where(F.col("n") >= least).count() >= filled * bins[0] * bins[1] or max(bins) <= 8:
@@ -123,16 +125,40 @@ def uncertainty(grid: np.ndarray, alpha: float = 1e-6, scale: float = 1.0) -> np
     return scale * np.sqrt(trigamma(grid + alpha) + trigamma(np.full(grid.shape, grid.sum() + alpha * grid.size)))
 
 
+#: Widths beyond which a Gaussian kernel is left out: it is under 3e-16 of its top there.
+REACH = 8.5
+
+
+def near_values(rows: DataFrame, column: str, axis: DataFrame, width: float, periodic: bool) -> DataFrame:
+    """``rows`` with each value ``g`` of ``axis(g)`` within the kernel's reach, and the kernel ``k`` between them.
+
+    Both sides are dealt to strips as wide as the reach and meet in a row's own strip and its two neighbours.
+    """
+    strips = max(1, int(2 * np.pi / (REACH * width))) if periodic else 0
+    strip = lambda v: F.floor((wrap_half_open(v) + np.pi) / (2 * np.pi / strips)).cast("long") if periodic else F.floor(v / (REACH * width)).cast("long")
+    turned = lambda s: F.pmod(s, F.lit(strips)) if periodic else s
+    own = rows.withColumn("_s", F.explode(F.array_distinct(F.array(*[turned(strip(F.col(column)) + i) for i in (-1, 0, 1)]))))
+    d = F.col("g") - F.col(column)
+    d = (wrap_half_open(d) if periodic else d) / width
+    met = own.join(axis.withColumn("_s", turned(strip(F.col("g")))), "_s").drop("_s").withColumn("_d", d)
+    return met.where(F.abs("_d") <= REACH).withColumn("k", F.exp(-F.col("_d") * F.col("_d") / 2)).drop("_d")
+
+
 def kernel_density(spark: SparkSession, cells: DataFrame, points: DataFrame, width: float, periodic: bool = False) -> DataFrame:
     """(gx, gy, density) at grid ``points(gx, gy)`` from weighted, pre-binned ``cells(x, y, w)``.
 
-    Both tables are bounded by their grids, so the product is a small one; frames are binned before.
+    The kernel is a product, so cells are spread along x to the grid's columns within reach, summed, and then along
+    y: rows are cells times the grid values within the reach, not cells times points. Kernels beyond 8.5 widths are
+    left out, under 3e-16 of a kernel's top each; points out of every cell's reach have density 0. A periodic
+    axis is wrapped into [-pi, pi).
     """
-    turn = (lambda d: wrap_half_open(d)) if periodic else (lambda d: d)
-    pair = points.withColumn("_k", F.lit(1)).join(cells.withColumn("_k", F.lit(1)), "_k")
-    dx, dy = turn(F.col("gx") - F.col("x")), turn(F.col("gy") - F.col("y"))
-    kernel = F.exp(-(dx * dx + dy * dy) / (2 * width * width)) / (2 * np.pi * width * width)
-    return pair.groupBy("gx", "gy").agg((F.sum(F.col("w") * kernel) / F.sum("w")).alias("density"))
+    total = cells.agg(F.sum("w")).first()[0]
+    along = near_values(cells.groupBy("x", "y").agg(F.sum("w").alias("w")), "x", points.select(F.col("gx").alias("g")).distinct(), width, periodic)
+    columns = along.groupBy(F.col("g").alias("gx"), "y").agg(F.sum(F.col("w") * F.col("k")).alias("w"))
+    across = near_values(columns, "y", points.select(F.col("gy").alias("g")).distinct(), width, periodic)
+    grid = across.groupBy("gx", F.col("g").alias("gy")).agg(F.sum(F.col("w") * F.col("k")).alias("v"))
+    share = F.col("v") / (2 * np.pi * width * width * total) if total else F.lit(None).cast("double")
+    return points.join(grid, ["gx", "gy"], "left").select("gx", "gy", F.when(F.lit(bool(total)), F.coalesce(share, F.lit(0.0))).alias("density"))
 
 
 def scott_bandwidth(n_effective: float, spread: float, dims: int = 2, silverman: bool = False) -> float:

@@ -177,7 +177,7 @@ def timescale_intervals(draws: DataFrame, ci: float = 0.95) -> DataFrame:
     """
     tail = (1 - ci) / 2
     long = draws.select("lag", F.posexplode(F.arrays_zip("eigenvalues", "timescales")).alias("k", "v")).select("lag", (F.col("k") + 1).alias("k"), F.col("v.eigenvalues").alias("e"), F.col("v.timescales").alias("t"))
-    long = long.withColumn("r", F.greatest(1 / F.col("t"), F.lit(LEAST_RATE)))
+    long = long.withColumn("r", F.when(F.col("t").isNotNull(), F.greatest(1 / F.col("t"), F.lit(LEAST_RATE))))
     three = lambda c, name: [F.percentile(c, q).alias(f"{name}{s}") for q, s in ((tail, "lo"), (0.5, "median"), (1 - tail, "hi"))]
     return long.groupBy("lag", "k").agg(*three("t", ""), *three("e", "eigen_"), *three("r", "rate_"), F.count("t").cast("int").alias("samples"))
 

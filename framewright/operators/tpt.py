@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import linalg
 from framewright.functions.constants import DIRICHLET_ALPHA
+from framewright.sources.shared import stored
 
 
 @dataclass
@@ -140,21 +141,56 @@ def trajectory_counts(frames: DataFrame, lag: int) -> DataFrame:
     return pairs.groupBy("traj_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def resampled(trajectories: DataFrame, draws: int, seed: int = 0, leaf: int = 1024) -> DataFrame:
+    """(traj_id, times array<int>): how often each of n trajectories is in each of ``draws`` samples of n with replacement.
+
+    Every sample has exactly n members. Trajectories lie in a binary tree by the bits of their hash; a node's share
+    of a sample is split between its halves by a binomial number with the halves' sizes, down to leaves of
+    about ``leaf`` trajectories, whose members share theirs multinomially in one task. Random numbers depend on
+    (seed, draw, node) alone, so neither partitions nor retries change a sample. The driver gets one number, n.
+    """
+    own = trajectories.select("traj_id").distinct().withColumn("h", F.xxhash64("traj_id"))
+    n = own.count()
+    bits = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
+    own = own.withColumn("node", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    sizes = own.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    shares = trajectories.sparkSession.range(draws).select(F.col("id").alias("draw"), F.lit(0).cast("long").alias("node"), F.lit(n).alias("m"))
+
+    def left_half(level: int):
+        def draw_left(draw: pd.Series, node: pd.Series, m: pd.Series, p: pd.Series) -> pd.Series:
+            return pd.Series([int(np.random.default_rng([seed, level, d, k]).binomial(x, q)) for d, k, x, q in zip(draw, node, m, p, strict=True)], dtype="int64")
+
+        return F.pandas_udf(draw_left, "long")
+
+    for level in range(bits):
+        below = F.shiftright("node", bits - level - 1)
+        halves = sizes.select(F.shiftright(below, 1).alias("node"), F.when(below % 2 == 0, F.col("size")).otherwise(0).alias("left"), "size").groupBy("node").agg((F.sum("left") / F.sum("size")).alias("p"))
+        split = shares.join(halves, "node").withColumn("left", left_half(level)("draw", "node", "m", "p"))
+        shares = split.select("draw", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("m")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("m") - F.col("left")).alias("m")))).alias("s")).select("draw", "s.*").where("m > 0")
+        if level % 4 == 3:
+            shares = stored(shares, "bootstrap-shares")
+
+    def members(trajs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(trajs):
+            return pd.DataFrame({"traj_id": [], "times": []})
+        trajs = trajs.sort_values(["h", "traj_id"])
+        times = np.zeros((draws, len(trajs)), "i4")
+        for d, m, node in zip(own["draw"], own["m"], own["node"], strict=True):
+            times[d] = np.random.default_rng([seed, bits, d, node]).multinomial(m, np.full(len(trajs), 1 / len(trajs)))
+        return pd.DataFrame({"traj_id": trajs["traj_id"].to_numpy(), "times": list(times.T)})
+
+    kind = dict(own.dtypes)["traj_id"]
+    return own.groupBy("node").cogroup(shares.groupBy("node")).applyInPandas(members, f"traj_id {kind}, times array<int>")
+
+
 def bootstrap_counts(frames: DataFrame, lag: int, draws: int, seed: int = 0) -> DataFrame:
-    """(draw, src, dst, n): counts of ``draws`` resamplings of whole trajectories.
+    """(draw, src, dst, n): counts of ``draws`` resamplings of all n trajectories, n of n with replacement.
 
-    Each trajectory enters a draw Poisson(1) times, by inverting the distribution at a hash of (seed,
-    draw, trajectory), so a draw is one aggregation and does not depend on how rows are dealt.
+    The trajectories' own counts are made once; a draw is a weighted sum of them.
     """
-    per = trajectory_counts(frames, lag)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "traj_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps, cdf, term = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(12):
-        cdf += term
-        steps = steps + (u > cdf).cast("int")
-        term /= k + 1
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("times", steps)
-    return drawn.where("times > 0").groupBy("draw", "src", "dst").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    times = resampled(frames, draws, seed)
+    drawn = trajectory_counts(frames, lag).join(times, "traj_id").select("src", "dst", "n", F.posexplode("times").alias("draw", "times")).where("times > 0")
+    return drawn.groupBy((F.col("draw") + 1).alias("draw"), "src", "dst").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
 
 
 def bootstrap_paths(frames: DataFrame, lag: int, states: list, source: list[int], sink: list[int], draws: int = 200, seed: int = 0, ci: tuple[float, float] = (2.5, 97.5)) -> DataFrame:

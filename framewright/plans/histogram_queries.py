@@ -10,6 +10,7 @@ from framewright.functions.constants import kt
 from framewright.functions.scalars import bin_index, inside_bin, is_finite, reweighting, rounded
 from framewright.operators import histograms as H
 from framewright.operators import reduction as R
+from framewright.operators.quantiles import quantiles
 from framewright.plans import matrix_sql as Q
 from framewright.plans.registry import EV, query
 from framewright.sources import frames as S
@@ -94,10 +95,20 @@ def frames_in_minimum(spark, d):
     return H.frames_near(f, spark.createDataFrame([(3, 0)], "bx int, by int")).select("traj_id", "frame", "bx")
 
 
-@query("adaptive_fes")
+@query("adaptive_fes", Q.adaptive_grid(KT))
 def adaptive_fes(spark, d):
-    """Adaptive grid over two value columns; quantile rules differ between engines, so rows only."""
-    return H.adaptive_bins(S.table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", (16, 16))[2]
+    """Adaptive grid over two value columns, its ranges exact quantiles."""
+    out = H.adaptive_bins(S.table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", (16, 16))[2]
+    return out.select("bx", "by", "n", rounded(F.col("p")).alias("p"), rounded(F.col("free_energy"), 6).alias("free_energy"))
+
+
+@query("column_quantiles", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", quantile_cont(CAST({c} AS DOUBLE), {p}) AS value, CAST({p} AS DOUBLE) AS probability FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_tax") for p in (0.01, 0.25, 0.5, 0.99)).replace("quantile_cont(", "round(quantile_cont(").replace(") AS value", "), 6) AS value"))
+def column_quantiles(spark, d):
+    """Exact quantiles of three columns, found together."""
+    ps = [0.01, 0.25, 0.5, 0.99]
+    found = quantiles(S.table(spark, d, "lineitem"), {c: ps for c in ("l_quantity", "l_extendedprice", "l_tax")})
+    rows = [(c, p, float(v)) for c, values in found.items() for p, v in zip(ps, values, strict=True)]
+    return spark.createDataFrame(rows, "column string, probability double, value double").withColumn("value", rounded(F.col("value"), 6))
 
 
 @query("fes_smoothed", Q.smoothed(GRID, KT))

@@ -279,9 +279,10 @@ def trajectory_counts(spark, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
+    """Intervals over 200 samples of all trajectories."""
     f = S.event_frames(spark, d)
     states = [r.state for r in f.select("state").distinct().orderBy("state").collect()]
-    return T.bootstrap_paths(f, 5, states, [0], [len(states) - 1], draws=20)
+    return T.bootstrap_paths(f, 5, states, [0], [len(states) - 1], draws=200)
 
 
 @query("conformations")

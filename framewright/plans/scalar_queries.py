@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import geometry as G
 from framewright.functions import scalars as X
+from framewright.operators.hills import hill_bias
 from framewright.plans.registry import query
 from framewright.sources import frames as S
 
@@ -125,11 +126,10 @@ def timestamp_text(spark, d):
 
 @query("gaussian_bias", "WITH e AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f FROM events) SELECT a.user_id AS traj_id, CAST(a.f AS BIGINT) AS frame, round(sum(CASE WHEN b.f IS NOT NULL THEN exp(-((a.x - b.x) ** 2) / 200) ELSE 0 END), 7) AS bias FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.f < a.f AND b.f % 10 = 0 GROUP BY 1, 2")
 def gaussian_bias(spark, d):
+    """Bias of every tenth frame's hill on all later frames of its trajectory."""
     f = S.event_frames(spark, d).select("traj_id", "frame", "x")
-    hills = f.where("frame % 10 = 0").select(F.col("traj_id").alias("ht"), F.col("frame").alias("h"), F.col("x").alias("hx"))
-    pairs = f.join(hills, (F.col("traj_id") == F.col("ht")) & (F.col("h") < F.col("frame")), "left").select("traj_id", "frame", "x", "hx")
-    kernel = F.coalesce(F.exp(-F.pow(F.col("x") - F.col("hx"), F.lit(2.0)) / 200), F.lit(0.0))
-    return pairs.groupBy("traj_id", "frame").agg(X.rounded(F.sum(kernel), 7).alias("bias"))
+    out = hill_bias(f, f.where("frame % 10 = 0").withColumn("height", F.lit(1.0)), 10.0)
+    return out.withColumn("bias", X.rounded(F.col("bias"), 7))
 
 
 @query("kt_constant", f"SELECT round(CAST(0.00831446261815324 * 300 AS DOUBLE), 12) AS kt, round(pi(), 12) AS pi")

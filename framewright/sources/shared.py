@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return uri
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a shared folder and read it again, which cuts its lineage."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(uri: str) -> None:
     """Delete a folder if it is there."""
     with contextlib.suppress(OSError, ValueError):

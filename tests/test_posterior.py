@@ -107,3 +107,55 @@ def test_queries_take_a_hundred_samples(spark, sf_dir):
     pops = QUERIES["posterior_populations"](spark, sf_dir).collect()
     assert len(pops) == 5 and all(0 < r.lo <= r.median <= r.hi < 1 for r in pops)
     assert all(r.inefficiency >= 1 for r in QUERIES["state_inefficiency"](spark, sf_dir).collect())
+
+
+# Bootstrap
+
+
+@pytest.mark.parametrize("n, leaf", [(1, 1024), (7, 1024), (40, 1), (300, 8)])
+def test_every_sample_has_n_members(spark, n, leaf):
+    from framewright.operators import tpt as T
+
+    frames = spark.range(2 * n).select((F.col("id") % n).alias("traj_id"))
+    one = {r.traj_id: r.times for r in T.resampled(frames, 150, 5, leaf).collect()}
+    times = np.array([one[i] for i in range(n)])
+    assert times.shape == (n, 150) and (times.sum(0) == n).all() and times.min() >= 0
+    again = {r.traj_id: r.times for r in T.resampled(frames.repartition(7), 150, 5, leaf).collect()}
+    assert again == one
+    if n >= 40:
+        assert times.mean() == 1 and abs(times.var() - (1 - 1 / n)) < 0.1 and abs((times == 0).mean() - (1 - 1 / n) ** n) < 0.02
+        assert {r.traj_id: r.times for r in T.resampled(frames, 150, 6, leaf).collect()} != one
+
+
+def test_bootstrap_counts_are_weighted_sums(spark):
+    from framewright.operators import tpt as T
+
+    rng = np.random.default_rng(5)
+    rows = [(t, i, int(s)) for t in range(9) for i, s in enumerate(rng.integers(0, 3, 20 + t))]
+    frames = spark.createDataFrame(rows, "traj_id long, frame long, state int")
+    times = {r.traj_id: r.times for r in T.resampled(frames, 6, 2).collect()}
+    own = {}
+    for t in range(9):
+        s = [x for u, _, x in rows if u == t]
+        for a, b in zip(s[:-2], s[2:], strict=True):
+            for d in range(6):
+                own[d + 1, a, b] = own.get((d + 1, a, b), 0) + times[t][d]
+    assert {(r.draw, r.src, r.dst): r.n for r in T.bootstrap_counts(frames, 2, 6, 2).collect()} == {k: v for k, v in own.items() if v}
+
+
+def test_bootstrap_interval_against_numpy(spark, sf_dir):
+    from framewright.functions import linalg
+    from framewright.operators import tpt as T
+    from framewright.sources import frames as S
+
+    f = S.event_frames(spark, sf_dir)
+    per, states = {}, sorted(r.state for r in f.select("state").distinct().collect())
+    for r in T.trajectory_counts(f, 5).collect():
+        per.setdefault(r.traj_id, np.zeros((len(states),) * 2))[states.index(r.src), states.index(r.dst)] = r.n
+    times = {r.traj_id: r.times for r in T.resampled(f, 200).collect()}
+    rates = []
+    for d in range(200):
+        c = sum(times[t][d] * m for t, m in per.items())
+        rates.append(T.analyse(linalg.row_stochastic(c + 1e-3), [0], [len(states) - 1], 1, 0.1, 5).rate)
+    row = next(r for r in QUERIES["bootstrap_ci"](spark, sf_dir).collect() if r.quantity == "rate")
+    assert row.mean == pytest.approx(np.mean(rates), rel=1e-6) and (row.lo, row.hi) == pytest.approx(tuple(np.percentile(rates, [2.5, 97.5])), rel=1e-6)
