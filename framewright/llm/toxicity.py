@@ -8,7 +8,9 @@ sample's n-grams only, and those are joined to it.
 
 A toxic document is mostly ordinary words: under its model each word is toxic with probability ``MIXED``
 and ordinary otherwise. A text's score compares that likelihood with the ordinary one over its different
-words, length-normalised, and is calibrated on labelled texts that the counts behind it have not seen.
+words, length-normalised, and is calibrated on labelled texts that the counts behind it have not seen. The classes'
+discount and the share of toxic words are those that order such texts best, so nothing is set by texts outside
+the training fold.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from framewright.llm.words import Probed, Table, hashes_between, lowered
 #: Bytes of the longest window, and of the shortest one that the classes count for themselves.
 ORDER, LOWEST = 6, 4
 #: Discounts of the corpus model and of the classes; of a count below the discount nothing is left.
-SHARED_DISCOUNT, DISCOUNT = 0.9, 2.5
+SHARED_DISCOUNT, DISCOUNT = 0.9, 1.5
 #: Share of the words of a toxic document that its class's model makes, the rest are ordinary.
 MIXED = 0.01
+#: What the cross-validation chooses from.
+DISCOUNTS, MIXES = (0.75, 1.5, 2.5), (0.003, 0.01, 0.03)
 #: Texts that each step of the calibration counts besides its own, half of them toxic.
 PSEUDO = 2.0
 #: Parts of the labelled sample; each is scored by counts of the others for the calibration.
@@ -44,8 +48,9 @@ class Model:
 
     windows: dict[int, tuple[np.ndarray, np.ndarray]]  # order -> (sorted windows, log ratios)
     contexts: dict[int, tuple[np.ndarray, np.ndarray]]  # order -> (sorted contexts, log ratios of their backoff weights)
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0, 0.0)
     steps: tuple[np.ndarray, np.ndarray] | None = None
+    mixed: float = MIXED
 
 
 def streams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +88,7 @@ class Scorer:
     """Log ratios of whole batches: a window's own, or its context's backoff weights and what the next order says."""
 
     def __init__(self, model: Model):
-        self.weights, self.steps = model.weights, model.steps
+        self.weights, self.steps, self.mixed = model.weights, model.steps, model.mixed
         self.windows = {order: Probed(*table) for order, table in model.windows.items()}
         self.contexts = {order: Probed(*table) for order, table in model.contexts.items()}
 
@@ -101,16 +106,17 @@ class Scorer:
             out[open_at] += self.contexts[order](w >> np.uint64(8))[0]
         return out
 
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """Per text: mean log ratio of its different words, and that times the root of their number.
+    def features(self, texts: pa.Array, mixes: tuple[float, ...] | None = None) -> np.ndarray:
+        """texts x mixes: mean log ratio of each text's different words, with the given shares of toxic words.
 
         The ratio is of a toxic document's likelihood to an ordinary one's. A word counts where it first
         stands, so that a text that repeats itself is no more than what it repeats. Nothing of a text
         depends on its neighbours: windows, sums and words end at its borders.
         """
+        mixes = mixes or (self.mixed,)
         stream, ends = streams(texts)
         if not len(stream):
-            return np.zeros((len(ends), 2))
+            return np.zeros((len(ends), len(mixes)))
         ratio = self.ratios(stream, ends)
         stop, start, owner = words_in(stream, ends)
         name = hashes_between(stream, start, stop)
@@ -118,10 +124,9 @@ class Scorer:
         new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (owner[order][1:] != owner[order][:-1])])[: len(order)]
         first = np.sort(order[new])  # back in the order of the text
         word = np.add.reduceat(np.append(ratio, 0.0), np.stack([start, stop + 1], 1).ravel())[::2] if len(start) else np.zeros(0)
-        word = np.log1p(MIXED * np.expm1(np.minimum(word[first], 30.0)))
-        number = np.bincount(owner[first], minlength=len(ends))
-        mean = np.bincount(owner[first], weights=word, minlength=len(ends)) / np.maximum(number, 1)
-        return np.stack([mean, mean * np.sqrt(number)], 1)
+        word = np.expm1(np.minimum(word[first], 30.0))
+        number = np.maximum(np.bincount(owner[first], minlength=len(ends)), 1)
+        return np.stack([np.bincount(owner[first], weights=np.log1p(m * word), minlength=len(ends)) / number for m in mixes], 1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Calibrated probability; a hundredth of it is the plain logistic, which orders equal steps."""
@@ -224,7 +229,7 @@ class Shared:
         return p
 
 
-def class_models(window: np.ndarray, counts: np.ndarray, shared) -> dict[int, tuple[np.ndarray, ...]]:
+def class_models(window: np.ndarray, counts: np.ndarray, shared, discount: float = DISCOUNT) -> dict[int, tuple[np.ndarray, ...]]:
     """Per order: sorted windows, both classes' probabilities of the last byte, contexts, and their backoff weights.
 
     ``counts`` (2 x windows) are occurrences at the highest order; lower orders count the different bytes in
@@ -240,18 +245,18 @@ def class_models(window: np.ndarray, counts: np.ndarray, shared) -> dict[int, tu
         key, number = grams[order]
         context, inverse = np.unique(key >> np.uint64(8), return_inverse=True)
         total = np.stack([np.bincount(inverse, weights=number[c], minlength=len(context)) for c in (0, 1)])
-        taken = np.stack([np.bincount(inverse, weights=np.minimum(number[c], DISCOUNT), minlength=len(context)) for c in (0, 1)])
+        taken = np.stack([np.bincount(inverse, weights=np.minimum(number[c], discount), minlength=len(context)) for c in (0, 1)])
         lower = np.broadcast_to(shared(key), number.shape) if below is None else below[1][:, np.searchsorted(below[0], suffix(key, order - 1))]
         left = np.where(total > 0, taken / np.maximum(total, 1), 1.0)  # a context that a class lacks leaves all to the next order
-        p = np.maximum(number - DISCOUNT, 0) / np.maximum(total, 1)[:, inverse] + left[:, inverse] * lower
+        p = np.maximum(number - discount, 0) / np.maximum(total, 1)[:, inverse] + left[:, inverse] * lower
         below = (key, p)
         out[order] = (key, p, context, left)
     return out
 
 
-def train(window: np.ndarray, counts: np.ndarray, shared) -> Model:
+def train(window: np.ndarray, counts: np.ndarray, shared, discount: float = DISCOUNT) -> Model:
     """Log ratios of all windows and of all contexts' backoff weights by order, from class counts (2 x windows) and ``shared``."""
-    levels = class_models(window, counts, shared)
+    levels = class_models(window, counts, shared, discount)
     return Model({k: (key, np.log(p[1] / p[0])) for k, (key, p, _, _) in levels.items()}, {k: (context, np.log(left[1] / left[0])) for k, (_, _, context, left) in levels.items()})
 
 
@@ -301,11 +306,12 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, prior: float) -> None:
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """(toxic, part, text) of at most ``per_class`` labelled documents of each class.
 
-    Those with the least hash of the id are taken, all of a class that has no more; they fall into
+    Labels of ids without a document are left out first. Those with the least hash of the id are taken, all of a class that has no more; they fall into
     ``PARTS`` parts by another hash, and copies of a text teach once. Contradicting labels of one id, and
     null labels, teach nothing.
     """
     one = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("_top")).where("toxic = _top").drop("_top")
+    one = one.join(docs.select("doc_id"), "doc_id", "left_semi")
     first = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]  # the best of each task's best
     chosen = first[0].unionByName(first[1]).select("doc_id", "toxic")  # at most 2 * per_class rows
     picked = docs.select("doc_id", text_column().alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -314,25 +320,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
 
 
 def with_features(docs: DataFrame, model: Model) -> DataFrame:
-    """(toxic, a, b): label and features of each of ``docs(toxic, text)``."""
+    """(toxic, f): label and features of each of ``docs(toxic, text)``, one for each of MIXES."""
     shared = broadcast(docs.sparkSession, model)
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
-                x = scorer.features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), *(pa.array(c) for c in x.T)], names=["toxic", "a", "b"])
+                x = scorer.features(part.column("text"), MIXES)
+                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(MIXES)).cast(pa.list_(pa.float64()))], names=["toxic", "f"])
 
-    return docs.select("toxic", "text").mapInArrow(tidy(run, True), "toxic int, a double, b double")
+    return docs.select("toxic", "text").mapInArrow(tidy(run, True), "toxic int, f array<double>")
+
+
+def ordered_share(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of the pairs of a toxic and an ordinary text that x orders rightly, ties half (the area under the ROC curve)."""
+    values, at, number = np.unique(x, return_inverse=True, return_counts=True)
+    rank = np.cumsum(number) - (number - 1) / 2
+    toxic = y.sum()
+    return float((rank[at][y == 1].sum() - toxic * (toxic + 1) / 2) / max(toxic * (len(y) - toxic), 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int = 5000) -> Model:
     """Learn from ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; ``corpus`` has all texts.
 
     The classifier sees at most ``per_class`` labelled documents of each class; the shared backoff model
-    counts every text of ``corpus``. For the calibration each part of the sample gets features from
-    a model of the other parts; the scores come from a model of all. Both classes weigh alike in it, so
+    counts every text of ``corpus``. Each part of the sample gets features from models of the other parts, one for
+    each of DISCOUNTS and MIXES; the pair that orders the sample best (of equals the first) makes the
+    calibration, and the scores come from its model of all parts. Both classes weigh alike in it, so
     a score is the share that the text's evidence gives to the toxic class. Where a class has no
     document every score is the share of toxic labels (0.5 without labels), within 0.01 and 0.99.
     """
@@ -347,22 +362,30 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int =
     key, cells = key[order], [got[f"c{c}"].to_numpy()[order] for c in range(2 * PARTS)]
     del got
 
-    def trained(left_out: int | None) -> Model:
+    def trained(left_out: int | None, discount: float) -> Model:
         counts = np.stack([sum(cells[c * PARTS + p] for p in range(PARTS) if p != left_out) for c in (0, 1)])
         some = counts.any(0)
-        return train(key[some], counts[:, some], shared)
+        return train(key[some], counts[:, some], shared, discount)
 
     share = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
     prior = min(max(share if share is not None else 0.5, 0.01), 0.99)
-    held = []
-    for p in range(PARTS):
-        with scope():  # one model at a time is broadcast
-            held.append(with_features(sample.where(F.col("part") == p), trained(p)).toArrow())
-    model = trained(None)
+    best = None
+    for discount in DISCOUNTS:
+        held = []
+        for p in range(PARTS):
+            with scope():  # one model at a time is broadcast
+                held.append(with_features(sample.where(F.col("part") == p), trained(p, discount)).toArrow())
+        f = np.concatenate([np.array(h["f"].to_pylist(), "f8").reshape(-1, len(MIXES)) for h in held])
+        y = np.concatenate([h["toxic"].to_numpy() for h in held]).astype("f8")
+        for i, mixed in enumerate(MIXES):
+            right = ordered_share(f[:, i], y)
+            if best is None or right > best[0] + 1e-12:
+                best = (right, discount, mixed, f[:, i : i + 1], y)
+    _, discount, mixed, x, y = best
+    model = trained(None, discount)
+    model.mixed = mixed
     del key, cells
     trim()
-    x, y = (np.concatenate([np.column_stack([h[c].to_numpy() for c in names]) for h in held]) for names in ("ab", ["toxic"]))
-    y = y[:, 0].astype("f8")
     order = np.lexsort((y, *x.T))  # sums do not depend on how the rows were dealt
     calibrate(model, x[order], y[order], 0.5 if 0 < y.sum() < len(y) else prior)
     return model
