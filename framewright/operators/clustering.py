@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from framewright.functions.scalars import bin_index
 
@@ -18,11 +20,45 @@ def squared_distance(x: Column, centre: list[float]) -> Column:
     return F.aggregate(F.zip_with(x, other, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
 
+#: Numbers that one projection may hold as constants; generated code has a limit of its own.
+MOST_CONSTANTS = 2048
+
+
+def nearest_by_batches(df: DataFrame, x: str, centres: np.ndarray, rows: int = 1024) -> DataFrame:
+    """``nearest_centre`` by the differences of ``rows`` rows at a time from every centre."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            column = batch.column(x)
+            known = np.flatnonzero(~np.asarray(column.is_null()))
+            m = column.take(pa.array(known)).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(known), own.shape[1])
+            state, gap = np.zeros(len(column), "i4"), np.zeros(len(column))
+            for a in range(0, len(m), rows):
+                part = m[a : a + rows]
+                best, at = np.full(len(part), np.inf), np.zeros(len(part), "i4")
+                for i, c in enumerate(own):
+                    d = ((part - c) ** 2).sum(1)
+                    at[d < best] = i
+                    best = np.minimum(best, d)
+                state[known[a : a + rows]], gap[known[a : a + rows]] = at, best
+            none = np.ones(len(column), bool)
+            none[known] = False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(state, mask=none), pa.array(gap, mask=none)], names=[*batch.schema.names, "state", "distance"])
+
+    bare = df.drop("state", "distance")
+    return bare.mapInArrow(run, StructType([*bare.schema.fields, StructField("state", IntegerType()), StructField("distance", DoubleType())]))
+
+
 def nearest_centre(df: DataFrame, x: str, centres: list[list[float]]) -> DataFrame:
     """Rows with ``state``, the index of the nearest centre (ties to the least), and its squared ``distance``.
 
-    The centres are constants of one projection: no join, no shuffle.
+    Few centres are constants of one projection, more are a broadcast matrix that each batch of rows is
+    compared with: no join, no shuffle. A null vector has no state.
     """
+    if len(centres) * len(centres[0]) > MOST_CONSTANTS:
+        return nearest_by_batches(df, x, np.array(centres, "f8"))
     made = F.array_min(F.array(*[F.struct(squared_distance(F.col(x), c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))
     return df.withColumn("_m", made).withColumn("state", F.col("_m.i")).withColumn("distance", F.col("_m.d")).drop("_m")
 
@@ -62,22 +98,35 @@ def select_k(df: DataFrame, x: str, ks: range = range(4, 21), seed: int = 42) ->
     return best[1]
 
 
+def drawn_below(batch: int, rows: int) -> int:
+    """The bound on a 63-bit hash under which about ``batch`` of ``rows`` rows fall; at any number of rows at least 1."""
+    return min((1 << 63) - 1, max(1, ((1 << 63) * batch) // max(rows, 1)))
+
+
 def mini_batch_k_means(df: DataFrame, x: str, k: int, key: str, batch: int = 10_000, rounds: int = 30, seed: int = 42) -> list[list[float]]:
     """Centres by mini-batches: each round about ``batch`` rows, drawn by a hash of ``key``, move their nearest centres.
 
     A centre moves by its rows' share of all that it has seen, so later rounds move it less. A round is
-    one aggregation to k centres; the start are the rows of the least hashes.
+    one aggregation to k centres; the start are the rows of the least hashes. A round that draws no row at all
+    draws again with another hash; a table of which ten rounds in a row draw nothing has no usable key and is an error.
     """
     rows = df.count()
     spread = lambda r: F.xxhash64(F.lit(seed), F.lit(r), key)
     centres = [list(r[0]) for r in df.select(x).distinct().orderBy(F.xxhash64(F.lit(seed), x)).limit(k).collect()]
     seen = [0] * len(centres)
-    cells = 1 << 20
-    for r in range(rounds):
-        part = df if rows <= batch else df.where(F.pmod(spread(r), F.lit(cells)) < int(cells * batch / rows))
+    below = drawn_below(batch, rows)
+    salt = 0
+    for r in range(rounds if centres else 0):
         moved: dict[int, tuple[int, dict[int, float]]] = {}
-        for row in lloyd_step(part, x, centres).collect():  # clusters times dimensions
-            moved.setdefault(row.state, (row.n, {}))[1][row.k] = row.value
+        for _ in range(10):
+            part = df if rows <= batch else df.where(F.shiftrightunsigned(spread(r + salt), 1) < F.lit(below))
+            for row in lloyd_step(part, x, centres).collect():  # clusters times dimensions
+                moved.setdefault(row.state, (row.n, {}))[1][row.k] = row.value
+            if moved:
+                break
+            salt += rounds
+        else:
+            raise ValueError("no batch holds a row: the key does not tell rows apart, or the count is wrong")
         for i, (n, mean) in moved.items():
             seen[i] += n
             centres[i] = [c + n / seen[i] * (mean[j] - c) for j, c in enumerate(centres[i])]

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import linalg
@@ -19,6 +21,7 @@ from framewright.operators import msm as M
 from framewright.operators import pairs as P
 from framewright.operators import reduction as R
 from framewright.operators import tpt as T
+from framewright.sources.shared import stored
 
 
 def recognised_splits(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -135,26 +138,36 @@ def complete_analysis(spark: SparkSession, frames: DataFrame, columns: list[str]
 
 
 def superposed(frames: DataFrame, selection: list[int] | None = None, reference: int = 0) -> DataFrame:
-    """Positions of each trajectory rotated and shifted onto its reference frame (Kabsch), as a grouped map.
+    """Positions of each trajectory rotated and shifted onto its reference frame (Kabsch).
 
-    The reference frame's positions travel with the rows, so a group is a frame batch of any size.
+    The reference frame's positions travel with the rows, so that a batch of any frames is turned at once: one
+    decomposition of a stack of 3 x 3 matrices. Frames without positions, or with other atoms than the reference, are left out.
     """
     first = frames.where(F.col("frame") == reference).select("traj_id", F.col("pos").alias("_ref"))
 
+    s = slice(None) if selection is None else selection
+
     def run(batches):
-        for pdf in batches:
-            out = []
-            for pos, ref in zip(pdf["pos"], pdf["_ref"], strict=True):
-                a, b = (np.array([[p["x"], p["y"], p["z"]] for p in v]) for v in (pos, ref))
-                s = slice(None) if selection is None else selection
-                ca, cb = a[s].mean(0), b[s].mean(0)
-                u, _, vt = np.linalg.svd((a[s] - ca).T @ (b[s] - cb))
-                d = np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt)) or 1.0])
-                out.append([{"x": x, "y": y, "z": z} for x, y, z in ((a - ca) @ (u @ d @ vt) + cb).tolist()])
-            yield pd.DataFrame({"traj_id": pdf["traj_id"], "frame": pdf["frame"], "pos": out})
+        for batch in batches:
+            flat, ref = batch.column("pos"), batch.column("_ref")
+            n = flat.value_lengths().to_numpy(zero_copy_only=False)
+            out = np.empty((int(n.sum()), 3))
+            at = np.concatenate([[0], np.cumsum(n)])
+            cells = [np.stack([c.flatten().field(x).to_numpy(zero_copy_only=False) for x in "xyz"], 1) for c in (flat, ref)]
+            for size in np.unique(n):  # frames of equal atom numbers together
+                rows = np.flatnonzero(n == size)
+                atoms = at[rows][:, None] + np.arange(size)
+                a, b = (c[atoms] for c in cells)
+                ca, cb = a[:, s].mean(1, keepdims=True), b[:, s].mean(1, keepdims=True)
+                u, _, vt = np.linalg.svd((a[:, s] - ca).transpose(0, 2, 1) @ (b[:, s] - cb))
+                d = np.ones((len(rows), 3))
+                d[:, 2] = np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)
+                out[atoms] = (a - ca) @ ((u * d[:, None, :]) @ vt) + cb
+            made = pa.StructArray.from_arrays([pa.array(out[:, i]) for i in range(3)], names=["x", "y", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("traj_id"), batch.column("frame"), pa.ListArray.from_arrays(pa.array(at.astype("i4")), made)], names=["traj_id", "frame", "pos"])
 
     joined = frames.select("traj_id", "frame", "pos").join(first, "traj_id")
-    return joined.mapInPandas(run, frames.select("traj_id", "frame", "pos").schema)
+    return joined.where("pos is not null and _ref is not null and size(pos) = size(_ref)").mapInArrow(run, frames.select("traj_id", "frame", "pos").schema)
 
 
 #: Feature specifications of the named profiles.
@@ -182,21 +195,53 @@ def phi_psi_pairs(names: list[str]) -> list[tuple[str, str]]:
     return [(v["phi"], v["psi"]) for _, v in sorted(of.items()) if len(v) == 2]
 
 
-def weighted_sample(pairs: DataFrame, weight: str, n: int, seed: int, key: list[str]) -> DataFrame:
-    """n draws with replacement in proportion to the weights: (draw, key...).
+def uniform(seed: int, name: str) -> Column:
+    """A number in (0, 1) from a hash of the seed and a column: the same however rows are dealt."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), name), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def weighted_sample(pairs: DataFrame, weight: str, n: int, seed: int, key: list[str], part_rows: int = 100_000, part_draws: int = 1_000_000) -> DataFrame:
+    """n draws with replacement in proportion to the weights: (draw, key...), each draw exactly one row.
 
-    Partial sums by blocks of rows, then within blocks, give each row its stretch of [0, total); draws meet
-    it by an equi-join on blocks of equal length and a range test.
+    Rows are dealt by hash to parts of about ``part_rows``. A draw first takes a part: that with the least running end
+    above its uniform number among the parts' weights; then a row of the part, by what is left of the number. Both
+    are as-of matches, rows and draws of a part together (``part_draws`` draws at most about), so a heavy row stays one row, and neither rounding nor
+    the order of sums can lose a draw. Uniform numbers are hashes of (seed, draw): partitions do not change the sample. Rows
+    with a null, non-finite or non-positive weight are never drawn; without others there are no draws. A repeated key is drawn as often as
+    all its rows weigh.
     """
-    blocks = 256
-    own = pairs.select(*key, F.col(weight).cast("double").alias("w"), F.pmod(F.xxhash64(*key), F.lit(blocks)).alias("b")).where("w > 0")
-    sums = own.groupBy("b").agg(F.sum("w").alias("s")).withColumn("before", F.sum("s").over(Window.orderBy("b")) - F.col("s"))  # a row a block
-    total = sums.agg(F.sum("s")).first()[0]
-    if not total:
+    w = F.col(weight).cast("double")
+    own = pairs.where(w.isNotNull() & ~F.isnan(w) & (w > 0) & (w < float("inf"))).groupBy(*key).agg(F.sum(w).alias("w"))
+    own = stored(own, "sample-rows")
+    parts = max(1, -(-own.count() // part_rows))
+    own = own.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+    sums = sorted(own.groupBy("part").agg(F.sum("w").alias("s")).collect())  # a row a part
+    names, ends = [r.part for r in sums], np.cumsum([r.s for r in sums])
+    if not len(ends):
         return own.select(F.lit(0).cast("long").alias("draw"), *key).limit(0)
-    w = Window.partitionBy("b").orderBy(*key)
-    stretch = own.join(sums, "b").withColumn("hi", F.col("before") + F.sum("w").over(w)).withColumn("lo", F.col("hi") - F.col("w"))
-    cells = max(1, n)
-    spread = stretch.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / total * cells), F.least(F.floor(F.col("hi") / total * cells), F.lit(cells - 1)))))
-    draws = pairs.sparkSession.range(n).select(F.col("id").alias("draw"), (F.rand(seed) * total).alias("u")).withColumn("cell", F.least(F.floor(F.col("u") / total * cells), F.lit(cells - 1)))
-    return draws.join(spread, "cell").where("u >= lo and u < hi").select("draw", *key)
+    edges = np.concatenate([[0.0], ends])
+    runs = np.maximum(1, np.ceil(np.diff(edges) / edges[-1] * n / part_draws)).astype("i4")
+    shared = pairs.sparkSession.sparkContext.broadcast((np.array(names), edges, runs))
+    copies = pairs.sparkSession.createDataFrame([(p, int(r)) for p, r in zip(names, runs, strict=True)], "part int, runs int")
+
+    def placed(batches):
+        names, edge, runs = shared.value
+        for batch in batches:
+            u = batch.column("u").to_numpy() * edge[-1]
+            at = np.minimum(np.searchsorted(edge, u, side="right") - 1, len(names) - 1)
+            run = batch.column("draw").to_numpy() % runs[at]
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array(names[at].astype("i4")), pa.array(run.astype("i4")), pa.array((u - edge[at]) / (edge[at + 1] - edge[at]))], names=["draw", "part", "run", "u"])
+
+    draws = pairs.sparkSession.range(n).select(F.col("id").alias("draw")).select("draw", uniform(seed, "draw").alias("u")).mapInArrow(placed, "draw long, part int, run int, u double")
+
+    def matched(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"draw": right["draw"].slice(0, 0), **{c: left[c].slice(0, 0) for c in key}})
+        left = left.take(pc.sort_indices(left, [(c, "ascending") for c in key]))
+        end = np.cumsum(left["w"].to_numpy())
+        at = np.minimum(np.searchsorted(end, right["u"].to_numpy() * end[-1], side="right"), len(end) - 1)
+        return pa.table({"draw": right["draw"], **{c: left[c].take(pa.array(at)) for c in key}})
+
+    kinds = dict(own.dtypes)
+    own = own.join(F.broadcast(copies), "part").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    return own.groupBy("part", "run").cogroup(draws.groupBy("part", "run")).applyInArrow(matched, ", ".join(["draw long", *(f"{c} {kinds[c]}" for c in key)]))

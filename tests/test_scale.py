@@ -88,3 +88,61 @@ def test_kernels_within_reach(spark, width, periodic):
         want = (w * np.exp(-(turn(gx - cells[:, 0]) ** 2 + turn(gy - cells[:, 1]) ** 2) / (2 * width**2))).sum() / w.sum() / (2 * math.pi * width**2)
         assert abs(got[gx, gy] - want) < 1e-12
     assert H.kernel_density(spark, df.limit(0), spark.createDataFrame(points[:2], "gx double, gy double"), width).where("density is null").count() == 2
+
+
+# What went wrong without an error at sizes that no test has
+
+
+def test_bound_of_a_mini_batch_at_any_size():
+    from framewright.operators import clustering as K
+
+    for rows in (1, 10**4, 10**10, 10**13, 10**18, 10**22):
+        assert 1 <= K.drawn_below(10_000, rows) < 1 << 63
+    assert abs(K.drawn_below(10_000, 10**13) / (1 << 63) * 10**13 - 10_000) < 1
+
+
+def test_mini_batches_of_a_table_that_says_it_is_huge(spark, monkeypatch):
+    """With a faked count of 2e11 a batch has 1e4 / 2e11 of the rows: none. The start is not handed back as a result."""
+    from pyspark.sql import DataFrame
+
+    from framewright.operators import clustering as K
+
+    df = spark.createDataFrame([(i, [float(i % 2) * 10 + i / 1e4]) for i in range(400)], "id long, x array<double>")
+    good = K.mini_batch_k_means(df, "x", 2, "id", batch=40)
+    assert sorted(round(c[0]) for c in good) == [0, 10]
+    real = DataFrame.count
+    monkeypatch.setattr(type(df), "count", lambda self: 2 * 10**11)
+    with pytest.raises(ValueError, match="no batch"):
+        K.mini_batch_k_means(df, "x", 2, "id")
+    monkeypatch.setattr(type(df), "count", lambda self: 4000)  # batches of four rows: some empty ones are drawn again
+    assert len(K.mini_batch_k_means(df, "x", 2, "id", batch=4, rounds=12)) == 2 and real
+
+
+def test_many_centres_by_batches(spark):
+    from framewright.operators import clustering as K
+
+    rng = np.random.default_rng(4)
+    x, centres = rng.normal(size=(300, 5)).round(1), rng.normal(size=(40, 5)).round(1)
+    centres[7] = centres[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, x array<double>")
+    few = {r.id: (r.state, r.distance) for r in K.nearest_centre(df, "x", centres.tolist()).collect()}
+    many = {r.id: (r.state, r.distance) for r in K.nearest_by_batches(df, "x", centres, 64).collect()}
+    assert all(many[i][0] == few[i][0] and many[i][1] == pytest.approx(few[i][1], abs=1e-12) for i in range(300)) and many[999] == (None, None)
+    wide = K.nearest_centre(df, "x", (list(centres.tolist()) * 20))
+    assert {r.id: r.state for r in wide.collect()} == {i: s for i, (s, _) in many.items()}
+
+
+def test_weighted_draws_are_whole_and_do_not_depend_on_partitions(spark):
+    from framewright.operators import workflow as W
+
+    rows = [(i, float(w)) for i, w in enumerate(np.random.default_rng(6).random(500) ** 4)] + [(1000, 300.0), (1001, 0.0), (1002, -1.0), (1003, None), (1004, float("nan")), (1005, float("inf"))]
+    df = spark.createDataFrame(rows, "id long, w double")
+    one = sorted(map(tuple, W.weighted_sample(df.repartition(1), "w", 3000, 9, ["id"], 64, 500).collect()))
+    two = sorted(map(tuple, W.weighted_sample(df.repartition(7), "w", 3000, 9, ["id"], 64, 500).collect()))
+    assert one == two and [d for d, _ in one] == list(range(3000))
+    drawn = np.bincount([i for _, i in one], minlength=1006)
+    total = sum(w for _, w in rows[:501])
+    assert drawn[1001:].sum() == 0 and abs(drawn[1000] - 3000 * 300 / total) < 5 * math.sqrt(3000 * 300 / total * (1 - 300 / total))
+    expected = 3000 * np.array([w for _, w in rows[:500]]) / total
+    assert abs(((drawn[:500] - expected) ** 2 / np.maximum(expected, 1e-9))[expected > 1].mean() - 1) < 0.5
+    assert W.weighted_sample(df.where("id > 1000"), "w", 5, 1, ["id"]).collect() == []
