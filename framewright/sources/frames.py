@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.sources.binary_frames import KINDS, read_binary_frames
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,9 +54,14 @@ READERS = {"parquet", "orc", "json", "csv"}
 
 
 def read_frames(spark: SparkSession, paths: list[str], fmt: str = "parquet", schema=None, ignore_errors: bool = False) -> DataFrame:
-    """Frames of several files with the file as ``path``; unknown formats raise, bad files only if asked to."""
+    """Frames of several files with the file as ``path``; unknown formats raise, bad files only if asked to.
+
+    Binary trajectories (xtc, nc, ncdf, dcd) have a schema of their own.
+    """
+    if fmt in KINDS:
+        return read_binary_frames(spark, paths, ignore_errors=ignore_errors)
     if fmt not in READERS:
-        raise ValueError(f"unknown format {fmt!r}; known: {sorted(READERS)}")
+        raise ValueError(f"unknown format {fmt!r}; known: {sorted(READERS | set(KINDS))}")
     reader = spark.read.format(fmt).option("ignoreMissingFiles", ignore_errors).option("ignoreCorruptFiles", ignore_errors)
     if schema is not None:
         reader = reader.schema(schema)
