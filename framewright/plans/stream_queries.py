@@ -9,6 +9,10 @@ from framewright.plans.registry import query
 from framewright.sources import frames as S
 from framewright.sources.shared import shared_folder
 from framewright.streaming import detectors as D
+from framewright.streaming import ordered as O
+
+#: Longer than the events last: frames dealt by hash come as late as that.
+ALL = "36500 days"
 
 
 def _as_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -18,6 +22,15 @@ def _as_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     return D.read_stream(spark, df.schema, folder, 1000)
 
 
+def _frames_as_stream(spark: SparkSession, d: str) -> DataFrame:
+    """(traj_id, frame, x, ts) of the events, dealt by hash over three micro-batches, so that frames come out of order."""
+    frames = S.numbered(S.table(spark, d, "events"), "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("traj_id"), "frame", F.col("value").alias("x"), F.col("ts").cast("timestamp").alias("ts"))
+    folder = shared_folder(spark, "stream")
+    frames.repartition(6, F.xxhash64("traj_id", "frame")).write.parquet(folder)
+    files = max(1, len(spark.read.parquet(folder).inputFiles()) // 3)
+    return D.read_stream(spark, frames.schema, folder, files)
+
+
 def _run(df: DataFrame, mode: str) -> DataFrame:
     return D.run_to_files(df, shared_folder(df.sparkSession, "stream-out"), mode)
 
@@ -30,20 +43,17 @@ def live_counts(spark, d):
 
 @query("adwin_drift")
 def adwin_drift(spark, d):
-    frames = S.event_frames(spark, d).select("traj_id", "frame", "x")
-    return _run(D.drift(_as_stream(spark, frames)), "append")
+    return _run(O.drift(_frames_as_stream(spark, d), delay=ALL), "append")
 
 
 @query("fixed_trigger", "WITH e AS (SELECT user_id AS traj_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events) SELECT traj_id, CAST(frame AS BIGINT) AS frame FROM e WHERE frame % 25 = 24")
 def fixed_trigger(spark, d):
-    frames = S.event_frames(spark, d).select("traj_id", "frame", "x")
-    return _run(D.triggers(_as_stream(spark, frames), "fixed", 25), "append")
+    return _run(O.triggers(_frames_as_stream(spark, d), "fixed", 25, delay=ALL), "append")
 
 
 @query("bias_ledger")
 def bias_ledger(spark, d):
-    frames = S.event_frames(spark, d).select("traj_id", "frame", "x")
-    return _run(D.bias_ledger(_as_stream(spark, frames), 10, 10.0), "append")
+    return _run(O.bias_ledger(_frames_as_stream(spark, d), 10, 10.0, delay=ALL), "append")
 
 
 @query("training_window", "WITH e AS (SELECT user_id AS traj_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events) SELECT traj_id, CAST(frame AS BIGINT) AS frame FROM e WHERE frame <= 40 AND frame > 20")
