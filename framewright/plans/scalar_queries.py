@@ -149,3 +149,33 @@ def best_epoch(spark, d):
 def weighted_epoch_mean(spark, d):
     w = F.col("event_id") % 7
     return S.table(spark, d, "events").groupBy("event_type").agg(X.rounded(F.sum(F.col("value") * w) / F.nullif(F.sum(w), F.lit(0)), 6).alias("mean"), F.max("value").alias("top"))
+
+
+def atom_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All whole triples of components of a vector as its atoms: elements N, H, O, C in turn, coordinates in nanometres."""
+    e = S.table(spark, d, "embeddings").select(F.col("label").alias("traj_id"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    at = e.select("traj_id", "frame", "e", F.explode(F.sequence(F.lit(0), F.floor(F.size("e") / 3).cast("int") - 1)).alias("atom_id"))
+    kinds = F.array(*[F.lit(k) for k in "NHOC"])
+    return at.select("traj_id", "frame", "atom_id", kinds[F.col("atom_id") % 4].alias("element"), *[F.get("e", 3 * F.col("atom_id") + k).alias(c) for k, c in enumerate("xyz")])
+
+
+ATOM_SQL = "t AS (SELECT label AS traj_id, vec_id AS frame, i AS atom_id, ['N', 'H', 'O', 'C'][i % 4 + 1] AS element, [0.155, 0.12, 0.152, 0.17][i % 4 + 1] + 0.14 AS r, CAST(embedding[3 * i + 1] AS DOUBLE) AS x, CAST(embedding[3 * i + 2] AS DOUBLE) AS y, CAST(embedding[3 * i + 3] AS DOUBLE) AS z FROM embeddings, (SELECT unnest(range(0, 21)) AS i))"
+
+
+@query("solvent_area", f"WITH {ATOM_SQL}, s AS (SELECT 2 * (k + 0.5) / 60 - 1 AS v, k * pi() * (3 - sqrt(5)) AS w FROM (SELECT unnest(range(0, 60)) AS k)), q AS (SELECT t.traj_id, t.frame, t.atom_id, t.r, t.x + t.r * cos(w) * sqrt(1 - v * v) AS x, t.y + t.r * v AS y, t.z + t.r * sin(w) * sqrt(1 - v * v) AS z FROM t, s), h AS (SELECT q.traj_id, q.frame, q.atom_id, any_value(q.r) AS r, bool_or((q.x - o.x) ** 2 + (q.y - o.y) ** 2 + (q.z - o.z) ** 2 < o.r * o.r) AS hidden FROM q JOIN t o ON o.traj_id = q.traj_id AND o.frame = q.frame AND o.atom_id <> q.atom_id GROUP BY q.traj_id, q.frame, q.atom_id, q.x, q.y, q.z) SELECT traj_id, frame, round(sum(4 * pi() * r * r / 60 * CASE WHEN hidden THEN 0 ELSE 1 END), 6) + 0.0 AS area FROM h GROUP BY 1, 2")
+def solvent_area(spark, d):
+    """Solvent-accessible area of every frame, its atoms all triples of the vector's components."""
+    from framewright.functions import surface as A
+
+    atoms = atom_rows(spark, d).withColumn("radius", A.radius_of(F.col("element")))
+    return A.solvent_area(atoms, n_points=60).withColumn("area", X.rounded(F.col("area"), 6))
+
+
+@query("hydrogen_bonds", f"WITH {ATOM_SQL}, b AS (SELECT d.traj_id, d.frame, d.atom_id AS donor, h.atom_id AS hydrogen, a.atom_id AS acceptor, sqrt((a.x - h.x) ** 2 + (a.y - h.y) ** 2 + (a.z - h.z) ** 2) AS ah, sqrt((d.x - h.x) ** 2 + (d.y - h.y) ** 2 + (d.z - h.z) ** 2) AS dh, (a.x - h.x) * (d.x - h.x) + (a.y - h.y) * (d.y - h.y) + (a.z - h.z) * (d.z - h.z) AS dot FROM t d JOIN t h ON h.traj_id = d.traj_id AND h.frame = d.frame AND d.element = 'N' AND h.atom_id = d.atom_id + 1 JOIN t a ON a.traj_id = d.traj_id AND a.frame = d.frame AND a.element IN ('N', 'O') AND a.atom_id <> d.atom_id), k AS (SELECT * FROM b WHERE ah < 0.25 AND degrees(acos(greatest(-1, least(1, dot / nullif(ah * dh, 0))))) > 120) SELECT f.traj_id, f.frame, CAST(count(k.donor) AS BIGINT) AS bonds FROM (SELECT DISTINCT traj_id, frame FROM t) f LEFT JOIN k ON k.traj_id = f.traj_id AND k.frame = f.frame GROUP BY 1, 2")
+def hydrogen_bonds(spark, d):
+    """Number of hydrogen bonds of every frame."""
+    from framewright.functions import surface as A
+
+    atoms = atom_rows(spark, d)
+    bonds = atoms.where("element = 'N'").select(F.col("atom_id").alias("donor"), (F.col("atom_id") + 1).alias("hydrogen")).distinct()
+    return A.bond_counts(atoms, A.hydrogen_bonds(atoms, bonds))
