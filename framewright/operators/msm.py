@@ -149,6 +149,31 @@ def ck_test(spark: SparkSession, frames: DataFrame, lag: int, factors: tuple[int
     return spark.createDataFrame([(f, None if e != e else e) for f, e in ck_errors(made, lag, factors, least).items()], "factor int, mse double")
 
 
+def ck_choice(spark: SparkSession, frames: DataFrame, lag: int, macro: int, factors: tuple[int, ...] = (2, 3, 4, 5), least: int = 50, gap: float = 0.01, top: int = 50) -> DataFrame:
+    """(mode, factor, mse): the test on ``macro`` macrostates where that can be done, else on the ``top`` most visited states.
+
+    Macrostates need more states than that, an eigenvalue gap of ``gap`` or more behind them, and ``least`` transitions
+    out of each. Otherwise frames of rarer states are deleted and the rest renumbered, as in a smaller discretisation.
+    """
+    lags = [lag, *(f * lag for f in factors)]
+    states, made = matrices(frames, lags)
+    p = linalg.row_stochastic(made[lag])
+    values = np.sort(np.linalg.eigvals(p).real)[::-1] if len(states) else np.zeros(0)
+    of = linalg.macrostates(fitted(states, made[lag], lag).p, macro) if len(states) > macro and values[macro - 1] - values[macro] >= gap else None
+    mode = "micro"
+    if of is not None:
+        u = np.eye(int(of.max()) + 1)[of]
+        lumped = {t: u.T @ c @ u for t, c in made.items()}
+        if (lumped[lag].sum(1) >= least).all():
+            mode, made = "macro", lumped
+    if mode == "micro" and len(states) > top:
+        total = made[lag].sum(0) + made[lag].sum(1)
+        kept = [states[i] for i in np.argsort(-total, kind="stable")[:top]]
+        made = matrices(frames.where(F.col("state").isin(kept)), lags, sorted(kept), gap_policy="compact")[1]
+    rows = [(mode, f, None if e != e else e) for f, e in ck_errors(made, lag, factors, least).items()]
+    return spark.createDataFrame(rows, "mode string, factor int, mse double")
+
+
 def spectral_gap(p: np.ndarray, least: int = 3, most: int = 6) -> int:
     """Number of macrostates before the largest gap of the eigenvalues' sizes, within bounds."""
     size = np.abs(linalg.sorted_eigenvalues(p))

@@ -43,11 +43,11 @@ class Discretisation:
     summary: dict
 
 
-def discretise(df: DataFrame, columns: list[str], *, n_states: int = 150, lag: int = 1, mode: str = "kmeans", weight: str | None = None, least_out: float = 0.0, seed: int = 0, segment: tuple[str, ...] = ()) -> Discretisation:
+def discretise(df: DataFrame, columns: list[str], *, n_states: int = 150, lag: int = 1, mode: str = "kmeans", weight: str | None = None, least_out: float = 0.0, seed: int = 0, segment: tuple[str, ...] = (), starts: int = 10) -> Discretisation:
     """Fit on split ``train`` (or the first), assign every split, count, prune and normalise.
 
     ``df(split, traj_id, frame, columns...)``; pairs stay within a trajectory and ``segment``. k-means works on
-    z-scores of the fitted split (sample deviation).
+    z-scores of the fitted split (sample deviation), and the best of ``starts`` starts by inertia is kept.
     """
     rows = recognised_splits(df, columns)
     names = sorted(r.split for r in rows.select("split").distinct().collect())
@@ -61,7 +61,8 @@ def discretise(df: DataFrame, columns: list[str], *, n_states: int = 150, lag: i
     elif mode == "kmeans":
         stats = own.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
         z = F.array(*[(F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] if (stats[f"s{i}"] or 0) > 1e-10 else 1.0) for i, c in enumerate(columns)])
-        _, centres, _ = K.k_means(own.withColumn("_z", z), "_z", n_states, seed)
+        scored = own.select(z.alias("_z"))
+        _, centres, _ = min((K.k_means(scored, "_z", n_states, seed + i) for i in range(max(1, starts))), key=lambda made: made[2])
         every = K.nearest_centre(rows.withColumn("_z", z), "_z", centres).drop("_z", "distance")
     else:
         raise ValueError(f"unknown mode {mode!r}")
@@ -200,6 +201,20 @@ def uniform(seed: int, name: str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), name), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def exact_batches(pairs: DataFrame, size: int, seed: int, key: list[str], part_rows: int = 65_536) -> DataFrame:
+    """``pairs`` with ``batch``: a seeded shuffle cut into batches of exactly ``size`` rows, the last one of what is left.
+
+    The shuffled place of a row is its rank by a hash: the rows of lesser hash ranges, a number a range, and its rank
+    within its own range of about ``part_rows`` rows. Rows with equal keys are ranked by all their columns.
+    """
+    ranges = max(1, -(-pairs.count() // part_rows))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 1)
+    own = pairs.withColumn("_h", h).withColumn("_part", F.least(F.floor(F.col("_h") / (float(1 << 63) / ranges)), F.lit(ranges - 1)))
+    before = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row a range
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", *key, *[c for c in pairs.columns if c not in key]))
+    return own.withColumn("_rank", rank).join(before, "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_rank") - 1) / size)).drop("_h", "_part", "_rank", "_before")
+
+
 def weighted_sample(pairs: DataFrame, weight: str, n: int, seed: int, key: list[str], part_rows: int = 100_000, part_draws: int = 1_000_000) -> DataFrame:
     """n draws with replacement in proportion to the weights: (draw, key...), each draw exactly one row.
 

@@ -293,9 +293,10 @@ def train_val_split(spark, d):
     return f.groupBy("traj_id").agg(F.sum((F.col("pr") < 0.8).cast("long")).alias("n_train"), F.sum((F.col("pr") >= 0.8).cast("long")).alias("n_val"))
 
 
-@query("pair_batches")
+@query("pair_batches", f"WITH {EV}, n AS (SELECT sum(greatest(k - 1, 0)) AS n FROM (SELECT count(*) AS k FROM ev GROUP BY traj_id)) SELECT CAST(b AS BIGINT) AS batch, CAST(least(256, n - 256 * b) AS BIGINT) AS size FROM (SELECT n, unnest(range(0, CAST(ceil(n / 256) AS BIGINT))) AS b FROM n)")
 def pair_batches(spark, d):
     """Seeded shuffle of pairs into batches of 256: batch and size."""
+    from framewright.operators.workflow import exact_batches
+
     pairs = P.lagged_pairs(events(spark, d), 1, ["x"])
-    n = -(-pairs.count() // 256)
-    return pairs.withColumn("batch", F.pmod(F.xxhash64(F.lit(7), "traj_id", "frame"), F.lit(max(1, n)))).groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
+    return exact_batches(pairs, 256, 7, ["traj_id", "frame"]).groupBy("batch").agg(F.count(F.lit(1)).alias("size"))

@@ -159,6 +159,12 @@ def ck_test(spark, d):
     return M.ck_test(spark, S.event_frames(spark, d), 2).withColumn("mse", rounded(F.col("mse")))
 
 
+@query("ck_choice")
+def ck_choice(spark, d):
+    """The same test on two macrostates if the spectrum parts them, else on the fifty most visited states."""
+    return M.ck_choice(spark, S.event_frames(spark, d), 2, 2).withColumn("mse", rounded(F.col("mse")))
+
+
 @query("stationary_distribution", Q.STATIONARY)
 def stationary_distribution(spark, d):
     m = model(spark, d)
@@ -336,7 +342,7 @@ def superposed_frames(spark, d):
     from framewright.operators.workflow import superposed
     from framewright.plans.scalar_queries import atom_frames
 
-    f = atom_frames(spark, d)
+    f = atom_frames(spark, d, 21)
     least = f.groupBy("traj_id").agg(F.min("frame").alias("_f"))
     return superposed(f.join(least, "traj_id").withColumn("frame", F.col("frame") - F.col("_f")).drop("_f"))
 
@@ -347,7 +353,7 @@ def universal_embedding(spark, d):
     from framewright.operators.workflow import universal_embedding as embed
     from framewright.plans.scalar_queries import atom_frames
 
-    return embed(atom_frames(spark, d), align=False)
+    return embed(atom_frames(spark, d, 21), align=False)
 
 
 @query("weighted_pair_sample")

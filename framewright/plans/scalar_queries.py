@@ -26,11 +26,11 @@ def trig_expand(spark, d):
     return e.select("event_id", X.rounded(F.col("cos_value")).alias("cos_value"), X.rounded(F.col("sin_value")).alias("sin_value"), "ts")
 
 
-def atom_frames(spark: SparkSession, d: str) -> DataFrame:
-    """A frame a vector: its first twelve components as four atoms."""
+def atom_frames(spark: SparkSession, d: str, atoms: int = 4) -> DataFrame:
+    """A frame a vector: its first twelve components as four atoms, or more of them (21 are all that its 64 components hold whole)."""
     e = S.table(spark, d, "embeddings")
     atom = lambda i: F.struct(*[F.col("embedding")[3 * i + k].cast("double").alias(c) for k, c in enumerate("xyz")])
-    return e.select(F.col("label").alias("traj_id"), F.col("vec_id").alias("frame"), F.array(*[atom(i) for i in range(4)]).alias("pos"))
+    return e.select(F.col("label").alias("traj_id"), F.col("vec_id").alias("frame"), F.array(*[atom(i) for i in range(atoms)]).alias("pos"))
 
 
 def _atoms() -> str:
@@ -132,11 +132,13 @@ def gaussian_bias(spark, d):
     return out.withColumn("bias", X.rounded(F.col("bias"), 7))
 
 
-@query("kt_constant", f"SELECT round(CAST(0.00831446261815324 * 300 AS DOUBLE), 12) AS kt, round(pi(), 12) AS pi")
+@query("kt_constant", "SELECT event_id, round(CAST(0.00831446261815324 * (250 + event_id % 100) AS DOUBLE), 12) AS kt, round(value / (0.00831446261815324 * (250 + event_id % 100)), 6) + 0.0 AS reduced FROM events")
 def kt_constant(spark, d):
+    """Values as energies at a temperature of each event, in units of its kT."""
     from framewright.functions.constants import kt
 
-    return spark.createDataFrame([(round(kt(300.0), 12), round(math.pi, 12))], "kt double, pi double")
+    own = F.lit(kt(1.0)) * (250 + F.col("event_id") % 100)
+    return S.table(spark, d, "events").select("event_id", X.rounded(own, 12).alias("kt"), X.rounded(F.col("value") / own, 6).alias("reduced"))
 
 
 @query("best_epoch", "SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS best, max(o_totalprice) AS score FROM orders GROUP BY o_custkey")

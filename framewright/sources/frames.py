@@ -79,11 +79,12 @@ def select_atoms(atoms: DataFrame, ids: list[int] | None = None, names: list[str
 
 
 def last_frames(frames: DataFrame, jitter: float = 0.0, seed: int = 0, columns: tuple[str, ...] = ()) -> DataFrame:
-    """The last frame of each trajectory; Gaussian noise of ``jitter`` on ``columns``."""
+    """The last frame of each trajectory; Gaussian noise of ``jitter`` on ``columns``, drawn from hashes of (seed, column, trajectory)."""
     rest = [c for c in frames.columns if c != "traj_id"]
     out = frames.groupBy("traj_id").agg(F.max_by(F.struct(*rest), "frame").alias("r")).select("traj_id", "r.*")
     for k, c in enumerate(columns if jitter else ()):
-        out = out.withColumn(c, F.col(c) + jitter * F.randn(seed + k))
+        u, v = ((F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(2 * k + i), "traj_id"), 11).cast("double") + 0.5) / float(1 << 53) for i in (0, 1))
+        out = out.withColumn(c, F.col(c) + jitter * F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v))
     return out
 
 

@@ -363,7 +363,7 @@ def test_isoelectric_points(spark, sf_dir, con):
 def test_batches_and_samples(spark, sf_dir, events, con):
     rows = run(spark, "pair_batches", sf_dir)
     n = sum(max(0, len(s) - 1) for s, _ in events.values())
-    assert sum(r.size for r in rows) == n and {r.batch for r in rows} <= set(range(-(-n // 256))) and max(r.size for r in rows) < 2 * 256
+    assert sum(r.size for r in rows) == n and {r.batch for r in rows} == set(range(-(-n // 256))) and all(r.size == min(256, n - 256 * r.batch) for r in rows)
     value = dict(con.execute("SELECT event_id, value FROM events").fetchall())
     drawn = run(spark, "weighted_pair_sample", sf_dir)
     assert sorted(r.draw for r in drawn) == list(range(1000))
@@ -374,7 +374,7 @@ def test_batches_and_samples(spark, sf_dir, events, con):
 
 def test_superposition_and_embedding(spark, sf_dir, vectors):
     ids, label, x = vectors
-    pos = {(t, i): x[k, :12].reshape(4, 3) for k, (i, t) in enumerate(zip(ids.tolist(), label.tolist(), strict=True))}
+    pos = {(t, i): x[k, :63].reshape(21, 3) for k, (i, t) in enumerate(zip(ids.tolist(), label.tolist(), strict=True))}
     first = {t: min(i for u, i in pos if u == t) for t in set(label.tolist())}
     for r in run(spark, "superposed_frames", sf_dir):
         a, b = pos[r.traj_id, r.frame + first[r.traj_id]], pos[r.traj_id, first[r.traj_id]]
@@ -389,7 +389,7 @@ def test_superposition_and_embedding(spark, sf_dir, vectors):
         m, n = np.cross(u, v), np.cross(v, w)
         dihedral = math.atan2(np.cross(m, n) @ v / np.linalg.norm(v), m @ n)
         angle = math.acos(np.clip(-(u @ v) / np.linalg.norm(u) / np.linalg.norm(v), -1, 1))
-        feats[key] = [math.sqrt(((p - p.mean(0)) ** 2).sum() / 4), np.linalg.norm(p[1] - p[0]), np.linalg.norm(p[2] - p[0]), *((math.cos(angle), math.sin(angle)) if W_PERIODIC_ANGLE else (angle,)), math.cos(dihedral), math.sin(dihedral)]
+        feats[key] = [math.sqrt(((p - p.mean(0)) ** 2).sum() / 21), np.linalg.norm(p[1] - p[0]), np.linalg.norm(p[2] - p[0]), *((math.cos(angle), math.sin(angle)) if W_PERIODIC_ANGLE else (angle,)), math.cos(dihedral), math.sin(dihedral)]
     keys = sorted(feats)
     f = np.array([feats[k] for k in keys])
     pairs = [(feats[k], feats[n]) for k, n in zip(keys[:-1], keys[1:], strict=True) if k[0] == n[0]]

@@ -146,3 +146,37 @@ def test_weighted_draws_are_whole_and_do_not_depend_on_partitions(spark):
     expected = 3000 * np.array([w for _, w in rows[:500]]) / total
     assert abs(((drawn[:500] - expected) ** 2 / np.maximum(expected, 1e-9))[expected > 1].mean() - 1) < 0.5
     assert W.weighted_sample(df.where("id > 1000"), "w", 5, 1, ["id"]).collect() == []
+
+
+def test_batches_hold_every_row_once(spark):
+    from framewright.operators import workflow as W
+
+    df = spark.range(1003).select("id", (F.col("id") % 3).alias("v"))
+    one, two = (sorted((r.batch, r.id) for r in W.exact_batches(df.repartition(p), 100, 4, ["id"], rows).collect()) for p, rows in ((1, 50), (5, 10_000)))
+    assert one == two and sorted(i for _, i in one) == list(range(1003)) and [i for _, i in one] != list(range(1003))
+    assert np.bincount([b for b, _ in one]).tolist() == [100] * 10 + [3]
+    assert W.exact_batches(df.limit(0), 10, 1, ["id"]).count() == 0
+
+
+def test_jitter_does_not_depend_on_partitions(spark):
+    from framewright.sources import frames as S
+
+    df = spark.range(4000).select(F.col("id").alias("traj_id"), F.lit(0).alias("frame"), F.lit(1.0).alias("x"))
+    one, two = ({r.traj_id: r.x for r in S.last_frames(df.repartition(p), 0.5, 3, ("x",)).collect()} for p in (1, 5))
+    noise = np.array(list(one.values())) - 1
+    assert one == two and abs(noise.mean()) < 0.03 and abs(noise.std() - 0.5) < 0.03
+
+
+def test_ck_on_macrostates_or_on_the_most_visited(spark):
+    from framewright.operators import msm as M
+
+    rng = np.random.default_rng(1)
+    state, rows = 0, []
+    for f in range(6000):
+        state = (state // 2) * 2 + int(rng.random() < 0.5) if rng.random() < 0.97 else (2 - (state // 2) * 2) + int(rng.random() < 0.5)
+        rows.append((0, f, state))
+    two = M.ck_choice(spark, spark.createDataFrame(rows, "traj_id long, frame long, state int"), 1, 2, (2, 3)).collect()
+    assert {r.mode for r in two} == {"macro"} and all(r.mse < 1e-3 for r in two)
+    free = spark.createDataFrame([(0, f, int(s)) for f, s in enumerate(rng.integers(0, 9, 9000))], "traj_id long, frame long, state int")
+    cut = M.ck_choice(spark, free, 1, 9, (2,), top=4).collect()
+    assert [(r.mode, r.factor) for r in cut] == [("micro", 2)] and cut[0].mse < 1e-3
