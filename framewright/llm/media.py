@@ -113,9 +113,16 @@ def interleaved(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, media: DataFrame, key: str) -> DataFrame:
-    """(key, position, digest, caption, media columns) of each media item whose digest ``media`` holds."""
-    items = sequences.select(key, F.explode("items").alias("item")).where("item.kind = 'media'")
-    return spread_join(items.select(key, "item.position", "item.digest", "item.caption"), media, ["digest"], [key, "position"])
+    """(key, position, digest, caption, before, after, media columns) of each media item whose digest ``media`` holds.
+
+    ``before`` and ``after`` are the texts next to the item in its sequence, null at the page's ends or beside other
+    media, so that a payload stays where it stood.
+    """
+    beside = lambda i: F.get("items", F.col("p") + i)
+    text = lambda i: F.when((F.col("p") + i >= 0) & (beside(i)["kind"] == "text"), beside(i)["text"])
+    items = sequences.select(key, "items", F.posexplode("items").alias("p", "item")).where("item.kind = 'media'")
+    own = items.select(key, "item.position", "item.digest", "item.caption", text(-1).alias("before"), text(1).alias("after"))
+    return spread_join(own, media, ["digest"], [key, "position"])
 
 
 def to_png(payload: bytes) -> bytes:
@@ -159,8 +166,11 @@ KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("html", pa.s
 def store_documents(docs: DataFrame, folder: str, roll_bytes: int = 16 << 20, remember: int = 50_000) -> DataFrame:
     """Store each text's padded bytes as an image and write the page that refers to it; returns the stored list.
 
-    A payload that a task has lately stored is not stored again. Files end after ``roll_bytes`` of
-    payload. A null text is empty; equal texts have equal images.
+    The page has the image in the middle of its texts: a heading, none to two paragraphs by the doc_id, the figure
+    with its caption, and a closing one. A payload that a task has lately stored is not stored again. Files end after ``roll_bytes`` of
+    payload. A null text is empty and has the image of 192 spaces; equal texts have equal images; repeated rows,
+    other texts of one doc_id and null doc_ids have a page each; a text is stored whole, however long; an empty
+    table makes no file.
     """
 
     def run(batches):
@@ -188,7 +198,8 @@ def store_documents(docs: DataFrame, folder: str, roll_bytes: int = 16 << 20, re
                         if raw >= roll_bytes:
                             out.close()
                             out = None
-                    html = f'<article><h1>Document {doc}</h1><figure><img src="{SCHEME}{digest}"><figcaption>{len(own)} bytes</figcaption></figure></article>'
+                    lead = "".join(f"<p>Part {k} before {doc}</p>" for k in range((doc or 0) % 3))
+                    html = f'<article><h1>Document {doc}</h1>{lead}<figure><img src="{SCHEME}{digest}"><figcaption>{len(own)} bytes</figcaption></figure><p>End of {doc}</p></article>'
                     rows.append((doc, len(own), html, digest, *seen[digest]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), KEPT, strict=True)], schema=KEPT)
         if out is not None:
@@ -226,11 +237,15 @@ def read_media(places: DataFrame, folder: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store all texts as images, parse the pages that refer to them, and join what is read back by digest."""
+    """Store all texts as images, parse the pages that refer to them, and join what is read back by digest.
+
+    A row a document, with the image's place among the page's texts, its caption and the texts beside it; the awkward
+    cases are those of ``store_documents``.
+    """
     folder = new_folder(spark, "media")
     made = store_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     places = made.groupBy("digest").agg(F.min(F.struct("file", "offset", "length")).alias("at")).select("digest", "at.*")
     media = stored(read_media(places, folder), "media-features")
     pages = made.select(F.struct("doc_id", "n_bytes").alias("page"), "html")
     found = resolve(interleaved(pages, "page", "html"), media, "page")
-    return found.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return found.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "before", "after")

@@ -144,3 +144,11 @@ def test_sequences_keep_positions_and_captions(spark):
     found = media.resolve(media.interleaved(pages, "page", "html"), store, "page")
     got = sorted((r.page, r.position, bytes(r.payload), r.caption) for r in found.collect() if r.payload is not None)
     assert got == [(1, 1, b"1", "cap & c"), (1, 3, b"2", "x"), (3, 0, b"2", None), (3, 0, b"2", None)]
+
+
+def test_media_stay_between_their_texts(spark):
+    html = "<p>one</p><figure><img src='sha256:aa'><img src='sha256:bb'><figcaption>two of them</figcaption></figure>tail<img src='sha256:aa' alt='again'>"
+    pages = spark.createDataFrame([(1, html), (2, "<img src='sha256:bb'>"), (3, "<p>no media</p>"), (4, None), (5, "<p>x</p><img src='http://gone/'>")], "page long, html string")
+    payloads = spark.createDataFrame([("aa", 10), ("bb", 20)], "digest string, size int")
+    got = sorted((r.page, r.position, r.digest, r.caption, r.before, r.after, r.size) for r in media.resolve(media.interleaved(pages, "page", "html"), payloads, "page").collect())
+    assert got == [(1, 1, "aa", "two of them", "one", None, 10), (1, 2, "bb", "two of them", None, "tail", 20), (1, 4, "aa", "again", "tail", None, 10), (2, 0, "bb", None, None, None, 20)]

@@ -181,6 +181,9 @@ def test_media(spark, awkward):
         want.append((doc, len(own), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])))
     got = run(spark, "op5_media", awkward[0]).collect()
     assert in_order((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == in_order(want)
+    for r in got:
+        lead = (r.doc_id or 0) % 3
+        assert (r.position, r.caption, r.before, r.after) == (1 + lead, f"{r.n_bytes} bytes", f"Part {lead - 1} before {r.doc_id}" if lead else f"Document {r.doc_id}", f"End of {r.doc_id}")
     stored = {}
     for r in got:
         assert stored.setdefault(r.payload_sha256, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
