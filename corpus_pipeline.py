@@ -44,7 +44,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under 0.7; learnt from the labelled ones among them outside the held-out fold.
 
     A null or empty text has no evidence and stays. Repeated rows are judged each, equal texts alike.
-    Without labels of both classes every score is one number: all stay unless most labels are toxic.
+    Without labels of both classes every score is one number: all stay unless most labels are toxic. A text is judged
+    whole, however long; all columns come back as they were, whatever their names; an empty table stays empty.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.where(language.fold(3) != 1).select("doc_id", "text"), labels.where(language.fold(3) != 1), docs.select("text"))
@@ -57,7 +58,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents in a language: not ``und``, and parsed into longer phrases than noise would be.
 
     Null and empty texts and texts without a letter are ``und`` and go, and so does every text where no
-    labelled row has a language. Repeated rows are judged each, equal texts alike.
+    labelled row has a language. Repeated rows are judged each, equal texts alike. A text is parsed whole, however long;
+    all columns come back as they were, whatever their names; an empty table stays empty.
     """
     samples = language.labelled_samples(docs.where(language.fold(4) != 2).select("text", "lang"))
     names = {c: unused(docs, f"_{c}") for c in language.PREDICTION.names}
@@ -73,7 +75,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows with equal doc_id and text one stays, the least by its columns. Rows of one doc_id with other
     texts are one document and stay together; rows with a null doc_id have no class and all stay. A null
-    text is an empty one, and empty texts are copies.
+    text is an empty one, and empty texts are copies. Texts are compared whole, however long; all columns come back as
+    they were, whatever their names; an empty table stays empty.
     """
     kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id")
     several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
@@ -88,7 +91,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences.
 
-    A null or empty text is one end token; repeated rows and rows with a null doc_id are packed each.
+    A null or empty text is one end token; repeated rows and rows with a null doc_id are packed each. A text is encoded
+    whole, however long, and cut only above 2048 tokens; other columns are not looked at; an empty table has no pieces.
     """
     return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 

@@ -239,6 +239,8 @@ def op4_sampled_pieces(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataF
 
     Encoding and decoding share a pass, so that ids do not travel: n_pieces, ids_crc32 (little-endian
     unsigned 32-bit), text_crc32 of the decoded text in UTF-8, and whether it equals the document's.
+    A row a document: a null text is an empty one and has no piece; repeated rows, and rows with a null doc_id, get the
+    sample of their id and text each; a text is sampled whole, however long; an empty table has no rows.
     """
     path = tokenizer_path("piece_bpe_32k.model")
 

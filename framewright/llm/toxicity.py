@@ -412,7 +412,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Rows are scored each by its own whole text, however long; equal texts have equal scores. A null text is
     an empty one; a text without a word has no evidence and gets the score of mean ratio 0. Labels that
-    are null, of no document, or contradict each other teach nothing; a null doc_id is in no label.
+    are null, of no document, or contradict each other teach nothing; a null doc_id is in no label. An empty
+    table has no rows; without labels every score is the same.
     """
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs.where(fold(3) != 1).select("doc_id", "text"), labels.where(fold(3) != 1).select("doc_id", "toxic"), docs.select("text"))
