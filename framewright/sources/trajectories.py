@@ -108,6 +108,28 @@ def read_trajectories(spark: SparkSession, path: str, **options) -> DataFrame:
     return reader.load()
 
 
+def write_pdb(atoms: DataFrame, folder: str, name: str, mode: str = "errorifexists") -> None:
+    """Write ``atoms(name, atom_id, atom, res_name, chain, res_id, x, y, z)`` as PDB text, a folder ``structure=...`` for each value of ``name``.
+
+    A structure's lines are in one file, in the order of atom_id, and end with END; structures are dealt to tasks.
+    Null names of residues and chains are blank; atoms without a place are left out. Lengths are in angstrom.
+    """
+    text = lambda c, n: F.rpad(F.coalesce(F.substring(F.col(c).cast("string"), 1, n), F.lit("")), n, " ")
+    line = F.format_string("ATOM  %5d %s %s %s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", F.col("atom_id").cast("int"), text("atom", 4), text("res_name", 3), text("chain", 1), F.coalesce(F.col("res_id"), F.lit(0)).cast("int"), *[F.col(c).cast("double") for c in "xyz"], F.lit(1.0), F.lit(0.0))
+    placed = atoms.where(F.col(name).isNotNull() & F.col("atom_id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    lines = placed.select(F.col(name).cast("string").alias("structure"), F.col("atom_id").cast("long").alias("o"), line.alias("value"))
+    ends = lines.select("structure").distinct().select("structure", F.lit((1 << 63) - 1).alias("o"), F.lit("END").alias("value"))
+    whole = lines.union(ends).repartition("structure").sortWithinPartitions("structure", "o").select("structure", "value")
+    whole.write.mode(mode).partitionBy("structure").text(folder)
+
+
+def export_structures(atoms: DataFrame, chosen: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Write the frames ``chosen(traj_id, frame, state, rank)`` of ``atoms(traj_id, frame, ...)`` as PDB, named by state and rank."""
+    name = F.concat_ws("_", F.concat(F.lit("state"), F.col("state").cast("string")), F.concat(F.lit("rank"), F.col("rank").cast("string")))
+    own = chosen.select("traj_id", "frame", name.alias("_structure")).distinct()
+    write_pdb(atoms.join(own, ["traj_id", "frame"]), folder, "_structure", mode)
+
+
 def read_pdb(spark: SparkSession, path: str | Iterable[str]) -> DataFrame:
     """Atoms of PDB text by its fixed columns; native expressions over the text source."""
     line = spark.read.text(path).where(F.col("value").startswith("ATOM") | F.col("value").startswith("HETATM"))

@@ -179,3 +179,20 @@ def test_kinds_together(spark, tmp_path):
     assert got["a.dcd", 0].box is None and got["a.dcd", 0].time is None and len(got) == 15
     with pytest.raises(ValueError, match="unknown format"):
         S.read_frames(spark, ["x"], "trr")
+
+
+def test_representatives_as_structures(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(t, f, i, f"C{i}", "ALA" if i % 2 else None, "A", i // 2, *map(float, rng.normal(size=3) * 50)) for t in (0, 1) for f in range(4) for i in range(30)]
+    rows += [(0, 1, 99, "X", "GLY", "B", 7, None, 0.0, 0.0)]
+    atoms = spark.createDataFrame(rows, "traj_id long, frame long, atom_id int, atom string, res_name string, chain string, res_id int, x double, y double, z double").repartition(5)
+    chosen = spark.createDataFrame([(0, 1, 3, 1), (1, 2, 3, 2), (1, 0, 5, 1), (1, 0, 5, 1), (7, 7, 9, 1)], "traj_id long, frame long, state int, rank int")
+    T.export_structures(atoms, chosen, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("structure=*")) == ["structure=state3_rank1", "structure=state3_rank2", "structure=state5_rank1"]
+    for name, t, f in (("state3_rank1", 0, 1), ("state3_rank2", 1, 2), ("state5_rank1", 1, 0)):
+        (file,) = (tmp_path / "out" / f"structure={name}").glob("*.txt")
+        lines = file.read_text().splitlines()
+        assert len(lines) == 31 and lines[-1] == "END" and [int(x[6:11]) for x in lines[:-1]] == list(range(30))
+        got = {r.atom_id: r for r in T.read_pdb(spark, str(file)).collect()}
+        want = {r[2]: r for r in rows if r[:2] == (t, f) and r[7] is not None}
+        assert all((got[i].name, got[i].res_name or None, got[i].chain, got[i].res_id) == tuple(want[i][3:7]) and np.allclose([got[i].x, got[i].y, got[i].z], want[i][7:], atol=6e-4) for i in range(30))
