@@ -196,6 +196,17 @@ def phi_psi_pairs(names: list[str]) -> list[tuple[str, str]]:
     return [(v["phi"], v["psi"]) for _, v in sorted(of.items()) if len(v) == 2]
 
 
+def balanced_sample(pairs: DataFrame, group: str, per_group: int, seed: int, key: list[str]) -> DataFrame:
+    """``per_group`` rows of each group, all of a smaller one, without replacement: those of the least hashes of (seed, key).
+
+    Tasks send no more than ``per_group`` rows a group, so a group of any share of the rows costs no more than others.
+    Rows of a null group are one group; equal keys are told apart by all their columns.
+    """
+    h = F.xxhash64(F.lit(seed), *key)
+    place = F.row_number().over(Window.partitionBy(group).orderBy(h, *key, *[c for c in pairs.columns if c not in key]))
+    return pairs.withColumn("_place", place).where(F.col("_place") <= per_group).drop("_place")
+
+
 def uniform(seed: int, name: str) -> Column:
     """A number in (0, 1) from a hash of the seed and a column: the same however rows are dealt."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), name), 11).cast("double") + 0.5) / float(1 << 53)

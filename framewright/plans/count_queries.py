@@ -300,3 +300,12 @@ def pair_batches(spark, d):
 
     pairs = P.lagged_pairs(events(spark, d), 1, ["x"])
     return exact_batches(pairs, 256, 7, ["traj_id", "frame"]).groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query("balanced_pairs", f"WITH {EV}, p AS (SELECT state, lead(frame) OVER (PARTITION BY traj_id ORDER BY frame) AS f FROM ev) SELECT state, CAST(least(150, count(*)) AS BIGINT) AS n FROM p WHERE f IS NOT NULL GROUP BY state")
+def balanced_pairs(spark, d):
+    """A hundred and fifty pairs of each source state: how many were drawn."""
+    from framewright.operators.workflow import balanced_sample
+
+    pairs = P.lagged_pairs(events(spark, d), 1, ["state"])
+    return balanced_sample(pairs, "state_0", 150, 11, ["traj_id", "frame"]).groupBy(F.col("state_0").alias("state")).agg(F.count(F.lit(1)).alias("n"))

@@ -180,3 +180,15 @@ def test_ck_on_macrostates_or_on_the_most_visited(spark):
     free = spark.createDataFrame([(0, f, int(s)) for f, s in enumerate(rng.integers(0, 9, 9000))], "traj_id long, frame long, state int")
     cut = M.ck_choice(spark, free, 1, 9, (2,), top=4).collect()
     assert [(r.mode, r.factor) for r in cut] == [("micro", 2)] and cut[0].mse < 1e-3
+
+
+def test_balanced_samples(spark):
+    from framewright.operators import workflow as W
+
+    rows = [(i, "a" if i < 900 else "b" if i < 940 else None) for i in range(950)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    one, two = (sorted(r.id for r in W.balanced_sample(df.repartition(p), "g", 30, 5, ["id"]).collect()) for p in (1, 6))
+    assert one == two and [sum(a <= i < b for i in one) for a, b in ((0, 900), (900, 940), (940, 950))] == [30, 30, 10]
+    assert sorted(r.id for r in W.balanced_sample(df, "g", 30, 6, ["id"]).collect()) != one
+    plan = W.balanced_sample(df, "g", 30, 5, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
