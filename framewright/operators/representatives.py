@@ -61,13 +61,15 @@ def state_sums(rows: DataFrame, d: int, value) -> dict[int, np.ndarray]:
     return added(rows.select("s", "x", "w").mapInArrow(run, "s int, v array<double>"))
 
 
-def sum_bounds(m: np.ndarray, total: float, mean: np.ndarray, moments: np.ndarray, pivots: np.ndarray, pivot_sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sum_bounds(m: np.ndarray, total: float, mean: np.ndarray, moments: np.ndarray, pivots: np.ndarray, pivot_sums: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest weighted sum of distances to a state's rows that each row of ``m`` may have.
 
     Let y be a row's mean squared distance, known from the state's moments. The mean distance is at most the root
     of y (a root is concave), and at least that root times 1 - var / (2 y^2), var being the variance of the squared
-    distances. By the triangle inequality the sum differs from a pivot's by no more than ``total`` times the
-    distance to it, and the mean distance is no less than the distance to the mean.
+    distances; that is tight where distances vary little, as in many dimensions. By the triangle inequality the sum
+    differs from a pivot's by no more than ``total`` times the distance to it. The mean distance to a part of the rows
+    is no less than the distance to their mean: ``cells`` has a weight and a weighted sum of rows for each part, those
+    nearest a pivot, which is tight in few dimensions.
     """
     d = m.shape[1]
     second, fourth, third, spread = moments[0], moments[1], moments[2 : 2 + d], moments[2 + d :].reshape(d, d)
@@ -82,6 +84,10 @@ def sum_bounds(m: np.ndarray, total: float, mean: np.ndarray, moments: np.ndarra
         far = np.stack([np.sqrt(((m - p) ** 2).sum(1)) for p in pivots], 1)
         low = np.maximum(low, np.abs(total * far - pivot_sums).max(1))
         high = np.minimum(high, (total * far + pivot_sums).min(1))
+    if len(cells):
+        some = cells[cells[:, 0] > 0]
+        parts = [w * np.sqrt(((m - v / w) ** 2).sum(1)) for w, v in zip(some[:, 0], some[:, 1:], strict=True)]
+        low = np.maximum(low, np.sum(parts, 0)) if parts else low
     slack = 1e-9 * (1 + total * np.sqrt(y))
     return low - slack, high + slack
 
@@ -91,11 +97,11 @@ def distance_sums(candidates: np.ndarray, m: np.ndarray, w: np.ndarray, step: in
     return np.concatenate([np.sqrt(((candidates[i : i + step, None] - m[None]) ** 2).sum(2)) @ w for i in range(0, len(candidates), step)])
 
 
-def medoids(df: DataFrame, x: str, state: str, key: str, k: int = 1, weight: str | None = None, pivots: int = 16, chunk: int = 2048) -> DataFrame:
+def medoids(df: DataFrame, x: str, state: str, key: str, k: int = 1, weight: str | None = None, pivots: int = 64, chunk: int = 2048) -> DataFrame:
     """(state, rank, key, score): the k rows of the least (weighted) sum of distances to their state's rows, ties by key.
 
-    Exact for states of any size: two passes bound every row's sum by the state's moments and by ``pivots`` rows
-    with known sums (half of them those nearest the mean), a row whose least sum is above the k-th largest-possible one is given up, and the sums of
+    Exact for states of any size: two passes bound every row's sum by the state's moments, by ``pivots`` rows
+    with known sums (half of them those nearest the mean) and by the parts of the state around them, a row whose least sum is above the k-th largest-possible one is given up, and the sums of
     the others are added up over blocks of at most about ``chunk`` candidates and ``chunk`` rows, each block by
     itself. The driver and broadcasts hold moments and pivots: d squared numbers a state. Null vectors, states and keys are left out, and
     a null weight is none; all vectors have one length. An empty table has no rows.
@@ -125,11 +131,14 @@ def medoids(df: DataFrame, x: str, state: str, key: str, k: int = 1, weight: str
         u = m - mean[s]
         size = (u**2).sum(1)
         far = np.stack([np.sqrt(((m - p) ** 2).sum(1)) for p in pivot[s]], 1)
-        return np.concatenate([[w @ size, w @ size**2], (w * size) @ u, ((u * w[:, None]).T @ u).ravel(), w @ far])
+        nearest = np.zeros((len(m), far.shape[1]))
+        nearest[np.arange(len(m)), far.argmin(1)] = w
+        cells = np.concatenate([nearest.sum(0)[:, None], nearest.T @ m], 1)
+        return np.concatenate([[w @ size, w @ size**2], (w * size) @ u, ((u * w[:, None]).T @ u).ravel(), w @ far, cells.ravel()])
 
     second = state_sums(rows, d, moments)
     n_moments = 2 + d + d * d
-    known = {s: (v[:n_moments] / max(total[s], 1e-300), v[n_moments:]) for s, v in second.items()}
+    known = {s: (v[:n_moments] / max(total[s], 1e-300), v[n_moments : n_moments + len(pivot[s])], v[n_moments + len(pivot[s]) :].reshape(-1, d + 1)) for s, v in second.items()}
     shared = spark.sparkContext.broadcast((total, mean, known, pivot))
 
     def bound(batches):
@@ -138,7 +147,7 @@ def medoids(df: DataFrame, x: str, state: str, key: str, k: int = 1, weight: str
             m = as_rows(batch.column("x"), d)
             low, high = np.zeros(len(m)), np.zeros(len(m))
             for s, part in batch_groups(batch, "s"):
-                low[part], high[part] = sum_bounds(m[part], total[s], mean[s], known[s][0], pivot[s], known[s][1])
+                low[part], high[part] = sum_bounds(m[part], total[s], mean[s], known[s][0], pivot[s], *known[s][1:])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(high)], names=["s", "key", "x", "w", "low", "high"])
 
     bounded = stored(rows.mapInArrow(bound, f"s int, key {kinds[key]}, x array<double>, w double, low double, high double"), "medoid-bounds")
