@@ -35,7 +35,7 @@ MIXED = 0.01
 #: What the cross-validation chooses from.
 DISCOUNTS, MIXES = (0.75, 1.5, 2.5), (0.003, 0.01, 0.03)
 #: Texts that each step of the calibration counts besides its own, half of them toxic.
-PSEUDO = 2.0
+PSEUDO = 8.0
 #: Parts of the labelled sample; each is scored by counts of the others for the calibration.
 PARTS = 4
 #: Bytes of text whose windows are held at a time.
