@@ -75,15 +75,26 @@ def write_partition(batches: Iterator[pa.RecordBatch], part: int, folder: str, p
         yield from ((*x, size) for x in made)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, group_tokens: int = 1 << 19, delta: bool = False) -> DataFrame:
+def ranges(rows: DataFrame, range_bytes: int) -> tuple[int, ...]:
+    """The number of ranges for so many bytes of text each; nothing where the session's own number is enough."""
+    whole = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-whole // range_bytes)
+    return (parts,) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+
+
+def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, group_tokens: int = 1 << 19, delta: bool = False, range_bytes: int = 512 << 20) -> DataFrame:
     """Write the ids of ``docs(doc_id, text)`` in ascending doc_id order; returns the stored manifest.
 
-    Documents are dealt by ranges of doc_id, so the files hold consecutive ranges and only whole texts
-    move, once. Null ids come first; equal ids are ordered by text. A null text is empty and has only
+    Documents are dealt by ranges of doc_id and, within one, of the text's hash, so the files hold consecutive
+    ranges, a doc_id that many rows share (null too) is dealt to many tasks, and only whole texts move, once. The
+    counted bytes make the ranges: one holds about ``range_bytes`` of text at most, however large the table.
+    Null ids come first; equal ids are ordered by the hash of the text. A null text is empty and has only
     the end id; repeated rows are written each; a text is encoded whole, its ids never leave the task but
     in the file. An empty table has no files. The manifest has a row for each row group; ``start`` is the number of ids before it.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
+    order = (F.col("doc_id"), F.xxhash64("text"))
+    ordered = rows.repartitionByRange(*ranges(rows, range_bytes), *order).sortWithinPartitions(*order, "text")
 
     def write(batches):
         from pyspark import TaskContext

@@ -76,6 +76,18 @@ def test_other_pages_and_columns_stay_unread(spark, delta):
         token_files.read_documents(index, folder, [last]).collect()
 
 
+def test_a_shared_doc_id_is_dealt_to_many_ranges(spark):
+    texts = [f"text {i} of one document " * (i % 7 + 1) for i in range(400)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(None, t) for t in texts] + [(9, "last")], "doc_id long, text string").repartition(8)
+    folder = new_folder(spark, "ranges-test")
+    index = token_files.write_token_files(docs, folder, tokenizer_path("byte_bpe_50k.json"), 2, range_bytes=4_000)
+    per_file = [r.n for r in index.groupBy("file").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(per_file) == 801 and len(per_file) > 10 and max(per_file) < 200
+    rows = sorted(token_files.read_row_groups(index, folder, ["doc_id", "ids"], token_files.digests, "doc_id long, start long, n_tokens long, ids_crc32 long").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 400 + [7] * 400 + [9]
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(801)]
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [])
     folder = new_folder(spark, "t")
