@@ -159,7 +159,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int =
         level, tasks = level + 1, -(-tokens // share)
         rest = packed.where("not done")
         if tasks == 1:
-            one = rest.coalesce(1).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+            one = rest.repartition(1).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
             done = done.unionByName(stored(repack(one, level, capacity, 2 * fan_in * open_bins), "repacked"))
             break
         packed = stored(repack(rest.repartition(tasks), level, capacity, open_bins), "repacked")
