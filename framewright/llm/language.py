@@ -141,19 +141,29 @@ def parser_of(samples: dict[str, bytes]) -> CrossParser:
     return held("parser", tuple(sorted(samples.items())), lambda: CrossParser(samples))
 
 
+def passages(text: Column, most: int, n: int = 16) -> Column:
+    """``text``, or ``n`` passages evenly spread over it, of about ``most`` bytes together, where it has more."""
+    chars = F.length(text).cast("long")
+    each = F.greatest(F.lit(1), F.floor(chars * F.lit(most) / F.octet_length(text) / n)).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substr(text, F.floor((chars - each) * k / (n - 1)).cast("int") + 1, each))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat_ws("\n", spread))
+
+
 def labelled_samples(docs: DataFrame, per_language: int = 16, shortest: int = 200, longest: int = 8192, most_bytes: int = 40_000, all_bytes: int = 400_000) -> dict[str, bytes]:
-    """Text of each language to learn from: whole texts, at most ``per_language`` of them.
+    """Text of each language to learn from: texts, at most ``per_language`` of them.
 
     ``docs(text, lang)`` are the rows that may be learnt from. Every language that a row with a text has is
     learnt. Its distinct texts between ``shortest`` and ``longest`` characters teach first, then shorter ones,
     both by least hash, then longer ones from the shortest on; no further text is taken once they
     have ``most_bytes`` bytes, or the language's equal share of ``all_bytes`` if that is less (``longest``
-    is then no more than the share). Null languages and null or empty texts teach nothing.
+    is then no more than the share). A text with more bytes than the share and ``longest`` teaches by
+    ``passages`` evenly spread over it, of as many bytes as the larger of the two, so that no text, however long,
+    makes a sample that workers cannot hold. Null languages and null or empty texts teach nothing.
     """
     rows = docs.where("lang is not null and text is not null").where(F.length("text") > 0)
     languages = rows.select("lang").distinct().count()
     share = min(most_bytes, max(1, all_bytes // max(1, languages)))
-    longest = min(longest, max(shortest, share))
+    longest, whole = min(longest, max(shortest, share)), max(share, longest)
     chars = F.length("text")
     rows = rows.select("lang", "text", F.when(chars > longest, 2).when(chars < shortest, 1).otherwise(0).alias("kind"), F.xxhash64("text").alias("h"))
     keys = rows.groupBy("lang", "kind", "h").agg(F.max(F.octet_length("text")).alias("bytes"))
@@ -165,7 +175,7 @@ def labelled_samples(docs: DataFrame, per_language: int = 16, shortest: int = 20
     order = Window.partitionBy("lang").orderBy("kind", F.when(F.col("kind") == 2, F.col("bytes")).otherwise(0), "h")
     ranked = few.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes"))
     chosen = ranked.where((F.col("n") <= per_language) & (F.col("before") < share)).select("lang", "kind", "h", "n")  # a bounded number a language
-    picked = rows.join(F.broadcast(chosen), ["lang", "kind", "h"]).groupBy("lang", "n").agg(F.first("text").alias("text"))
+    picked = rows.join(F.broadcast(chosen), ["lang", "kind", "h"]).groupBy("lang", "n").agg(F.first(passages(F.col("text"), whole)).alias("text"))
     texts: dict[str, list] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.lang, r.n)):
         texts.setdefault(r.lang, []).append(r.text.lower().encode())

@@ -31,3 +31,13 @@ def test_whole_texts_up_to_a_number_of_rows(spark):
     assert one == language.labelled_samples(spark.createDataFrame(rows, "text string, lang string").repartition(2))
     few = language.labelled_samples(spark.createDataFrame(rows, "text string, lang string"), most_bytes=1000)["en"].decode().split("\n")
     assert few == parts[: len(few)] and sum(map(len, few[:-1])) < 1000 <= sum(map(len, few))
+
+
+def test_a_very_long_text_teaches_by_passages(spark):
+    long = "".join(f"żółw numer {i} płynie. " for i in range(200_000))
+    samples = language.labelled_samples(spark.createDataFrame([(long, "pl"), ("a short text " * 20, "en")], "text string, lang string"))
+    parts = samples["pl"].decode().split("\n")
+    assert len(parts) == 16 and all(p in long for p in parts) and long.startswith(parts[0]) and long.endswith(parts[-1])
+    assert 0.9 * 40_000 < len(samples["pl"]) < 1.1 * 40_000 and samples["en"] == b"a short text " * 20
+    got = language.identify(spark.createDataFrame([(1, "żółw płynie"), (2, "short text")], "doc_id long, text string"), samples, ["doc_id"])
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "pl", 2: "en"}
