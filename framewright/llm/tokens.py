@@ -17,6 +17,24 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNSURE = re.compile("[^\t\n\r -~¡-įı-ɏ]")
 
 
+def _sure_class(kind: str) -> str:
+    """The characters of a Unicode class among the proven ones and their lower-case forms, as ranges of a set."""
+    proven = {c for c in map(chr, range(0x250)) if not UNSURE.match(c)}
+    own = sorted(ord(c) for c in proven | {c.lower() for c in proven} if regex.match(kind, c))
+    starts = [c for c in own if c - 1 not in own]
+    stops = [c for c in own if c + 1 not in own]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, stops, strict=True))
+
+
+def sure_pattern(pattern: str) -> re.Pattern:
+    """``pattern`` for texts of proven characters: explicit sets instead of Unicode classes, which split in half the time."""
+    letters, numbers = _sure_class(r"\p{L}"), _sure_class(r"\p{N}")
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{letters}{numbers}]")
+    for kind, own in ((r"\p{L}", letters), (r"\p{N}", numbers)):
+        plain = plain.replace(f"[{kind}]", kind).replace(kind, f"[{own}]")
+    return re.compile(plain)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -51,7 +69,7 @@ class Encoder(dict):
         self.folded = re.compile("|".join(folded), re.IGNORECASE) if folded else None
         self.model, self.most = self.whole.model, most
         self.lower = self.whole.normalizer is not None
-        self.split = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
+        self.split = sure_pattern(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self.letters = [_byte_letters()[b] for b in range(256)]
 
     def __missing__(self, pretoken: str) -> bytes:

@@ -1,13 +1,15 @@
 """Archives, token files and media: exact round trips on awkward rows."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from framewright.llm import media, token_files, warc
+from framewright.llm import media, token_files, tokens, warc
 from framewright.llm.base import new_folder
 from framewright.llm.tokens import encoder, tokenizer_path
 
@@ -32,6 +34,16 @@ def test_encoder_equals_the_library(name):
         assert ids == whole.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+@pytest.mark.parametrize("pattern", [tokens.BYTE_PATTERN, tokens.WORD_PATTERN])
+def test_explicit_sets_split_as_unicode_classes(pattern):
+    draw = random.Random(3)
+    pool = [c for c in map(chr, range(0x250)) if not tokens.UNSURE.search(c)] + ["'s", "'t", "'re", "'ll", "'", *["  "] * 20, "\n\n", "\t"]
+    plain, fast = regex.compile(pattern).findall, tokens.sure_pattern(pattern).findall
+    for _ in range(20_000):
+        text = "".join(draw.choices(pool, k=draw.randrange(40)))
+        assert fast(text) == plain(text) and fast(text.lower()) == plain(text.lower())
+
+
 @pytest.mark.parametrize("delta", [False, True])
 def test_token_files_round_trip(spark, delta):
     docs = documents(spark).union(spark.createDataFrame([(None, "null id", "x", 1), (3, "a", "y", 2)], "doc_id long, text string, ids string, start int"))
