@@ -1,4 +1,4 @@
-"""Binary trajectories (XTC, NetCDF-3, DCD) by a data source that starts in the middle of files.
+"""Binary trajectories (XTC, TRR, NetCDF-3, DCD) by a data source that starts in the middle of files.
 
 A first job indexes the files, a task each: where every chunk of frames begins and ends. The data source then makes
 a partition of each chunk, reads its bytes through the file system that the path names, and hands on Arrow batches.
@@ -97,7 +97,7 @@ class Frame:
     number: int
     time: float | None
     box: np.ndarray | None
-    pos: np.ndarray
+    pos: np.ndarray | None
 
 
 def xtc_header(head: bytes) -> tuple[int, int]:
@@ -115,12 +115,15 @@ def xtc_header(head: bytes) -> tuple[int, int]:
     return atoms, 92 + size + -size % 4
 
 
-def xtc_index(f, size: int, chunk: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(first frame, frames, begin, stop, atoms) of chunks; a last frame that is cut off is left out."""
+def chain_index(f, size: int, chunk: int, header) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first frame, frames, begin, stop, atoms) of chunks of frames that follow each other, each with its ``header``.
+
+    Headers alone are read; a last frame that is cut off is left out.
+    """
     at = begin = number = held = most = 0
     while at < size:
         f.seek(at)
-        atoms, n = xtc_header(f.read(92))
+        atoms, n = header(f.read(92))
         if not n or at + n > size:
             break
         at, held, most = at + n, held + 1, max(most, atoms)
@@ -147,6 +150,68 @@ def xtc_frames(data: bytes, first: int) -> Iterator[Frame]:
         at, number = at + n, number + 1
 
 
+# TRR
+
+#: What a TRR frame begins with, the magic number and the version as a counted string.
+TRR_START = struct.pack(">3i", 1993, 13, 12) + b"GMX_trn_file"
+#: The order of the counts of bytes in a TRR header, and of the arrays after it.
+TRR_SIZES = ("ir", "e", "box", "vir", "pres", "top", "sym", "x", "v", "f")
+
+
+@dataclass
+class TrrHeader:
+    sizes: dict[str, int]
+    atoms: int
+    real: str  # big-endian singles or doubles
+    start: int  # of the arrays
+
+    @property
+    def bytes(self) -> int:
+        return self.start + sum(self.sizes.values())
+
+    def array(self, frame: bytes, name: str) -> np.ndarray | None:
+        """Values of one array of the frame; null where it has none."""
+        at = self.start + sum(self.sizes[c] for c in TRR_SIZES[: TRR_SIZES.index(name)])
+        return np.frombuffer(frame[at : at + self.sizes[name]], self.real).astype("f8") if self.sizes[name] else None
+
+
+def trr_layout(head: bytes) -> TrrHeader | None:
+    """The header of a TRR frame; null if it is not whole.
+
+    Reals are singles or doubles by what the box, or else any array of the atoms, takes.
+    """
+    if not TRR_START.startswith(head[:24]) and head[:24] != TRR_START:
+        raise ValueError("not a TRR frame")
+    if len(head) < 76:
+        return None
+    *sizes, atoms, _, _ = struct.unpack(">13i", head[24:76])
+    own = dict(zip(TRR_SIZES, sizes, strict=True))
+    of_three = next((own[c] // (3 * atoms) for c in ("x", "v", "f") if own[c] and atoms), 4)
+    width = own["box"] // 9 if own["box"] else of_three
+    if width not in (4, 8) or atoms < 0 or min(sizes) < 0:
+        raise ValueError("not a TRR frame")
+    start = 76 + 2 * width
+    return TrrHeader(own, atoms, f">f{width}", start) if len(head) >= start else None
+
+
+def trr_header(head: bytes) -> tuple[int, int]:
+    """Atoms of the frame that begins here, and its bytes; (0, 0) if the header is not whole."""
+    own = trr_layout(head)
+    return (own.atoms, own.bytes) if own else (0, 0)
+
+
+def trr_frames(data: bytes, first: int) -> Iterator[Frame]:
+    """Frames with their positions; a frame of velocities or forces alone has none."""
+    at, number = 0, first
+    while at < len(data):
+        own = trr_layout(data[at : at + 92])
+        frame = data[at : at + own.bytes]
+        (time,) = np.frombuffer(frame[76 : own.start], own.real)[:1].tolist()
+        pos = own.array(frame, "x")
+        yield Frame(number, time, own.array(frame, "box"), None if pos is None else pos.reshape(own.atoms, 3))
+        at, number = at + own.bytes, number + 1
+
+
 # NetCDF-3
 
 
@@ -251,8 +316,10 @@ def dcd_frames(f, size: int, first: int, n: int) -> Iterator[Frame]:
         yield Frame(i, None, None, np.frombuffer(raw, "<f4").reshape(3, atoms + 2)[:, 1:-1].T.astype("f8"))
 
 
+#: Kinds whose frames follow each other with headers of their own: what reads a header, and what reads the frames.
+CHAINS = {"xtc": (xtc_header, xtc_frames), "trr": (trr_header, trr_frames)}
 #: Suffix of each kind, and the unit of its lengths unless the file says another.
-KINDS = {"xtc": "nanometer", "nc": "angstrom", "ncdf": "angstrom", "dcd": "angstrom"}
+KINDS = {"xtc": "nanometer", "trr": "nanometer", "nc": "angstrom", "ncdf": "angstrom", "dcd": "angstrom"}
 
 
 def kind_of(path: str) -> str:
@@ -267,8 +334,8 @@ def file_index(path: str, chunk: int) -> Iterator[tuple]:
     kind = kind_of(path)
     f, size = opened(path)
     with f:
-        if kind == "xtc":
-            yield from ((path, kind, *row) for row in xtc_index(f, size, chunk))
+        if kind in CHAINS:
+            yield from ((path, kind, *row) for row in chain_index(f, size, chunk, CHAINS[kind][0]))
             return
         n, atoms = dcd_layout(f, size)[:2] if kind == "dcd" else ((h := ClassicHeader(f, size)).records, h.dims[h.variables["coordinates"].dims[1]][1])
         yield from ((path, kind, a, min(chunk, n - a), 0, size, atoms) for a in range(0, n, chunk))
@@ -297,6 +364,13 @@ def trajectory_index(spark: SparkSession, paths: str | list[str], chunk: int = 1
     return files.repartition(max(1, min(found, 10_000))).mapInArrow(run, INDEX)
 
 
+def position_list(pos: np.ndarray | None, atoms: list[int] | None) -> pa.ListArray:
+    """One list of the positions of all or of chosen atoms, null without positions."""
+    chosen = np.empty((0, 3)) if pos is None else pos if atoms is None else pos[atoms]
+    cells = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(chosen[:, k])) for k in range(3)], names=["x", "y", "z"])
+    return pa.ListArray.from_arrays(pa.array([0, len(chosen)], pa.int32()), cells, mask=pa.array([pos is None]))
+
+
 @dataclass
 class Chunk(InputPartition):
     path: str
@@ -326,9 +400,9 @@ class ChunkReader(DataSourceReader):
         f, size = opened(chunk.path)
         with f:
             units = KINDS[chunk.kind]
-            if chunk.kind == "xtc":
+            if chunk.kind in CHAINS:
                 f.seek(chunk.begin)
-                frames = xtc_frames(f.read(chunk.stop - chunk.begin), chunk.first)
+                frames = CHAINS[chunk.kind][1](f.read(chunk.stop - chunk.begin), chunk.first)
             elif chunk.kind == "dcd":
                 frames = dcd_frames(f, size, chunk.first, chunk.frames)
             else:
@@ -337,10 +411,8 @@ class ChunkReader(DataSourceReader):
             for x in frames:
                 if x.number < self.start or (x.number - self.start) % self.stride or (self.end is not None and x.number >= self.end):
                     continue
-                pos = x.pos if self.atoms is None else x.pos[self.atoms]
-                cells = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(pos[:, k])) for k in range(3)], names=["x", "y", "z"])
                 box = pa.array([None if x.box is None else x.box.tolist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.path]), pa.array([x.number], pa.int64()), pa.array([x.time], pa.float64()), pa.array([units]), box, pa.ListArray.from_arrays(pa.array([0, len(pos)], pa.int32()), cells)], names=["path", "frame", "time", "units", "box", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.path]), pa.array([x.number], pa.int64()), pa.array([x.time], pa.float64()), pa.array([units]), box, position_list(x.pos, self.atoms)], names=["path", "frame", "time", "units", "box", "pos"])
 
 
 class BinaryFrames(DataSource):
@@ -358,9 +430,10 @@ class BinaryFrames(DataSource):
 
 
 def read_binary_frames(spark: SparkSession, paths: str | list[str], chunk: int = 100, ignore_errors: bool = False, **options) -> DataFrame:
-    """(path, frame, time, units, box, pos) of XTC, NetCDF-3 and DCD files: the files are indexed first, then read by chunks.
+    """(path, frame, time, units, box, pos) of XTC, TRR, NetCDF-3 and DCD files: the files are indexed first, then read by chunks.
 
-    Lengths are in ``units`` as the file has them. A box is nine numbers (XTC), three lengths (NetCDF) or null.
+    Lengths are in ``units`` as the file has them. A box is nine numbers (XTC, TRR), three lengths (NetCDF) or null. Positions are null in a TRR frame of
+    velocities or forces alone, which counts as a frame.
     """
     folder = shared_folder(spark, "frame-index")
     trajectory_index(spark, paths, chunk, ignore_errors).coalesce(64).write.parquet(folder)

@@ -56,7 +56,7 @@ READERS = {"parquet", "orc", "json", "csv"}
 def read_frames(spark: SparkSession, paths: list[str], fmt: str = "parquet", schema=None, ignore_errors: bool = False) -> DataFrame:
     """Frames of several files with the file as ``path``; unknown formats raise, bad files only if asked to.
 
-    Binary trajectories (xtc, nc, ncdf, dcd) have a schema of their own.
+    Binary trajectories (xtc, trr, nc, ncdf, dcd) have a schema of their own.
     """
     if fmt in KINDS:
         return read_binary_frames(spark, paths, ignore_errors=ignore_errors)

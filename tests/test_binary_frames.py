@@ -1,4 +1,4 @@
-"""XTC, NetCDF-3 and DCD files written here, read by chunks that begin inside a file."""
+"""XTC, TRR, NetCDF-3 and DCD files written here, read by chunks that begin inside a file."""
 
 import struct
 
@@ -127,6 +127,49 @@ def test_index_ends_at_the_last_whole_frame(spark, tmp_path):
         B.trajectory_index(spark, str(tmp_path)).collect()
 
 
+def trr_frame(step, time, box, pos, velocities, real):
+    """A frame with any of box, positions and velocities, and a virial, in singles (f) or doubles (d)."""
+    width, atoms = struct.calcsize(real), len(pos if pos is not None else velocities)
+    parts = {"box": box, "vir": box, "x": pos, "v": velocities}
+    sizes = [0 if parts.get(c) is None else np.size(parts[c]) * width for c in ("ir", "e", "box", "vir", "pres", "top", "sym", "x", "v", "f")]
+    head = struct.pack(">3i", 1993, 13, 12) + b"GMX_trn_file" + struct.pack(">13i", *sizes, atoms, step, 0) + struct.pack(f">2{real}", time, 0.0)
+    return head + b"".join(np.asarray(parts[c]).astype(f">{real}").tobytes() for c in ("box", "vir", "x", "v") if parts[c] is not None)
+
+
+@pytest.mark.parametrize("real", ["f", "d"])
+@pytest.mark.parametrize("boxed", [True, False])
+def test_trr_frames_come_back(spark, tmp_path, real, boxed):
+    rng = np.random.default_rng(4)
+    pos, box = rng.normal(size=(11, 7, 3)).astype("f4"), np.diag([3.0, 4.0, 5.0]) if boxed else None
+    frames = [trr_frame(i, 0.5 * i, box, None if i % 5 == 3 else p, p if i % 2 or i == 8 else None, real) for i, p in enumerate(pos)]
+    (tmp_path / "a.trr").write_bytes(b"".join(frames))
+    index = sorted((r.first, r.frames, r.atoms) for r in B.trajectory_index(spark, str(tmp_path / "a.trr"), 4).collect())
+    assert index == [(0, 4, 7), (4, 4, 7), (8, 3, 7)]
+    df = B.read_binary_frames(spark, str(tmp_path / "a.trr"), chunk=4)
+    got = rows_of(df)
+    assert sorted(got) == [("a.trr", i) for i in range(11)] and df.rdd.getNumPartitions() == 3
+    for (_, i), r in got.items():
+        assert r.time == 0.5 * i and r.units == "nanometer" and (r.box[::4] == [3.0, 4.0, 5.0] if boxed else r.box is None)
+        assert (r.pos is None) == (i in (3, 8)) and (r.pos is None or np.array_equal(positions(r), pos[i]))
+    some = rows_of(S.read_frames(spark, [str(tmp_path / "a.trr")], "trr").where("frame > 8"))
+    assert sorted(f for _, f in some) == [9, 10]
+    chosen = rows_of(B.read_binary_frames(spark, str(tmp_path / "a.trr"), atoms="6,0", start=2, stride=3))
+    assert sorted(f for _, f in chosen) == [2, 5, 8] and chosen["a.trr", 8].pos is None
+    assert np.array_equal(positions(chosen["a.trr", 5]), pos[5][[6, 0]])
+
+
+def test_trr_files_that_end_early_or_are_none(spark, tmp_path):
+    frame = trr_frame(0, 0.0, np.eye(3), np.ones((5, 3)), None, "f")
+    for name, data in (("a", frame * 3 + frame[:-1]), ("b", frame + frame[:40]), ("c", frame + frame[:10]), ("d", b"")):
+        (tmp_path / f"{name}.trr").write_bytes(data)
+    index = sorted((r.path.rpartition("/")[2], r.frames) for r in B.trajectory_index(spark, str(tmp_path)).collect())
+    assert index == [("a.trr", 3), ("b.trr", 1), ("c.trr", 1)]
+    (tmp_path / "e.trr").write_bytes(frame[:8] + b"\0" * 100)
+    assert len(rows_of(S.read_frames(spark, [str(tmp_path)], "trr", ignore_errors=True))) == 5
+    with pytest.raises(Exception, match="not a TRR frame"):
+        B.trajectory_index(spark, str(tmp_path)).collect()
+
+
 def padded(b):
     return b + b"\0" * (-len(b) % 4)
 
@@ -178,7 +221,7 @@ def test_kinds_together(spark, tmp_path):
         assert all(np.allclose(positions(got[name, i]), want[i], atol=1e-6) for i in range(5))
     assert got["a.dcd", 0].box is None and got["a.dcd", 0].time is None and len(got) == 15
     with pytest.raises(ValueError, match="unknown format"):
-        S.read_frames(spark, ["x"], "trr")
+        S.read_frames(spark, ["x"], "tng")
 
 
 def test_representatives_as_structures(spark, tmp_path):

@@ -71,7 +71,7 @@ def test_small_things(spark, tmp_path):
     S.write_frames(df, str(tmp_path / "f"))
     assert S.read_frames(spark, [str(tmp_path / "f")]).count() == 4
     with pytest.raises(ValueError):
-        S.read_frames(spark, ["x"], "trr")
+        S.read_frames(spark, ["x"], "tng")
     a = S.feature_cache(df, "k", str(tmp_path / "c")).count()
     assert a == S.feature_cache(df.limit(0), "k", str(tmp_path / "c")).count() == 2
     empty = S.union_aligned([], spark, "a int")
