@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -243,21 +243,29 @@ def integrated_autocorrelation(taus: list[int], rho: list[float]) -> float:
     return 1 + 2 * total
 
 
+def correlation(a: str, b: str, window: WindowSpec | None = None) -> Column:
+    """Correlation of the pairs without a null; NaN where either side is constant (``corr`` fails there), null without a pair."""
+    of = (lambda x: x.over(window)) if window is not None else (lambda x: x)
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    scale = of(F.stddev_pop(x)) * of(F.stddev_pop(y))
+    return F.when(scale == 0, F.lit(float("nan"))).otherwise(of(F.covar_pop(x, y)) / F.nullif(scale, F.lit(0.0)))
+
+
 def vamp2_proxy(frames: DataFrame, columns: list[str], tau: int, keys: tuple[str, ...] = ("traj_id",)) -> DataFrame:
     """Mean over columns of the squared correlation of values tau apart."""
     from framewright.operators.pairs import lagged_pairs
 
     pairs = lagged_pairs(frames, tau, columns, keys)
-    squares = [F.pow(F.corr(f"{c}_0", f"{c}_t"), F.lit(2.0)) for c in columns]
+    squares = [F.pow(correlation(f"{c}_0", f"{c}_t"), F.lit(2.0)) for c in columns]
     return pairs.agg((sum(squares[1:], squares[0]) / len(columns)).alias("score"))
 
 
 def moving_vamp2(frames: DataFrame, column: str, tau: int, window: int) -> DataFrame:
-    """Squared lag correlation over the last ``window`` frames, at each frame."""
+    """Squared lag correlation over the last ``window`` frames, at each frame; NaN where its values are constant."""
     w = Window.partitionBy("traj_id").orderBy("frame")
     tail = w.rowsBetween(-(window - 1), 0)
     own = frames.select("traj_id", "frame", F.col(column).alias("b"), F.lag(column, tau).over(w).alias("a"))
-    return own.select("traj_id", "frame", F.pow(F.when(F.count("a").over(tail) > 1, F.corr("a", "b").over(tail)), F.lit(2.0)).alias("score"))
+    return own.select("traj_id", "frame", F.pow(F.when(F.count("a").over(tail) > 1, correlation("a", "b", tail)), F.lit(2.0)).alias("score"))
 
 
 def canonical_correlation(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
