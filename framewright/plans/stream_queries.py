@@ -26,7 +26,7 @@ def _frames_as_stream(spark: SparkSession, d: str) -> DataFrame:
     """(traj_id, frame, x, ts) of the events, dealt by hash over three micro-batches, so that frames come out of order."""
     frames = S.numbered(S.table(spark, d, "events"), "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("traj_id"), "frame", F.col("value").alias("x"), F.col("ts").cast("timestamp").alias("ts"))
     folder = shared_folder(spark, "stream")
-    frames.repartition(6, F.xxhash64("traj_id", "frame")).write.parquet(folder)
+    frames.repartition(3 * max(2, spark.sparkContext.defaultParallelism), F.xxhash64("traj_id", "frame")).write.parquet(folder)
     files = max(1, len(spark.read.parquet(folder).inputFiles()) // 3)
     return D.read_stream(spark, frames.schema, folder, files)
 
