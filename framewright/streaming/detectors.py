@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -13,16 +14,24 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+@functools.lru_cache(maxsize=1024)
+def cut_bounds(n: int, delta: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of both parts of a window of ``n`` at each cut that leaves ``least``, and the Hoeffding bound of their means."""
+    a = np.arange(max(1, least), n - max(1, least) + 1)
+    b = n - a
+    return a, b, np.sqrt(0.5 * math.log(4 / delta) * (1 / a + 1 / b))
+
+
 def adaptive_window_cut(values: list[float], delta: float, least: int = 5) -> int:
     """First cut of a window whose two means differ by more than the Hoeffding bound; 0 without one."""
-    n = len(values)
-    run, total = 0.0, sum(values)
-    for a in range(1, n):
-        run += values[a - 1]
-        b = n - a
-        if a >= least and b >= least and abs(run / a - (total - run) / b) > math.sqrt(0.5 * math.log(4 / delta) * (1 / a + 1 / b)):
-            return a
-    return 0
+    a, b, bound = cut_bounds(len(values), delta, least)
+    if not len(a):
+        return 0
+    with np.errstate(all="ignore"):
+        run = np.cumsum(values)[a - 1]
+        hit = np.abs(run / a - (sum(values) - run) / b) > bound
+    k = int(hit.argmax())
+    return int(a[k]) if hit[k] else 0
 
 
 def drift_step(window: list[float], value: float, delta: float = 0.002, most: int = 256) -> tuple[list[float], bool]:
