@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,21 +36,63 @@ def with_cells(atoms: DataFrame, edge: float, reach: float) -> DataFrame:
     return out.withColumn("home", home)
 
 
-def exposed_shares(own: np.ndarray, own_radius: np.ndarray, others: np.ndarray, other_radius: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Share of each own sphere's points that lie in none of the others; a sphere does not hide itself."""
-    out = np.ones(len(own))
-    for i, (x, r) in enumerate(zip(own, own_radius, strict=True)):
-        gap = np.sqrt(((others - x) ** 2).sum(1))
-        near = (gap < r + other_radius) & (gap > 0)
-        same = np.flatnonzero(gap == 0)
-        near[same[(other_radius[same] > r)]] = True  # a larger sphere around the same place hides it
-        if near.any():
-            at = x + r * points
-            hidden = np.zeros(len(points), bool)
-            for y, s in zip(others[near], other_radius[near], strict=True):
-                hidden |= ((at - y) ** 2).sum(1) < s * s
-            out[i] = 1 - hidden.mean()
-    return out
+def groups_in_order(tables: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of equal ``keys`` of batches sorted by them, many small ones together; the last group waits for its rest."""
+    rest: list[pa.RecordBatch] = []
+    for batch in tables:
+        if not batch.num_rows:
+            continue
+        if rest and all(rest[0].column(k)[0] == batch.column(k)[batch.num_rows - 1] for k in keys):
+            rest.append(batch)  # a group that goes on
+            continue
+        table = pa.Table.from_batches([*rest, batch])
+        at = int(group_starts(table, keys)[-1])
+        if at:
+            yield table.slice(0, at)
+        rest = table.slice(at).combine_chunks().to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """First row of each run of equal ``keys``."""
+    n = table.num_rows
+    new = np.zeros(max(0, n - 1), bool)
+    for k in keys:
+        code = pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new |= code[1:] != code[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def exposed_shares(at: np.ndarray, radius: np.ndarray, home: np.ndarray, start: np.ndarray, points: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Share of the points of each ``home`` sphere that lie in no other of its group, groups beginning at the rows ``start``.
+
+    A sphere does not hide itself. Pairs of spheres, and of points and spheres, are looked at ``most`` at a time.
+    """
+    end = np.append(start[1:], len(at))
+    group = np.repeat(np.arange(len(start)), end - start)
+    own = np.flatnonzero(home)
+    first, size = start[group[own]], (end - start)[group[own]]
+    hidden = np.zeros((len(own), len(points)), bool)
+    done, step, k = np.cumsum(size), max(1, most // len(points)), 0
+    while k < len(own):
+        to = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + most, "right")))
+        for low in range(0, int(size[k:to].max()), most):  # one sphere's own group may be larger than ``most``
+            width = np.clip(size[k:to] - low, 0, most)
+            i = np.repeat(np.arange(k, to), width)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[k:to] + low, width)
+            gap = np.sqrt(((at[j] - at[own[i]]) ** 2).sum(1))
+            r = radius[own[i]]
+            near = ((gap < r + radius[j]) & (gap > 0)) | ((gap == 0) & (radius[j] > r))  # a larger sphere around the same place hides it
+            i, j = i[near], j[near]
+            for n in range(0, len(i), step):
+                a, b = i[n : n + step], j[n : n + step]
+                x = at[own[a]][:, None] + radius[own[a]][:, None, None] * points
+                inside = ((x - at[b][:, None]) ** 2).sum(2) < (radius[b] ** 2)[:, None]
+                begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                hidden[a[begin]] |= np.logical_or.reduceat(inside, begin)
+        k = to
+    return 1 - hidden.mean(1)
 
 
 def atom_areas(atoms: DataFrame, keys: tuple[str, ...] = ("traj_id", "frame"), n_points: int = 960, probe: float = PROBE, edge: float = 2.0) -> DataFrame:
@@ -56,7 +100,7 @@ def atom_areas(atoms: DataFrame, keys: tuple[str, ...] = ("traj_id", "frame"), n
 
     Shrake and Rupley's rule: of ``n_points`` on the sphere of an atom's radius and the probe's, those inside no
     other atom's such sphere count. Space is cut into cells of width ``edge``; a cell's atoms and those around it within reach meet in
-    a group, so a frame of any number of atoms is dealt to many. The unit is that of the coordinates, nanometres by the
+    a group, so a frame of any number of atoms is dealt to many. A task takes its groups in order, many small ones at once. The unit is that of the coordinates, nanometres by the
     defaults. Atoms with a null, non-finite place or radius are left out.
     """
     ok = F.lit(True)
@@ -67,16 +111,20 @@ def atom_areas(atoms: DataFrame, keys: tuple[str, ...] = ("traj_id", "frame"), n
     points, kinds = sphere_points(n_points), dict(own.dtypes)
     cells = with_cells(own, edge, 2 * (top or 0.0))
 
-    def group(table: pa.Table) -> pa.Table:
-        home = table["home"].to_numpy()
-        at = np.stack([table[c].to_numpy() for c in "xyz"], 1)
-        r = table["r"].to_numpy()
-        share = exposed_shares(at[home], r[home], at, r, points)
-        mine = table.filter(table["home"])
-        return pa.table({**{c: mine[c] for c in (*keys, "atom_id")}, "area": 4 * math.pi * r[home] ** 2 * share})
+    by = [*keys, "cx", "cy", "cz"]
+
+    def run(batches):
+        for table in groups_in_order(batches, by):
+            home = table["home"].to_numpy()
+            at = np.stack([table[c].to_numpy() for c in "xyz"], 1)
+            r = table["r"].to_numpy()
+            share = exposed_shares(at, r, home, group_starts(table, by), points)
+            mine = table.filter(table["home"])
+            made = pa.table({**{c: mine[c] for c in (*keys, "atom_id")}, "area": 4 * math.pi * r[home] ** 2 * share})
+            yield from made.combine_chunks().to_batches()
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*keys, "atom_id")), "area double"])
-    return cells.groupBy(*keys, "cx", "cy", "cz").applyInArrow(group, schema)
+    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def solvent_area(atoms: DataFrame, keys: tuple[str, ...] = ("traj_id", "frame"), **how) -> DataFrame:

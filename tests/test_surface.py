@@ -80,3 +80,26 @@ def test_a_helix_binds_every_fourth_residue(spark):
     found = A.hydrogen_bonds(df, spark.createDataFrame(bonds, "donor int, hydrogen int"))
     assert sorted((r.donor // 3, r.acceptor // 3) for r in found.where("frame = 0").collect()) == [(i + 4, i) for i in range(n - 4)]
     assert {r.bonds for r in A.bond_counts(df, found).collect()} == {n - 4}
+
+
+def test_small_groups_go_together(spark):
+    """Batches that cut groups, equal keys and single atoms included: whole groups, many at once, areas as by a plain loop."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sizes = [1, 30, 2, 1, 75, 3, 4] * 3
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    at, radius, home = rng.uniform(-0.6, 0.6, (len(key), 3)), rng.uniform(0.25, 0.35, len(key)), rng.random(len(key)) < 0.8
+    table = pa.table({"k": key, "i": np.arange(len(key))})
+    for size in (1, 7, 1000):
+        parts = list(A.groups_in_order(table.to_batches(max_chunksize=size), ["k"]))
+        assert pa.concat_tables(parts)["i"].to_pylist() == list(range(len(key)))
+        assert sum(len(A.group_starts(p, ["k"])) for p in parts) == len(sizes) and (size < 1000 or len(parts) == 2)
+    points = A.sphere_points(60)
+    want = []
+    for i in np.flatnonzero(home):
+        others = [j for j in np.flatnonzero(key == key[i]) if j != i]
+        spots = at[i] + radius[i] * points
+        want.append(1 - np.mean([any(((p - at[j]) ** 2).sum() < radius[j] ** 2 for j in others) for p in spots]))
+    for most in (1, 64, 1 << 18):
+        assert np.array_equal(A.exposed_shares(at, radius, home, A.group_starts(table, ["k"]), points, most), want)
