@@ -157,6 +157,7 @@ def held(kind: str, key, make):
     if (kind, key) not in _held:
         forget()
         _held[kind, key] = make()
+        trim()
     return _held[kind, key]
 
 

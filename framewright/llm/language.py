@@ -76,13 +76,13 @@ class CrossParser:
         self.width = len(seen) + 1  # the last symbol is any that no sample has
         self.code = np.full(256, len(seen), np.uint8)
         self.code[seen] = np.arange(len(seen))
-        tables, roots, at = [], [], 0
-        for name in self.languages:
+        moves, roots = array("i"), []
+        for name in self.languages:  # one language's table beside the whole, no more: a worker has little to spare
             table = suffix_automaton(self.code[text[name]].tobytes(), self.width)
-            tables.append(np.where(table >= 0, table + at, -1).astype("i4"))
-            roots.append(at)
-            at += len(table)
-        self.next = np.concatenate(tables).ravel() if tables else np.zeros(0, "i4")
+            roots.append(len(moves) // self.width)
+            np.add(table, roots[-1], out=table, where=table >= 0)
+            moves.frombytes(table.data.cast("B"))
+        self.next = np.frombuffer(moves, "i4") if moves else np.zeros(0, "i4")
         self.root = np.array(roots, "i4")
         self.bits = np.array([np.log2(max(len(text[k]), 2)) for k in self.languages])
 

@@ -1,5 +1,7 @@
 """Which languages are learnt from labelled rows."""
 
+import numpy as np
+
 from framewright.llm import language
 
 
@@ -41,3 +43,16 @@ def test_a_very_long_text_teaches_by_passages(spark):
     assert 0.9 * 40_000 < len(samples["pl"]) < 1.1 * 40_000 and samples["en"] == b"a short text " * 20
     got = language.identify(spark.createDataFrame([(1, "żółw płynie"), (2, "short text")], "doc_id long, text string"), samples, ["doc_id"])
     assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "pl", 2: "en"}
+
+
+def test_automata_are_built_beside_one_table():
+    """Building takes the automata's own memory and one language's table, not copies of all."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    samples = {f"l{i}": bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8), 8000)) for i in range(8)}
+    tracemalloc.start()
+    parser = language.CrossParser(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * parser.next.nbytes
