@@ -94,7 +94,16 @@ def sum_bounds(m: np.ndarray, total: float, mean: np.ndarray, moments: np.ndarra
 
 def distance_sums(candidates: np.ndarray, m: np.ndarray, w: np.ndarray, step: int = 32) -> np.ndarray:
     """Weighted sum of distances from each candidate to the rows ``m``."""
-    return np.concatenate([np.sqrt(((candidates[i : i + step, None] - m[None]) ** 2).sum(2)) @ w for i in range(0, len(candidates), step)])
+    gap, out = np.empty_like(m), []
+    for i in range(0, len(candidates), step):
+        some = candidates[i : i + step]
+        far = np.empty((len(some), len(m)))
+        for j, x in enumerate(some):  # one candidate's differences stay in the processor's cache
+            np.subtract(x, m, out=gap)
+            np.multiply(gap, gap, out=gap)
+            gap.sum(1, out=far[j])
+        out.append(np.sqrt(far, out=far) @ w)
+    return np.concatenate(out)
 
 
 def medoids(df: DataFrame, x: str, state: str, key: str, k: int = 1, weight: str | None = None, pivots: int = 64, chunk: int = 2048) -> DataFrame:

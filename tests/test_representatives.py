@@ -95,3 +95,21 @@ def test_farthest_points_equal_greedy(spark, kind, d):
             want.append((s, rank, int(own[i]), float(gap[i])))
     assert [g[:3] for g in got] == [w[:3] for w in want] and all(math.isclose(g[3], w[3], abs_tol=1e-12) for g, w in zip(got, want, strict=True))
     assert "ApplyInPandas" not in P.farthest_points(table(spark, x, state), "x", "state", "id", 2)._jdf.queryExecution().toString()
+
+
+def test_distance_sums_hold_no_cube():
+    """A block's sums equal the plain ones bit for bit, in memory of a few rows' distances and one candidate's differences."""
+    import tracemalloc
+
+    import numpy as np
+
+    from framewright.operators.representatives import distance_sums
+
+    rng = np.random.default_rng(2)
+    c, m, w = rng.normal(size=(70, 64)), rng.normal(size=(1500, 64)), rng.random(1500)
+    want = np.concatenate([np.sqrt(((c[i : i + 32, None] - m[None]) ** 2).sum(2)) @ w for i in range(0, 70, 32)])
+    tracemalloc.start()
+    got = distance_sums(c, m, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want) and peak < 3 * m.nbytes
