@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -79,12 +79,20 @@ def lloyd(df: DataFrame, x: str, centres: list[list[float]], rounds: int) -> lis
     return centres
 
 
+def k_means_model(df: DataFrame, x: str, k: int, seed: int = 42, rounds: int = 50) -> KMeansModel:
+    """MLlib k-means (k-means|| start) of an array column."""
+    return KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="_v", predictionCol="state").fit(df.withColumn("_v", array_to_vector(x)))
+
+
+def labelled(model: KMeansModel, df: DataFrame, x: str) -> DataFrame:
+    """Rows with ``state``, the model's cluster of an array column."""
+    return model.transform(df.withColumn("_v", array_to_vector(x))).drop("_v")
+
+
 def k_means(df: DataFrame, x: str, k: int, seed: int = 42, rounds: int = 50) -> tuple[DataFrame, list[list[float]], float]:
     """MLlib k-means (k-means|| start): rows with ``state``, centres and inertia; empty clusters are left out."""
-    data = df.withColumn("_v", array_to_vector(x))
-    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="_v", predictionCol="state").fit(data)
-    out = model.transform(data).drop("_v")
-    return out, [c.tolist() for c in model.clusterCenters()], float(model.summary.trainingCost)
+    model = k_means_model(df, x, k, seed, rounds)
+    return labelled(model, df, x), [c.tolist() for c in model.clusterCenters()], float(model.summary.trainingCost)
 
 
 def select_k(df: DataFrame, x: str, ks: range = range(4, 21), seed: int = 42) -> int:

@@ -17,6 +17,9 @@ from framewright.functions.scalars import is_finite
 #: Up to so many columns the moments are one SQL aggregation; beyond, Gram sums of whole batches.
 NARROW = 12
 
+#: Rows of an Arrow batch that numpy takes at a time; a batch of 10,000 rows would be held in several whole copies.
+PIECE_ROWS = 1024
+
 
 def unpacked(df: DataFrame, column: str, width: int, prefix: str = "x") -> DataFrame:
     """The first ``width`` entries of an array column as columns prefix0, prefix1, ..."""
@@ -51,6 +54,11 @@ def _merged(sums: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
     return rows, whole
 
 
+def pieces(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """The batch in slices of ``PIECE_ROWS`` rows, without a copy."""
+    return [batch.slice(a, PIECE_ROWS) for a in range(0, batch.num_rows, PIECE_ROWS)]
+
+
 def gram_moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and population covariances of many columns by Gram sums; nulls are left out pair by pair."""
     d = len(columns)
@@ -63,9 +71,7 @@ def gram_moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np
 
     def gather(batches):
         whole = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole_batch in batches for piece in pieces(whole_batch)):
             given = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype("f8")
             x = np.where(given > 0, np.column_stack([c.to_numpy(zero_copy_only=False).astype("f8") for c in batch.columns]), 0.0)
             shift = np.nan_to_num(x.sum(0) / np.maximum(given.sum(0), 1), posinf=0.0, neginf=0.0)
@@ -120,9 +126,11 @@ class Projection:
 
         def run(batches):
             for batch in batches:
-                own = [batch.column(c) for c in columns]
-                lost = ~np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in own]).all(1)
-                y = (np.column_stack([c.to_numpy(zero_copy_only=False).astype("f8") for c in own]) - mean) @ basis
+                lost, y = np.empty(batch.num_rows, bool), np.empty((batch.num_rows, basis.shape[1]))
+                for k, piece in enumerate(pieces(batch)):
+                    own, at = [piece.column(c) for c in columns], slice(k * PIECE_ROWS, k * PIECE_ROWS + piece.num_rows)
+                    lost[at] = ~np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in own]).all(1)
+                    y[at] = (np.column_stack([c.to_numpy(zero_copy_only=False).astype("f8") for c in own]) - mean) @ basis
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.float64(), mask=lost, from_pandas=False) for v in y.T)], names=names)
 
         schema = StructType([*df.schema.fields, *(StructField(c, DoubleType()) for c in names[len(df.columns) :])])

@@ -128,14 +128,20 @@ def complete_analysis(spark: SparkSession, frames: DataFrame, columns: list[str]
     """
     projected = R.tica(frames, columns, lags[0], min(components, len(columns))).apply(frames)
     ics = [c for c in projected.columns if c.startswith("ic")]
-    own, _, _ = K.k_means(projected.withColumn("_x", F.array(*ics)), "_x", n_states, seed)
-    own = own.drop("_x")
-    its = M.implied_timescales(spark, own, list(lags), 3)
-    slow = {r.lag: r.timescale for r in its.where("k = 1").collect()}
-    lag = M.lag_from_timescales(list(lags), [slow.get(t) or float("nan") for t in lags], start=1)
-    m = M.markov_model(own, lag)
-    states = spark.createDataFrame([(int(s), float(p)) for s, p in zip(m.states, m.pi, strict=True)], "state int, pi double")
-    return {"assignments": own, "its": its, "matrix": C.matrix_table(spark, m.p, m.states), "states": C.state_free_energies(states), "ck": M.ck_test(spark, own, lag, (2, 3), 5), "diagnostics": diagnostics(spark, own, lag)}
+    # MLlib evaluates what it fits twice at once in each task, and every count below reads it again: kept, each frame is projected once
+    kept = projected.select("traj_id", "frame", *ics).persist()
+    x = F.array(*ics)
+    try:
+        model = K.k_means_model(kept.withColumn("_x", x), "_x", n_states, seed)
+        own, whole = (K.labelled(model, rows.withColumn("_x", x), "_x").drop("_x") for rows in (kept, projected))
+        its = M.implied_timescales(spark, own, list(lags), 3)
+        slow = {r.lag: r.timescale for r in its.where("k = 1").collect()}
+        lag = M.lag_from_timescales(list(lags), [slow.get(t) or float("nan") for t in lags], start=1)
+        m = M.markov_model(own, lag)
+        states = spark.createDataFrame([(int(s), float(p)) for s, p in zip(m.states, m.pi, strict=True)], "state int, pi double")
+        return {"assignments": whole, "its": its, "matrix": C.matrix_table(spark, m.p, m.states), "states": C.state_free_energies(states), "ck": M.ck_test(spark, own, lag, (2, 3), 5), "diagnostics": diagnostics(spark, own, lag)}
+    finally:
+        kept.unpersist()
 
 
 def superposed(frames: DataFrame, selection: list[int] | None = None, reference: int = 0) -> DataFrame:
